@@ -9,11 +9,9 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gradewell.columns import col
 from gradewell.operators.metrics import single_feature_gini
@@ -21,7 +19,7 @@ from gradewell.operators.metrics import single_feature_gini
 
 def param_table(df: DataFrame, grid: Sequence[dict], scores: Sequence[float]) -> DataFrame:
     """(point, params, score, best): one row per grid point."""
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
+    best = _best(scores)
     rows = [
         (i, ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda e: e[0].name)), float(s), i == best)
         for i, (point, s) in enumerate(zip(grid, scores))
@@ -29,33 +27,51 @@ def param_table(df: DataFrame, grid: Sequence[dict], scores: Sequence[float]) ->
     return df.sparkSession.createDataFrame(rows, "point int, params string, score double, best boolean")
 
 
-def cross_validate(df: DataFrame, estimator: Estimator, grid: Sequence[dict], evaluator: Evaluator, fold_col: str,
-                   folds: int, parallelism: int = 2) -> tuple[Model, float, DataFrame]:
-    """(best model refitted on all rows, best mean score, score table). The whole
-    estimator is refitted inside every fold."""
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=list(grid), evaluator=evaluator, numFolds=folds, foldCol=fold_col,
-        parallelism=parallelism,
-    ).fit(df)
-    return search.bestModel, max(search.avgMetrics), param_table(df, grid, search.avgMetrics)
-
-
-def param_grid_search(train: DataFrame, dev: DataFrame, estimator: Estimator, grid: Sequence[dict],
-                      evaluator: Evaluator, parallelism: int = 2) -> tuple[Model, float, DataFrame]:
-    """(best model, best score, score table) by the score on a fixed part."""
-    train, dev = train.persist(), dev.persist()
+def _try_grid(train: DataFrame, dev: DataFrame, estimator: Estimator, grid: Sequence[dict], evaluator: Evaluator,
+              parallelism: int) -> list[tuple[Model, float]]:
+    """(model, score on dev) per grid point. Stages ahead of the first one that
+    the grid touches are the same for all points and are fitted once."""
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    touched = {p.parent for point in grid for p in point}
+    first = next((i for i, s in enumerate(stages) if s.uid in touched), len(stages) - 1)
+    shared = Pipeline(stages=stages[:first]).fit(train)
+    tail = Pipeline(stages=stages[first:])
+    train, dev = shared.transform(train).persist(), shared.transform(dev).persist()
     try:
         def attempt(point: dict) -> tuple[Model, float]:
-            model = estimator.fit(train, point)
-            return model, evaluator.evaluate(model.transform(dev))
+            model = tail.fit(train, point)
+            return PipelineModel([*shared.stages, *model.stages]), evaluator.evaluate(model.transform(dev))
 
         with ThreadPool(min(parallelism, len(grid))) as pool:
-            tried = pool.map(inheritable_thread_target(train.sparkSession)(attempt), grid)
+            return pool.map(inheritable_thread_target(train.sparkSession)(attempt), grid)
     finally:
         train.unpersist()
         dev.unpersist()
+
+
+def _best(scores: Sequence[float]) -> int:
+    return max(range(len(scores)), key=lambda i: (scores[i], -i))
+
+
+def cross_validate(df: DataFrame, estimator: Estimator, grid: Sequence[dict], evaluator: Evaluator, fold_col: str,
+                   folds: int, parallelism: int = 2) -> tuple[Model, float, DataFrame]:
+    """(best model refitted on all rows, best mean score, score table). All
+    stages are refitted inside every fold, so nothing is learnt from its rows."""
+    scores = [0.0] * len(grid)
+    for i in range(folds):
+        train, dev = df.where(col(fold_col) != i), df.where(col(fold_col) == i)
+        for j, (_, score) in enumerate(_try_grid(train, dev, estimator, grid, evaluator, parallelism)):
+            scores[j] += score / folds
+    best = _best(scores)
+    return estimator.fit(df, grid[best]), scores[best], param_table(df, grid, scores)
+
+
+def param_grid_search(train: DataFrame, dev: DataFrame, estimator: Estimator, grid: Sequence[dict],
+                      evaluator: Evaluator, parallelism: int = 2) -> tuple[Model, float, DataFrame]:
+    """(best model, best score, score table) by the score on a fixed part."""
+    tried = _try_grid(train, dev, estimator, grid, evaluator, parallelism)
     scores = [s for _, s in tried]
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
+    best = _best(scores)
     return tried[best][0], scores[best], param_table(train, grid, scores)
 
 
@@ -86,6 +102,6 @@ def random_search(df: DataFrame, label: str, fold_col: str, folds: int, costs: S
     scored = oof_predict(df, fold_col, folds, lambda part: fit_many(part, costs))
     found = {r["feature"]: r["gini"] for r in single_feature_gini(scored.select(label, *names), names, label).collect()}
     ginis = [found.get(n) if found.get(n) is not None else float("-inf") for n in names]
-    best = max(range(len(costs)), key=lambda i: (ginis[i], -i))
+    best = _best(ginis)
     rows = [(float(c), float(g), i == best) for i, (c, g) in enumerate(zip(costs, ginis))]
     return float(costs[best]), df.sparkSession.createDataFrame(rows, "cost double, gini double, best boolean")

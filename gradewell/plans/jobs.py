@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
-from gradewell.columns import Roles, drop_null_target
+from gradewell.columns import Roles, col, drop_null_target
 from gradewell.functions.scores import positive_probability
 from gradewell.operators.checks import class_distribution, row_shape
 from gradewell.operators.metrics import calibration_curve, confusion_metrics, rank_metrics
@@ -27,10 +27,14 @@ def split_job(source: DataFrame, roles: Roles, path: str, train_size: float, see
 
 
 def score_frame(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """The input columns with `score`, the event probability, and `prediction`."""
+    """The input columns with `score`, the event probability (calibrated if the
+    model calibrates), and `prediction`, the class at 0.5."""
     scored = model.transform(df)
-    if "score" not in scored.columns:
+    if "calibrated" in scored.columns:
+        scored = scored.withColumn("score", col("calibrated"))
+    elif "score" not in scored.columns:
         scored = scored.withColumn("score", positive_probability())
+    scored = scored.withColumn("prediction", (col("score") >= 0.5).cast("double"))
     return scored.select(*df.columns, "score", "prediction")
 
 

@@ -81,12 +81,8 @@ def train_validated(df: DataFrame, roles: Roles, key: Sequence[str], num_feature
         top = low_corr_filter(train, numeric, "label").orderBy("rank").collect()
         features = [r["feature"] for r in top] + categorical
     chain, regression = _stages(features, num_features, bins, trend)
-    # The steps before the regression do not depend on the grid: fit them once.
-    prepare = Pipeline(stages=chain.getStages()[:-1]).fit(train)
-    inputs = prepare.stages[-1].getInputCols()
-    ready = [prepare.transform(part).select("features", "label") for part in (train, dev)]
-    best, score, search = param_grid_search(*ready, regression, _grid(regression, tuning), GiniEvaluator())
-    return Scorecard(PipelineModel([*prepare.stages, best]), inputs, {"gini": score}, search)
+    best, score, search = param_grid_search(train, dev, chain, _grid(regression, tuning), GiniEvaluator())
+    return Scorecard(best, best.stages[-2].getInputCols(), {"gini": score}, search)
 
 
 def _select_and_bin(train: DataFrame, features: Sequence[str], num_features: int, top_share: float, bins: int) -> tuple[WoeModel, list[str]]:
