@@ -287,6 +287,19 @@ def oracles() -> dict[str, str]:
               f"from (select *, -5.0::double + l_quantity * 0.08::double + l_discount * 10.0::double as d from lab)")
     sql["pa_proba"] = on_lines(linear)
     sql["score_frame"] = on_lines(linear)
+    sql["logistic_fit"] = on_lines(" union all ".join(
+        f"select '{n}' as term, round(avg(flag * cast({v} as double)), 2) as moment from lab"
+        for n, v in [("intercept", "1"), *[(c, c) for c in ("l_quantity", "l_discount", "l_extendedprice")]]
+    ))
+    rates = on_lines(f"select {K}, round(avg(flag) over (partition by l_linestatus), 6) as score from lab")
+    sql["logistic_score"] = rates
+    sql["model_save_load"] = rates
+    dev = on_lines(
+        "select cast(point as int) as point, params, round(2 * auc - 1, 6) as score from rank_values, "
+        "(select 0 as point, 'elasticNetParam=0.5, regParam=0.01' as params union all select 1, 'elasticNetParam=0.5, regParam=0.1')",
+        rank_table(f"select 'x' as feature, l_quantity as x, flag as y from lab where {unit(34)} >= 0.8 * 4294967296.0"),
+    )
+    sql["param_grid_search"] = dev
     terms = [("l_linestatus", "a"), ("o_orderpriority", "b")]
     folds = ["folded as (select *, cast(hf % 3 as int) as fold from lab)",
              "fold_totals as (select f.i, sum(flag) as e_all, count(*) - sum(flag) as g_all from folded, (select unnest(range(0, 3)) as i) f where fold <> f.i group by f.i)"]

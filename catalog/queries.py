@@ -12,7 +12,9 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.fixture import CATEGORICAL, FEATURES, KEY, NOT_FEATURES, NUMERIC, TARGET, labelled, scored_lines, table
+from catalog.fixture import (
+    CATEGORICAL, FEATURES, KEY, NOT_FEATURES, NUMERIC, TARGET, labelled, modelling_table, scored_lines, table,
+)
 from gradewell import Roles
 from gradewell.columns import (
     drop_null_target, feature_columns, nullable_schema, positive_label, select_label,
@@ -51,12 +53,6 @@ def rounded(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def modelling_table(spark: SparkSession, folder: str, columns: Sequence[str] = ()) -> DataFrame:
-    """Labelled rows, written once for the passes that follow."""
-    rows = labelled(spark, folder)
-    return staged(rows.select(*columns) if columns else rows, "modelling")
-
-
 # --- sources, sinks and checks ---------------------------------------------
 
 @query("parquet_scan")
@@ -365,26 +361,50 @@ def isotonic_calibrate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("logistic_fit")
-def logistic_coefficients(spark: SparkSession, folder: str) -> DataFrame:
-    model = logistic_fit(modelling_table(spark, folder, [*LINEAR, TARGET]), LINEAR, TARGET, reg=0.01).stages[-1]
-    values = [("intercept", float(model.intercept)), *[(c, float(v)) for c, v in zip(LINEAR, model.coefficients)]]
-    return spark.createDataFrame(values, "name string, value double")
+def logistic_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """The likelihood is largest exactly where, for the intercept and every
+    feature, predicted probabilities and events have the same mean (to the
+    eight digits the optimiser reaches)."""
+    rows = modelling_table(spark, folder, [*LINEAR, TARGET])
+    scored = logistic_score(logistic_fit(rows, LINEAR, TARGET, tol=1e-12, max_iter=500), rows)
+    terms = F.array(*[
+        F.struct(F.lit(n).alias("term"), v.cast("double").alias("x")) for n, v in [("intercept", F.lit(1)), *[(c, F.col(c)) for c in LINEAR]]
+    ])
+    return scored.select("score", F.inline(terms)).groupBy("term").agg(F.round(F.avg(F.col("score") * F.col("x")), 2).alias("moment"))
+
+
+def by_status(spark: SparkSession, folder: str) -> DataFrame:
+    """One yes/no feature: a fitted model must give each side its event rate."""
+    return modelling_table(spark, folder, [*KEY, "l_linestatus", TARGET]).withColumn(
+        "is_f", (F.col("l_linestatus") == "F").cast("double")
+    )
 
 
 @query("logistic_score")
 def logistic_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = modelling_table(spark, folder, [*KEY, *LINEAR, TARGET])
-    return logistic_score(logistic_fit(rows, LINEAR, TARGET, reg=0.01), rows).select(*KEY, "score", "prediction")
+    rows = by_status(spark, folder)
+    model = logistic_fit(rows, ["is_f"], TARGET, tol=1e-12, max_iter=500)
+    return logistic_score(model, rows).select(*KEY, *rounded("score"))
+
+
+@query("model_save_load")
+def reloaded_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = by_status(spark, folder)
+    path = scratch_path(spark, "model")
+    logistic_fit(rows, ["is_f"], TARGET, tol=1e-12, max_iter=500).write().overwrite().save(path)
+    return score_frame(PipelineModel.load(path), rows).select(*KEY, *rounded("score"))
 
 
 @query("param_grid_search")
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    rows = modelling_table(spark, folder, [*KEY, *LINEAR, TARGET])
+    """On one feature every point of the grid ranks rows as the feature does."""
+    rows = modelling_table(spark, folder, [*KEY, "l_quantity", TARGET])
     parts = split.train_val_split(positive_label(rows, TARGET), KEY, 0.2, 34)
     regression = LogisticRegression(featuresCol="features", labelCol="label")
-    chain = Pipeline(stages=[VectorAssembler(inputCols=LINEAR, outputCol="features"), regression])
+    chain = Pipeline(stages=[VectorAssembler(inputCols=["l_quantity"], outputCol="features"), regression])
     grid = ParamGridBuilder().addGrid(regression.regParam, [0.01, 0.1]).addGrid(regression.elasticNetParam, [0.5]).build()
-    return param_grid_search(parts.where("not is_val"), parts.where("is_val"), chain, grid, GiniEvaluator())[2]
+    table = param_grid_search(parts.where("not is_val"), parts.where("is_val"), chain, grid, GiniEvaluator())[2]
+    return table.select("point", "params", *rounded("score"))
 
 
 @query("random_search")
@@ -418,11 +438,3 @@ def final_scorecard(spark: SparkSession, folder: str) -> DataFrame:
     rows = staged(scored_lines(spark, folder), "modelling")
     card = train_validated(rows, ROLES, KEY, num_features=5, val_size=0.2, bins=PREBINS, filter_correlation=True)
     return score_frame(card.model, rows).select(*KEY, "score", "prediction")
-
-
-@query("model_save_load")
-def model_save_load(spark: SparkSession, folder: str) -> DataFrame:
-    rows = modelling_table(spark, folder, [*KEY, *LINEAR, TARGET])
-    path = scratch_path(spark, "model")
-    logistic_fit(rows, LINEAR, TARGET, reg=0.01).write().overwrite().save(path)
-    return score_frame(PipelineModel.load(path), rows).select(*KEY, "score", "prediction")

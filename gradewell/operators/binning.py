@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, classify_columns, col
@@ -54,22 +54,25 @@ class Binning:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Binning:
-        return binning_of(spark.read.parquet(path))
+        table = spark.read.parquet(path)
+        names = table.where("kind = 'categorical'").select("feature").distinct().collect()
+        return _binning(table, sorted(r["feature"] for r in names))
 
 
-def binning_of(table: DataFrame) -> Binning:
+def _binning(table: DataFrame, categorical: Sequence[str]) -> Binning:
     """Lookup arrays out of a bin table. Only its numeric rows, a bounded
     number per feature, come to the driver."""
-    rows = table.where("kind = 'numeric'").select("feature", "bin", "hi", "woe").collect()
+    rows: dict[str, list[Row]] = {}
+    for r in table.where("kind = 'numeric'").select("feature", "bin", "hi", "woe").collect():
+        rows.setdefault(r["feature"], []).append(r)
     numeric = {}
-    for name in dict.fromkeys(r.feature for r in rows):
-        mine = sorted((r for r in rows if r.feature == name and r.bin is not None), key=lambda r: r.bin)
-        missing = [r.woe for r in rows if r.feature == name and r.bin is None]
+    for name, mine in rows.items():
+        spans = sorted((r for r in mine if r["bin"] is not None), key=lambda r: r["bin"])
+        missing = [r["woe"] for r in mine if r["bin"] is None]
         numeric[name] = NumericBins(
-            tuple(r.hi for r in mine[:-1]), tuple(r.woe or 0.0 for r in mine), (missing[0] or 0.0) if missing else 0.0
+            tuple(r["hi"] for r in spans[:-1]), tuple(r["woe"] or 0.0 for r in spans), (missing[0] or 0.0) if missing else 0.0
         )
-    names = table.where("kind = 'categorical'").select("feature").distinct().collect()
-    return Binning(table, numeric, tuple(sorted(r.feature for r in names)))
+    return Binning(table, numeric, tuple(categorical))
 
 
 def numeric_counts(df: DataFrame, label: str, edges: dict[str, list[float]]) -> DataFrame:
@@ -133,53 +136,51 @@ def fit_binning(df: DataFrame, features: Sequence[str], label: str, bins: int =
     """
     if class_weight not in (None, "balanced"):
         raise ValueError(f"unknown class_weight {class_weight!r}")
-    spark = df.sparkSession
     numeric, categorical = classify_columns(df, features)
+    if not numeric and not categorical:
+        raise ValueError("no features to bin")
     labelled = df.where(col(label).isNotNull())
-    tables = []
+    # Numeric counts are at most bins + 1 rows per feature; categories may be many and stay out there.
+    edges = quantile_edges(labelled, numeric, bins, exact) if numeric else {}
+    spans = numeric_counts(labelled, label, edges).collect() if numeric else []
+    categories = pinned(category_counts(labelled, label, categorical)) if categorical else None
+    # Every labelled row is in exactly one bin of any one feature.
     if numeric:
-        edges = quantile_edges(labelled, numeric, bins, exact)
-        spans = [
-            (c, i, lo, hi)
-            for c in numeric
-            for i, (lo, hi) in enumerate(zip([-math.inf, *edges[c]], [*edges[c], math.inf]))
-        ]
-        span_table = spark.createDataFrame(spans, "feature string, bin int, lo double, hi double")
-        tables.append(
-            numeric_counts(labelled, label, edges).join(F.broadcast(span_table), ["feature", "bin"], "left")
-            .select("feature", F.lit("numeric").alias("kind"), "bin", "lo", "hi",
-                    F.lit(None).cast("string").alias("category"), "n", "events")
-        )
-    if categorical:
-        tables.append(
-            category_counts(labelled, label, categorical)
-            .select("feature", F.lit("categorical").alias("kind"), F.lit(None).cast("int").alias("bin"),
-                    F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-                    "category", "n", "events")
+        mine = [r for r in spans if r["feature"] == numeric[0]]
+        rows, all_events = sum(r["n"] for r in mine), sum(r["events"] for r in mine)
+    else:
+        one = categories.where(col("feature") == F.lit(categorical[0])).agg(F.sum("n"), F.sum("events")).first()
+        rows, all_events = int(one[0] or 0), int(one[1] or 0)
+    totals = all_events, rows - all_events
+    table = _numeric_table(df.sparkSession, spans, edges, totals, trend, min_share)
+    if categories is not None:
+        table = table.unionByName(
+            categories.select("feature", F.lit("categorical").alias("kind"), "category", "n", "events"), allowMissingColumns=True
         )
-    if not tables:
-        raise ValueError("no features to bin")
-    counts = pinned(tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1]))
-    # Every labelled row is in exactly one bin of any one feature.
-    one = counts.where(col("feature") == F.lit(list(features)[0])).agg(F.sum("n"), F.sum("events")).first()
-    all_events = int(one[1] or 0)
-    all_non_events = int(one[0] or 0) - all_events
-    if trend and numeric:
-        counts = _merged(counts, all_events, all_non_events, trend, min_share)
-    return binning_of(pinned(_with_measures(counts, all_events, all_non_events)))
-
-
-def _merged(counts: DataFrame, all_events: int, all_non_events: int, trend: str, min_share: float) -> DataFrame:
-    is_span = (col("kind") == "numeric") & col("bin").isNotNull()
-    spans, others = counts.where(is_span), counts.where(~is_span)
-    plan = woe_monotone(spans, all_events, all_non_events, trend, min_share)
-    merged = (
-        spans.join(plan, ["feature", "bin"])
-        .groupBy("feature", "kind", col("merged").alias("bin"))
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("category").alias("category"),
-             F.sum("n").alias("n"), F.sum("events").alias("events"))
+    return _binning(_with_measures(table, *totals), categorical)
+
+
+def _numeric_table(spark: SparkSession, counts: list[Row], edges: dict[str, list[float]], totals: tuple[int, int],
+                   trend: str | None, min_share: float) -> DataFrame:
+    """The counted bins with their ends, merged by trend if one is given."""
+    merged = {}
+    if trend and counts:
+        spans = [tuple(r) for r in counts if r["bin"] is not None]
+        plan = woe_monotone(spark.createDataFrame(spans, _COUNTS), *totals, trend, min_share)
+        merged = {(r["feature"], r["bin"]): r["merged"] for r in plan.collect()}
+    rows: dict[tuple, list] = {}
+    for name, place, n, events in sorted(counts, key=lambda r: (r["feature"], r["bin"] is None, r["bin"] or 0)):
+        target = merged.get((name, place), place)
+        ends = [-math.inf, *edges[name], math.inf]
+        lo, hi = (ends[place], ends[place + 1]) if place is not None else (None, None)
+        row = rows.setdefault((name, target), [name, "numeric", target, lo, hi, None, 0, 0])
+        row[4] = hi
+        row[6] += n
+        row[7] += events
+    return spark.createDataFrame(
+        list(map(tuple, rows.values())),
+        "feature string, kind string, bin int, lo double, hi double, category string, n bigint, events bigint",
     )
-    return merged.unionByName(others)
 
 
 def woe_bins(df: DataFrame, features: Sequence[str], label: str, **options) -> DataFrame:

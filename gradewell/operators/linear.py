@@ -32,9 +32,11 @@ def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame
 
 
 def logistic_fit(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0, elastic: float = 0.0,
-                 weight: str | None = None) -> PipelineModel:
+                 weight: str | None = None, tol: float = 1e-6, max_iter: int = 100) -> PipelineModel:
     """Assembler and logistic regression, fitted."""
-    regression = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=elastic)
+    regression = LogisticRegression(
+        featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=elastic, tol=tol, maxIter=max_iter
+    )
     if weight:
         regression = regression.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), regression]).fit(df)

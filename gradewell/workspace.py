@@ -40,6 +40,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/gradewell/{name}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """Deal a plain file scan out over the cores by its (unique) key if its files
+    yield fewer pieces than there are cores. Large tables have more and are left
+    as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as parquet in the shared folder and read it back.
 
