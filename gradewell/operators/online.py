@@ -54,7 +54,9 @@ def pa_fit_many(df: DataFrame, features: Sequence[str], label: str, key: Sequenc
     """One fitted score per C in `costs`, all trained in the same passes.
 
     Features are standardised inside and must not be null. average=True shares
-    the mean of a partition's iterates, average=False its last iterate.
+    the mean of a partition's iterates, average=False its last iterate. Choose
+    `partitions` as the number of tasks the table deserves (some million rows
+    each): a partition is one task's sequential run.
     """
     features = list(features)
     known = df.where(col(label).isNotNull())

@@ -50,7 +50,8 @@ def _try_grid(train: DataFrame, dev: DataFrame, estimator: Estimator, grid: Sequ
 
 
 def _best(scores: Sequence[float]) -> int:
-    return max(range(len(scores)), key=lambda i: (scores[i], -i))
+    """The first of the largest; an undefined score loses to any other."""
+    return max(range(len(scores)), key=lambda i: (-math.inf if math.isnan(scores[i]) else scores[i], -i))
 
 
 def cross_validate(df: DataFrame, estimator: Estimator, grid: Sequence[dict], evaluator: Evaluator, fold_col: str,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, col
 
-# Features per aggregate: each needs about ten running numbers.
+# Features per aggregate: each needs about a dozen running numbers.
 COLUMNS_PER_PASS = 50
 
 
@@ -24,6 +24,12 @@ def _chunks(names: Sequence[str]) -> list[list[str]]:
     return [list(names[i:i + COLUMNS_PER_PASS]) for i in range(0, len(names), COLUMNS_PER_PASS)]
 
 
+def _variance(value: Column) -> Column:
+    """Population variance; exactly 0 for a constant, where adding up partial
+    results may leave a rounding residue."""
+    return F.when(F.min(value) == F.max(value), F.lit(0.0)).otherwise(F.var_pop(value))
+
+
 def label_correlation(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """(feature, n, corr, abs_corr): Pearson correlation of every feature with the label."""
     frames = []
@@ -37,8 +43,8 @@ def label_correlation(df: DataFrame, features: Sequence[str], label: str) -> Dat
             seen = F.when(col("__y").isNotNull(), x)
             entries.append(F.struct(
                 F.lit(name).alias("feature"),
-                F.count(F.when(col("__y").isNotNull(), x)).alias("n"),
-                F.try_divide(F.covar_pop(x, "__y"), F.stddev_pop(seen) * F.stddev_pop(y)).alias("corr"),
+                F.count(seen).alias("n"),
+                F.try_divide(F.covar_pop(x, "__y"), F.sqrt(_variance(seen)) * F.sqrt(_variance(y))).alias("corr"),
             ))
         frames.append(pairs.agg(F.array(*entries).alias("__rows")).select(F.inline("__rows")))
     table = reduce(DataFrame.unionByName, frames)
@@ -55,7 +61,7 @@ def class_moments(df: DataFrame, features: Sequence[str], label: str) -> DataFra
         entries = [
             F.struct(
                 F.lit(name).alias("feature"), F.count(f"x{i}").alias("n"),
-                F.avg(f"x{i}").alias("mean"), F.var_pop(f"x{i}").alias("var"),
+                F.avg(f"x{i}").alias("mean"), _variance(col(f"x{i}")).alias("var"),
             )
             for i, name in enumerate(names)
         ]
@@ -96,7 +102,7 @@ def variances(df: DataFrame, features: Sequence[str]) -> DataFrame:
     for names in _chunks(features):
         part = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)])
         entries = [
-            F.struct(F.lit(name).alias("feature"), F.var_pop(f"x{i}").alias("var")) for i, name in enumerate(names)
+            F.struct(F.lit(name).alias("feature"), _variance(col(f"x{i}")).alias("var")) for i, name in enumerate(names)
         ]
         frames.append(part.agg(F.array(*entries).alias("__rows")).select(F.inline("__rows")))
     return reduce(DataFrame.unionByName, frames)

@@ -19,6 +19,9 @@ def spark(tmp_path_factory):
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from gradewell.workspace import clear_scratch
+
+    clear_scratch(session)
     session.stop()
 
 

@@ -6,7 +6,7 @@ from gradewell.sources import (
     append_report, chunked_export, jdbc_options, jdbc_scan, jdbc_url, parquet_scan, parquet_sink, run_report,
 )
 from gradewell.sources.report import metric_rows
-from gradewell.workspace import scratch_path, shared_folder
+from gradewell.workspace import clear_scratch, scratch_path, shared_folder
 
 
 def test_jdbc_addresses():
@@ -74,6 +74,28 @@ def test_sink_by_part(spark):
     assert parquet_scan(spark, path, spark.read.parquet(path).schema).where("split = 'test'").count() == 1
 
 
+def test_scratch_is_cleared(spark):
+    class Own:
+        """This session under an application id of its own."""
+
+        conf = spark.conf
+
+        class sparkContext:
+            applicationId = "test-clear"
+            master = spark.sparkContext.master
+            _jvm = spark.sparkContext._jvm
+            _jsc = spark.sparkContext._jsc
+
+    path = scratch_path(Own, "gone")
+    spark.range(3).write.parquet(path)
+    kept = scratch_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    clear_scratch(Own)
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_report(spark):
     path = scratch_path(spark, "report")
     append_report(run_report(spark, "r1", {"gini": 0.5}, {"C": 10}, [

@@ -63,6 +63,17 @@ def test_edge_columns(spark):
     assert all(r["corr"] is None for r in stats.pairwise_correlation(df.limit(0), ["a", "b"]).collect())
 
 
+def test_a_constant_is_undefined_in_any_layout(spark):
+    """0.1 added up in uneven parts leaves a residue that must not pass for a variance."""
+    rows = spark.range(997).selectExpr("0.1 as c", "cast(id % 2 as int) as y", "cast(id as double) as v").selectExpr("cast(c as double) as c", "y", "v")
+    for parts in (1, 3, 7):
+        df = rows.repartition(parts)
+        assert {r.feature: r["corr"] is None for r in stats.label_correlation(df, ["c", "v"], "y").collect()} == {"c": True, "v": False}
+        assert {r.feature: r.f is None for r in stats.f_statistic(df, ["c", "v"], "y").collect()} == {"c": True, "v": False}
+        assert stats.pairwise_correlation(df, ["c", "v"]).first()["corr"] is None
+        assert {r.feature: r["var"] == 0.0 for r in stats.variances(df, ["c", "v"]).collect()} == {"c": True, "v": False}
+
+
 def test_selectors(lines):
     labelled = lines.where("flag is not null")
     assert [r.feature for r in low_corr_filter(labelled, NUMERIC, "flag").orderBy("rank").collect()] == ["l_quantity", "l_discount"]
