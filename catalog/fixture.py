@@ -76,8 +76,8 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return scored_lines(spark, folder).where("flag is not null")
 
 
-def modelling_table(spark: SparkSession, folder: str, columns: Sequence[str] = ()) -> DataFrame:
-    """Labelled rows, written once for the passes that follow."""
-    rows = labelled(spark, folder)
+def modelling_table(spark: SparkSession, folder: str, columns: Sequence[str] = (), all_rows: bool = False) -> DataFrame:
+    """Labelled (or all) rows, written once for the passes that follow."""
+    rows = scored_lines(spark, folder) if all_rows else labelled(spark, folder)
     rows = rows.select(*columns) if columns else rows
     return rows if folder in PREPARED else staged(rows, "modelling")

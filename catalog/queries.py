@@ -277,14 +277,14 @@ def woe_monotone(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("woe_transform")
 def woe_columns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = staged(scored_lines(spark, folder).select(*KEY, *FEATURES, TARGET), "modelling")
+    rows = modelling_table(spark, folder, [*KEY, *FEATURES, TARGET], all_rows=True)
     fitted = fit_binning(rows, FEATURES, TARGET)
     return woe_transform(rows, fitted, FEATURES, missing="woe").select(*KEY, *rounded(*[f"{c}_WOE" for c in FEATURES]))
 
 
 @query("woe_replace")
 def woe_replace(spark: SparkSession, folder: str) -> DataFrame:
-    rows = staged(scored_lines(spark, folder).select(*KEY, "l_tax", "l_linestatus", TARGET), "modelling")
+    rows = modelling_table(spark, folder, [*KEY, "l_tax", "l_linestatus", TARGET], all_rows=True)
     fitted = fit_binning(rows, ["l_tax", "l_linestatus"], TARGET)
     return woe_transform(rows, fitted, output="replace").select(*KEY, *rounded("l_tax", "l_linestatus"))
 
@@ -435,6 +435,6 @@ def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("final_scorecard")
 def final_scorecard(spark: SparkSession, folder: str) -> DataFrame:
-    rows = staged(scored_lines(spark, folder), "modelling")
+    rows = modelling_table(spark, folder, all_rows=True)
     card = train_validated(rows, ROLES, KEY, num_features=5, val_size=0.2, bins=PREBINS, filter_correlation=True)
     return score_frame(card.model, rows).select(*KEY, "score", "prediction")

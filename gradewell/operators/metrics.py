@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gradewell.columns import as_number, col
 
 # Distinct scores one task ranks at most, as far as MAX_RANGES allows.
-RANGE_SCORES = 1_000_000
+RANGE_SCORES = 100_000
 MAX_RANGES = 4096
 
 _RANKED = "name string, n bigint, events bigint, auc double, gini double, ks double"

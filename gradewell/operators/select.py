@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import classify_columns, col
-from gradewell.operators.stats import (
-    class_moments, f_from_moments, label_correlation, pairwise_correlation, variances,
-)
-from gradewell.workspace import pinned
+from gradewell.operators.stats import f_statistic, label_correlation, pairwise_correlation, variances
 
 # The pair table has k * (k - 1) / 2 rows and is read by the driver.
 MAX_FEATURES = 2000
@@ -60,7 +57,7 @@ def top_corr_select(df: DataFrame, features: Sequence[str], label: str, top_shar
     return chosen.select(F.row_number().over(order).alias("rank"), "feature", "kind", "abs_corr")
 
 
-def correlation_matrix(df: DataFrame, features: Sequence[str], centre: Sequence[float] | None = None) -> np.ndarray:
+def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     """|corr| of all pairs as a k x k array, undefined pairs 0."""
     features = list(features)
     if len(features) > MAX_FEATURES:
@@ -68,7 +65,7 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], centre: Sequence[
     matrix = np.zeros((len(features), len(features)))
     place = {c: i for i, c in enumerate(features)}
     if len(features) > 1:
-        for r in pairwise_correlation(df, features, centre).select("feature_a", "feature_b", "corr").collect():
+        for r in pairwise_correlation(df, features).select("feature_a", "feature_b", "corr").collect():
             if r["corr"] is not None:
                 i, j = place[r["feature_a"]], place[r["feature_b"]]
                 matrix[i, j] = matrix[j, i] = abs(r["corr"])
@@ -130,14 +127,8 @@ def mrmr_select(df: DataFrame, features: Sequence[str], label: str, k: int) -> D
     """(rank, feature, score): k features by minimum redundancy, maximum relevance (FCQ)."""
     features = list(features)
     spark = df.sparkSession
-    table = pinned(class_moments(df, features, label))  # features x classes rows
-    relevance = {r["feature"]: r["f"] for r in f_from_moments(table).collect()}
-    moments = table.collect()
-    centre = []
-    for c in features:
-        own = [(m["n"], m["mean"]) for m in moments if m["feature"] == c and m["n"]]
-        centre.append(sum(n * v for n, v in own) / sum(n for n, _ in own) if own else 0.0)
+    relevance = {r["feature"]: r["f"] for r in f_statistic(df, features, label).collect()}
     labelled = df.where(col(label).isNotNull())
-    chosen = greedy_mrmr(relevance, correlation_matrix(labelled, features, centre), features, k)
+    chosen = greedy_mrmr(relevance, correlation_matrix(labelled, features), features, k)
     rows = [(i, c, float(s)) for i, (c, s) in enumerate(chosen, 1)]
     return spark.createDataFrame(rows, "rank int, feature string, score double")

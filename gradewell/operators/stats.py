@@ -6,12 +6,12 @@ is undefined (constant column, no pairs, one class) is null, never an error.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, col
@@ -31,24 +31,13 @@ def _variance(value: Column) -> Column:
 
 
 def label_correlation(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(feature, n, corr, abs_corr): Pearson correlation of every feature with the label."""
-    frames = []
-    for names in _chunks(features):
-        pairs = df.select(
-            as_number(df, label).alias("__y"), *[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)]
-        )
-        entries = []
-        for i, name in enumerate(names):
-            x, y = col(f"x{i}"), F.when(col(f"x{i}").isNotNull(), col("__y"))
-            seen = F.when(col("__y").isNotNull(), x)
-            entries.append(F.struct(
-                F.lit(name).alias("feature"),
-                F.count(seen).alias("n"),
-                F.try_divide(F.covar_pop(x, "__y"), F.sqrt(_variance(seen)) * F.sqrt(_variance(y))).alias("corr"),
-            ))
-        frames.append(pairs.agg(F.array(*entries).alias("__rows")).select(F.inline("__rows")))
-    table = reduce(DataFrame.unionByName, frames)
-    return table.withColumn("abs_corr", F.abs("corr"))
+    """(feature, n, corr, abs_corr): Pearson correlation of every feature with
+    the label, from one scan."""
+    features = list(features)
+    k = len(features)
+    table = _correlations(df, [*features, label], np.arange(k), np.full(k, k))
+    names = F.array(*[F.lit(c) for c in features])
+    return table.select(names[col("i")].alias("feature"), "n", "corr", F.abs("corr").alias("abs_corr"))
 
 
 def class_moments(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -108,62 +97,66 @@ def variances(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _means(df: DataFrame, features: Sequence[str]) -> list[float]:
-    values: list[float] = []
-    for names in _chunks(features):
-        row = df.agg(*[F.avg(as_number(df, c)).alias(f"x{i}") for i, c in enumerate(names)]).first()
-        values.extend(0.0 if v is None else float(v) for v in row)
-    return values
-
-
-def pairwise_correlation(df: DataFrame, features: Sequence[str], centre: Sequence[float] | None = None) -> DataFrame:
+def pairwise_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, n, corr) for every pair a before b in list order.
 
-    Each task folds its rows into masked k x k sums with matrix products and
-    hands on one row per pair; Spark adds those up. Values are shifted by
-    `centre` (the means, unless given) so that large values do not cancel. The
-    number of tasks is held near the number of cores, because every task hands
-    on k * (k - 1) / 2 rows.
+    The number of tasks is held near the number of cores, because every task
+    hands on k * (k - 1) / 2 rows.
     """
     features = list(features)
-    k = len(features)
-    shift = np.array(centre if centre is not None else _means(df, features))
-    upper = np.triu_indices(k, 1)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    table = _correlations(df.coalesce(2 * cores), features, *np.triu_indices(len(features), 1))
+    names = F.array(*[F.lit(c) for c in features])
+    return table.select(names[col("i")].alias("feature_a"), names[col("j")].alias("feature_b"), "n", "corr")
 
-    def sums(batches):
-        total = np.zeros((6, len(upper[0])))
+
+_MOMENTS = "i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double"
+
+
+def _correlations(df: DataFrame, columns: Sequence[str], left: np.ndarray, right: np.ndarray) -> DataFrame:
+    """(i, j, n, corr) of the column pairs left[p], right[p].
+
+    A task folds its rows into masked sums with matrix products, shifted by the
+    first value of each column so that large values do not cancel, and hands on
+    count, means and centred moments per pair. Spark joins the tasks' moments.
+    """
+    rows, cols = np.unique(left), np.unique(right)
+    at = np.searchsorted(rows, left), np.searchsorted(cols, right)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shift = np.full(len(columns), np.nan)
+        sums = np.zeros((6, len(rows), len(cols)))
         for batch in batches:
-            x = batch.to_numpy(dtype="float64") - shift
-            mask = ~np.isnan(x)
-            x = np.where(mask, x, 0.0)
-            m = mask.astype("float64")
-            square = x * x
-            total += np.stack([
-                a[upper] for a in (m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x)
-            ])
+            x = batch.to_numpy(dtype="float64")
+            seen = ~np.isnan(x)
+            fresh = np.isnan(shift) & seen.any(axis=0)
+            shift[fresh] = x[seen.argmax(axis=0), np.arange(len(columns))][fresh]
+            x = np.where(seen, x - np.where(np.isnan(shift), 0.0, shift), 0.0)
+            m = seen.astype("float64")
+            a, b, ma, mb = x[:, rows], x[:, cols], m[:, rows], m[:, cols]
+            sums += np.stack([ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b])
+        n, sx, sy, sxx, syy, sxy = (v[at] for v in sums)
+        count = np.maximum(n, 1.0)
+        start = np.where(np.isnan(shift), 0.0, shift)
         yield pd.DataFrame({
-            "i": upper[0].astype("int32"), "j": upper[1].astype("int32"),
-            "n": total[0], "sx": total[1], "sy": total[2], "sxx": total[3], "syy": total[4], "sxy": total[5],
+            "i": left.astype("int32"), "j": right.astype("int32"), "n": n,
+            "mx": np.where(n > 0, start[left] + sx / count, 0.0), "my": np.where(n > 0, start[right] + sy / count, 0.0),
+            "cxx": sxx - sx * sx / count, "cyy": syy - sy * sy / count, "cxy": sxy - sx * sy / count,
         })
 
-    narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(features)])
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    partial = narrow.coalesce(2 * cores).mapInPandas(
-        sums, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    )
-    total = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    names = F.array(*[F.lit(c) for c in features])
-    return total.select(
-        names[col("i")].alias("feature_a"), names[col("j")].alias("feature_b"),
-        col("n").cast("bigint").alias("n"), _corr_from_sums().alias("corr"),
+    narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    pair = Window.partitionBy("i", "j")  # one row per task
+    means = {
+        f"to{m}": col(m) - F.coalesce(F.try_divide(F.sum(col("n") * col(m)).over(pair), F.sum("n").over(pair)), F.lit(0.0))
+        for m in ("mx", "my")
+    }
+    total = narrow.mapInPandas(fold, _MOMENTS).withColumns(means).groupBy("i", "j").agg(
+        F.sum("n").cast("bigint").alias("n"), F.max(F.abs("mx")).alias("ax"), F.max(F.abs("my")).alias("ay"),
+        F.sum(col("cxx") + col("n") * col("tomx") * col("tomx")).alias("cxx"),
+        F.sum(col("cyy") + col("n") * col("tomy") * col("tomy")).alias("cyy"),
+        F.sum(col("cxy") + col("n") * col("tomx") * col("tomy")).alias("cxy"),
     )
-
-
-def _corr_from_sums() -> Column:
-    n = col("n")
-    cov = col("sxy") - F.try_divide(col("sx") * col("sy"), n)
-    var_x = col("sxx") - F.try_divide(col("sx") * col("sx"), n)
-    var_y = col("syy") - F.try_divide(col("sy") * col("sy"), n)
-    # A variance below the rounding of its own sums is a constant column.
-    tiny_x, tiny_y = col("sxx") * 1e-12, col("syy") * 1e-12
-    return F.when((var_x > tiny_x) & (var_y > tiny_y), F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
+    # A spread within the rounding of the values themselves is a constant column.
+    varies = (col("cxx") > col("n") * col("ax") * col("ax") * 1e-28) & (col("cyy") > col("n") * col("ay") * col("ay") * 1e-28)
+    corr = F.try_divide(col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
+    return total.select("i", "j", "n", F.when(varies & ~F.isnan(corr), corr).alias("corr"))
