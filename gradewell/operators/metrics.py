@@ -116,11 +116,11 @@ def ks_statistic(df: DataFrame, score: str, label: str) -> DataFrame:
     return rank_metrics(df, score, label).select("n", "ks")
 
 
-def single_feature_gini(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def single_feature_gini(df: DataFrame, features: Sequence[str], label: str, range_scores: int = RANGE_SCORES) -> DataFrame:
     """(feature, n, auc, gini, ks) of every numeric feature taken as a score."""
     values = [F.struct(F.lit(c).alias("name"), as_number(df, c).alias("x")) for c in features]
     pairs = df.select(col(label).cast("bigint").alias("y"), F.inline(F.array(*values)))
-    return _rank_metrics(pairs).select(col("name").alias("feature"), "n", "auc", "gini", "ks")
+    return _rank_metrics(pairs, range_scores).select(col("name").alias("feature"), "n", "auc", "gini", "ks")
 
 
 def confusion_metrics(df: DataFrame, prediction: str, label: str) -> DataFrame:

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gradewell.functions.weights import bin_iv
 

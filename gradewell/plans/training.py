@@ -15,7 +15,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.columns import Roles, classify_columns, col, drop_null_target, positive_label, select_label
+from gradewell.columns import Roles, classify_columns, drop_null_target, positive_label, select_label
 from gradewell.ml import GiniEvaluator, MrmrSelector, WoeEstimator, WoeModel
 from gradewell.operators.binning import woe_transform
 from gradewell.operators.calibrate import isotonic_fit
@@ -41,7 +41,7 @@ def _prepared(df: DataFrame, roles: Roles, key: Sequence[str]) -> tuple[DataFram
     features = roles.features(df)
     keys = [c for c in key if c not in features]
     table = positive_label(drop_null_target(df, roles.target), roles.target)
-    return select_label(table.select(*[col(c) for c in [*keys, *features]], "label"), [*keys, *features], "label"), features
+    return select_label(table, [*keys, *features], "label"), features
 
 
 def _stages(features: Sequence[str], num_features: int, bins: int, trend: str) -> tuple[Pipeline, LogisticRegression]:

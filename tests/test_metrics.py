@@ -54,8 +54,9 @@ def test_degenerate_scores(spark):
     assert tuple(auc_gini(holes, "score", "label").first()) == (2, 1, 1.0, 1.0)
 
 
-def test_features_as_scores(lines, lines_pd):
-    got = {r.feature: r for r in single_feature_gini(lines, NUMERIC, "flag").collect()}
+@pytest.mark.parametrize("range_scores", [10**6, 100])
+def test_features_as_scores(lines, lines_pd, range_scores):
+    got = {r.feature: r for r in single_feature_gini(lines, NUMERIC, "flag", range_scores).collect()}
     for c in NUMERIC:
         known = lines_pd[[c, "flag"]].dropna()
         x, y = known[c].to_numpy(dtype=float), known["flag"].to_numpy()

@@ -10,7 +10,7 @@ from catalog.fixture import KEY, NOT_FEATURES
 from gradewell import Roles
 from gradewell.functions import row_hash
 from gradewell.ml import GiniEvaluator, MrmrSelector, WoeEstimator
-from gradewell.operators.linear import LinearScore, assemble, balanced_weight, logistic_fit, logistic_score
+from gradewell.operators.linear import LinearScore, assemble, balanced_weight, logistic_fit
 from gradewell.operators.metrics import gini
 from gradewell.operators.online import pa_fit, pa_fit_many, run_rows
 from gradewell.operators.search import cross_validate, log_uniform, oof_predict, param_grid_search
