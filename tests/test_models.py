@@ -205,3 +205,18 @@ def test_passive_aggressive_run(lines):
     scored = score_frame(card.model, lines.where("flag is not null"))
     mean, rate = scored.agg(F.avg("score"), F.avg("flag")).first()
     assert mean == pytest.approx(rate, abs=0.02)  # calibrated
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """What a task runs must load where the package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from gradewell.operators.monotone import best_partition
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps((run_rows, best_partition)))
+    code = "import pickle; rows, best = pickle.load(open('f.pkl', 'rb')); print(best([1, 2], [4, 4], 3, 5)[1])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "[0, 1]", done.stderr
