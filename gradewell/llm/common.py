@@ -53,6 +53,18 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def chunks(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive (from, to) of texts that hold about `limit` bytes, so that arrays over their words stay small."""
+    start = size = 0
+    for i, raw in enumerate(texts):
+        size += len(raw)
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def word_hashes(texts: list[bytes], cache: Cache) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts in order, where each text begins; one more entry at the end)."""
     starts, parts = [0], []

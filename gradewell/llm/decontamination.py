@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gradewell.columns import col
 from gradewell.llm.common import (
-    Cache, arrow_filter, arrow_rows, hash64, multipliers, raw_texts, shingle_hashes, split_words, word_hashes,
+    Cache, arrow_filter, arrow_rows, chunks, hash64, multipliers, raw_texts, shingle_hashes, split_words, word_hashes,
 )
 
 SHINGLE = 5
@@ -156,10 +156,11 @@ def _matcher(block: Items, threshold: float):
     def match(texts: list[bytes]) -> list[tuple[int, int, int]]:
         if not block.classes:
             return []
-        words, starts = word_hashes(texts, cache)
         by_doc: dict[int, list[int]] = {}
-        for doc, item in sorted(_candidates(words, starts, block, factors)):
-            by_doc.setdefault(doc, []).append(item)
+        for low, high in chunks(texts):
+            words, starts = word_hashes(texts[low:high], cache)
+            for doc, item in sorted(_candidates(words, starts, block, factors)):
+                by_doc.setdefault(low + doc, []).append(item)
         out = []
         for doc, candidates in by_doc.items():
             there = word_shingles(split_words(texts[doc]), block.size)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import decontamination, packing, quality, simhash, token_counts
+from gradewell.llm import class_lm, decontamination, packing, paragraphs, quality, simhash, token_counts
 
 CAPACITY = 2048
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path(PACKING_TOKENIZER), CAPACITY)
 
 
+def op3_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.class_lm_scores(_table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -53,9 +57,14 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated_spans(_table(spark, folder, "documents")).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_best_fit_packing, op4_decontamination, op5_quality_classifier, op7_token_counts, op9_simhash,
+        op2_best_fit_packing, op3_class_lm, op4_decontamination, op5_quality_classifier, op7_token_counts, op9_simhash,
+        op10_paragraphs,
     )
 }
 ORACLES: dict[str, str] = {}
