@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import class_lm, decontamination, packing, paragraphs, quality, simhash, token_counts
+from gradewell.llm import (
+    class_lm, decontamination, packing, paragraphs, permutation_index, quality, repeated_bytes, simhash, token_counts, url_lists,
+)
 
 CAPACITY = 2048
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +32,10 @@ def grade() -> Column:
     return F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, F.col("quality") + 1)
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes.repeated_bytes(_table(spark, folder, "documents")).drop("spans")
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path(PACKING_TOKENIZER), CAPACITY)
 
@@ -48,11 +54,100 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.grade_documents(docs, model)
 
 
+def op6_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation_index.nearest(_table(spark, folder, "embeddings"), 20, query=F.expr("pmod(vec_id, 20) = 0"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = token_counts.load_vocabulary(tokenizer_path(UNIGRAM_MODEL))
     return token_counts.count_tokens(_table(spark, folder, "documents"), vocabulary)
 
 
+FIRST_DAY = "date'2023-01-01'"
+
+
+def _number(key: str) -> str:
+    """The first 32 bits of the md5 of a string, in Spark SQL."""
+    return f"cast(conv(substr(md5({key}), 1, 8), 16, 10) as bigint)"
+
+
+def block_list(pages: DataFrame) -> DataFrame:
+    """A dated list derived from the hosts that the pages come from: hosts listed, taken off
+    and listed again, their parent domains, and first folders listed for sixty days."""
+    hosts = pages.select(url_lists.url_host(F.col("url")).alias("host"), url_lists.url_path(F.col("url")).alias("path"))
+    hosts = hosts.where("host != ''").withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1))
+    hosts = hosts.withColumn("folder", F.regexp_extract("path", "^(/[^/]+/)", 1))
+    by_host = hosts.select("host").distinct().withColumn("h", F.expr(_number("host")))
+    by_domain = hosts.where("domain != ''").select("domain").distinct().withColumn("h", F.expr(_number("domain")))
+    by_folder = hosts.where("folder != ''").select(F.concat("host", "folder").alias("folder")).distinct().withColumn("h", F.expr(_number("folder")))
+
+    def entries(rows: DataFrame, kind: str, key: str, when: str, days: str, listed: bool) -> DataFrame:
+        return rows.where(when).select(
+            F.lit(kind).alias("kind"), F.col(key).alias("key"), F.expr(f"date_add({FIRST_DAY}, cast({days} as int))").alias("since"),
+            F.lit(listed).alias("listed"),
+        )
+
+    return (
+        entries(by_host, "host", "host", "h % 3 = 0", "h % 400", True)
+        .unionByName(entries(by_host, "host", "host", "h % 2 = 0", "h % 400 + 30 + (h div 7) % 200", False))
+        .unionByName(entries(by_host, "host", "host", "h % 5 = 0", "h % 400 + 300 + (h div 11) % 100", True))
+        .unionByName(entries(by_domain, "domain", "domain", "h % 5 = 0", "h % 500", True))
+        .unionByName(entries(by_folder, "prefix", "folder", "h % 4 = 0", "h % 600", True))
+        .unionByName(entries(by_folder, "prefix", "folder", "h % 4 = 0", "h % 600 + 60", False))
+    )
+
+
+def op8_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    captures = pages.withColumn("fetched", F.expr(f"date_add({FIRST_DAY}, cast((page_id * 7919) % 730 as int))"))
+    found = url_lists.as_of_blocks(captures, block_list(pages), "page_id", "url", "fetched")
+    return found.select(
+        F.col("id").alias("page_id"), F.col("fetched_on").cast("string").alias("fetched_on"), "host", "blocked", "kind",
+        F.col("key").alias("listed_key"), F.col("listed_from").cast("string").alias("listed_from"),
+    )
+
+
+OP8_SQL = r"""
+with captures as (
+  select page_id, url, date '2023-01-01' + cast((page_id * 7919) % 730 as integer) as fetched_on,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]+)', 1)) as host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) as found_path
+  from pages),
+paths as (select *, case when found_path = '' then '/' else found_path end as path from captures),
+hosts as (select host, cast('0x' || substr(md5(host), 1, 8) as bigint) as h from (select distinct host from paths where host <> '')),
+domains as (
+  select domain, cast('0x' || substr(md5(domain), 1, 8) as bigint) as h
+  from (select distinct regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) as domain from hosts) where domain <> ''),
+folders as (
+  select folder, cast('0x' || substr(md5(folder), 1, 8) as bigint) as h
+  from (select distinct host || regexp_extract(path, '^(/[^/]+/)', 1) as folder from paths
+        where host <> '' and regexp_extract(path, '^(/[^/]+/)', 1) <> '')),
+entries as (
+  select 'host' as kind, host as key, h % 400 as days, true as listed from hosts where h % 3 = 0
+  union all select 'host', host, h % 400 + 30 + (h // 7) % 200, false from hosts where h % 2 = 0
+  union all select 'host', host, h % 400 + 300 + (h // 11) % 100, true from hosts where h % 5 = 0
+  union all select 'domain', domain, h % 500, true from domains where h % 5 = 0
+  union all select 'prefix', folder, h % 600, true from folders where h % 4 = 0
+  union all select 'prefix', folder, h % 600 + 60, false from folders where h % 4 = 0),
+days as (
+  select kind, key, date '2023-01-01' + cast(days as integer) as valid_from, bool_or(listed) as listed
+  from entries group by all),
+spans as (select *, lead(valid_from) over (partition by kind, key order by valid_from) as valid_to from days),
+matches as (
+  select p.page_id, s.kind, s.key, s.valid_from,
+         row_number() over (partition by p.page_id
+           order by case s.kind when 'prefix' then 3 when 'host' then 2 else 1 end desc, length(s.key) desc,
+                    s.valid_from desc, s.key desc) as n
+  from paths p join spans s on s.listed and s.valid_from <= p.fetched_on and (s.valid_to is null or p.fetched_on < s.valid_to)
+   and ((s.kind = 'host' and s.key = p.host)
+     or (s.kind = 'domain' and (s.key = p.host or ends_with(p.host, '.' || s.key)))
+     or (s.kind = 'prefix' and starts_with(p.host || p.path, s.key) and (ends_with(s.key, '/') or s.key = p.host || p.path))))
+select p.page_id, cast(p.fetched_on as varchar) as fetched_on, nullif(p.host, '') as host, m.key is not null as blocked,
+       m.kind, m.key as listed_key, cast(m.valid_from as varchar) as listed_from
+from paths p left join matches m on p.page_id = m.page_id and m.n = 1
+"""
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -63,8 +158,8 @@ def op10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_best_fit_packing, op3_class_lm, op4_decontamination, op5_quality_classifier, op7_token_counts, op9_simhash,
-        op10_paragraphs,
+        op1_suffix_dedup, op2_best_fit_packing, op3_class_lm, op4_decontamination, op5_quality_classifier, op6_permutation_index,
+        op7_token_counts, op8_url_lists, op9_simhash, op10_paragraphs,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_lists": OP8_SQL}
