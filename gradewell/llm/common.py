@@ -26,12 +26,12 @@ CACHE_WORDS = 250_000
 class Cache(dict):
     """word -> value, made by `make` on first use, emptied when it grows too large."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int = CACHE_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         value = self.make(word)
         if len(word) <= 64:

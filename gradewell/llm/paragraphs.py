@@ -215,7 +215,8 @@ def repeated_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_words: int = LEAST_SPAN
 ) -> DataFrame:
     """(doc_id, text_hash, start, stop, n_words, component_id, kept_doc_id): the
-    bytes [start, stop) of a text that repeat what stays in document kept_doc_id."""
+    bytes [start, stop) of a text that repeat what stays elsewhere; kept_doc_id is the
+    smallest document that keeps a unit of the span, component_id that unit's component."""
     docs = _documents(df, id_col, text_col)
     all_units = staged(units(df, id_col, text_col), "units")
     lines = all_units.where(col("bands").isNotNull())
@@ -261,6 +262,8 @@ def merged(found: list[dict]) -> list[dict]:
             if unit["start"] >= last["stop"]:
                 last["words"] += unit["words"]
             last["stop"] = unit["stop"]
+            if unit["kept"] is not None and (last["kept"] is None or unit["kept"] < last["kept"]):
+                last["kept"], last["component"] = unit["kept"], unit["component"]
         else:
             runs.append(dict(unit))
     return runs

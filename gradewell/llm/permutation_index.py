@@ -36,8 +36,8 @@ from gradewell.llm.common import schema_of
 from gradewell.workspace import staged
 
 PIVOTS = 256
-LIST = 16
-SHARE = 0.1
+LIST = 64
+SHARE = 0.12
 LEAST = 200
 QUERY_BLOCK = 4_096
 QUERIES_AT_ONCE = 128

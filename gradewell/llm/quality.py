@@ -21,6 +21,7 @@ one row; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,33 +31,50 @@ from pyspark.sql import functions as F
 
 from gradewell.columns import col
 from gradewell.llm.common import Cache, arrow_filter, arrow_rows, hash64, raw_texts, split_words
+from gradewell.workspace import staged
 
 SAMPLE_ROWS = 10_000
 FEATURES = 4_096
 # Rows that must have a feature before it is considered.
-LEAST_ROWS = 4
+LEAST_ROWS = 3
 # Twice the log likelihood ratio that a feature must reach.
-LEAST_RATIO = 25.0
-RIDGE = 0.05
+LEAST_RATIO = 15.0
+# Bytes of the beginnings of words that are features: inflected forms share them.
+BEGINNINGS = (4, 5, 6, 7, 8)
+DENSITIES = (1 / 300, 1 / 80, 1 / 20)
+RIDGE = 0.3
 STEPS = 400
 
+MASK = (1 << 61) - 1
 SIGNS = rb"!-/:-@\[-`{-~"
 AROUND = re.compile(rb"^[" + SIGNS + rb"]+|[" + SIGNS + rb"]+$")
 LAST = re.compile(rb"[" + SIGNS + rb"]+$")
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """62-bit hashes of the bare word and of the signs at its end."""
+    """61-bit hashes of the bare word, its beginnings of some lengths, and the signs at its end."""
     out = []
     if bare := AROUND.sub(b"", word):
-        out.append(hash64(bare, 1) >> 2)
+        out.append(hash64(bare, 1) & MASK)
+        out += [hash64(bare[:n], 3) & MASK for n in BEGINNINGS if n < len(bare)]
     if found := LAST.search(word):
-        out.append(hash64(found.group(), 2) >> 2)
+        out.append(hash64(found.group(), 2) & MASK)
     return tuple(out)
 
 
 def text_features(raw: bytes, of_word) -> set[int]:
-    return {f for word in set(split_words(raw)) for f in of_word[word]}
+    """The features of the words of a text, and apart from them those that come twice
+    and at least as often, per word, as each of `DENSITIES`."""
+    words = split_words(raw)
+    times: Counter[int] = Counter()
+    for word, n in Counter(words).items():
+        for f in of_word[word]:
+            times[f] += n
+    found = set(times)
+    for level, share in enumerate(DENSITIES, 1):
+        least = max(2.0, share * len(words))
+        found.update(f + (level << 61) for f, n in times.items() if n >= least)
+    return found
 
 
 @dataclass
@@ -69,31 +87,12 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(np.array(self.thresholds)[None, :] - z[:, None], -500, 500)))
 
 
-def choose_features(rows: list[np.ndarray], grades: np.ndarray, levels: int) -> np.ndarray:
-    """The features with the largest likelihood ratio (a G statistic) against the grades."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, index = np.unique(np.concatenate(rows), return_inverse=True)
-    present = np.zeros((len(names), levels))
-    np.add.at(present, (index, grades[owner]), 1)
-    n = np.bincount(grades, minlength=levels).astype(float)
-    has = present.sum(1, keepdims=True)
-
-    def part(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(found > 0, found * np.log(np.maximum(found, 1) / np.maximum(expected, 1e-300)), 0).sum(1)
-
-    ratio = 2 * (part(present, has * n / n.sum()) + part(n - present, (n.sum() - has) * n / n.sum()))
-    good = np.flatnonzero((has[:, 0] >= LEAST_ROWS) & (ratio >= LEAST_RATIO))
-    good = good[np.lexsort((names[good], -ratio[good]))][:FEATURES]
-    return np.sort(names[good])
-
-
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int) -> OrdinalModel:
-    """Maximum likelihood with a ridge on the weights, by Adam with full gradients."""
+    """Maximum likelihood with a ridge on the weights, by Adam with full gradients. rows: the features of each text."""
     if not len(grades):
         return OrdinalModel({}, [])
-    names = choose_features(rows, grades, levels)
-    kept = [np.searchsorted(names, r[np.isin(r, names)]) for r in rows]
-    owner, column = np.repeat(np.arange(len(rows)), [len(k) for k in kept]), np.concatenate(kept).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names, column = np.unique(np.concatenate(rows), return_inverse=True)
     n, m = len(rows), len(names)
     share = np.clip([(grades <= k).mean() for k in range(levels - 1)], 0.5 / n, 1 - 0.5 / n)
     start = np.log(share / (1 - share))
@@ -135,21 +134,53 @@ def fit_quality(
         of_word = Cache(word_features)
 
         def rows(batch: pa.RecordBatch) -> dict:
-            found = [np.fromiter(sorted(text_features(raw, of_word)), np.int64) for raw in raw_texts(batch.column(2))]
+            found = [np.fromiter(text_features(raw, of_word), np.int64) for raw in raw_texts(batch.column(2))]
             return {"id": batch.column(0), "grade": batch.column(1), "features": found}
 
         return rows
 
-    table = arrow_rows(joined, task, "id bigint, grade int, features array<bigint>").toArrow().sort_by("id")
-    rows = [np.asarray(x, np.int64) for x in table.column("features").to_numpy()] if table.num_rows else []
-    return fit_ordinal(rows, table.column("grade").to_numpy().astype(np.int64), levels)
+    table = staged(arrow_rows(joined, task, "id bigint, grade int, features array<bigint>"), "features")
+    sizes = {r["grade"]: r["count"] for r in table.groupBy("grade").count().collect()}
+    if not sizes:
+        return OrdinalModel({}, [])
+    chosen = choose_features(table, [sizes.get(k, 0) for k in range(levels)])
+    kept = table.select("id", "grade", F.array_sort(F.array_intersect("features", F.lit(chosen).cast("array<bigint>"))).alias("features")).toArrow()
+    kept = kept.sort_by("id")
+    rows = [np.asarray(x, np.int64) for x in kept.column("features").to_numpy()]
+    return fit_ordinal(rows, kept.column("grade").to_numpy().astype(np.int64), levels)
+
+
+def choose_features(table: DataFrame, sizes: list[int]) -> list[int]:
+    """For every threshold the features that are more frequent below it, with the
+    largest likelihood ratio (a G statistic) of presence against below or above."""
+    total, share = sum(sizes), FEATURES // max(1, len(sizes) - 1)
+    present = table.select("grade", F.explode("features").alias("f")).groupBy("f").agg(
+        F.count("*").alias("has"), *[F.count_if(col("grade") <= k).alias(f"low{k}") for k in range(len(sizes) - 1)]
+    )
+    present = staged(present.where(col("has") >= LEAST_ROWS), "presence")
+
+    def part(found: Column, expected: Column) -> Column:
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(0.0)
+
+    chosen: set[int] = set()
+    for k in range(len(sizes) - 1):
+        below, low, has = sum(sizes[: k + 1]), col(f"low{k}"), col("has")
+        p = below / total
+        if not 0 < p < 1:
+            continue
+        ratio = 2 * (part(low, has * p) + part(has - low, has * (1 - p)) + part(below - low, (total - has) * p)
+                     + part(total - below - has + low, (total - has) * (1 - p)))
+        ranked = present.where(low > has * p).select("f", ratio.alias("ratio")).where(col("ratio") >= LEAST_RATIO)
+        chosen.update(r["f"] for r in ranked.orderBy(F.desc("ratio"), "f").limit(share).collect())
+    return sorted(chosen)
 
 
 def _scorer(model: OrdinalModel):
-    of_word = Cache(lambda w: tuple(f for f in word_features(w) if f in model.weights))
+    used = {f & MASK for f in model.weights}
+    of_word = Cache(lambda w: tuple(f for f in word_features(w) if f in used))
 
     def score(texts: list[bytes]) -> np.ndarray:
-        z = [sum(model.weights[f] for f in sorted(text_features(raw, of_word))) for raw in texts]
+        z = [sum(model.weights.get(f, 0.0) for f in sorted(text_features(raw, of_word))) for raw in texts]
         return model.tails(np.array(z, float))
 
     return score
