@@ -37,8 +37,8 @@ from gradewell.workspace import staged
 
 PIVOTS = 256
 LIST = 64
-SHARE = 0.12
-LEAST = 200
+SHARE = 0.15
+LEAST = 1_000
 QUERY_BLOCK = 4_096
 QUERIES_AT_ONCE = 128
 SHARD_ROWS = 16_384
