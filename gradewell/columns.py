@@ -72,6 +72,14 @@ def as_number(df: DataFrame, name: str) -> Column:
     return value
 
 
+def binary(df: DataFrame, name: str) -> Column:
+    """A 0/1 column (number or boolean) as a long, null kept. Any other value stops
+    the job with an error that names the column, in whatever pass reads it."""
+    value = col(name).cast("double")
+    found = F.concat(F.lit(f"column {name!r} must hold 0, 1 or null; found "), value.cast("string"))
+    return F.when(value.isNull(), F.lit(None)).when(value.isin(0.0, 1.0), value.cast("bigint")).otherwise(F.raise_error(found).cast("bigint"))
+
+
 def nullable_schema(df: DataFrame) -> T.StructType:
     """The same schema with every field nullable, for reading a folder of batches."""
     return T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in df.schema])

@@ -66,6 +66,9 @@ class WoeModel(Model, _WoeParams, MLWritable, MLReadable):
         self._setDefault(missing="zero")
         self._set(**self._input_kwargs)
 
+    def output_columns(self) -> list[str]:
+        return self.woe_columns()
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return woe_transform(dataset, self.binning, self.getInputCols(), missing=self.getOrDefault(self.missing))
 

@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.columns import as_number, classify_columns, col
+from gradewell.columns import as_number, binary, classify_columns, col
 from gradewell.functions.weights import bin_measures
 from gradewell.operators.monotone import woe_monotone
 from gradewell.operators.quantiles import quantile_edges
@@ -96,7 +96,7 @@ def numeric_counts(df: DataFrame, label: str, edges: dict[str, list[float]]) ->
             })[sums[f].sum(axis=1) > 0]
 
     narrow = df.where(col(label).isNotNull()).select(
-        *[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)], col(label).cast("int").alias("y")
+        *[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)], binary(df, label).alias("y")
     )
     return (
         narrow.mapInPandas(count, _COUNTS).groupBy("feature", "bin")
@@ -109,7 +109,7 @@ def category_counts(df: DataFrame, label: str, features: Sequence[str]) -> DataF
     values = [F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("category")) for c in features]
     return (
         df.where(col(label).isNotNull())
-        .select(col(label).cast("bigint").alias("__y"), F.inline(F.array(*values)))
+        .select(binary(df, label).alias("__y"), F.inline(F.array(*values)))
         .groupBy("feature", "category")
         .agg(F.count("*").alias("n"), F.sum("__y").alias("events"))
     )
@@ -286,9 +286,10 @@ def _category_woe(df: DataFrame, table: DataFrame, features: Sequence[str], miss
             lookup[c] = F.when(text.isNull(), F.lit(float(absent))).otherwise(value)
         else:
             mine = bins.where((col("feature") == c) & col("category").isNotNull()).select(
-                col("category").alias(f"__c{i}"), col("woe").alias(f"__w{i}"), col("n").alias(f"__n{i}")
+                col("category").alias(f"__c{i}"), col("woe").alias(f"__w{i}")
             )
-            df = attach(df.withColumn(f"__c{i}", col(c).cast("string")), mine, [f"__c{i}"], f"__n{i}")
+            # Rows per category are those of the table to be scored, nulls and unseen values included.
+            df = attach(df.withColumn(f"__c{i}", col(c).cast("string")), mine, [f"__c{i}"])
             absent = 0.0
             if missing == "woe":
                 row = bins.where((col("feature") == c) & col("category").isNull()).select("woe").first()

@@ -6,13 +6,13 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.columns import as_number, col
+from gradewell.columns import as_number, binary, col
 
 
 def score_rates(df: DataFrame, score: str, label: str) -> DataFrame:
     """(score, n, rate) per distinct score."""
     return (
-        df.select(as_number(df, score).alias("score"), col(label).cast("double").alias("y"))
+        df.select(as_number(df, score).alias("score"), binary(df, label).cast("double").alias("y"))
         .where(col("score").isNotNull() & col("y").isNotNull())
         .groupBy("score")
         .agg(F.count("*").cast("double").alias("n"), F.avg("y").alias("rate"))

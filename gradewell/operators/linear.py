@@ -8,6 +8,7 @@ from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -43,9 +44,64 @@ def logistic_fit(df: DataFrame, features: Sequence[str], label: str, reg: float
 
 
 def logistic_score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
-    """The table with P(event) and the class at 0.5; model vectors are dropped."""
-    scored = model.transform(df).withColumn(out, positive_probability())
-    return scored.select(*[col(c) for c in df.columns], out, "prediction")
+    """The table with P(event) and the class at 0.5; model vectors are dropped.
+    Columns of these two names in the table are replaced."""
+    scored, kept = transformed(model, df, (out, "prediction"))
+    return scored.select(*kept, positive_probability().alias(out), col("prediction").alias("prediction"))
+
+
+def _stages(model) -> list:
+    return [s for part in model.stages for s in _stages(part)] if isinstance(model, PipelineModel) else [model]
+
+
+def _columns_of(stage, names: Sequence[str]) -> list[str]:
+    """The columns that the named parameters of a stage hold."""
+    found: list[str] = []
+    for name in names:
+        if stage.hasParam(name) and stage.isDefined(name):
+            value = stage.getOrDefault(name)
+            found += [value] if isinstance(value, str) else list(value)
+    return [c for c in found if c]
+
+
+def stage_outputs(stage) -> list[str]:
+    """The columns a fitted stage adds."""
+    own = list(stage.output_columns()) if hasattr(stage, "output_columns") else []
+    return own + _columns_of(stage, ("outputCol", "outputCols", "predictionCol", "probabilityCol", "rawPredictionCol"))
+
+
+def transformed(model, df: DataFrame, replaced: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """(model output, df's own columns in it but those `replaced`).
+
+    Columns of df that bear the name of a model output, as the scores of an
+    earlier model do, are set aside under a private name first. One that the
+    model also reads is refused.
+    """
+    read: set[str] = set()
+    written: set[str] = set()
+    for stage in _stages(model):
+        read.update(c for c in _columns_of(stage, ("inputCol", "inputCols", "featuresCol")) if c not in written)
+        written.update(stage_outputs(stage))
+    both = sorted(read & written & set(df.columns))
+    if both:
+        raise ValueError(f"the model reads and writes the same columns: {both}")
+    aside = {c: f"__own_{i}" for i, c in enumerate(df.columns) if c in written or (c in replaced and c not in read)}
+    own = df.select(*[col(c).alias(aside.get(c, c)) for c in df.columns])
+    kept = [col(aside.get(c, c)).alias(c) for c in df.columns if c not in replaced]
+    return model.transform(own), kept
+
+
+def event_score(model) -> Column:
+    """The event probability in the output of a fitted model, told from its
+    stages: calibrated, a score of its own, or the probability of class 1."""
+    for stage in reversed(_stages(model)):
+        if isinstance(stage, IsotonicRegressionModel):
+            return col(stage.getPredictionCol())
+        if isinstance(stage, LinearScore):
+            return col("score")
+        if stage.hasParam("probabilityCol"):
+            return positive_probability(stage.getOrDefault("probabilityCol"))
+    raise ValueError("no stage of the model gives a score")
 
 
 class LinearScore(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -60,6 +116,9 @@ class LinearScore(Transformer, HasInputCols, DefaultParamsReadable, DefaultParam
         self._setDefault(weights=[], bias=0.0)
         self._set(**self._input_kwargs)
 
+    def output_columns(self) -> tuple[str, str]:
+        return "score", "prediction"
+
     def decision(self) -> Column:
         total = F.lit(self.getOrDefault(self.bias))
         for name, weight in zip(self.getInputCols(), self.getOrDefault(self.weights)):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.columns import as_number, col
+from gradewell.columns import as_number, binary, col
 
 # Distinct scores one task ranks at most, as far as MAX_RANGES allows.
 RANGE_SCORES = 100_000
@@ -97,7 +97,7 @@ def _in_ranges(scores: DataFrame, ranges: int) -> DataFrame:
 
 def rank_metrics(df: DataFrame, score: str, label: str, range_scores: int = RANGE_SCORES) -> DataFrame:
     """One row: n, events, auc, gini, ks of a score where high means event."""
-    pairs = df.select(F.lit(score).alias("name"), as_number(df, score).alias("x"), col(label).cast("bigint").alias("y"))
+    pairs = df.select(F.lit(score).alias("name"), as_number(df, score).alias("x"), binary(df, label).alias("y"))
     return _rank_metrics(pairs, range_scores).drop("name")
 
 
@@ -119,14 +119,16 @@ def ks_statistic(df: DataFrame, score: str, label: str) -> DataFrame:
 def single_feature_gini(df: DataFrame, features: Sequence[str], label: str, range_scores: int = RANGE_SCORES) -> DataFrame:
     """(feature, n, auc, gini, ks) of every numeric feature taken as a score."""
     values = [F.struct(F.lit(c).alias("name"), as_number(df, c).alias("x")) for c in features]
-    pairs = df.select(col(label).cast("bigint").alias("y"), F.inline(F.array(*values)))
+    pairs = df.select(binary(df, label).alias("y"), F.inline(F.array(*values)))
     return _rank_metrics(pairs, range_scores).select(col("name").alias("feature"), "n", "auc", "gini", "ks")
 
 
 def confusion_metrics(df: DataFrame, prediction: str, label: str) -> DataFrame:
-    """Counts and ratios of a 0/1 prediction, from one aggregate."""
-    known = df.where(col(prediction).isNotNull() & col(label).isNotNull())
-    hit, event = col(prediction).cast("double") == 1.0, col(label).cast("double") == 1.0
+    """Counts and ratios of a 0/1 prediction, from one aggregate. A NaN prediction
+    is missing; values other than 0 and 1 are refused."""
+    plain = df.withColumn(prediction, as_number(df, prediction)) if _is_float(df, prediction) else df
+    known = plain.select(binary(plain, prediction).alias("p"), binary(plain, label).alias("y")).where("p is not null and y is not null")
+    hit, event = col("p") == 1, col("y") == 1
     counts = known.agg(
         F.count_if(hit & event).alias("tp"), F.count_if(hit & ~event).alias("fp"),
         F.count_if(~hit & ~event).alias("tn"), F.count_if(~hit & event).alias("fn"),
@@ -149,11 +151,18 @@ def gini_hard(df: DataFrame, prediction: str, label: str) -> DataFrame:
 
 
 def calibration_curve(df: DataFrame, probability: str, label: str, bins: int = 5) -> DataFrame:
-    """(bin, n, mean_prob, event_rate) over equal-width probability bins."""
-    p = col(probability).cast("double")
-    place = F.least(F.floor(p * bins), F.lit(bins - 1).cast("bigint")).cast("int")
+    """(bin, n, mean_prob, event_rate) over equal-width probability bins. A NaN
+    probability is missing; values outside [0, 1] are refused."""
+    value = as_number(df, probability)
+    error = F.concat(F.lit(f"column {probability!r} must hold probabilities; found "), value.cast("string"))
+    p = F.when(value.isNull() | value.between(0.0, 1.0), value).otherwise(F.raise_error(error).cast("double"))
+    place = F.least(F.floor(col("p") * bins), F.lit(bins - 1).cast("bigint")).cast("int")
     return (
-        df.where(p.isNotNull() & col(label).isNotNull())
+        df.select(p.alias("p"), binary(df, label).alias("y")).where("p is not null and y is not null")
         .groupBy(place.alias("bin"))
-        .agg(F.count("*").alias("n"), F.avg(p).alias("mean_prob"), F.avg(col(label).cast("double")).alias("event_rate"))
+        .agg(F.count("*").alias("n"), F.avg("p").alias("mean_prob"), F.avg(col("y").cast("double")).alias("event_rate"))
     )
+
+
+def _is_float(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.typeName() in ("float", "double")

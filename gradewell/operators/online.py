@@ -1,10 +1,10 @@
 """Passive-aggressive classifier (PA-II, squared hinge) by iterative parameter mixing.
 
-Rows are dealt to a fixed number of partitions by key hash and ordered by it.
-In every epoch each partition runs through its rows from the shared weights;
-the results are averaged, weighted by rows. The outcome depends on the number
-of partitions, which is therefore an argument, and on nothing else about the
-layout.
+Rows are dealt to a number of partitions by key hash and ordered by it. In
+every epoch each partition runs through its rows from the shared weights; the
+results are averaged, weighted by rows. The outcome depends on the number of
+partitions, which is an argument or follows from the number of rows, and on
+nothing else about the layout.
 
 Rows that are complete copies are grouped before they are dealt. Updating m
 times on one row has a closed form: with q = (1/2C) / (|x|^2 + 1/2C) the loss
@@ -20,12 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.columns import col
+from gradewell.columns import binary, col
 from gradewell.functions.hashing import row_hash
 from gradewell.operators.linear import LinearScore
 from gradewell.workspace import pinned
 
 
+# Rows of one partition's run, about half a minute for twenty candidates.
+PARTITION_ROWS = 1_000_000
+
+
 def run_rows(weights: np.ndarray, total: np.ndarray, x: np.ndarray, y: np.ndarray, copies: np.ndarray,
              inverse: np.ndarray) -> None:
     """One run over rows x (last column 1) with labels y in {-1, 1}, in place.
@@ -49,23 +53,24 @@ def run_rows(weights: np.ndarray, total: np.ndarray, x: np.ndarray, y: np.ndarra
 
 
 def pa_fit_many(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], costs: Sequence[float],
-                partitions: int = 8, max_iter: int = 10, tol: float = 1e-3, balanced: bool = True,
+                partitions: int | None = None, max_iter: int = 10, tol: float = 1e-3, balanced: bool = True,
                 average: bool = True, seed: object = 0) -> list[LinearScore]:
     """One fitted score per C in `costs`, all trained in the same passes.
 
     Features are standardised inside and must not be null. average=True shares
-    the mean of a partition's iterates, average=False its last iterate. Choose
-    `partitions` as the number of tasks the table deserves (some million rows
-    each): a partition is one task's sequential run.
+    the mean of a partition's iterates, average=False its last iterate. A
+    partition is one task's sequential run; by default there is one for every
+    PARTITION_ROWS labelled rows, so the tasks grow in number and not in length.
     """
     features = list(features)
     known = df.where(col(label).isNotNull())
-    event = col(label).cast("double") == 1.0
+    event = binary(df, label) == 1
     stats = known.agg(
         F.count("*"), F.count_if(event),
         *[f(col(c).cast("double")) for c in features for f in (F.avg, F.stddev_pop)],
     ).first()
     rows, events = stats[0], stats[1]
+    partitions = partitions or max(1, -(-rows // PARTITION_ROWS))
     means = np.array([float(v or 0.0) for v in stats[2::2]])
     spreads = np.array([float(v) if v else 1.0 for v in stats[3::2]])
     share = [rows / (2.0 * max(rows - events, 1)), rows / (2.0 * max(events, 1))] if balanced else [1.0, 1.0]

@@ -171,11 +171,5 @@ def strata_distinct(df: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 
 def split_except_all(df: DataFrame, part: DataFrame) -> DataFrame:
-    """Multiset difference df - part (EXCEPT ALL). Copies are netted as counts
-    before the shuffle and written out again in bounded pieces."""
-    columns = df.columns
-    signed = df.withColumn("__sign", F.lit(1).cast("bigint")).unionByName(
-        part.select(*[col(c) for c in columns]).withColumn("__sign", F.lit(-1).cast("bigint"))
-    )
-    net = signed.groupBy(*[col(c) for c in columns]).agg(F.sum("__sign").alias("__copies"))
-    return expand_copies(net, "__copies")
+    """Multiset difference df - part (EXCEPT ALL), columns matched by name."""
+    return df.exceptAll(part.select(*[col(c) for c in df.columns]))

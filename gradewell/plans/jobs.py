@@ -7,9 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
-from gradewell.columns import Roles, col, drop_null_target
-from gradewell.functions.scores import positive_probability
+from gradewell.columns import Roles, drop_null_target
 from gradewell.operators.checks import class_distribution, row_shape
+from gradewell.operators.linear import event_score, transformed
 from gradewell.operators.metrics import calibration_curve, confusion_metrics, rank_metrics
 from gradewell.operators.split import split_exact, split_hash
 from gradewell.sources.parquet import parquet_scan, parquet_sink
@@ -28,14 +28,11 @@ def split_job(source: DataFrame, roles: Roles, path: str, train_size: float, see
 
 def score_frame(model: PipelineModel, df: DataFrame) -> DataFrame:
     """The input columns with `score`, the event probability (calibrated if the
-    model calibrates), and `prediction`, the class at 0.5."""
-    scored = model.transform(df)
-    if "calibrated" in scored.columns:
-        scored = scored.withColumn("score", col("calibrated"))
-    elif "score" not in scored.columns:
-        scored = scored.withColumn("score", positive_probability())
-    scored = scored.withColumn("prediction", (col("score") >= 0.5).cast("double"))
-    return scored.select(*df.columns, "score", "prediction")
+    model calibrates), and `prediction`, the class at 0.5. Columns of these names
+    in the input, left by an earlier model, are replaced."""
+    scored, kept = transformed(model, df, ("score", "prediction"))
+    score = event_score(model)
+    return scored.select(*kept, score.alias("score"), (score >= 0.5).cast("double").alias("prediction"))
 
 
 def evaluate_scores(scored: DataFrame, target: str, score: str = "score", prediction: str = "prediction") -> dict[str, DataFrame]:

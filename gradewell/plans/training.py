@@ -99,7 +99,7 @@ def _select_and_bin(train: DataFrame, features: Sequence[str], num_features: int
 
 def train_passive_aggressive(df: DataFrame, roles: Roles, key: Sequence[str], num_features: int = 30, trials: int = 20,
                              folds: int = 3, seed: int = 42, cost_range: tuple[float, float] = (10.0, 20.0),
-                             top_share: float = 0.5, bins: int = 20, partitions: int = 8, max_iter: int = 10) -> Scorecard:
+                             top_share: float = 0.5, bins: int = 20, partitions: int | None = None, max_iter: int = 10) -> Scorecard:
     """Random search over C by out-of-fold Gini, then a calibrated final model.
 
     Within a fold, selection and binning do not depend on C: they are fitted

@@ -71,10 +71,11 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Evaluate a small table now, keep it by a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    """Evaluate a table now and keep it, its partitions as they are, by a reliable
+    checkpoint in this application's part of the shared folder."""
+    context, own = df.sparkSession.sparkContext, f"{_own_folder(df.sparkSession)}/checkpoints"
+    if own not in (context.getCheckpointDir() or ""):
+        context.setCheckpointDir(own)
     return df.checkpoint()
 
 
@@ -89,24 +90,30 @@ def _join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
     return joined if how == "left_anti" else joined.drop(*[f"__key_{k}" for k in keys])
 
 
-def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, how: str = "left") -> DataFrame:
-    """Join `small` (one row per key, `weight` = rows of `big` per key) to `big`.
+def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str | None = None, how: str = "left") -> DataFrame:
+    """Join `small` (one row per key) to `big`.
 
     Up to BROADCAST_ROWS keys: one broadcast join. Beyond that the keys that
-    hold more than 1/BROADCAST_ROWS of all rows are broadcast (there can be no
-    more than BROADCAST_ROWS of them), and the other, all of them small, keys
-    meet by a shuffled join. No row of a hot key is shuffled in either case.
+    hold more than 1/BROADCAST_ROWS of the rows of `big` are looked up in a
+    broadcast table (there can be no more than BROADCAST_ROWS of them), also if
+    `small` does not have them or they are null, and only the rows of the other
+    keys are shuffled. `weight` names the column of `small` that holds the rows
+    of `big` per key, if it has all of them; otherwise they are counted here.
     """
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return _join(big, F.broadcast(small), keys, how)
-    total = small.agg(F.sum(weight)).first()[0]
-    is_hot = col(weight).cast("double") * BROADCAST_ROWS >= float(total)
-    hot, cold = small.where(is_hot), small.where(~is_hot)
+    if weight:
+        counted = small.select(*[col(k) for k in keys], col(weight).alias("__rows"))
+    else:
+        counted = big.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__rows"))
+    total = counted.agg(F.sum("__rows")).first()[0]
+    hot = pinned(counted.where(col("__rows").cast("double") * BROADCAST_ROWS >= float(total or 0)).drop("__rows"))
     if hot.isEmpty():
-        return _join(big, cold, keys, how)
-    hot_rows = _join(big, F.broadcast(hot), keys, "inner")
+        return _join(big, small, keys, how)
+    known = pinned(_join(hot, small, keys, how))
+    hot_rows = _join(big, F.broadcast(known), keys, "inner")
     other_rows = _join(big, F.broadcast(hot), keys, "left_anti")
-    return hot_rows.unionByName(_join(other_rows, cold, keys, how))
+    return hot_rows.unionByName(_join(other_rows, small, keys, how))
 
 
 def expand_copies(df: DataFrame, count: str, chunk: int = 100_000) -> DataFrame:
