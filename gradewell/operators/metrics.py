@@ -1,104 +1,86 @@
 """Evaluation of scores and classes against a 0/1 label.
 
 Rank metrics (AUC, Gini, KS) are exact and tie-aware. Rows are first added up
-to distinct scores, so a score held by many rows moves once. Many distinct
-scores are cut into value ranges of bounded size; every range is ranked on its
-own and the ranges are then put together from their totals, so no task ever
-sorts the whole table. Rows without a label or score are left out.
+to distinct scores, so a score held by many rows moves once. Distinct scores
+are ranked within cells, narrow ranges of values that follow from the value
+alone; cells are then put together to coarse cells, and these to the whole,
+from their totals. No task sorts the whole table, and nothing is cut by a sketch.
+Rows without a label or score are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, binary, col
 
-# Distinct scores one task ranks at most, as far as MAX_RANGES allows.
-RANGE_SCORES = 100_000
-MAX_RANGES = 4096
+# Cells from one power of two to the next, and how many of them are a coarse cell.
+CELLS = 1 << 16
+COARSE = 1 << 10
 
 _RANKED = "name string, n bigint, events bigint, auc double, gini double, ks double"
 
 
-def _rank_metrics(pairs: DataFrame, range_scores: int = RANGE_SCORES) -> DataFrame:
+def _cell(x: Column, cells: int) -> Column:
+    """A number that never falls as x rises; about `cells` of them between x and 2 x."""
+    size = F.when(F.abs(x) < float("inf"), F.floor((F.log2(F.abs(x)) + 1100.0) * cells).cast("bigint")).otherwise(F.lit(2200 * cells))
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
+
+
+def _put_together(parts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Totals of the parts of each group, taken in `order`: pos, neg, the area so
+    far and the extremes of the distance between the two distributions, each part
+    shifted by what lies before it."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    placed = parts.withColumn("bn", F.coalesce(F.sum("neg").over(before), zero)).withColumn("bp", F.coalesce(F.sum("pos").over(before), zero))
+    shift = F.try_divide("bn", "q") - F.try_divide("bp", "p")
+    return placed.groupBy(*by).agg(
+        F.max("p").alias("p"), F.max("q").alias("q"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        F.sum(col("area") + col("pos") * col("bn")).alias("area"), F.max(col("high") + shift).alias("high"), F.min(col("low") + shift).alias("low"),
+    )
+
+
+def _rank_metrics(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
     """`pairs` holds (name, x, y): one result row per name, of which there are few."""
     spark = pairs.sparkSession
     scores = (
         pairs.where(col("x").isNotNull() & col("y").isNotNull())
         .groupBy("name", "x")
-        .agg(F.sum(F.lit(1) - col("y")).alias("neg"), F.sum("y").alias("pos"))
+        .agg(F.sum(F.lit(1) - col("y")).cast("double").alias("neg"), F.sum("y").cast("double").alias("pos"))
         .persist()
     )
     try:
-        sizes = scores.groupBy("name").agg(
-            F.count("*").alias("k"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-        ).collect()
+        sizes = scores.groupBy("name").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).collect()
         if not sizes:
             return spark.createDataFrame([], _RANKED)
-        largest = max(r.k for r in sizes)
-        ranges = min(MAX_RANGES, -(-largest // range_scores))
-        cut = scores.withColumn("r", F.lit(0)) if ranges == 1 else _in_ranges(scores, ranges)
-        totals = spark.createDataFrame([(r.name, float(r.pos), float(r.neg)) for r in sizes], "name string, p double, q double")
-        local = Window.partitionBy("name", "r").orderBy("x")
-        ranked = (
-            cut.join(F.broadcast(totals), "name")
-            .withColumn("cn", F.sum("neg").over(local).cast("double"))
-            .withColumn("cp", F.sum("pos").over(local).cast("double"))
-            .withColumn("area", col("pos") * (col("cn") - col("neg") / 2.0))
-            .withColumn("gap", F.try_divide("cn", "q") - F.try_divide("cp", "p"))
-        )
-        parts = ranked.groupBy("name", "r").agg(
-            F.max("p").alias("p"), F.max("q").alias("q"), F.sum("pos").cast("double").alias("pos"),
-            F.sum("neg").cast("double").alias("neg"), F.sum("area").alias("area"),
-            F.max("gap").alias("high"), F.min("gap").alias("low"),
-        )
-        before = Window.partitionBy("name").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-        zero = F.lit(0.0)
-        whole = (
-            parts.withColumn("bn", F.coalesce(F.sum("neg").over(before), zero))
-            .withColumn("bp", F.coalesce(F.sum("pos").over(before), zero))
-            .withColumn("shift", F.try_divide("bn", "q") - F.try_divide("bp", "p"))
-            .groupBy("name")
-            .agg(
-                F.max("p").alias("p"), F.max("q").alias("q"),
-                F.sum(col("area") + col("pos") * col("bn")).alias("area"),
-                F.max(F.greatest(F.abs(col("high") + col("shift")), F.abs(col("low") + col("shift")))).alias("ks"),
-            )
+        totals = spark.createDataFrame([(r.name, r.p, r.q) for r in sizes], "name string, p double, q double")
+        cell = _cell(col("x"), cells)
+        # Every distinct score is a part of its own.
+        gap = F.try_divide("neg", "q") - F.try_divide("pos", "p")
+        parts = scores.join(F.broadcast(totals), "name").select(
+            "name", F.floor(cell / COARSE).alias("coarse"), cell.alias("cell"), "x", "p", "q", "pos", "neg",
+            (col("pos") * col("neg") / 2.0).alias("area"), gap.alias("high"), gap.alias("low"),
         )
+        for by, order in ((["name", "coarse", "cell"], "x"), (["name", "coarse"], "cell"), (["name"], "coarse")):
+            parts = _put_together(parts, by, order)
         auc = F.try_divide("area", col("p") * col("q"))
-        rows = whole.select(
-            "name", (col("p") + col("q")).cast("bigint"), col("p").cast("bigint"), auc, 2.0 * auc - 1.0, "ks"
+        rows = parts.select(
+            "name", (col("p") + col("q")).cast("bigint"), col("p").cast("bigint"), auc, 2.0 * auc - 1.0,
+            F.greatest(F.abs("high"), F.abs("low")),
         ).collect()
         return spark.createDataFrame(rows, _RANKED)
     finally:
         scores.unpersist()
 
 
-def _in_ranges(scores: DataFrame, ranges: int) -> DataFrame:
-    """Add r, the value range of x among about equally filled ranges of its name."""
-    shares = [i / ranges for i in range(1, ranges)]
-    rows = scores.groupBy("name").agg(F.percentile_approx("x", shares, 10 * ranges).alias("cuts")).collect()
-    cuts = {r["name"]: np.array(r["cuts"]) for r in rows}
-
-    @F.pandas_udf("int")
-    def place(name: pd.Series, x: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), dtype="int32")
-        for key, at in name.groupby(name).indices.items():
-            out[at] = np.searchsorted(cuts[key], x.to_numpy()[at], "left")
-        return pd.Series(out)
-
-    return scores.withColumn("r", place("name", "x"))
-
-
-def rank_metrics(df: DataFrame, score: str, label: str, range_scores: int = RANGE_SCORES) -> DataFrame:
+def rank_metrics(df: DataFrame, score: str, label: str, cells: int = CELLS) -> DataFrame:
     """One row: n, events, auc, gini, ks of a score where high means event."""
     pairs = df.select(F.lit(score).alias("name"), as_number(df, score).alias("x"), binary(df, label).alias("y"))
-    return _rank_metrics(pairs, range_scores).drop("name")
+    return _rank_metrics(pairs, cells).drop("name")
 
 
 def auc_gini(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -116,11 +98,11 @@ def ks_statistic(df: DataFrame, score: str, label: str) -> DataFrame:
     return rank_metrics(df, score, label).select("n", "ks")
 
 
-def single_feature_gini(df: DataFrame, features: Sequence[str], label: str, range_scores: int = RANGE_SCORES) -> DataFrame:
+def single_feature_gini(df: DataFrame, features: Sequence[str], label: str, cells: int = CELLS) -> DataFrame:
     """(feature, n, auc, gini, ks) of every numeric feature taken as a score."""
     values = [F.struct(F.lit(c).alias("name"), as_number(df, c).alias("x")) for c in features]
     pairs = df.select(binary(df, label).alias("y"), F.inline(F.array(*values)))
-    return _rank_metrics(pairs, range_scores).select(col("name").alias("feature"), "n", "auc", "gini", "ks")
+    return _rank_metrics(pairs, cells).select(col("name").alias("feature"), "n", "auc", "gini", "ks")
 
 
 def confusion_metrics(df: DataFrame, prediction: str, label: str) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Quantile edges of many numeric features.
-
-The exact form does not depend on partitioning: a quantile sketch brackets each
-wanted rank, one more scan counts the values below every bracket and the
-distinct values inside it, and the value holding the rank is read off. About
-4 * bins / accuracy of the values leave the scan; equal values leave it once.
+"""Quantile edges of many numeric features, exact and independent of the layout.
+
+Doubles map to 64-bit integers in the same order. Three scans narrow the wanted
+ranks down by counting leading bits: first 20 of them, which is a few hundred
+cells between a number and its double, then, inside the cells that hold a
+wanted rank, 12 more, then the rest. Counts add up, so tasks hand on one number
+per cell and all reducers share them; no sketch and no single merging task.
+All features are counted in the same scans.
 """
 
 from __future__ import annotations
@@ -16,125 +18,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, col
-from gradewell.operators.stats import COLUMNS_PER_PASS
 
-ACCURACY = 10_000
+# Leading bits known after each scan.
+STEPS = (20, 32, 64)
 
-Bracket = tuple[float, float]
 
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Signed integers in the order of the doubles; 0.0 and -0.0 are one."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
 
-def quantile_edges(df: DataFrame, features: Sequence[str], bins: int = 20, exact: bool = True,
-                   accuracy: int = ACCURACY) -> dict[str, list[float]]:
-    """Up to bins - 1 ascending edges per feature: the values at ranks
-    ceil(i * n / bins), repeats and the maximum left out, so that every
-    interval (edge, next edge] holds rows."""
-    features = list(features)
-    steps = range(1, bins)
-    slack = 2.0 / accuracy if exact else 0.0
-    wanted = [p for i in steps for p in (max(i / bins - slack, 0.0), min(i / bins + slack, 1.0))]
-    counts: dict[str, int] = {}
-    highest: dict[str, float | None] = {}
-    brackets: dict[str, list[Bracket]] = {}
-    for start in range(0, len(features), COLUMNS_PER_PASS):
-        names = features[start:start + COLUMNS_PER_PASS]
-        values = [as_number(df, c) for c in names]
-        row = df.agg(*[
-            F.struct(F.count(v), F.max(v), F.percentile_approx(v, wanted, accuracy)) for v in values
-        ]).first()
-        for name, (n, top, sketch) in zip(names, row):
-            counts[name], highest[name] = n, top
-            pairs = list(zip(sketch[::2], sketch[1::2])) if n else []
-            brackets[name] = [
-                (-np.inf if wanted[2 * i] <= 0.0 else lo, np.inf if wanted[2 * i + 1] >= 1.0 else hi)
-                for i, (lo, hi) in enumerate(pairs)
-            ]
-    if exact:
-        ranks = {c: [-(-i * counts[c] // bins) for i in steps] for c in features if counts[c]}
-        found = _values_at_ranks(df, ranks, brackets)
-    else:
-        found = {c: [lo for lo, _ in brackets[c]] for c in features}
-    return {c: sorted({v for v in found.get(c, []) if v < highest[c]}) for c in features}
-
-
-def _disjoint(brackets: Sequence[Bracket]) -> list[Bracket]:
-    merged: list[Bracket] = []
-    for lo, hi in sorted(brackets):
-        if merged and lo <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-        else:
-            merged.append((lo, hi))
-    return merged
-
-
-def _values_at_ranks(df: DataFrame, ranks: dict[str, list[int]], brackets: dict[str, list[Bracket]]) -> dict[str, list[float]]:
-    """The value at each 1-based rank; a rank that its bracket missed widens the
-    bracket to the gap it fell into and is looked up again."""
-    found: dict[str, list[float]] = {c: [] for c in ranks}
-    pending = {c: (ranks[c], _disjoint(brackets[c])) for c in ranks}
-    while pending:
-        names = list(pending)
-        table = _bracket_counts(df, names, [pending[c][1] for c in names]).persist()
-        try:
-            sizes = table.groupBy("f", "slot").agg(F.sum("n").alias("n")).orderBy("f", "slot").collect()
-            asked: list[tuple[int, int, int]] = []
-            again: dict[str, tuple[list[int], list[Bracket]]] = {}
-            for f, name in enumerate(names):
-                wanted, cells = pending[name]
-                upto = 0
-                for _, slot, n in [r for r in sizes if r.f == f]:
-                    inside = [r for r in wanted if upto < r <= upto + n]
-                    if slot % 2:
-                        asked.extend((f, slot, r - upto) for r in inside)
-                    elif inside:
-                        gap = (cells[slot // 2 - 1][1] if slot else -np.inf,
-                               cells[slot // 2][0] if slot // 2 < len(cells) else np.inf)
-                        known = again.setdefault(name, ([], []))
-                        known[0].extend(inside)
-                        known[1].append(gap)
-                    upto += n
-            if asked:
-                spark = df.sparkSession
-                targets = spark.createDataFrame(asked, "f int, slot int, rank long")
-                running = F.sum("n").over(Window.partitionBy("f", "slot").orderBy("value"))
-                hits = (
-                    table.where("slot % 2 = 1").withColumn("upto", running)
-                    .join(F.broadcast(targets), ["f", "slot"])
-                    .where((col("rank") <= col("upto")) & (col("rank") > col("upto") - col("n")))
-                )
-                for r in hits.select("f", "value").collect():
-                    found[names[r.f]].append(r.value)
-        finally:
-            table.unpersist()
-        pending = {c: (r, _disjoint(b)) for c, (r, b) in again.items()}
-    return found
 
+def from_bits(bits: np.ndarray) -> np.ndarray:
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).astype(np.int64).view(np.float64)
 
-def _bracket_counts(df: DataFrame, names: list[str], cells: list[list[Bracket]]) -> DataFrame:
-    """(f, slot, value, n): slots 1, 3, ... are the brackets, counted per value;
-    slots 0, 2, ... are the gaps between them, counted whole (value null)."""
-    lows = [np.array([lo for lo, _ in c]) for c in cells]
-    highs = [np.array([hi for _, hi in c]) for c in cells]
+
+def _cell_counts(df: DataFrame, names: Sequence[str], known: int, wanted: int, cells: list[np.ndarray] | None) -> DataFrame:
+    """(f, parent, cell, n): values counted by their first `wanted` bits, of those
+    values whose first `known` bits (parent) are among cells[f]; all if None."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gaps = [np.zeros(2 * len(c) + 1, dtype="int64") for c in cells]
         for batch in batches:
             parts = []
-            for f in range(len(cells)):
+            for f in range(len(names)):
                 x = batch.iloc[:, f].to_numpy(dtype="float64")
-                x = x[~np.isnan(x)]
-                slot = np.searchsorted(highs[f], x, "left") + np.searchsorted(lows[f], x, "right")
-                odd = slot % 2 == 1
-                gaps[f] += np.bincount(slot[~odd], minlength=len(gaps[f]))
-                value, first, n = np.unique(x[odd], return_index=True, return_counts=True)
-                parts.append(pd.DataFrame({"f": f, "slot": slot[odd][first], "value": value, "n": n}))
+                bits = ordered_bits(x[~np.isnan(x)])
+                if cells is not None:
+                    bits = bits[np.isin(bits >> (64 - known), cells[f])]
+                cell, n = np.unique(bits >> (64 - wanted), return_counts=True)
+                parts.append(pd.DataFrame({"f": f, "parent": cell >> (wanted - known) if known else 0, "cell": cell, "n": n}))
             yield pd.concat(parts)
-        for f, n in enumerate(gaps):
-            slots = np.flatnonzero(n)
-            yield pd.DataFrame({"f": f, "slot": slots, "value": None, "n": n[slots]})
 
     narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)])
-    counted = narrow.mapInPandas(count, "f int, slot int, value double, n long")
-    return counted.groupBy("f", "slot", "value").agg(F.sum("n").alias("n"))
+    counted = narrow.mapInPandas(count, "f int, parent long, cell long, n long")
+    return counted.groupBy("f", "parent", "cell").agg(F.sum("n").alias("n"))
+
+
+def _holding(counts: DataFrame, asked: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(f, parent, rank within parent) -> (f, parent, rank, cell, rank within cell) of the cell that holds it."""
+    targets = counts.sparkSession.createDataFrame(asked, "f int, parent long, rank long")
+    running = F.sum("n").over(Window.partitionBy("f", "parent").orderBy("cell"))
+    hits = (
+        counts.withColumn("upto", running).join(F.broadcast(targets), ["f", "parent"])
+        .where((col("rank") <= col("upto")) & (col("rank") > col("upto") - col("n")))
+    )
+    return [(r.f, r.parent, r.rank, r.cell, r.inside) for r in hits.select(
+        "f", "parent", "rank", "cell", (col("rank") - col("upto") + col("n")).alias("inside")
+    ).collect()]
+
+
+def quantile_edges(df: DataFrame, features: Sequence[str], bins: int = 20, exact: bool = True) -> dict[str, list[float]]:
+    """Up to bins - 1 ascending edges per feature: the values at ranks
+    ceil(i * n / bins), repeats and the maximum left out, so that every
+    interval (edge, next edge] holds rows. exact=False saves the last scan and
+    takes the upper end of the cell, less than a millionth above the value."""
+    features = list(features)
+    steps = STEPS if exact else STEPS[:-1]
+    cells: list[np.ndarray] | None = None
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (f, cell) -> (wanted rank, rank within the cell)
+    for known, wanted in zip((0, *steps), steps):
+        counts = _cell_counts(df, features, known, wanted, cells).persist()
+        try:
+            if cells is None:
+                sizes = {r.f: r.n for r in counts.groupBy("f").agg(F.sum("n").alias("n")).collect()}
+                places = {(f, 0): [(r, r) for r in sorted({-(-i * n // bins) for i in range(1, bins + 1)})] for f, n in sizes.items()}
+            asked = sorted({(f, parent, inside) for (f, parent), ranks in places.items() for _, inside in ranks})
+            found = {(f, parent, rank): (cell, inside) for f, parent, rank, cell, inside in _holding(counts, asked)} if asked else {}
+        finally:
+            counts.unpersist()
+        deeper: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for (f, parent), ranks in places.items():
+            for rank, inside in ranks:
+                cell, at = found[f, parent, inside]
+                deeper.setdefault((f, cell), []).append((rank, at))
+        places = deeper
+        cells = [np.array(sorted(c for g, c in places if g == f), np.int64) for f in range(len(features))]
+    rest = 64 - steps[-1]
+    edges: dict[str, list[float]] = {}
+    for f, name in enumerate(features):
+        bits = (cells[f] << rest) | np.int64((1 << rest) - 1)
+        values = from_bits(bits)  # the last one holds the maximum
+        edges[name] = [float(v) for v in values[:-1]]
+    return edges
 
 
 def woe_prebin(df: DataFrame, features: Sequence[str], bins: int = 20, exact: bool = True) -> DataFrame:

@@ -6,17 +6,14 @@ choice among features on a table of features or feature pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import classify_columns, col
-from gradewell.operators.stats import f_statistic, label_correlation, pairwise_correlation, variances
+from gradewell.operators.stats import BLOCK, correlation_with, f_statistic, label_correlation, pairwise_correlation, variances
 
-# The pair table has k * (k - 1) / 2 rows and is read by the driver.
-MAX_FEATURES = 2000
 # Lowest mean correlation a relevance is divided by.
 REDUNDANCY_FLOOR = 0.001
 
@@ -57,29 +54,24 @@ def top_corr_select(df: DataFrame, features: Sequence[str], label: str, top_shar
     return chosen.select(F.row_number().over(order).alias("rank"), "feature", "kind", "abs_corr")
 
 
-def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
-    """|corr| of all pairs as a k x k array, undefined pairs 0."""
-    features = list(features)
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"{len(features)} features; pair tables are limited to {MAX_FEATURES}")
-    matrix = np.zeros((len(features), len(features)))
-    place = {c: i for i, c in enumerate(features)}
+def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float) -> dict[str, set[str]]:
+    """For every feature those that correlate with it beyond the threshold. Only
+    such pairs come to the driver."""
+    near: dict[str, set[str]] = {c: set() for c in features}
     if len(features) > 1:
-        for r in pairwise_correlation(df, features).select("feature_a", "feature_b", "corr").collect():
-            if r["corr"] is not None:
-                i, j = place[r["feature_a"]], place[r["feature_b"]]
-                matrix[i, j] = matrix[j, i] = abs(r["corr"])
-    return matrix
+        for r in pairwise_correlation(df, features).where(F.abs("corr") > threshold).select("feature_a", "feature_b").collect():
+            near[r["feature_a"]].add(r["feature_b"])
+            near[r["feature_b"]].add(r["feature_a"])
+    return near
 
 
-def _keep_first(order: Sequence[str], matrix: np.ndarray, features: Sequence[str], threshold: float) -> set[str]:
+def _keep_first(order: Sequence[str], near: dict[str, set[str]]) -> set[str]:
     """Walk the features in order; keep one unless it correlates with one kept."""
-    place = {c: i for i, c in enumerate(features)}
-    kept: list[str] = []
+    kept: set[str] = set()
     for c in order:
-        if all(matrix[place[c], place[k]] <= threshold for k in kept):
-            kept.append(c)
-    return set(kept)
+        if not near[c] & kept:
+            kept.add(c)
+    return kept
 
 
 def _kept_table(df: DataFrame, features: Sequence[str], kept: set[str]) -> DataFrame:
@@ -89,7 +81,7 @@ def _kept_table(df: DataFrame, features: Sequence[str], kept: set[str]) -> DataF
 def drop_correlated(df: DataFrame, features: Sequence[str], threshold: float = 0.8) -> DataFrame:
     """(feature, kept): of correlated features the earliest in the list stays."""
     features = list(features)
-    return _kept_table(df, features, _keep_first(features, correlation_matrix(df, features), features, threshold))
+    return _kept_table(df, features, _keep_first(features, correlated_pairs(df, features, threshold)))
 
 
 def smart_correlated(df: DataFrame, features: Sequence[str], threshold: float = 0.8) -> DataFrame:
@@ -97,7 +89,7 @@ def smart_correlated(df: DataFrame, features: Sequence[str], threshold: float =
     features = list(features)
     spread = {r["feature"]: -1.0 if r["var"] is None else r["var"] for r in variances(df, features).collect()}
     order = sorted(features, key=lambda c: (-spread[c], c))
-    return _kept_table(df, features, _keep_first(order, correlation_matrix(df, features), features, threshold))
+    return _kept_table(df, features, _keep_first(order, correlated_pairs(df, features, threshold)))
 
 
 def kept_features(table: DataFrame) -> list[str]:
@@ -105,30 +97,45 @@ def kept_features(table: DataFrame) -> list[str]:
     return [r["feature"] for r in table.where("kept").select("feature").collect()]
 
 
-def greedy_mrmr(relevance: dict[str, float], matrix: np.ndarray, features: Sequence[str], k: int) -> list[tuple[str, float]]:
+def greedy_mrmr(relevance: dict[str, float | None], correlations: Callable[[str, Sequence[str]], dict[str, float]], k: int) -> list[tuple[str, float]]:
     """Take the most relevant feature, then repeatedly the one with the largest
-    relevance / mean |corr| to those taken. Ties go to the first name."""
-    place = {c: i for i, c in enumerate(features)}
-    left = sorted(c for c in features if relevance.get(c) is not None)
+    relevance / mean |corr| to those taken. Ties go to the first name.
+    correlations(taken, others) gives |corr|, 0 where it is undefined."""
+    left = sorted(c for c, value in relevance.items() if value is not None)
+    sums = dict.fromkeys(left, 0.0)
     chosen: list[tuple[str, float]] = []
     while left and len(chosen) < k:
-        taken = [place[c] for c, _ in chosen]
-        scores = {
-            c: relevance[c] / max(float(matrix[place[c], taken].mean()), REDUNDANCY_FLOOR) if taken else relevance[c]
-            for c in left
-        }
+        scores = {c: relevance[c] / max(sums[c] / len(chosen), REDUNDANCY_FLOOR) if chosen else relevance[c] for c in left}
         best = max(left, key=lambda c: scores[c])
         chosen.append((best, scores[best]))
         left.remove(best)
+        if left and len(chosen) < k:
+            for c, value in correlations(best, left).items():
+                sums[c] += value
     return chosen
 
 
 def mrmr_select(df: DataFrame, features: Sequence[str], label: str, k: int) -> DataFrame:
-    """(rank, feature, score): k features by minimum redundancy, maximum relevance (FCQ)."""
+    """(rank, feature, score): k features by minimum redundancy, maximum relevance (FCQ).
+
+    The correlations of all pairs come from one scan if they fit it; with more
+    than BLOCK features those with each chosen one are a scan of their own.
+    """
     features = list(features)
     spark = df.sparkSession
-    relevance = {r["feature"]: r["f"] for r in f_statistic(df, features, label).collect()}
+    relevance = dict.fromkeys(features) | {r["feature"]: r["f"] for r in f_statistic(df, features, label).collect()}
     labelled = df.where(col(label).isNotNull())
-    chosen = greedy_mrmr(relevance, correlation_matrix(labelled, features), features, k)
+    if len(features) <= BLOCK:
+        rows = pairwise_correlation(labelled, features).select("feature_a", "feature_b", "corr").collect() if len(features) > 1 else []
+        known = {frozenset((r["feature_a"], r["feature_b"])): abs(r["corr"] or 0.0) for r in rows}
+
+        def correlations(taken: str, others: Sequence[str]) -> dict[str, float]:
+            return {c: known[frozenset((taken, c))] for c in others}
+    else:
+        def correlations(taken: str, others: Sequence[str]) -> dict[str, float]:
+            rows = correlation_with(labelled, others, taken).collect()
+            return {r["feature"]: abs(r["corr"] or 0.0) for r in rows}
+
+    chosen = greedy_mrmr(relevance, correlations, k)
     rows = [(i, c, float(s)) for i, (c, s) in enumerate(chosen, 1)]
     return spark.createDataFrame(rows, "rank int, feature string, score double")

@@ -1,4 +1,4 @@
-"""Correlation and F statistics for many features in one pass.
+"""Correlation and F statistics for many features in few passes.
 
 Rules: a pair counts only where both values are present, and a statistic that
 is undefined (constant column, no pairs, one class) is null, never an error.
@@ -11,13 +11,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, col
 
 # Features per aggregate: each needs about a dozen running numbers.
 COLUMNS_PER_PASS = 50
+# Features whose pairs are correlated in one scan.
+BLOCK = 500
+# Groups of tasks whose sums are added apart first.
+TASK_GROUPS = 16
 
 
 def _chunks(names: Sequence[str]) -> list[list[str]]:
@@ -31,13 +35,8 @@ def _variance(value: Column) -> Column:
 
 
 def label_correlation(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(feature, n, corr, abs_corr): Pearson correlation of every feature with
-    the label, from one scan."""
-    features = list(features)
-    k = len(features)
-    table = _correlations(df, [*features, label], np.arange(k), np.full(k, k))
-    names = F.array(*[F.lit(c) for c in features])
-    return table.select(names[col("i")].alias("feature"), "n", "corr", F.abs("corr").alias("abs_corr"))
+    """(feature, n, corr, abs_corr): Pearson correlation of every feature with the label."""
+    return correlation_with(df, list(features), label).withColumn("abs_corr", F.abs("corr"))
 
 
 def class_moments(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -100,63 +99,94 @@ def variances(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def pairwise_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, n, corr) for every pair a before b in list order.
 
-    The number of tasks is held near the number of cores, because every task
-    hands on k * (k - 1) / 2 rows.
+    One scan for up to BLOCK features; more are taken in pairs of blocks, a scan
+    each, because a task holds the sums of all its pairs.
     """
     features = list(features)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    table = _correlations(df.coalesce(2 * cores), features, *np.triu_indices(len(features), 1))
+    blocks = [np.arange(i, min(i + BLOCK, len(features))) for i in range(0, len(features), BLOCK)]
+    shift = _column_means(df, features)
+    tables = []
+    for a, left in enumerate(blocks):
+        for right in blocks[a:]:
+            tables.append(_correlations(df, features, left, right, shift).where("i < j"))
     names = F.array(*[F.lit(c) for c in features])
+    table = reduce(DataFrame.unionByName, tables)
     return table.select(names[col("i")].alias("feature_a"), names[col("j")].alias("feature_b"), "n", "corr")
 
 
-_MOMENTS = "i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double"
+def correlation_with(df: DataFrame, features: Sequence[str], other: str) -> DataFrame:
+    """(feature, corr) of every feature with one numeric column, from one scan."""
+    columns = [*features, other]
+    k = len(features)
+    shift = _column_means(df, columns)
+    table = _correlations(df, columns, np.arange(k), np.array([k]), shift)
+    names = F.array(*[F.lit(c) for c in columns])
+    return table.select(names[col("i")].alias("feature"), "n", "corr")
+
 
+def _column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """The mean of every column (0 if it has none), from one scan: a shift near
+    the middle keeps the squares that follow from cancelling."""
 
-def _correlations(df: DataFrame, columns: Sequence[str], left: np.ndarray, right: np.ndarray) -> DataFrame:
-    """(i, j, n, corr) of the column pairs left[p], right[p].
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean = np.zeros(len(columns)), np.zeros(len(columns))
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64")
+            seen = np.isfinite(x)
+            here = seen.sum(axis=0)
+            n += here
+            some = n > 0
+            mean[some] += (np.where(seen, x - mean, 0.0).sum(axis=0))[some] / n[some]
+        yield pd.DataFrame({"c": np.arange(len(columns)), "n": n, "mean": mean})
 
-    A task folds its rows into masked sums with matrix products, shifted by the
-    first value of each column so that large values do not cancel, and hands on
-    count, means and centred moments per pair. Spark joins the tasks' moments.
+    narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    total = narrow.mapInPandas(add, "c int, n double, mean double").groupBy("c").agg(
+        F.try_divide(F.sum(col("n") * col("mean")), F.sum("n")).alias("mean")
+    )
+    shift = np.zeros(len(columns))
+    for r in total.collect():  # one row per column
+        shift[r["c"]] = r["mean"] or 0.0
+    return shift
+
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _correlations(df: DataFrame, columns: Sequence[str], left: np.ndarray, right: np.ndarray, shift: np.ndarray) -> DataFrame:
+    """(i, j, n, corr) of every column in `left` with every one in `right`.
+
+    A task folds its rows, less the shift all tasks share, into masked sums with
+    matrix products and hands on one row of arrays per left column. Those are
+    added up, spread by column and a number of groups of tasks first; all of it
+    are plain sums.
     """
-    rows, cols = np.unique(left), np.unique(right)
-    at = np.searchsorted(rows, left), np.searchsorted(cols, right)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shift = np.full(len(columns), np.nan)
-        sums = np.zeros((6, len(rows), len(cols)))
+        sums = np.zeros((6, len(left), len(right)))
         for batch in batches:
             x = batch.to_numpy(dtype="float64")
             seen = ~np.isnan(x)
-            fresh = np.isnan(shift) & seen.any(axis=0)
-            shift[fresh] = x[seen.argmax(axis=0), np.arange(len(columns))][fresh]
-            x = np.where(seen, x - np.where(np.isnan(shift), 0.0, shift), 0.0)
+            x = np.where(seen, x - shift, 0.0)
             m = seen.astype("float64")
-            a, b, ma, mb = x[:, rows], x[:, cols], m[:, rows], m[:, cols]
+            a, b, ma, mb = x[:, left], x[:, right], m[:, left], m[:, right]
             sums += np.stack([ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b])
-        n, sx, sy, sxx, syy, sxy = (v[at] for v in sums)
-        count = np.maximum(n, 1.0)
-        start = np.where(np.isnan(shift), 0.0, shift)
-        yield pd.DataFrame({
-            "i": left.astype("int32"), "j": right.astype("int32"), "n": n,
-            "mx": np.where(n > 0, start[left] + sx / count, 0.0), "my": np.where(n > 0, start[right] + sy / count, 0.0),
-            "cxx": sxx - sx * sx / count, "cyy": syy - sy * sy / count, "cxy": sxy - sx * sy / count,
-        })
+        yield pd.DataFrame({"i": left.astype("int32")} | {name: list(v) for name, v in zip(_SUMS, sums)})
 
     narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    pair = Window.partitionBy("i", "j")  # one row per task
-    means = {
-        f"to{m}": col(m) - F.coalesce(F.try_divide(F.sum(col("n") * col(m)).over(pair), F.sum("n").over(pair)), F.lit(0.0))
-        for m in ("mx", "my")
-    }
-    total = narrow.mapInPandas(fold, _MOMENTS).withColumns(means).groupBy("i", "j").agg(
-        F.sum("n").cast("bigint").alias("n"), F.max(F.abs("mx")).alias("ax"), F.max(F.abs("my")).alias("ay"),
-        F.sum(col("cxx") + col("n") * col("tomx") * col("tomx")).alias("cxx"),
-        F.sum(col("cyy") + col("n") * col("tomy") * col("tomy")).alias("cyy"),
-        F.sum(col("cxy") + col("n") * col("tomx") * col("tomy")).alias("cxy"),
-    )
+    packed = narrow.mapInPandas(fold, "i int, " + ", ".join(f"{name} array<double>" for name in _SUMS))
+    dealt = packed.withColumn("g", F.spark_partition_id() % TASK_GROUPS).repartition("i", "g")
+    pairs = dealt.select("i", "g", F.posexplode(F.arrays_zip(*_SUMS)).alias("at", "s")).select("i", "g", "at", "s.*")
+    added = [F.sum(name).alias(name) for name in _SUMS]
+    total = pairs.groupBy("i", "at", "g").agg(*added).groupBy("i", "at").agg(*added)
+    places, means = F.array(*[F.lit(int(j)) for j in right]), F.array(*[F.lit(float(v)) for v in shift])
+    total = total.withColumn("j", places[col("at")]).withColumns({
+        "mx": F.try_divide("sx", "n"), "my": F.try_divide("sy", "n"),
+    })
+    total = total.withColumns({
+        "cxx": col("sxx") - col("sx") * col("mx"), "cyy": col("syy") - col("sy") * col("my"), "cxy": col("sxy") - col("sx") * col("my"),
+        "ax": F.abs(col("mx") + means[col("i")]), "ay": F.abs(col("my") + means[col("j")]),
+    })
     # A spread within the rounding of the values themselves is a constant column.
     varies = (col("cxx") > col("n") * col("ax") * col("ax") * 1e-28) & (col("cyy") > col("n") * col("ay") * col("ay") * 1e-28)
     corr = F.try_divide(col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
-    return total.select("i", "j", "n", F.when(varies & ~F.isnan(corr), corr).alias("corr"))
+    return total.select("i", "j", col("n").cast("bigint").alias("n"), F.when(varies & ~F.isnan(corr), corr).alias("corr"))

@@ -87,8 +87,7 @@ def test_selectors(lines):
 
 
 def test_chain_of_correlations_keeps_first_and_third():
-    matrix = np.array([[0, 0.9, 0.1], [0.9, 0, 0.9], [0.1, 0.9, 0]])
-    assert select._keep_first(["a", "b", "c"], matrix, ["a", "b", "c"], 0.8) == {"a", "c"}
+    assert select._keep_first(["a", "b", "c"], {"a": {"b"}, "b": {"a", "c"}, "c": {"b"}}) == {"a", "c"}
 
 
 def test_mrmr_matches_brute_force(wide):
@@ -101,10 +100,28 @@ def test_mrmr_matches_brute_force(wide):
         rest = [c for c in names if c not in chosen]
         chosen.append(max(rest, key=lambda c: relevance[c] / (corr.loc[c, chosen].mean() if chosen else 1.0)))
     assert [r.feature for r in mrmr_select(df, list("abcdef"), "y", 10).orderBy("rank").collect()] == chosen
-    assert greedy_mrmr({}, np.zeros((0, 0)), [], 3) == []
+    assert greedy_mrmr({}, lambda taken, others: {}, 3) == []
 
 
-def test_feature_limit(lines, monkeypatch):
-    monkeypatch.setattr(select, "MAX_FEATURES", 3)
-    with pytest.raises(ValueError):
-        drop_correlated(lines, NUMERIC)
+def test_more_features_than_one_block(wide, monkeypatch):
+    """Pairs by blocks, and correlations with each chosen feature, give the same as one scan."""
+    df, frame = wide
+    names = list("abcdef")
+    whole = {(r.feature_a, r.feature_b): (r.n, r["corr"]) for r in stats.pairwise_correlation(df, names).collect()}
+    picks = [tuple(r) for r in mrmr_select(df, names, "y", 4).orderBy("rank").collect()]
+    kept = kept_features(drop_correlated(df, names, 0.3))
+    for module in (stats, select):
+        monkeypatch.setattr(module, "BLOCK", 2)
+    parts = {(r.feature_a, r.feature_b): (r.n, r["corr"]) for r in stats.pairwise_correlation(df, names).collect()}
+    assert set(parts) == set(whole) and len(parts) == 15
+    for pair, (n, corr) in whole.items():
+        assert parts[pair][0] == n and parts[pair][1] == (corr if corr is None else pytest.approx(corr, abs=1e-12))
+    again = [tuple(r) for r in mrmr_select(df, names, "y", 4).orderBy("rank").collect()]
+    assert [p[:2] for p in again] == [p[:2] for p in picks] and [p[2] for p in again] == pytest.approx([p[2] for p in picks])
+    assert kept_features(drop_correlated(df, names, 0.3)) == kept
+
+
+def test_correlation_scan_keeps_its_tasks(spark):
+    df = spark.range(0, 1_000, 1, 64).selectExpr("cast(id as double) as a", "cast(id % 7 as double) as b")
+    plan = stats.pairwise_correlation(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "SinglePartition" not in plan and "Window" not in plan
