@@ -3,7 +3,8 @@ written from the definitions and not from the Spark code."""
 
 from __future__ import annotations
 
-from catalog.fixture import CATEGORICAL, FEATURES, KEY, NUMERIC, SCORED_LINES_SQL
+from catalog.fixture import CATEGORICAL, FEATURES, KEY, NUMERIC, SCORED_LINES_SQL, WIDE
+from catalog.queries import DRAWN, EXPORT_ROWS, GRID_BINS
 
 K = ", ".join(KEY)
 QUANTILE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "c_acctbal"]
@@ -57,9 +58,9 @@ f_values as (select g.feature, any_value(g.n) as n,
   from class_stats c join grand g using (feature) group by g.feature)"""
 
 
-def edges(columns: list[str], bins: int) -> str:
+def edges(columns: list[str], bins: int, source: str = "lab") -> str:
     """Distinct values at ranks ceil(i n / bins) below the maximum."""
-    return f"""num_long as ({stacked(columns, "lab", "double", ", flag as y")}),
+    return f"""num_long as ({stacked(columns, source, "double", ", flag as y")}),
 num_ranked as (select feature, x, row_number() over (partition by feature order by x) as rn, count(*) over (partition by feature) as n,
   max(x) over (partition by feature) as top from num_long where x is not null),
 edges as (select distinct feature, x as edge from num_ranked, (select unnest(range(1, {bins})) as i)
@@ -68,8 +69,8 @@ edge_lists as (select f.feature, coalesce(list(e.edge order by e.edge) filter (e
   from (select distinct feature from num_long) f left join edges e using (feature) group by f.feature)"""
 
 
-def numeric_bins(columns: list[str], bins: int) -> str:
-    return edges(columns, bins) + """,
+def numeric_bins(columns: list[str], bins: int, source: str = "lab") -> str:
+    return edges(columns, bins, source) + """,
 num_counts as (select feature, case when x is not null then len([e for e in es if e < x]) end as bin, cast(null as varchar) as category,
   count(*) as n, cast(sum(y) as bigint) as events from num_long join edge_lists using (feature) group by all)"""
 
@@ -99,7 +100,7 @@ def woe_lookup(features: list[str], missing: str) -> tuple[str, list[str]]:
     """Joins and select list that give each row of scored_lines its WoE."""
     joins, columns = [], []
     for i, c in enumerate(features):
-        if c in NUMERIC:
+        if c not in CATEGORICAL:
             joins.append(
                 f"left join edge_lists l{i} on l{i}.feature = '{c}' left join bins b{i} on b{i}.feature = '{c}' "
                 f"and b{i}.bin is not distinct from (case when s.{c} is not null then len([e for e in l{i}.es if e < s.{c}]) end)"
@@ -132,10 +133,13 @@ count(*) filter (prediction = 0 and flag = 0) as tn, count(*) filter (prediction
 
 
 def monotone(columns: list[str], bins: int) -> str:
+    return on_lines(f"""select feature, bin, n, events, {rounded("woe", "iv")} from final_bins""", *monotone_bins(columns, bins))
+
+
+def monotone_bins(columns: list[str], bins: int) -> list[str]:
     """Every division of the pre-bins into runs (one bit per border), the best
     rising or falling one per feature."""
-    return on_lines(
-        f"""select feature, bin, n, events, {rounded("woe", "iv")} from final_bins""",
+    return [
         numeric_bins(columns, bins),
         f"""spans as (select *, count(*) over (partition by feature) as k from num_counts where bin is not null),
 masks as (select feature, m from (select distinct feature, k from spans), (select unnest(range(0, {2 ** (bins - 1)})) as m) where m < 1 << (k - 1)),
@@ -153,6 +157,88 @@ final_counts as (select feature, cast(run as bigint) as bin, cast(n as bigint) a
   from runs join best using (feature, m) union all select * from missing_bins),
 final_bins as (select *, case when events = 0 or events = n then 0.5 else 0 end as pad, (n - events + pad) / g_all as good,
   (events + pad) / e_all as bad, ln(good / bad) as woe, (good - bad) * ln(good / bad) as iv from final_counts, class_totals)""",
+    ]
+
+
+def binned_folds(train: str, scored: str, bins: list[int]) -> list[str]:
+    """AUC of the WoE of x, by number of bins: bins from the rows (i, x, y) of
+    `train` give the WoE of the rows (x, y, fold = i) of `scored`."""
+    values = ", ".join(f"({b})" for b in sorted(set(bins)))
+    return [
+        f"""tr as ({train}),
+rk as (select i, x, row_number() over (partition by i order by x) as rn, count(*) over (partition by i) as n, max(x) over (partition by i) as top from tr),
+ed as (select distinct i, b, x as edge from rk, (values {values}) bs(b), (select unnest(range(1, {max(bins)})) as k) where k < b and rn = (k * n + b - 1) // b and x < top),
+el as (select i, b, list(edge order by edge) as es from ed group by i, b),
+fold_counts as (select t.i, b, len([e for e in es if e < x]) as bin, count(*) as n, sum(y) as e from tr t join el using (i) group by all),
+fold_sums as (select i, cast(sum(y) as double) as ea, cast(count(*) - sum(y) as double) as ga from tr group by i),
+fold_woe as (select i, b, bin, case when e = 0 or e = n then 0.5 else 0 end as pad, ln(((n - e + pad) / ga) / ((e + pad) / ea)) as woe
+  from fold_counts join fold_sums using (i)),
+candidates as (select cast(w.b as varchar) as feature, w.woe as x, s.y as y from (select * from {scored}) s join el on el.i = s.fold
+  join fold_woe w on w.i = el.i and w.b = el.b and w.bin = len([e for e in el.es if e < s.x]))""",
+        rank_table("select feature, x, y from candidates"),
+    ]
+
+
+def passive_aggressive(cost: float, epochs: int) -> str:
+    """PA-II on the standardised quantity, the groups of complete copies run through
+    one by one; m updates on one row are a geometric series."""
+    return on_lines(
+        f"""select {K}, round(1 / (1 + exp(-d)), 6) as score, cast(1 / (1 + exp(-d)) >= 0.5 as int) as prediction
+from (select l.*, a1 + (l_quantity - mean) / spread * a0 as d from lab l, moments, (select t0 / rows as a0, t1 / rows as a1 from run, moments
+  where k = {epochs} * (select count(*) from deal)))""",
+        """moments as (select avg(l_quantity) as mean, stddev_pop(l_quantity) as spread, cast(count(*) as double) as rows, cast(sum(flag) as double) as events from lab),
+deal as (select row_number() over (order by h, x, y) as k, x, y, m from (
+  select cast('0x' || substr(md5('0|' || cast(l_quantity as varchar)), 1, 8) as bigint) as h, (l_quantity - any_value(mean)) / any_value(spread) as x,
+    case when flag = 1 then 1.0 else -1.0 end as y, cast(count(*) as double) as m from lab, moments group by l_quantity, flag))""",
+        f"""run as (select cast(0 as bigint) as k, 0.0::double as w0, 0.0::double as w1, 0.0::double as t0, 0.0::double as t1 union all
+  select k, w0 + y * step * series * x, w1 + y * step * series,
+    t0 + m * w0 + y * step * (m - q * series) / (1 - q) * x, t1 + m * w1 + y * step * (m - q * series) / (1 - q)
+  from (select *, (1 - power(q, m)) / (1 - q) as series, greatest(0.0, 1 - y * (w0 * x + w1)) / (x * x + 1 + slack) as step
+    from (select *, slack / (x * x + 1 + slack) as q
+      from (select r.k + 1 as k, d.x, d.y, d.m,
+          case when fresh then r.t0 / rows else r.w0 end as w0, case when fresh then r.t1 / rows else r.w1 end as w1,
+          case when fresh then 0.0 else r.t0 end as t0, case when fresh then 0.0 else r.t1 end as t1,
+          1 / (2 * {cost}::double * case when d.y > 0 then rows / (2 * events) else rows / (2 * (rows - events)) end) as slack
+        from (select *, k > 0 and k % (select count(*) from deal) = 0 as fresh from run where k < {epochs} * (select count(*) from deal)) r
+        join deal d on d.k = r.k % (select count(*) from deal) + 1, moments))))""",
+    )
+
+
+def scorecard() -> str:
+    """Two numeric features by correlation and all categories, binned on the
+    training part, three of them by mRMR; in a fitted regression without penalty
+    the means of score x WoE and label x WoE are equal."""
+    chosen = ["l_quantity", "l_discount"]
+    looked = " union all ".join(
+        [f"select n.rid, n.y, n.feature, coalesce(b.woe, 0.0) as w from placed n left join final_bins b on b.feature = n.feature and b.bin = n.run"]
+        + [f"select rid, flag as y, '{c}' as feature, coalesce(b.woe, 0.0) as w from numbered s left join cat_bins b on b.feature = '{c}' and b.category = s.{c}" for c in CATEGORICAL]
+    )
+    numbered = " union all ".join(f"select rid, flag as y, '{c}' as feature, {c} as x from numbered" for c in chosen)
+    body = """select rank, feature, bins, round(iv, 6) as iv, round(moment, 3) as moment from (
+  select 1 as rank, feature from first_pick union all select 2, feature from second_pick union all select 3, feature from third_pick)
+  join measures using (feature) join (select feature, avg(y * w) as moment from woe_rows group by feature) using (feature)"""
+    ctes = [
+        *monotone_bins(chosen, 10), category_bins(CATEGORICAL).replace("cat_counts as", "raw_cats as"),
+        measured("select * from raw_cats").replace("class_totals as", "totals_again as").replace(", class_totals)", ", totals_again)").replace("bins as (", "cat_bins as ("),
+        "measures as (select feature, count(*) as bins, sum(iv) as iv from (select feature, iv from final_bins union all select feature, iv from cat_bins) group by feature)",
+        "numbered as (select row_number() over () as rid, * from lab)",
+        f"""placed as (select n.rid, n.y, n.feature, bit_count(b.m & ((1 << len([e for e in es if e < n.x])) - 1)) as run
+  from ({numbered}) n join edge_lists using (feature) join best b using (feature))""",
+        f"woe_rows as ({looked})",
+        """woe_stats as (select feature, y, count(*) as n, avg(w) as mean, var_pop(w) as var from woe_rows group by all),
+woe_grand as (select feature, sum(n) as n, sum(n * mean) / sum(n) as mean, count(*) as k from woe_stats group by feature),
+f_values as (select g.feature, (sum(c.n * (c.mean - g.mean) ** 2) / (any_value(g.k) - 1)) / (sum(c.n * c.var) / (any_value(g.n) - any_value(g.k))) as f
+  from woe_stats c join woe_grand g using (feature) group by g.feature),
+both_ways as (select a.feature as a, b.feature as b, abs(corr(a.w, b.w)) as c from woe_rows a join woe_rows b using (rid) where a.feature <> b.feature group by all)""",
+        "first_pick as (select feature, f as score from f_values order by f desc, feature limit 1)",
+        "second_pick as (select v.feature, v.f / greatest(c, 0.001) as score from f_values v, first_pick p, both_ways w "
+        "where w.a = v.feature and w.b = p.feature order by 2 desc, 1 limit 1)",
+        "third_pick as (select v.feature, v.f / greatest((w1.c + w2.c) / 2, 0.001) as score from f_values v, first_pick p, second_pick s, both_ways w1, both_ways w2 "
+        "where w1.a = v.feature and w1.b = p.feature and w2.a = v.feature and w2.b = s.feature order by 2 desc, 1 limit 1)",
+    ]
+    return on_lines(body, *ctes).replace(
+        "lab as (select * from scored_lines where flag is not null)",
+        f"lab as (select * from scored_lines where flag is not null and {unit(34)} < 0.8 * 4294967296.0)",
     )
 
 
@@ -173,13 +259,23 @@ def oracles() -> dict[str, str]:
 
     sql["parquet_scan"] = "select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1"
     sql["parquet_sink"] = "select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice from orders"
-    sql["chunked_export"] = "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer"
-    sql["run_report"] = " union all ".join(
+    sql["chunked_export"] = (
+        "select count(*) as n_rows, cast(sum(l_orderkey) as bigint) as keys, round(sum(l_quantity), 2) as quantity, "
+        "true as within_limit, true as enough_files from lineitem"
+    )
+    sql["run_report"] = on_lines(
+        "select 'labels' as run_id, 'metric' as kind, 'events' as name, cast(cast(sum(flag) as double) as varchar) as value from lab union all "
+        "select 'labels', 'metric', 'non_events', cast(cast(count(*) - sum(flag) as double) as varchar) from lab union all "
+        "select 'labels', 'param', 'target', 'flag' union all select 'labels', 'param', 'folds', '3' union all "
+        "select 'labels', 'log.info', 'catalog:report_rows:7', cast(count(*) as varchar) || ' rows' from lab union all "
+    ) + " union all ".join(
         f"select '{t}' as run_id, 'metric' as kind, 'n_rows' as name, cast(count(*) as varchar) as value from {t} union all "
         f"select '{t}', 'metric', 'n_columns', '{n}'" for t, n in (("orders", 6), ("lineitem", 11))
     )
+    kinds = "case max(typeof({c})) when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' end"
     sql["column_types"] = on_lines(" union all ".join(
-        f"select '{c}' as name, " + (f"max(length({c}))" if c in CATEGORICAL else "max(cast(null as bigint))") + " as max_len from scored_lines"
+        f"select '{c}' as name, {kinds.format(c=c)} as data_type, {'false' if c == 'const_f' else 'true'} as nullable, "
+        + (f"max(length({c}))" if c in CATEGORICAL else "max(cast(null as bigint))") + " as max_len from scored_lines"
         for c in [*KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", *CATEGORICAL, "c_acctbal", "price2", "const_f", "yr", "hs", "hf", "flag"]
     ))
     sql["not_null_check"] = on_lines("select * from (" + " union all ".join(
@@ -286,7 +382,6 @@ def oracles() -> dict[str, str]:
     linear = (f"select {K}, round(1 / (1 + exp(-d)), 6) as score, case when 1 / (1 + exp(-d)) >= 0.5 then 1 else 0 end as prediction "
               f"from (select *, -5.0::double + l_quantity * 0.08::double + l_discount * 10.0::double as d from lab)")
     sql["pa_proba"] = on_lines(linear)
-    sql["score_frame"] = on_lines(linear)
     sql["logistic_fit"] = on_lines(" union all ".join(
         f"select '{n}' as term, round(avg(flag * cast({v} as double)), 2) as moment from lab"
         for n, v in [("intercept", "1"), *[(c, c) for c in ("l_quantity", "l_discount", "l_extendedprice")]]
@@ -294,12 +389,37 @@ def oracles() -> dict[str, str]:
     rates = on_lines(f"select {K}, round(avg(flag) over (partition by l_linestatus), 6) as score from lab")
     sql["logistic_score"] = rates
     sql["model_save_load"] = rates
-    dev = on_lines(
-        "select cast(point as int) as point, params, round(2 * auc - 1, 6) as score from rank_values, "
-        "(select 0 as point, 'elasticNetParam=0.5, regParam=0.01' as params union all select 1, 'elasticNetParam=0.5, regParam=0.1')",
-        rank_table(f"select 'x' as feature, l_quantity as x, flag as y from lab where {unit(34)} >= 0.8 * 4294967296.0"),
+    sql["score_frame"] = on_lines(
+        f"select {K}, round(p, 6) as score, cast(p >= 0.5 as int) as prediction, 0.8::double as calibrated, 0.7::double as probability "
+        f"from (select {K}, avg(flag) over (partition by l_linestatus) as p from lab)"
+    )
+    points = ", ".join(f"({i}, {b})" for i, b in enumerate(GRID_BINS))
+    sql["param_grid_search"] = on_lines(
+        "select cast(v.i as int) as point, 'bins=' || v.b as params, round(2 * auc - 1, 6) as score, "
+        f"row_number() over (order by auc desc, v.i) = 1 as best from rank_values r join (values {points}) v(i, b) on r.feature = cast(v.b as varchar)",
+        f"part as (select {K}, l_quantity as x, flag as y, 0 as fold, {unit(34)} >= 0.8 * 4294967296.0 as is_dev from lab)",
+        *binned_folds("select 0 as i, x, y from part where not is_dev", "part where is_dev", GRID_BINS),
+    )
+    sql["random_search"] = on_lines(
+        "select cast(r.feature as int) as bins, round(2 * auc - 1, 6) as gini, row_number() over (order by auc desc) = 1 as best from rank_values r",
+        f"folded as (select l_quantity as x, flag as y, cast({unit(42)} % 3 as int) as fold from lab)",
+        *binned_folds("select f.i, x, y from folded, (select unnest(range(0, 3)) as i) f where fold <> f.i", "folded", [int(b) for b in DRAWN]),
+    )
+    sql["pa_fit"] = passive_aggressive(15.0, 2)
+    sql["final_scorecard"] = scorecard()
+    joins, values = woe_lookup(list(WIDE), "zero")
+    wide = ", ".join(f"round({formula}, 6) as {name}" for name, formula in WIDE.items())
+    sql["woe_many_features"] = on_lines(
+        f"select {K}, " + ", ".join(f"round({v}, 6) as {c}_WOE" for v, c in zip(values, WIDE)) + f" from wide s {joins}",
+        f"wide as (select *, {wide} from scored_lines)", "lab_wide as (select * from wide where flag is not null)",
+        numeric_bins(list(WIDE), 5, "lab_wide"), measured("select * from num_counts", "lab_wide"),
+    )
+    sql["woe_large_domain"] = on_lines(
+        f"select {K}, round(coalesce(b.woe, 0.0), 6) as order_name_WOE from lab s left join bins b on b.category = cast(s.l_orderkey as varchar)",
+        "train as (select *, cast(l_orderkey as varchar) as order_name from lab where l_linenumber <= 3)",
+        "cat_counts as (select 'order_name' as feature, cast(null as bigint) as bin, order_name as category, count(*) as n, "
+        "cast(sum(flag) as bigint) as events from train group by all)", measured("select * from cat_counts", "train"),
     )
-    sql["param_grid_search"] = dev
     terms = [("l_linestatus", "a"), ("o_orderpriority", "b")]
     folds = ["folded as (select *, cast(hf % 3 as int) as fold from lab)",
              "fold_totals as (select f.i, sum(flag) as e_all, count(*) - sum(flag) as g_all from folded, (select unnest(range(0, 3)) as i) f where fold <> f.i group by f.i)"]

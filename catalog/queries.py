@@ -4,32 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixture import (
-    CATEGORICAL, FEATURES, KEY, NOT_FEATURES, NUMERIC, TARGET, labelled, modelling_table, scored_lines, table,
+    CATEGORICAL, FEATURES, KEY, NOT_FEATURES, NUMERIC, TARGET, WIDE, labelled, modelling_table, scored_lines, table,
 )
 from gradewell import Roles
 from gradewell.columns import (
     drop_null_target, feature_columns, nullable_schema, positive_label, select_label,
 )
-from gradewell.ml import GiniEvaluator
+from gradewell.ml import GiniEvaluator, WoeEstimator
 from gradewell.operators import calibrate, checks, metrics, select, split, stats
 from gradewell.operators.binning import Binning, fit_binning, iv_table, woe_transform
 from gradewell.operators.linear import LinearScore, assemble, logistic_fit, logistic_score
-from gradewell.operators.online import pa_fit, pa_fit_many
+from gradewell.operators.online import pa_fit
 from gradewell.operators.quantiles import woe_prebin
 from gradewell.operators.search import log_uniform, oof_predict, param_grid_search, random_search
 from gradewell.plans.jobs import score_frame, split_job
 from gradewell.plans.training import train_validated
 from gradewell.sources import append_report, chunked_export, parquet_scan, parquet_sink
-from gradewell.sources.report import metric_rows
+from gradewell.sources.report import metric_rows, run_report
 from gradewell.workspace import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +37,9 @@ QUERIES: dict[str, Query] = {}
 PREBINS = 10
 STRATA = ["yr", TARGET]
 LINEAR = ["l_quantity", "l_discount", "l_extendedprice"]
+EXPORT_ROWS = 10_000
+GRID_BINS = [2, 5, 20]
+DRAWN = [float(int(c)) for c in log_uniform(4, 2.0, 30.0, 42)]
 ROLES = Roles(TARGET, STRATA, NOT_FEATURES)
 
 
@@ -72,11 +74,18 @@ def parquet_sink_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("chunked_export")
 def chunked_export_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row comes back, and no file holds more rows than the limit."""
     path = scratch_path(spark, "export")
-    source = table(spark, folder, "customer")
-    chunked_export(source, path, rows=10_000)
+    source = table(spark, folder, "lineitem")
+    chunked_export(source, path, rows=EXPORT_ROWS)
     batches = parquet_scan(spark, path, nullable_schema(source))
-    return batches.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    per_file = batches.withColumn("file", F.input_file_name()).groupBy("file").agg(
+        F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.sum("l_quantity").alias("quantity")
+    )
+    return per_file.agg(
+        F.sum("n").alias("n_rows"), F.sum("keys").alias("keys"), F.round(F.sum("quantity"), 2).alias("quantity"),
+        (F.max("n") <= EXPORT_ROWS).alias("within_limit"), (F.count("*") * EXPORT_ROWS >= F.sum("n")).alias("enough_files"),
+    )
 
 
 @query("run_report")
@@ -84,12 +93,19 @@ def report_rows(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "report")
     for name in ("orders", "lineitem"):
         append_report(metric_rows(checks.row_shape(table(spark, folder, name)), name, ["n_rows", "n_columns"]), path)
+    counts = {r[TARGET]: r["n"] for r in checks.class_distribution(labelled(spark, folder), TARGET).collect()}
+    append_report(run_report(
+        spark, "labels", metrics={"events": counts[1], "non_events": counts[0]}, params={"target": TARGET, "folds": 3},
+        messages=[{"level": "INFO", "message": f"{sum(counts.values())} rows", "logger": "catalog", "function": "report_rows", "line": 7}],
+    ), path)
     return spark.read.parquet(path)
 
 
 @query("column_types")
 def column_types(spark: SparkSession, folder: str) -> DataFrame:
-    return checks.column_types(scored_lines(spark, folder)).select("name", F.col("max_len").cast("bigint").alias("max_len"))
+    return checks.column_types(scored_lines(spark, folder)).select(
+        "name", "data_type", "nullable", F.col("max_len").cast("bigint").alias("max_len")
+    )
 
 
 @query("not_null_check")
@@ -397,44 +413,86 @@ def reloaded_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("param_grid_search")
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """On one feature every point of the grid ranks rows as the feature does."""
+    """How many bins does the feature deserve? Each point bins on the training part
+    and is scored by the Gini of its WoE on the other (negative: WoE falls with risk)."""
     rows = modelling_table(spark, folder, [*KEY, "l_quantity", TARGET])
-    parts = split.train_val_split(positive_label(rows, TARGET), KEY, 0.2, 34)
-    regression = LogisticRegression(featuresCol="features", labelCol="label")
-    chain = Pipeline(stages=[VectorAssembler(inputCols=["l_quantity"], outputCol="features"), regression])
-    grid = ParamGridBuilder().addGrid(regression.regParam, [0.01, 0.1]).addGrid(regression.elasticNetParam, [0.5]).build()
-    table = param_grid_search(parts.where("not is_val"), parts.where("is_val"), chain, grid, GiniEvaluator())[2]
-    return table.select("point", "params", *rounded("score"))
+    parts = split.train_val_split(rows, KEY, 0.2, 34)
+    woe = WoeEstimator(inputCols=["l_quantity"], labelCol=TARGET, trend="none")
+    grid = ParamGridBuilder().addGrid(woe.bins, GRID_BINS).build()
+    judge = GiniEvaluator(scoreCol="l_quantity_WOE", labelCol=TARGET)
+    table = param_grid_search(parts.where("not is_val"), parts.where("is_val"), woe, grid, judge)[2]
+    return table.select("point", "params", *rounded("score"), "best")
 
 
 @query("random_search")
 def random_search_cost(spark: SparkSession, folder: str) -> DataFrame:
-    rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, *LINEAR, TARGET), KEY, 3, 42), "folds")
+    """The drawn numbers are taken as numbers of bins; the score of a candidate is
+    the WoE that each fold's rows get from bins of the other folds."""
+    rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42), "folds")
 
     def fit_many(train, costs):
-        models = pa_fit_many(train, LINEAR, TARGET, KEY, costs, max_iter=2)
-        return lambda part: part.select(TARGET, *[m.decision().alias(f"score_{i}") for i, m in enumerate(models)])
+        fitted = [fit_binning(train, ["l_quantity"], TARGET, bins=int(c)) for c in costs]
+
+        def score(part):
+            for i, binning in enumerate(fitted):
+                part = woe_transform(part, binning).withColumnRenamed("l_quantity_WOE", f"score_{i}")
+            return part
 
-    return random_search(rows, TARGET, "fold", 3, log_uniform(4, 10.0, 20.0, 42), fit_many)[1]
+        return score
+
+    table = random_search(rows, TARGET, "fold", 3, DRAWN, fit_many)[1]
+    return table.select(F.col("cost").cast("int").alias("bins"), *rounded("gini"), "best")
 
 
 @query("pa_fit")
 def pa_fit_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = modelling_table(spark, folder, [*KEY, *LINEAR, TARGET])
-    model = pa_fit(rows, LINEAR, TARGET, KEY, cost=15.0, max_iter=3)
-    return model.transform(rows).select(*KEY, "score", "prediction")
+    """Keyed by the feature itself, complete copies collapse to at most a hundred
+    (value, label) groups, which SQL can run through one by one."""
+    rows = modelling_table(spark, folder, [*KEY, "l_quantity", TARGET])
+    model = pa_fit(rows, ["l_quantity"], TARGET, ["l_quantity"], cost=15.0, max_iter=2, partitions=1)
+    return model.transform(rows).select(*KEY, *rounded("score"), F.col("prediction").cast("int").alias("prediction"))
 
 
 @query("score_frame")
 def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores by a model whose stages are a plain linear score, thus known in advance."""
-    model = PipelineModel([LinearScore(inputCols=["l_quantity", "l_discount"], weights=[0.08, 10.0], bias=-5.0)])
-    rows = labelled(spark, folder).select(*KEY, "l_quantity", "l_discount")
-    return score_frame(model, rows).select(*KEY, *rounded("score"), F.col("prediction").cast("int").alias("prediction"))
+    """A fitted model over a table that carries the scores of earlier ones."""
+    rows = by_status(spark, folder)
+    model = logistic_fit(rows, ["is_f"], TARGET, tol=1e-12, max_iter=500)
+    crowded = rows.withColumns({"score": F.lit(0.9), "calibrated": F.lit(0.8), "prediction": F.lit("A"), "probability": F.lit(0.7)})
+    return score_frame(model, crowded).select(
+        *KEY, *rounded("score"), F.col("prediction").cast("int").alias("prediction"), "calibrated", "probability"
+    )
 
 
 @query("final_scorecard")
 def final_scorecard(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of a trained scorecard: the order they were chosen in, their
+    information value, and the mean of score x WoE over the training rows, which
+    in a fitted regression equals that of label x WoE."""
     rows = modelling_table(spark, folder, all_rows=True)
-    card = train_validated(rows, ROLES, KEY, num_features=5, val_size=0.2, bins=PREBINS, filter_correlation=True)
-    return score_frame(card.model, rows).select(*KEY, "score", "prediction")
+    card = train_validated(
+        rows, ROLES, KEY, num_features=3, val_size=0.2, bins=PREBINS, trend="auto_asc_desc", filter_correlation=True
+    )
+    train = split.split_hash(rows.where(f"{TARGET} is not null"), KEY, 0.8, 34, names=("train", "dev")).where("split = 'train'")
+    scored = card.model.transform(train).withColumn("__p", vector_to_array("probability")[1])
+    terms = F.array(*[
+        F.struct(F.lit(i).alias("rank"), F.lit(c.removesuffix("_WOE")).alias("feature"), F.col(c).alias("woe")) for i, c in enumerate(card.features, 1)
+    ])
+    moments = scored.select("__p", F.inline(terms)).groupBy("rank", "feature").agg(F.round(F.avg(F.col("__p") * F.col("woe")), 3).alias("moment"))
+    return moments.join(iv_table(card.model.stages[0].binning.table), "feature").select("rank", "feature", "bins", *rounded("iv"), "moment")
+
+
+@query("woe_many_features")
+def woe_many_features(spark: SparkSession, folder: str) -> DataFrame:
+    """As many numeric features as training runs have: the look-up in Arrow batches."""
+    rows = modelling_table(spark, folder, [*KEY, *WIDE, TARGET], all_rows=True, wide=True)
+    return woe_transform(rows, fit_binning(rows, list(WIDE), TARGET, bins=5), list(WIDE)).select(*KEY, *rounded(*[f"{c}_WOE" for c in WIDE]))
+
+
+@query("woe_large_domain")
+def woe_large_domain(spark: SparkSession, folder: str) -> DataFrame:
+    """More categories than are broadcast: orders as categories of their lines."""
+    rows = labelled(spark, folder).select(*KEY, F.col("l_orderkey").cast("string").alias("order_name"), TARGET)
+    rows = staged(rows, "orders")
+    train = rows.where("l_linenumber <= 3")  # some orders are unseen
+    return woe_transform(rows, fit_binning(train, ["order_name"], TARGET), ["order_name"]).select(*KEY, *rounded("order_name_WOE"))

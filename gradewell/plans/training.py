@@ -23,25 +23,39 @@ from gradewell.operators.metrics import gini
 from gradewell.operators.online import pa_fit, pa_fit_many
 from gradewell.operators.search import cross_validate, log_uniform, oof_predict, param_grid_search, random_search
 from gradewell.operators.select import kept_features, low_corr_filter, mrmr_select, smart_correlated, top_corr_select
-from gradewell.operators.split import fold_hash, split_hash
+from gradewell.operators.split import fold_hash, kfold_assign, split_exact, split_hash
+from gradewell.sources.report import run_report
 from gradewell.workspace import staged
 
 
 @dataclass(frozen=True)
 class Scorecard:
-    """A fitted run: the model, the features it reads, its metrics and the search table."""
+    """A fitted run: the model, the features it reads, its metrics, the search
+    table and the settings of the run."""
 
     model: PipelineModel
     features: list[str]
     metrics: dict[str, float]
     search: DataFrame
+    params: dict[str, object]
+
+    def report(self, run_id: str) -> DataFrame:
+        """The run as rows of the report table: metrics, settings, chosen features."""
+        chosen = {f"feature_{i}": c for i, c in enumerate(self.features, 1)}
+        return run_report(self.search.sparkSession, run_id, metrics=self.metrics, params=self.params | chosen)
 
 
 def _prepared(df: DataFrame, roles: Roles, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
     features = roles.features(df)
-    keys = [c for c in key if c not in features]
+    others = [c for c in dict.fromkeys([*key, *roles.strata]) if c not in features and c != roles.target]
     table = positive_label(drop_null_target(df, roles.target), roles.target)
-    return select_label(table, [*keys, *features], "label"), features
+    return select_label(table, [*others, *features], "label"), features
+
+
+def _folded(table: DataFrame, key: Sequence[str], folds: int, seed: object, exact: bool) -> DataFrame:
+    """The table with its folds, by key hash or of equal size within each class, written fold by fold."""
+    assigned = kfold_assign(table, "label", folds, seed, key) if exact else fold_hash(table, key, folds, seed)
+    return staged(assigned, "folds", by="fold")
 
 
 def _stages(features: Sequence[str], num_features: int, bins: int, trend: str) -> tuple[Pipeline, LogisticRegression]:
@@ -59,30 +73,48 @@ def _grid(regression: LogisticRegression, tuning: bool) -> list[dict]:
 
 
 def train_cross_validated(df: DataFrame, roles: Roles, key: Sequence[str], num_features: int = 30, folds: int = 3,
-                          tuning: bool = False, seed: object = 34, bins: int = 20, trend: str = "auto") -> Scorecard:
-    """WoE, mRMR and logistic regression under k-fold cross-validation."""
+                          tuning: bool = False, seed: object = 34, bins: int = 20, trend: str = "auto",
+                          exact_folds: bool = False) -> Scorecard:
+    """WoE, mRMR and logistic regression under k-fold cross-validation. exact_folds
+    makes folds of equal size within each class instead of by hash alone."""
     table, features = _prepared(df, roles, key)
-    table = staged(fold_hash(table, key, folds, seed), "folds")
+    table = _folded(table, key, folds, seed, exact_folds)
     chain, regression = _stages(features, num_features, bins, trend)
-    model, score, search = cross_validate(table, chain, _grid(regression, tuning), GiniEvaluator(), "fold", folds)
-    return Scorecard(model, model.stages[-2].getInputCols(), {"gini": score}, search)
+    judge = GiniEvaluator()
+    model, score, search = cross_validate(table, chain, _grid(regression, tuning), judge, "fold", folds)
+    metrics = {"gini": score, "train_gini": judge.evaluate(model.transform(table))}
+    params = {"run": "cross_validated", "folds": folds, "exact_folds": exact_folds, "seed": seed, "bins": bins, "trend": trend, "tuning": tuning}
+    return Scorecard(model, model.stages[-2].getInputCols(), metrics, search, params)
 
 
 def train_validated(df: DataFrame, roles: Roles, key: Sequence[str], num_features: int = 30, val_size: float = 0.05,
                     tuning: bool = False, seed: object = 34, bins: int = 20, trend: str = "auto",
-                    filter_correlation: bool = False) -> Scorecard:
+                    filter_correlation: bool = False, exact_split: bool = False) -> Scorecard:
     """The same chain scored on one held-out part. filter_correlation keeps only
-    the top third of the numeric features by |correlation| before binning."""
+    the top third of the numeric features by |correlation| before binning;
+    exact_split holds out the wanted share of every stratum and class to the row."""
     table, features = _prepared(df, roles, key)
-    parts = staged(split_hash(table, key, 1.0 - val_size, seed, names=("train", "dev")), "parts")
+    names = ("train", "dev")
+    if exact_split:
+        strata = [*[c for c in roles.strata if c != roles.target], "label"]
+        parts = split_exact(table, strata, 1.0 - val_size, seed, key, names=names)
+    else:
+        parts = split_hash(table, key, 1.0 - val_size, seed, names=names)
+    parts = staged(parts, "parts", by="split")
     train, dev = parts.where("split = 'train'"), parts.where("split = 'dev'")
     if filter_correlation:
         numeric, categorical = classify_columns(table, features)
         top = low_corr_filter(train, numeric, "label").orderBy("rank").collect()
         features = [r["feature"] for r in top] + categorical
     chain, regression = _stages(features, num_features, bins, trend)
-    best, score, search = param_grid_search(train, dev, chain, _grid(regression, tuning), GiniEvaluator())
-    return Scorecard(best, best.stages[-2].getInputCols(), {"gini": score}, search)
+    judge = GiniEvaluator()
+    best, score, search = param_grid_search(train, dev, chain, _grid(regression, tuning), judge)
+    metrics = {"gini": score, "train_gini": judge.evaluate(best.transform(train))}
+    params = {
+        "run": "validated", "val_size": val_size, "exact_split": exact_split, "seed": seed, "bins": bins, "trend": trend, "tuning": tuning,
+        "filter_correlation": filter_correlation,
+    }
+    return Scorecard(best, best.stages[-2].getInputCols(), metrics, search, params)
 
 
 def _select_and_bin(train: DataFrame, features: Sequence[str], num_features: int, top_share: float, bins: int) -> tuple[WoeModel, list[str]]:
@@ -99,14 +131,15 @@ def _select_and_bin(train: DataFrame, features: Sequence[str], num_features: int
 
 def train_passive_aggressive(df: DataFrame, roles: Roles, key: Sequence[str], num_features: int = 30, trials: int = 20,
                              folds: int = 3, seed: int = 42, cost_range: tuple[float, float] = (10.0, 20.0),
-                             top_share: float = 0.5, bins: int = 20, partitions: int | None = None, max_iter: int = 10) -> Scorecard:
+                             top_share: float = 0.5, bins: int = 20, partitions: int | None = None, max_iter: int = 10,
+                             exact_folds: bool = False) -> Scorecard:
     """Random search over C by out-of-fold Gini, then a calibrated final model.
 
     Within a fold, selection and binning do not depend on C: they are fitted
     once and all candidates are trained in the same passes over the rows.
     """
     table, features = _prepared(df, roles, key)
-    table = staged(fold_hash(table, key, folds, seed), "folds")
+    table = _folded(table, key, folds, seed, exact_folds)
     options = {"partitions": partitions, "max_iter": max_iter, "seed": seed}
 
     def fit_many(train: DataFrame, costs: Sequence[float]):
@@ -126,7 +159,7 @@ def train_passive_aggressive(df: DataFrame, roles: Roles, key: Sequence[str], nu
 
     woe, chosen = _select_and_bin(table, features, num_features, top_share, bins)
     inputs = [c.removesuffix("_WOE") for c in chosen]
-    ready = staged(woe_transform(table, woe.binning, inputs).select(*key, "fold", *chosen, "label"), "woe")
+    ready = staged(woe_transform(table, woe.binning, inputs).select(*key, "fold", *chosen, "label"), "woe", by="fold")
 
     def refit(train: DataFrame):
         return pa_fit(train, chosen, "label", key, best, **options).transform
@@ -139,4 +172,6 @@ def train_passive_aggressive(df: DataFrame, roles: Roles, key: Sequence[str], nu
     woe_inputs.binning = woe.binning
     model = PipelineModel([woe_inputs, final, calibration])
     train_gini = gini(calibration.transform(final.transform(ready)), "calibrated", "label")
-    return Scorecard(model, chosen, {"train_gini": train_gini, "C": best}, search)
+    oof_gini = search.where("best").first()["gini"]
+    params = {"run": "passive_aggressive", "C": best, "trials": trials, "folds": folds, "exact_folds": exact_folds, "seed": seed, "bins": bins}
+    return Scorecard(model, chosen, {"gini": oof_gini, "train_gini": train_gini, "C": best}, search, params)

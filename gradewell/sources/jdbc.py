@@ -15,12 +15,15 @@ DRIVERS = {
 }
 
 
-def jdbc_url(dialect: str, server: str, database: str, port: int | str | None = None, windows_auth: bool = False) -> str:
-    """The JDBC address of a SQL Server or DB2 database."""
+def jdbc_url(dialect: str, server: str, database: str, port: int | str | None = None, windows_auth: bool = False,
+             trust_certificate: bool = False) -> str:
+    """The JDBC address of a SQL Server or DB2 database. trust_certificate turns
+    the check of a SQL Server's certificate off."""
     place = f"{server}:{port}" if port else server
     if dialect == "sqlserver":
         login = ";integratedSecurity=true" if windows_auth else ""
-        return f"jdbc:sqlserver://{place};databaseName={database}{login};trustServerCertificate=true"
+        trust = ";trustServerCertificate=true" if trust_certificate else ""
+        return f"jdbc:sqlserver://{place};databaseName={database}{login}{trust}"
     if dialect == "db2":
         if windows_auth:
             raise ValueError("windows_auth is for SQL Server")

@@ -51,23 +51,18 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(scan: DataFrame, *key: str) -> DataFrame:
-    """Deal a plain file scan out over the cores by its (unique) key if its files
-    yield fewer pieces than there are cores. Large tables have more and are left
-    as they are."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def staged(df: DataFrame, name: str = "table") -> DataFrame:
+def staged(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write df once as parquet in the shared folder and read it back.
 
     Used where several passes follow: lineage ends at the files, later passes
     read only the columns they need, and a lost executor costs its tasks only.
+    `by` names a column of few values, such as a fold: passes over some of them
+    read only their folders.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.select(*[col(c) for c in df.columns]) if by else back
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from gradewell.workspace import clear_scratch, scratch_path, shared_folder
 
 
 def test_jdbc_addresses():
-    assert jdbc_url("sqlserver", "host", "db", 1433, windows_auth=True) == (
+    assert jdbc_url("sqlserver", "host", "db", 1433, windows_auth=True, trust_certificate=True) == (
         "jdbc:sqlserver://host:1433;databaseName=db;integratedSecurity=true;trustServerCertificate=true"
     )
-    assert jdbc_url("sqlserver", "host\\inst", "db") == "jdbc:sqlserver://host\\inst;databaseName=db;trustServerCertificate=true"
+    assert jdbc_url("sqlserver", "host\\inst", "db") == "jdbc:sqlserver://host\\inst;databaseName=db"
     assert jdbc_url("db2", "host", "db", "50000") == "jdbc:db2://host:50000/db"
     for bad in (("oracle", "h", "d"), ("db2", "h", "d", None, True)):
         with pytest.raises(ValueError):
