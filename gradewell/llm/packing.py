@@ -18,7 +18,12 @@ no rows; columns besides the id and the text are not looked at.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -29,43 +34,119 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import col
-from gradewell.llm.common import CACHE_WORDS, arrow_rows
+from gradewell.llm.common import Cache, arrow_rows
 from gradewell.workspace import staged
 
 # Pieces of one length that are ranked together.
 RANK_GROUP = 50_000
-# Words handed to the tokenizer at once.
-ENCODE_WORDS = 4_096
+# Words whose ids a task keeps.
+KNOWN_WORDS = 500_000
 # Characters that Python's split() takes for spaces and the tokenizer does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+# Up to here, letters, numbers and lower case are the same for Python and the tokenizer.
+LATIN = 0x250
+END_OF_WORD = b"\xff"  # a byte that no text has
+# How the tokenizer that the fast way below knows prepares a text.
+STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-def _encoder(tokenizer_json: str):
-    """text -> little-endian ids. The tokenizer drops white space and never
-    joins across it, so ids of words, kept in a look-up, make up those of a text."""
-    import os
+def _byte_names() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
+
+def _fast_words(spec: dict):
+    """word -> ids for Latin words, None if the tokenizer is not of the known kind.
+
+    Byte pairs are merged by the rank of what they make. That is the same as merging
+    by the list of pairs where every entry can be reached from its own characters
+    and entries are numbered in the order of the list; both are checked.
+    """
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    known = (
+        model["type"] == "BPE" and suffix and (spec["normalizer"] or {}).get("normalizers") == STEPS
+        and [p.get("pattern") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])] == [{"Regex": SPLIT}, None]
+    )
+    if not known:
+        return None
+    import tiktoken
+
+    names = _byte_names()
+
+    def raw(piece: str) -> bytes:
+        bare = piece.removesuffix(suffix)
+        return bytes(names[c] for c in bare) + (END_OF_WORD if bare != piece else b"")
+
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {raw(piece): rank for piece, rank in model["vocab"].items() if piece not in special}
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    made = [ranks[raw(a + b)] for a, b in pairs]
+    if made != sorted(made) or any(r >= made[0] for b, r in ranks.items() if len(b.removesuffix(END_OF_WORD)) == 1):
+        return None
+    merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    kind = [unicodedata.category(chr(c))[0] for c in range(LATIN)]
+    letters, numbers = (re.escape("".join(chr(c) for c in range(LATIN) if kind[c] == k)) for k in "LN")
+    pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
+
+    def ids(word: str) -> list[int]:
+        found: list[int] = []
+        for piece in [word] if word.isascii() and word.isalpha() else pieces(word):
+            found += merge(piece.encode() + END_OF_WORD)
+        return found
+
+    return ids
+
+
+def _every_entry_reached(spec: dict) -> bool:
+    """Do the merges make every entry of the vocabulary out of its own characters?"""
+    from tokenizers import models
+
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix:
+        return False
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    inside, final = models.BPE(model["vocab"], merges), models.BPE(model["vocab"], merges, end_of_word_suffix=suffix)
+    special = {t["content"] for t in spec["added_tokens"]}
+
+    def reached(piece: str, rank: int) -> bool:
+        found = final.tokenize(piece.removesuffix(suffix)) if piece.endswith(suffix) else inside.tokenize(piece)
+        return [t.id for t in found] == [rank]
+
+    return all(piece in special or reached(piece, rank) for piece, rank in model["vocab"].items())
+
+
+def _encoder(tokenizer_json: str, allow_fast: bool = True):
+    """text -> little-endian ids.
+
+    The tokenizer drops white space and never joins across it, so the ids of
+    words, kept in a look-up, make up those of a text. Latin words go the fast way.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    known: dict[str, bytes] = {}
+    spec = json.loads(tokenizer_json)
+    fast, special = _fast_words(spec) if allow_fast else None, [t["content"] for t in spec["added_tokens"]]
+    latin = re.compile(f"[\\x00-{chr(LATIN - 1)}]*").fullmatch
+
+    def plain(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word_ids(word: str) -> bytes:
+        lower = word.lower()
+        if latin(word) and latin(lower) and not any(s in word for s in special):
+            return array("I", fast(lower)).tobytes()
+        return plain(word)
 
-    def packed(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    known = Cache(word_ids, KNOWN_WORDS)
 
     def encode(text: str) -> bytes:
-        if any(c in text for c in NOT_SPACE):
-            return packed([text])[0]
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), ENCODE_WORDS):
-            part = new[i : i + ENCODE_WORDS]
-            known.update(zip(part, packed(part)))
-        return b"".join(map(known.__getitem__, words))
+        if fast is None or any(c in text for c in NOT_SPACE):
+            return plain(text)
+        return b"".join(map(known.__getitem__, text.split()))
 
     return encode
 
@@ -76,9 +157,10 @@ def token_pieces(
     """(doc_id, piece, start, length, ids_crc32 [, ids]): every document's tokens
     and the id 0 after them, cut into pieces of at most `capacity`."""
     tokenizer_json = Path(tokenizer_path).read_text(encoding="utf-8")
+    allow_fast = _every_entry_reached(json.loads(tokenizer_json))
 
     def task():
-        encode = _encoder(tokenizer_json)
+        encode = _encoder(tokenizer_json, allow_fast)
 
         def rows(batch: pa.RecordBatch) -> dict:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
