@@ -4,7 +4,7 @@ written from the definitions and not from the Spark code."""
 from __future__ import annotations
 
 from catalog.fixture import CATEGORICAL, FEATURES, KEY, NUMERIC, SCORED_LINES_SQL, WIDE
-from catalog.queries import DRAWN, EXPORT_ROWS, GRID_BINS
+from catalog.queries import DRAWN, GRID_BINS
 
 K = ", ".join(KEY)
 QUANTILE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "c_acctbal"]
