@@ -22,6 +22,7 @@ without an id; empty tables give no rows (or leave all documents).
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,7 +102,9 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, hashes: int
     source = items.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
-    part = F.expr(f"pmod(xxhash64(lower(text)), {n})")
+    # Equal word sequences fall into one block.
+    letters = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    part = F.pmod(F.xxhash64(F.regexp_replace(letters, r"[\x20\x09-\x0D]+", "")), F.lit(n))
     for k in range(n):
         rows = source.where(part == k).where(col("text").isNotNull()).collect()
         if rows:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from gradewell.columns import col
 from gradewell.llm.common import Cache, arrow_rows, chunks, hash64, mix, multipliers, raw_texts, shingle_hashes, split_words, word_hashes
 from gradewell.llm.graph import bucket_links, components
-from gradewell.workspace import staged
+from gradewell.workspace import attach, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -228,20 +228,21 @@ def repeated_spans(
         all_units.select("key", "doc_id", "text_hash", "start", "stop", "words").join(named, "key").drop("key"), "members"
     )
     place = F.struct(col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")
-    first = members.groupBy("component").agg(F.min(place).alias("first"))
-    here = members.join(first, "component")
+    first = staged(members.groupBy("component").agg(F.min(place).alias("first")), "first")
+    here = attach(members, first, ["component"])  # the rows of a large component are not shuffled
     same = col("doc_id").eqNullSafe(F.col("first.doc_id")) & (col("text_hash") == F.col("first.text_hash")) & (col("start") == F.col("first.start"))
     unit = F.struct("start", "stop", "words", col("component").alias("component"), F.col("first.doc_id").alias("kept"))
     per_doc = here.where(~same).groupBy("doc_id", "text_hash").agg(F.collect_set(unit).alias("units"))
 
     def task():
         def rows(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("at", "start", "stop", "n_words", "component_id", "kept_doc_id")}
+            out: dict[str, list] = {k: [] for k in ("at", *RUN_COLUMNS)}
             for i, found in enumerate(batch.column(2).to_pylist()):
                 for run in merged(found):
                     if run["words"] >= least_words:
-                        for k, v in (("at", i), ("start", run["start"]), ("stop", run["stop"]), ("n_words", run["words"]), ("component_id", run["component"]), ("kept_doc_id", run["kept"])):
-                            out[k].append(v)
+                        out["at"].append(i)
+                        for name, part in RUN_COLUMNS.items():
+                            out[name].append(run[part])
             at = pa.array(out.pop("at"), pa.int64())
             return {"doc_id": pc.take(batch.column(0), at), "text_hash": pc.take(batch.column(1), at)} | out
 
@@ -251,6 +252,9 @@ def repeated_spans(
     return arrow_rows(per_doc, task, schema)
 
 
+RUN_COLUMNS = {"start": "start", "stop": "stop", "n_words": "words", "component_id": "component", "kept_doc_id": "kept"}
+
+
 def merged(found: list[dict]) -> list[dict]:
     """Units of one text joined where they touch or overlap; a paragraph and its own pieces count their words once."""
     runs: list[dict] = []

@@ -33,7 +33,7 @@ from gradewell.columns import col
 from gradewell.llm.common import Cache, arrow_filter, arrow_rows, hash64, raw_texts, split_words
 from gradewell.workspace import staged
 
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
 FEATURES = 4_096
 # Rows that must have a feature before it is considered.
 LEAST_ROWS = 3

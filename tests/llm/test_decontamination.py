@@ -56,7 +56,7 @@ def test_odd_rows_and_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 300)
     df = odd.documents(spark)
     rows = [r[:2] for r in odd.rows()]
-    items = [(1, odd.PROSE), (2, odd.PROSE.upper()), (None, "one"), (4, "one two three four"), (5, None), (6, " "), (7, "de de de de de de"), (8, "not there at all in any of them")]
+    items = [(1, odd.PROSE), (2, odd.PROSE.upper().replace(" ", "  \n")), (None, "one"), (4, "one two three four"), (5, None), (6, " "), (7, "de de de de de de"), (8, "not there at all in any of them")]
     table = spark.createDataFrame([(*r, "x", "y") for r in items], "item_id bigint, text string, doc_id string, shared string")
     assert result(contained_items(df, table)) == expected(rows, items)
     hit = {i for i, (d, t) in enumerate(rows) if expected([(d, t)], items)}
