@@ -21,6 +21,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 
 # Entries of a per-task look-up before it is emptied: it only saves work, results do not depend on it.
 CACHE_WORDS = 250_000
+# Rows that a task turns into Python objects together.
+ROWS_AT_ONCE = 512
 
 
 class Cache(dict):
@@ -100,12 +102,19 @@ def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ROWS_AT_ONCE."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
 def schema_of(text: str) -> StructType:
     return _parse_datatype_string(text)
 
 
 def arrow_rows(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """One output batch (a dict of columns) for each Arrow batch of df.
+    """One output batch (a dict of columns) for every few hundred rows of df.
 
     `task()` is called once in every task and returns the function for its
     batches, so it may keep look-ups between them.
@@ -115,8 +124,8 @@ def arrow_rows(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = task()
-        for batch in batches:
-            if batch.num_rows and (columns := work(batch)) is not None:
+        for batch in small(batches):
+            if (columns := work(batch)) is not None:
                 yield pa.RecordBatch.from_pydict(columns, schema=arrow_schema)
 
     return df.mapInArrow(run, spark_schema)
@@ -127,7 +136,7 @@ def arrow_filter(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = task()
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(work(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

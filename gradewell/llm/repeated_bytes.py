@@ -47,11 +47,11 @@ LENGTH = 400
 GRAM = 200
 BLOCKS = (32, 8, 2, 1)
 # Different strings around one middle that one task compares.
-GROUP = 4_096
+GROUP = 1_024
 # Symbols of one suffix array.
-ARRAY = 150_000
+ARRAY = 50_000
 # Window starts that are looked at together; a longer text is gone through in parts.
-SEGMENT = 1_000_000
+SEGMENT = 1 << 18
 
 RATIO = 0x5851F42D4C957F2D  # odd
 BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -269,7 +269,8 @@ def _compare(contexts: DataFrame, width: int) -> DataFrame:
         symbols, starts, owner, offset, at, middles = [], [], [], [], 0, {}
         for i, (key, middle, head, tail) in enumerate(rows):
             symbol = 257 + middles.setdefault((key, middle), len(middles))
-            symbols.append(np.r_[np.frombuffer(head, np.uint8).astype(np.int64) + 1, symbol, np.frombuffer(tail, np.uint8).astype(np.int64) + 1, 0])
+            before, after = (np.frombuffer(part, np.uint8).astype(np.int64) + 1 for part in (head, tail))
+            symbols.append(np.r_[before, symbol, after, 0])
             # Windows start at the bytes of the head, and at the middle, as far as the tail reaches.
             here = np.arange(len(head) + 1 + len(tail) - width + 1)
             starts.append(at + here)

@@ -61,7 +61,7 @@ def test_odd_rows(spark):
     assert repeated_bytes(odd.nothing(spark)).count() == 0
 
 
-@pytest.mark.parametrize("group", [4_096, 2])
+@pytest.mark.parametrize("group", [1_024, 2])
 def test_small_lengths_and_finer_blocks(spark, group):
     """group=2 sends every middle with three strings or more down to single windows."""
     rng = np.random.default_rng(5)
