@@ -34,7 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.columns import col
-from gradewell.llm.common import Cache, arrow_rows, chunks, hash64, mix, multipliers, raw_texts, shingle_hashes, split_words, word_hashes
+from gradewell.llm.common import (
+    Cache, arrow_rows, chunks, hash64, mix, multipliers, raw_texts, shingle_hashes, small, split_words, word_hashes,
+)
 from gradewell.llm.graph import bucket_links, components
 from gradewell.workspace import attach, staged
 
@@ -286,7 +288,7 @@ def cut_documents(
     text_at, length_at = df.columns.index(text_col), df.columns.index("n_chars") if "n_chars" in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             arrays, names = list(batch.columns[:-1]), batch.schema.names[:-1]
             spans = batch.column(batch.num_columns - 1)
             texts, keep = arrays[text_at].to_pylist(), [True] * batch.num_rows
