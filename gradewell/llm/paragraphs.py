@@ -226,6 +226,7 @@ def repeated_spans(
     # Units that are not alone: pieces and paragraphs with copies, and paragraphs with similar ones.
     repeated = all_units.groupBy("key").agg(F.count("*").alias("n")).where(col("n") > 1).select("key")
     named = repeated.join(classes, "key", "full_outer").select("key", F.coalesce("component", "key").alias("component"))
+    named = staged(named, "named")  # so the join below may split the copies of one unit
     members = staged(
         all_units.select("key", "doc_id", "text_hash", "start", "stop", "words").join(named, "key").drop("key"), "members"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,30 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def _words_sql(table: str, key: str) -> str:
+    """(key, w): the words of every text, A-Z lower-cased."""
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"select {key}, list_filter(regexp_split_to_array({lower}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {table}"
+
+
+OP4_SQL = f"""
+with docs as ({_words_sql("documents", "doc_id")}),
+items as (
+  select array_to_string(w, ' ') as t, any_value(w) as w, min(item_id) as item_id, count(*) as item_copies
+  from ({_words_sql("benchmark", "item_id")}) where len(w) > 0 group by 1),
+doc_shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from docs where len(w) > 0)),
+item_shingles as (
+  select distinct item_id, item_copies, array_to_string(list_slice(w, i, i + 4), ' ') as s
+  from (select item_id, item_copies, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from items)),
+sizes as (select item_id, item_copies, count(*) as shingles from item_shingles group by all)
+select d.doc_id, z.item_id, z.item_copies, count(*) as shared, z.shingles, cast(count(*) as double) / z.shingles as containment
+from doc_shingles d join item_shingles i using (s) join sizes z using (item_id)
+group by d.doc_id, z.item_id, z.item_copies, z.shingles having count(*) >= 0.8 * z.shingles
+"""
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = quality.fit_quality(docs, _table(spark, folder, "labels"), grade(), 3)
@@ -162,4 +187,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_counts, op8_url_lists, op9_simhash, op10_paragraphs,
     )
 }
-ORACLES: dict[str, str] = {"op8_url_lists": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_url_lists": OP8_SQL}

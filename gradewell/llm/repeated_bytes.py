@@ -378,7 +378,7 @@ def repeated_bytes(
     place = F.struct("doc_id", "text_hash")
     classes = runs.groupBy("key", "cls").agg(F.sum("n").alias("n"), F.min(place).alias("speaker"))
     per_key = classes.groupBy("key").agg(F.count("*").alias("classes"))
-    classes = classes.join(per_key, "key")
+    classes = staged(classes.join(per_key, "key"), "classes")  # so the join below may split a class of many runs
     speaks = (col("classes") > 1) & F.col("speaker.doc_id").eqNullSafe(col("doc_id")) & (F.col("speaker.text_hash") == col("text_hash"))
     state = F.when(col("total") == 1, OPEN).when(speaks, SPEAKS).otherwise(REPEATED)
     verdicts = (
