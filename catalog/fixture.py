@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.workspace import staged
+from gradewell.workspace import exists, scratch_path
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "c_acctbal", "price2", "const_f"]
@@ -56,8 +56,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 WIDE = {f"w{k}": f"(l_quantity * {k} + l_discount * {100 * k}) % {7 + 2 * k}" for k in range(1, 19)}
 
 
+# Where the table of a folder was written, by application.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The modelling table, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _WRITTEN or not exists(spark, _WRITTEN[key]):
+        _WRITTEN[key] = scratch_path(spark, "scored_lines")
+        derived_lines(spark, folder).write.parquet(_WRITTEN[key])
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def derived_lines(spark: SparkSession, folder: str) -> DataFrame:
     tables = {name: table(spark, folder, name) for name in ("lineitem", "orders", "customer")}
+    # Dealt out by key: a file of one row group would be hashed, and later read, by one task.
+    tables["lineitem"] = tables["lineitem"].repartition(*KEY)
     statement = _statement(_SPARK_HASH, "string")
     for name in tables:
         statement = statement.replace(f" {name} ", f" {{{name}}} ").replace(f" {name}\n", f" {{{name}}}\n")
@@ -69,8 +84,8 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def modelling_table(spark: SparkSession, folder: str, columns: Sequence[str] = (), all_rows: bool = False, wide: bool = False) -> DataFrame:
-    """Labelled (or all) rows, written once for the passes that follow."""
+    """Labelled (or all) rows, of these columns."""
     rows = scored_lines(spark, folder) if all_rows else labelled(spark, folder)
     if wide:
         rows = rows.withColumns({name: F.round(F.expr(formula), 6) for name, formula in WIDE.items()})
-    return staged(rows.select(*columns) if columns else rows, "modelling")
+    return rows.select(*columns) if columns else rows

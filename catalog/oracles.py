@@ -274,7 +274,7 @@ def oracles() -> dict[str, str]:
     )
     kinds = "case max(typeof({c})) when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' end"
     sql["column_types"] = on_lines(" union all ".join(
-        f"select '{c}' as name, {kinds.format(c=c)} as data_type, {'false' if c == 'const_f' else 'true'} as nullable, "
+        f"select '{c}' as name, {kinds.format(c=c)} as data_type, true as nullable, "
         + (f"max(length({c}))" if c in CATEGORICAL else "max(cast(null as bigint))") + " as max_len from scored_lines"
         for c in [*KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", *CATEGORICAL, "c_acctbal", "price2", "const_f", "yr", "hs", "hf", "flag"]
     ))
@@ -386,11 +386,11 @@ def oracles() -> dict[str, str]:
         f"select '{n}' as term, round(avg(flag * cast({v} as double)), 2) as moment from lab"
         for n, v in [("intercept", "1"), *[(c, c) for c in ("l_quantity", "l_discount", "l_extendedprice")]]
     ))
-    rates = on_lines(f"select {K}, round(avg(flag) over (partition by l_linestatus), 6) as score from lab")
+    rates = on_lines(f"select {K}, round(avg(flag) over (partition by l_linestatus), 4) as score from lab")
     sql["logistic_score"] = rates
     sql["model_save_load"] = rates
     sql["score_frame"] = on_lines(
-        f"select {K}, round(p, 6) as score, cast(p >= 0.5 as int) as prediction, 0.8::double as calibrated, 0.7::double as probability "
+        f"select {K}, round(p, 4) as score, cast(p >= 0.5 as int) as prediction, 0.8::double as calibrated, 0.7::double as probability "
         f"from (select {K}, avg(flag) over (partition by l_linestatus) as p from lab)"
     )
     points = ", ".join(f"({i}, {b})" for i, b in enumerate(GRID_BINS))

@@ -44,6 +44,12 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/gradewell/{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove the tables this application has staged; call when their readers are done."""
     context = spark.sparkContext
