@@ -102,6 +102,19 @@ def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+# Bytes of rows that Spark hands to a task's Python process together.
+BATCH_BYTES = 8_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with Spark's Arrow batches of this session held to BATCH_BYTES: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ROWS_AT_ONCE."""
     for batch in batches:
@@ -128,7 +141,7 @@ def arrow_rows(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], dict
             if (columns := work(batch)) is not None:
                 yield pa.RecordBatch.from_pydict(columns, schema=arrow_schema)
 
-    return df.mapInArrow(run, spark_schema)
+    return bounded(df).mapInArrow(run, spark_schema)
 
 
 def arrow_filter(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
@@ -139,4 +152,4 @@ def arrow_filter(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], li
         for batch in small(batches):
             yield batch.filter(pa.array(work(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded(df).mapInArrow(run, df.schema)

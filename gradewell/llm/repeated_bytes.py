@@ -51,7 +51,7 @@ GROUP = 1_024
 # Symbols of one suffix array.
 ARRAY = 50_000
 # Window starts that are looked at together; a longer text is gone through in parts.
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 
 RATIO = 0x5851F42D4C957F2D  # odd
 BYTE = mix(np.arange(1, 257, dtype=np.uint64))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from gradewell.columns import col
-from gradewell.llm.common import mix, raw_texts, small, split_words
+from gradewell.llm.common import bounded, mix, raw_texts, small, split_words
 from gradewell.llm.graph import bucket_links, components
 from gradewell.workspace import staged
 
@@ -65,7 +65,7 @@ def with_fingerprint(df: DataFrame, name: str, size: int = SHINGLE, text_col: st
             found = np.array([fingerprint(split_words(raw), size) for raw in raw_texts(batch.column(at))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def pivots(n: int) -> np.ndarray:
