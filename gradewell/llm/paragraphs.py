@@ -1,6 +1,8 @@
 """Substring dedup of paragraphs and of passages inside them.
 
-Paragraphs are lines of at least `LEAST_WORDS` words. Distinct paragraphs get
+Paragraphs are lines of at least `LEAST_WORDS` words, and shorter lines joined
+with their short neighbours: up to the next blank line, and past blank lines up
+to the next long line. Distinct paragraphs get
 MinHash signatures of their five-word shingles, banded for high recall (7 bands
 of 3 at a similarity of 0.8 find 99.3 % of the pairs, and nearly all above);
 paragraphs that collide are verified by their exact Jaccard similarity and
@@ -43,8 +45,8 @@ from gradewell.workspace import attach, staged
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 7, 3
-LEAST_WORDS = 20
 LEAST_SPAN = 15  # words of a span that is removed
+LEAST_WORDS = LEAST_SPAN  # of a paragraph
 REACH = 4  # words on each side that a cut is compared with
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
@@ -83,6 +85,16 @@ def cut_points(words: np.ndarray, line: np.ndarray) -> np.ndarray:
     return good | np.r_[True, line[1:] != line[:-1]][:n]
 
 
+def paragraph_starts(text: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where lines begin, where lines joined with short neighbours up to a blank line do, and where those joined past blank lines do."""
+    new_line = np.r_[True, line[1:] != line[:-1]]
+    begin = np.flatnonzero(new_line)
+    short = np.diff(np.r_[begin, len(line)]) < LEAST_WORDS
+    past = np.r_[True, ~(short[1:] & short[:-1]) | (text[begin[1:]] != text[begin[:-1]])]
+    blank = np.r_[True, np.diff(line[begin]) > 1]
+    return begin, begin[past | blank], begin[past]
+
+
 def _unit_shingles(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of units of at least SHINGLE words one after another, where each unit's begin)."""
     full = shingle_hashes(words, SHINGLE)
@@ -92,7 +104,7 @@ def _unit_shingles(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tu
     return full[at], offset
 
 
-UNITS = "key bigint, doc_id bigint, text_hash bigint, start int, stop int, words int, bands array<bigint>"
+UNITS = "key bigint, doc_id bigint, text_hash bigint, start int, stop int, at int, words int, bands array<bigint>"
 
 
 def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,18 +116,19 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
         def rows(batch: pa.RecordBatch) -> dict | None:
             texts = raw_texts(batch.column(2))
-            out: dict[str, list] = {name: [] for name in ("key", "row", "start", "stop", "words", "bands")}
+            out: dict[str, list] = {name: [] for name in ("key", "row", "start", "stop", "at", "words", "bands")}
             bands_of = []
             for low, high in chunks(texts):
                 words, _ = word_hashes(texts[low:high], cache)
                 if not len(words):
                     continue
                 text, first, last, line = word_places(texts[low:high])
-                new_line = np.r_[True, line[1:] != line[:-1]]
-                for kind, begins in (("line", new_line), ("piece", cut_points(words, line))):
-                    begin = np.flatnonzero(begins)
-                    size = np.diff(np.r_[begin, len(words)])
-                    enough = size >= (LEAST_WORDS if kind == "line" else SHINGLE)
+                place = np.arange(len(words)) - np.searchsorted(text, text)  # of a word among those of its text
+                cuts = [np.flatnonzero(cut_points(words, by)) for by in (line, text)]
+                for kind, least, begins in (("line", LEAST_WORDS, paragraph_starts(text, line)), ("piece", SHINGLE, cuts)):
+                    found = [np.stack([b, np.diff(np.r_[b, len(words)])], 1) for b in begins]
+                    begin, size = np.unique(np.concatenate(found), axis=0).T
+                    enough = size >= least
                     begin, size = begin[enough], size[enough]
                     if not len(begin):
                         continue
@@ -124,6 +137,7 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                     out["row"].append(low + text[begin])
                     out["start"].append(first[begin])
                     out["stop"].append(last[begin + size - 1])
+                    out["at"].append(place[begin])
                     out["words"].append(size)
                     if kind == "line":
                         minima = np.stack([np.minimum.reduceat(shingles * f, offset) for f in factors], 1)
@@ -141,7 +155,7 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             return {
                 "key": joined["key"], "doc_id": pc.take(batch.column(0), at), "text_hash": pc.take(batch.column(1), at),
                 "start": joined["start"].astype(np.int32), "stop": joined["stop"].astype(np.int32),
-                "words": joined["words"].astype(np.int32), "bands": pa.concat_arrays(bands_of),
+                "at": joined["at"].astype(np.int32), "words": joined["words"].astype(np.int32), "bands": pa.concat_arrays(bands_of),
             }
 
         return rows
@@ -228,13 +242,14 @@ def repeated_spans(
     named = repeated.join(classes, "key", "full_outer").select("key", F.coalesce("component", "key").alias("component"))
     named = staged(named, "named")  # so the join below may split the copies of one unit
     members = staged(
-        all_units.select("key", "doc_id", "text_hash", "start", "stop", "words").join(named, "key").drop("key"), "members"
+        all_units.select("key", "doc_id", "text_hash", "start", "stop", "at", "words").join(named, "key").drop("key"), "members"
     )
-    place = F.struct(col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")
+    place = F.struct(col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start", "stop")
     first = staged(members.groupBy("component").agg(F.min(place).alias("first")), "first")
     here = attach(members, first, ["component"])  # the rows of a large component are not shuffled
-    same = col("doc_id").eqNullSafe(F.col("first.doc_id")) & (col("text_hash") == F.col("first.text_hash")) & (col("start") == F.col("first.start"))
-    unit = F.struct("start", "stop", "words", col("component").alias("component"), F.col("first.doc_id").alias("kept"))
+    same = col("doc_id").eqNullSafe(F.col("first.doc_id")) & (col("text_hash") == F.col("first.text_hash"))
+    same = same & (col("start") < F.col("first.stop"))  # units of one text may overlap: what shares bytes with the first stays
+    unit = F.struct("start", "stop", "at", "words", col("component").alias("component"), F.col("first.doc_id").alias("kept"))
     per_doc = here.where(~same).groupBy("doc_id", "text_hash").agg(F.collect_set(unit).alias("units"))
 
     def task():
@@ -259,16 +274,15 @@ RUN_COLUMNS = {"start": "start", "stop": "stop", "n_words": "words", "component_
 
 
 def merged(found: list[dict]) -> list[dict]:
-    """Units of one text joined where they touch or overlap; a paragraph and its own pieces count their words once."""
+    """Units of one text joined where no word lies between them; words that several units hold count once."""
     runs: list[dict] = []
-    for unit in sorted(found, key=lambda u: (u["start"], -u["stop"], u["component"])):
+    for unit in sorted(found, key=lambda u: (u["at"], -u["words"], u["component"])):
         last = runs[-1] if runs else None
-        if last and unit["stop"] <= last["stop"]:
+        end = unit["at"] + unit["words"]
+        if last and end <= last["at"] + last["words"]:
             continue
-        if last and unit["start"] <= last["stop"] + 2:
-            if unit["start"] >= last["stop"]:
-                last["words"] += unit["words"]
-            last["stop"] = unit["stop"]
+        if last and unit["at"] <= last["at"] + last["words"]:
+            last["words"], last["stop"] = end - last["at"], unit["stop"]
             if unit["kept"] is not None and (last["kept"] is None or unit["kept"] < last["kept"]):
                 last["kept"], last["component"] = unit["kept"], unit["component"]
         else:

@@ -98,3 +98,41 @@ def test_cuts_follow_the_words_alone():
     part = cut_points(words[50:150], line[:100])
     assert (whole[60:140] == part[10:90]).all()
     assert word_places([b"", b" a bc\nd ", b"e"])[1].tolist() == [1, 3, 6, 0]
+
+
+def test_passages_in_short_lines(spark):
+    """Passages of 51 words in lines of 1 to 10, with any white space between the lines, between prose laid out alike."""
+    rng = np.random.default_rng(8)
+
+    def laid_out(words, width, gap):
+        return gap.join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    texts = []
+    for width in range(1, 11):
+        for gap in ("\n", "\r\n\r\n", "\n    \n", "\n\n\n"):
+            passage = prose(rng, 51)
+            texts += [laid_out(prose(rng, 37) + passage + prose(rng, 41), w, gap) for w in (width, width, 11 - width)]
+    lone = prose(rng, 51)  # a line of 3 words between longer ones
+    texts += ["\n".join(" ".join(x) for x in (prose(rng, 30) + lone[:24], lone[24:27], lone[27:] + prose(rng, 30))) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    gone = {}
+    for r in repeated_spans(df).collect():
+        assert r["kept_doc_id"] == r["doc_id"] - r["doc_id"] % 3 and 15 <= r["n_words"] <= 51
+        gone[r["doc_id"]] = gone.get(r["doc_id"], 0) + r["n_words"]
+    assert set(gone) == {i for i in range(len(texts)) if i % 3}
+    assert min(gone.values()) >= 20 and np.mean(list(gone.values())) >= 35
+
+
+def test_near_copies_of_short_lines(spark):
+    """A line of 17 words, and five lines of 12 joined, each with one word changed, between other lines."""
+    rng = np.random.default_rng(9)
+    one, five = prose(rng, 17), prose(rng, 60)
+    texts = []
+    for changed in (False, True):
+        a, b = list(one), list(five)
+        if changed:
+            a[-1], b[23] = "changed", "altered"
+        lines = [prose(rng, 30), a, prose(rng, 30), b[:12], b[12:24], b[24:36], b[36:48], b[48:], prose(rng, 30)]
+        texts.append("\n".join(" ".join(x) for x in lines))
+    found = repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"]) for r in found) == [(1, 17), (1, 60)]
