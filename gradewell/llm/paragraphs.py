@@ -15,7 +15,11 @@ words alone, so its inner pieces come out equal wherever it stands. Pieces are
 grouped by all their shingles (similarity 1).
 
 Of every component the first unit stays (by document id, then text hash, then
-place) and the others are removed. Removed units of a document that touch are
+place) and the others are removed. Around units that follow each other in both
+texts, the words of the text and of the one that keeps their first copies are
+aligned, over up to `SKIP` changed words at a time: stretches whose exact Jaccard
+similarity reaches the threshold are units too, and so are their equal parts
+where it does not. Near copies are thus found inside longer lines. Removed units of a document that touch are
 one span; a span must have `LEAST_SPAN` words, so short common phrases stay.
 
 Defined results: texts without words give nothing; a null id counts as the
@@ -37,7 +41,8 @@ from pyspark.sql import functions as F
 
 from gradewell.columns import col
 from gradewell.llm.common import (
-    Cache, arrow_rows, chunks, hash64, mix, multipliers, raw_texts, shingle_hashes, small, split_words, word_hashes,
+    Cache, arrow_rows, chunks, hash64, mix, multipliers, raw_texts, schema_of, shingle_hashes, small,
+    split_words, word_hashes,
 )
 from gradewell.llm.graph import bucket_links, components
 from gradewell.workspace import attach, staged
@@ -47,6 +52,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 7, 3
 LEAST_SPAN = 15  # words of a span that is removed
 LEAST_WORDS = LEAST_SPAN  # of a paragraph
+GAP = 30  # words between units that are aligned together
+AROUND = 40  # words before and after them that are looked at
+SKIP = 3  # words of a change that alignment passes over
 REACH = 4  # words on each side that a cut is compared with
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
@@ -227,6 +235,162 @@ def _with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return one.select("doc_id", "text_hash", "text", "spans")
 
 
+def chains(found: list[dict]) -> list[list[dict]]:
+    """Units of one text that follow each other, no further than GAP words apart, in the text that keeps their first copies as well."""
+    out: list[list[dict]] = []
+    for unit in sorted(found, key=lambda u: (u["kept"] is None, u["kept"] or 0, u["kept_hash"], u["at"], -u["words"])):
+        last = out[-1][-1] if out else None
+        if last and (unit["kept"], unit["kept_hash"]) == (last["kept"], last["kept_hash"]):
+            forward, kept_forward = unit["at"] - last["at"], unit["kept_at"] - last["kept_at"]
+            if abs(forward - kept_forward) <= GAP and 0 <= kept_forward and max(forward, kept_forward) <= last["words"] + GAP:
+                if forward + unit["words"] > last["words"]:
+                    out[-1].append(unit)
+                continue
+        out.append([unit])
+    return out
+
+
+def _follow(a: list[int], b: list[int], i: int, j: int) -> list[tuple[int, int, int]]:
+    """Equal stretches (place in a, place in b, words) from a[i] and b[j] on, with at most SKIP words of either between them."""
+    out = []
+    while True:
+        n, most = 0, min(len(a) - i, len(b) - j)
+        while n < most and a[i + n] == b[j + n]:
+            n += 1
+        if n:
+            out.append((i, j, n))
+        i, j = i + n, j + n
+        for x, y in STEPS:
+            if len(a) - i - x >= SHINGLE and a[i + x : i + x + SHINGLE] == b[j + y : j + y + SHINGLE]:
+                i, j = i + x, j + y
+                break
+        else:
+            return out
+
+
+STEPS = sorted(((x, y) for x in range(SKIP + 1) for y in range(SKIP + 1) if x or y), key=lambda s: (max(s), sum(s)))
+
+
+def similar_stretches(a: list[int], b: list[int], seeds: list[tuple[int, int]], threshold: float) -> list[tuple[int, int, int, int]]:
+    """(from, to, from, to) in the words a and b: stretches around the seeds (equal places) that reach the threshold."""
+    out: list[tuple[int, int, int, int]] = []
+    full = [shingle_hashes(np.array(x, np.int64).view(np.uint64), SHINGLE) for x in (a, b)]
+
+    def take(parts: list[tuple[int, int, int]]) -> None:
+        (i, j, _), (p, q, n) = parts[0], parts[-1]
+        if len(parts) > 1:
+            x, y = np.unique(full[0][i : max(i, p + n - SHINGLE + 1)]), np.unique(full[1][j : max(j, q + n - SHINGLE + 1)])
+            both = len(np.intersect1d(x, y, True))
+            if not both or both < threshold * (len(x) + len(y) - both):
+                take(parts[: len(parts) // 2])
+                take(parts[len(parts) // 2 :])
+                return
+        out.append((i, p + n, j, q + n))
+
+    done = done_b = 0
+    for i, j in seeds:
+        if i < done:
+            continue
+        back = _follow(a[done:i][::-1], b[min(done_b, j) : j][::-1], 0, 0)
+        if back and back[0][:2] == (0, 0):  # goes on in the stretch from the seed
+            i, j = i - back[0][2], j - back[0][2]
+            back = [(x - back[0][2], y - back[0][2], n) for x, y, n in back[1:]]
+        parts = [(i - x - n, j - y - n, n) for x, y, n in reversed(back)] + _follow(a, b, i, j)
+        if not parts:
+            continue
+        take(parts)
+        done, done_b = parts[-1][0] + parts[-1][2], parts[-1][1] + parts[-1][2]
+    return [r for r in out if r[1] - r[0] >= SHINGLE]
+
+
+SEEDS = "array<struct<at: int, kept_at: int>>"
+WINDOW = f"doc_id bigint, text_hash bigint, low int, high int, kept bigint, kept_hash bigint, kept_low int, kept_high int, component bigint, seeds {SEEDS}"
+ALIGNED = "doc_id bigint, text_hash bigint, start int, stop int, at int, words int, component bigint, kept bigint"
+
+
+def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Units around the ones given that are similar to the text that keeps their first copies."""
+    columns, aligned = ([f.name for f in schema_of(x)] for x in (WINDOW, ALIGNED))
+    unit = F.struct("at", "words", "component", "kept", "kept_hash", "kept_at")
+    lists = copies.groupBy("doc_id", "text_hash").agg(F.collect_list(unit).alias("units"))
+
+    def chain():
+        def rows(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {name: [] for name in columns}
+            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for one in chains(found):
+                    last = max(one, key=lambda u: u["at"] + u["words"])
+                    row = {
+                        "doc_id": doc, "text_hash": text, "low": max(0, one[0]["at"] - AROUND), "high": last["at"] + last["words"] + AROUND,
+                        "kept": last["kept"], "kept_hash": last["kept_hash"], "kept_low": max(0, one[0]["kept_at"] - AROUND),
+                        "kept_high": max(u["kept_at"] + u["words"] for u in one) + AROUND, "component": one[0]["component"],
+                        "seeds": [{"at": u["at"], "kept_at": u["kept_at"]} for u in one],
+                    }
+                    for name, part in row.items():
+                        out[name].append(part)
+            return out
+
+        return rows
+
+    windows = staged(arrow_rows(lists, chain, WINDOW), "chains")
+    # One pass over the texts reads the words of both sides; a window that many texts share is read once.
+    kept = windows.select(
+        col("kept").alias("doc_id"), col("kept_hash").alias("text_hash"), col("kept_low").alias("low"), col("kept_high").alias("high")
+    ).distinct()
+    asked = windows.unionByName(kept, allowMissingColumns=True)
+    rest = columns[2:]
+    spans = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*rest)).alias("spans"))
+
+    def read():
+        cache = Cache(hash64)
+
+        def rows(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {name: [] for name in ("row", "hashes", "starts", "stops", *rest)}
+            for i, (raw, wanted) in enumerate(zip(raw_texts(batch.column(2)), batch.column(3).to_pylist())):
+                words = word_hashes([raw], cache)[0].view(np.int64)
+                _, first, last, _ = word_places([raw])
+                for w in wanted:
+                    part, own = slice(w["low"], w["high"]), w["seeds"] is not None
+                    out["row"].append(i)
+                    out["hashes"].append(words[part])
+                    out["starts"].append(first[part].astype(np.int32) if own else None)
+                    out["stops"].append(last[part].astype(np.int32) if own else None)
+                    for name in rest:
+                        out[name].append(w[name])
+            at = pa.array(out.pop("row"), pa.int64())
+            return {"doc_id": pc.take(batch.column(0), at), "text_hash": pc.take(batch.column(1), at)} | out
+
+        return rows
+
+    schema = f"{WINDOW}, hashes array<bigint>, starts array<int>, stops array<int>"
+    words = staged(arrow_rows(_with_text(docs, spans), read, schema), "windows")
+    other = words.where(col("seeds").isNull()).select(
+        col("doc_id").alias("kept"), col("text_hash").alias("kept_hash"), col("low").alias("kept_low"), col("high").alias("kept_high"),
+        col("hashes").alias("kept_hashes"),
+    )
+    pairs = attach(words.where(col("seeds").isNotNull()), other, ["kept", "kept_hash", "kept_low", "kept_high"])
+
+    def align():
+        def rows(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {name: [] for name in aligned}
+            for r in batch.to_pylist():
+                low, kept_low = r["low"], r["kept_low"]
+                seeds = [(u["at"] - low, u["kept_at"] - kept_low) for u in r["seeds"]]
+                one_text = (r["doc_id"], r["text_hash"]) == (r["kept"], r["kept_hash"])
+                for a, b, _, kept_b in similar_stretches(r["hashes"], r["kept_hashes"], seeds, threshold):
+                    if one_text and kept_b + kept_low > a + low:
+                        continue  # what stays may not be part of what goes
+                    row = (r["doc_id"], r["text_hash"], r["starts"][a], r["stops"][b - 1], a + low, b - a, r["component"], r["kept"])
+                    for name, part in zip(out, row):
+                        out[name].append(part)
+            return out
+
+        return rows
+
+    names = ["doc_id", "text_hash", "low", "kept", "kept_hash", "kept_low", "component", "seeds", "hashes", "starts", "stops", "kept_hashes"]
+    return arrow_rows(pairs.select(*names), align, ALIGNED)
+
+
 def repeated_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_words: int = LEAST_SPAN
 ) -> DataFrame:
@@ -244,13 +408,21 @@ def repeated_spans(
     members = staged(
         all_units.select("key", "doc_id", "text_hash", "start", "stop", "at", "words").join(named, "key").drop("key"), "members"
     )
-    place = F.struct(col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start", "stop")
+    place = F.struct(col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start", "stop", "at")
     first = staged(members.groupBy("component").agg(F.min(place).alias("first")), "first")
     here = attach(members, first, ["component"])  # the rows of a large component are not shuffled
     same = col("doc_id").eqNullSafe(F.col("first.doc_id")) & (col("text_hash") == F.col("first.text_hash"))
     same = same & (col("start") < F.col("first.stop"))  # units of one text may overlap: what shares bytes with the first stays
-    unit = F.struct("start", "stop", "at", "words", col("component").alias("component"), F.col("first.doc_id").alias("kept"))
-    per_doc = here.where(~same).groupBy("doc_id", "text_hash").agg(F.collect_set(unit).alias("units"))
+    copies = staged(
+        here.where(~same).select(
+            "doc_id", "text_hash", "start", "stop", "at", "words", "component", F.col("first.doc_id").alias("kept"),
+            F.col("first.text_hash").alias("kept_hash"), F.col("first.at").alias("kept_at"),
+        ),
+        "copies",
+    )
+    found = copies.drop("kept_hash", "kept_at").unionByName(_aligned(copies, docs, threshold))
+    unit = F.struct("start", "stop", "at", "words", "component", "kept")
+    per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_set(unit).alias("units"))
 
     def task():
         def rows(batch: pa.RecordBatch) -> dict:

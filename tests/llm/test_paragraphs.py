@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import odd
 
-from gradewell.llm.paragraphs import cut_documents, cut_points, repeated_spans, word_places
+from gradewell.llm.paragraphs import cut_documents, cut_points, repeated_spans, similar_stretches, word_places
 from gradewell.llm.queries import op10_paragraphs
 
 SMALL = "/root/testdata/sf0.001"
@@ -136,3 +136,31 @@ def test_near_copies_of_short_lines(spark):
         texts.append("\n".join(" ".join(x) for x in lines))
     found = repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"], r["n_words"]) for r in found) == [(1, 17), (1, 60)]
+
+
+def test_near_copies_inside_longer_lines(spark):
+    """Passages of 60 words with one word changed in the middle, and of 100 with two, inside lines of other words."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for k in range(60):
+        passage = prose(rng, 60 if k % 2 else 100)
+        copy = list(passage)
+        for at in (30,) if k % 2 else (33, 67):
+            copy[at] = "changed"
+        texts += [" ".join(prose(rng, int(rng.integers(30, 90))) + x + prose(rng, int(rng.integers(30, 90)))) for x in (passage, copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    gone = {}
+    for r in repeated_spans(df).collect():
+        assert r["kept_doc_id"] == r["doc_id"] - 1
+        gone[r["doc_id"]] = gone.get(r["doc_id"], 0) + r["n_words"]
+    assert set(gone) == set(range(1, 120, 2))
+    assert all(gone[i] >= (50 if i // 2 % 2 else 85) for i in gone)
+
+
+def test_aligned_stretches():
+    a = list(range(100, 160))
+    b = a[:30] + [7] + a[31:]
+    inside = [1, 2, 3] + b + [4, 5]
+    assert similar_stretches(inside, [9, *a, 8], [(20, 18)], 0.8) == [(3, 63, 1, 61)]
+    assert similar_stretches(inside, [9, *a, 8], [(20, 18)], 0.9) == [(3, 33, 1, 31), (34, 63, 32, 61)]
+    assert similar_stretches(a[:20] + a[22:], a, [(4, 4)], 0.8) == [(0, 58, 0, 60)]
