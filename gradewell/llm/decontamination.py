@@ -6,7 +6,9 @@ a class with up to S shingles is searched in windows of 2 S shingles that
 overlap by S, so that whatever a document holds of the item lies in windows of
 comparable size. Every window and item has `hashes` minima under different
 orders; a window with one minimum in common with an item of its class is a
-candidate. An exact check follows: the share of the item's distinct shingles
+candidate. Items of fewer than `SMALLEST_CLASS` shingles would fill too little of
+a window: all their shingles are looked up in the documents instead, which
+misses none. An exact check follows: the share of the item's distinct shingles
 that the whole document contains must reach the threshold.
 
 Documents are scanned where they lie, without a shuffle. Items are read in
@@ -39,7 +41,7 @@ from gradewell.llm.common import (
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 64
-# Smallest class of items, in shingles.
+# Smallest class of items, in shingles; those with fewer are looked up shingle by shingle.
 SMALLEST_CLASS = 16
 # Bytes of item texts in one block.
 BLOCK_BYTES = 8_000_000
@@ -56,6 +58,8 @@ class Items:
     size: int
     # by class: (hash, item) of every minimum, sorted by hash; one pair of arrays for each order
     classes: dict[int, list[tuple[np.ndarray, np.ndarray]]]
+    # (hash, item) of every shingle of the items below the smallest class, sorted by hash, and how many of them an item has
+    short: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def word_shingles(words: list[bytes], size: int) -> set[bytes]:
@@ -79,9 +83,13 @@ def prepare_items(rows: list[tuple[int | None, bytes]], size: int, hashes: int)
     words = [text.split() for text in merged]
     by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
     cache, factors = Cache(hash64), multipliers(hashes)
+    short: list[tuple[int, np.ndarray]] = []
     for i, w in enumerate(words):
         one = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
         found = shingle_hashes(one, size) if len(w) >= size else np.array([_sequence_hash(one)], np.uint64)
+        if len(found) < SMALLEST_CLASS:
+            short.append((i, np.unique(found)))
+            continue
         cls = SMALLEST_CLASS
         while cls < len(found):
             cls *= 2
@@ -94,7 +102,27 @@ def prepare_items(rows: list[tuple[int | None, bytes]], size: int, hashes: int)
             order = np.argsort(minima, kind="stable")
             orders.append((minima[order], np.array([i for i, _ in members], np.int64)[order]))
         classes[cls] = orders
-    return Items(ids, copies, [frozenset(word_shingles(w, size)) for w in words], size, classes)
+    known = np.concatenate([np.empty(0, np.uint64), *(h for _, h in short)])
+    owner = np.repeat(np.array([i for i, _ in short], np.int64), [len(h) for _, h in short])
+    order = np.argsort(known, kind="stable")
+    looked_up = (known[order], owner[order], np.bincount(owner, minlength=len(words)))
+    return Items(ids, copies, [frozenset(word_shingles(w, size)) for w in words], size, classes, looked_up)
+
+
+def _short_candidates(docs: np.ndarray, hashes: np.ndarray, block: Items, threshold: float) -> set[tuple[int, int]]:
+    """(document of the batch, item) pairs of the short items that share enough shingles."""
+    known, owner, total = block.short
+    low, high = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+    at = np.flatnonzero(low < high)
+    if not len(at):
+        return set()
+    count = high[at] - low[at]
+    post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[at], count)
+    once = np.unique(np.repeat(docs[at], count) * len(known) + post)  # a shingle counts once in a document
+    pairs, shared = np.unique(once // len(known) * len(total) + owner[once % len(known)], return_counts=True)
+    doc, item = pairs // len(total), pairs % len(total)
+    enough = shared >= threshold * total[item]
+    return set(zip(doc[enough].tolist(), item[enough].tolist()))
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, hashes: int):
@@ -111,8 +139,8 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, hashes: int
             yield prepare_items([(r["id"], r["text"].encode()) for r in rows], size, hashes)
 
 
-def _candidates(words: np.ndarray, starts: np.ndarray, block: Items, factors: np.ndarray) -> set[tuple[int, int]]:
-    """(document of the batch, item) pairs with a minimum in common."""
+def _candidates(words: np.ndarray, starts: np.ndarray, block: Items, factors: np.ndarray, threshold: float) -> set[tuple[int, int]]:
+    """(document of the batch, item) pairs with a minimum in common, or enough shingles of a short item."""
     size, counts = block.size, np.diff(starts)
     hashes = np.full(len(words), NEVER)
     full = shingle_hashes(words, size)
@@ -130,7 +158,7 @@ def _candidates(words: np.ndarray, starts: np.ndarray, block: Items, factors: np
         return set()
     first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
     length = np.diff(np.r_[first, len(docs)])
-    found: set[tuple[int, int]] = set()
+    found = _short_candidates(docs, hashes, block, threshold)
     layout = {}
     for cls in block.classes:
         per_doc = -(-length // cls)
@@ -157,12 +185,12 @@ def _matcher(block: Items, threshold: float):
     cache, factors = Cache(hash64), multipliers(len(next(iter(block.classes.values()), ())))
 
     def match(texts: list[bytes]) -> list[tuple[int, int, int]]:
-        if not block.classes:
+        if not block.ids:
             return []
         by_doc: dict[int, list[int]] = {}
         for low, high in chunks(texts):
             words, starts = word_hashes(texts[low:high], cache)
-            for doc, item in sorted(_candidates(words, starts, block, factors)):
+            for doc, item in sorted(_candidates(words, starts, block, factors, threshold)):
                 by_doc.setdefault(low + doc, []).append(item)
         out = []
         for doc, candidates in by_doc.items():

@@ -68,3 +68,11 @@ def test_odd_rows_and_several_blocks(spark, monkeypatch):
     nobody = table.limit(0)
     assert contained_items(df, nobody).count() == 0 and without_items(df, nobody).count() == len(rows)
     assert contained_items(odd.nothing(spark), table).count() == 0 and without_items(odd.nothing(spark), table).count() == 0
+
+
+def test_short_items_are_never_missed(spark):
+    """Items of 5 to 19 words, 1 to 15 shingles, each whole inside one long document."""
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(5 + i % 15))) for i in range(450)]
+    docs = [(i, " ".join([*(f"d{i}y{k}" for k in range(40 + i % 60)), text, *(f"d{i}z{k}" for k in range(90))])) for i, text in items]
+    found = contained_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert result(found) == sorted(((i, i, 1, 1 + i % 15, 1 + i % 15) for i, _ in items), key=repr)
