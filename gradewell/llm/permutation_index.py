@@ -12,7 +12,8 @@ So that orders speak about inner products and not angles, vectors get one more
 component, sqrt(M^2 - |x|^2) with M the largest length (queries get 0): then all
 are equally long, and the largest inner product is the smallest angle.
 
-Queries are searched in blocks of bounded size, one pass over the index each; a
+Queries are searched in blocks of bounded size, one pass over the index each, and
+what a block finds is written to the shared folder before the next is collected; a
 task keeps the best `k` of each query over its shard. Copies of a vector in a
 shard are one entry with its k + 1 smallest ids, which is all that can be asked for.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gradewell.columns import col
 from gradewell.llm.common import schema_of
-from gradewell.workspace import staged
+from gradewell.workspace import scratch_path, staged
 
 PIVOTS = 256
 LIST = 64
@@ -130,7 +131,8 @@ def nearest(
     vectors = df.select(col(id_col).cast("bigint").alias("vec_id"), col(vector_col).cast("array<double>").alias("vector"))
     vectors = vectors.where(col("vec_id").isNotNull() & usable(col("vector")))
     squared = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    result = spark.createDataFrame([], "query_id bigint, query_vector bigint, vec_id bigint, score double")
+    schema = "query_id bigint, query_vector bigint, vec_id bigint, score double"
+    path, written = scratch_path(spark, "nearest"), 0
     lengths = vectors.groupBy(F.size("vector").alias("dim")).agg(F.max(squared).alias("longest")).collect()  # one row per length of vector
     for dim, longest in ((r["dim"], r["longest"]) for r in lengths):
         own = vectors.where(F.size("vector") == dim)
@@ -151,11 +153,11 @@ def nearest(
         index = staged(own.mapInArrow(order, schema_of("vec_id bigint, vector array<double>, pivots array<smallint>")), "index")
         asked = index.where(query).select("vec_id", "vector").distinct()
         blocks = int(-(-asked.count() // QUERY_BLOCK))
-        asked = asked.withColumn("block", F.expr(f"pmod(xxhash64(vec_id, vector), {max(1, blocks)})"))
+        asked = staged(asked.withColumn("block", F.expr(f"pmod(xxhash64(vec_id, vector), {max(1, blocks)})")), "asked")
         for b in range(blocks):
             block = asked.where(col("block") == b).orderBy("vec_id", "vector").toArrow()  # about QUERY_BLOCK rows
             query_ids, queries = block.column("vec_id").to_numpy(), _matrix(block.column("vector").combine_chunks(), dim)
-            query_orders = pivot_orders(queries, pivots, length, True, size)
+            query_orders = pivot_orders(queries, pivots, length, True, size).astype(np.int16)
 
             def search(
                 batches: Iterator[pa.RecordBatch], query_ids=query_ids, queries=queries, query_orders=query_orders, dim=dim, n=len(pivots)
@@ -184,8 +186,10 @@ def nearest(
                     "query_id": query_ids[q], "query_vector": q.astype(np.int64), "vec_id": best.ids[q, c], "score": best.score[q, c],
                 })
 
-            found = index.mapInArrow(search, "query_id bigint, query_vector bigint, vec_id bigint, score double")
-            result = result.unionByName(found.withColumn("query_vector", col("query_vector") + b * (1 << 32)))
+            found = index.mapInArrow(search, schema)
+            found.withColumn("query_vector", col("query_vector") + written * (1 << 32)).write.mode("append").parquet(path)
+            written += 1
+    result = spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
     # The same id may come from several shards, as copies of one row.
     window = Window.partitionBy("query_id", "query_vector").orderBy(F.desc("score"), "vec_id")
     ranked = result.distinct().withColumn("rank", F.row_number().over(window)).where(col("rank") <= k)

@@ -54,3 +54,21 @@ def test_all_candidates_are_reranked_where_they_are_few(spark):
         mine = sorted((round(s, 9), i) for _, i, s in got.get(q, []))
         assert mine == sorted((round(-s, 9), i) for best in lists for s, i in best), q
     assert nearest(df.limit(0), 20).count() == 0
+
+
+def test_blocks_of_queries_are_searched_one_by_one(spark, monkeypatch):
+    """What a block finds is written before the next one: the result only reads it, whatever the number of blocks."""
+    from gradewell.llm import permutation_index
+
+    monkeypatch.setattr(permutation_index, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 6)))]
+    rows += [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(30, 3)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    near = nearest(df, 5, query=F.expr("pmod(vec_id, 3) = 0"))
+    assert "MapInArrow" not in near._jdf.queryExecution().toString()
+    wanted, got = brute(rows, 5, lambda q: q % 3 == 0), found(near)
+    assert set(got) == set(wanted)
+    for q, lists in wanted.items():
+        mine = sorted((round(s, 9), i) for _, i, s in got[q])
+        assert mine == sorted((round(-s, 9), i) for best in lists for s, i in best), q
