@@ -72,3 +72,13 @@ def test_blocks_of_queries_are_searched_one_by_one(spark, monkeypatch):
     for q, lists in wanted.items():
         mine = sorted((round(s, 9), i) for _, i, s in got[q])
         assert mine == sorted((round(-s, 9), i) for best in lists for s, i in best), q
+
+
+def test_recall_at_the_share_of_full_shards(spark):
+    """Without the least number of candidates, which searches small shards more fully."""
+    folder = "/root/testdata/sf0.1"
+    wanted = brute(odd.table(folder, "embeddings", "vec_id, embedding"), 20, lambda q: q % 20 == 0)
+    got = found(nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), 20, query=F.expr(EVERY_20TH), least=1))
+    hits = sum(len({i for _, i, _ in got[q]} & {i for _, i in best}) for q, (best,) in wanted.items())
+    print("recall", hits / (20 * len(wanted)))
+    assert set(got) == set(wanted) and hits >= 0.9 * 20 * len(wanted)
