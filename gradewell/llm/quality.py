@@ -128,7 +128,9 @@ def fit_quality(
     rated = rated.groupBy("id").agg(F.min("grade").alias("grade"))
     sample = rated.orderBy(F.xxhash64("id"), "id").limit(sample_rows)  # at most sample_rows narrow rows are broadcast
     texts = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    joined = texts.join(F.broadcast(sample), "id").select("id", "grade", "text")
+    joined = texts.join(F.broadcast(sample), "id")
+    # An id has one label and is one row of the fit, however many rows it has: the text with the smallest hash.
+    joined = joined.groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def task():
         of_word = Cache(word_features)

@@ -67,3 +67,11 @@ def test_odd_rows(spark):
     assert keep_good(df, nobody).count() == len(odd.rows())
     same = fit_quality(df, labels.withColumn("toxic", F.lit(0)).withColumn("quality", F.lit(1)), grade(), 3)
     assert grade_documents(df, same).where("not keep").count() == 0
+
+
+def test_an_id_with_many_rows_is_one_row_of_the_fit(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet").select(*c) for t, c in (("documents", ["doc_id", "text"]), ("labels", ["doc_id", "toxic", "quality"])))
+    one = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    many = docs.unionByName(one.crossJoin(spark.range(300)).select("doc_id", "text"))
+    once, often = (fit_quality(d, labels, grade(), 3) for d in (docs, many))
+    assert once.thresholds and once == often
