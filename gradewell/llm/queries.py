@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import (
-    class_lm, decontamination, packing, paragraphs, permutation_index, quality, repeated_bytes, simhash, token_counts, url_lists,
+    class_lm, context_hash, cross_tokens, decontamination, packing, paragraphs, periodic_runs, permutation_index, quality,
+    repeated_bytes, simhash, token_counts, url_lists,
 )
 
 CAPACITY = 2048
 PACKING_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 # No unigram model is at hand: the pieces and scores of this one serve as unigram vocabulary.
-UNIGRAM_MODEL = "piece_bpe_32k.model"
+UNIGRAM_MODEL = PIECE_TOKENIZER
 
 
 def tokenizer_path(name: str) -> str:
@@ -181,10 +184,50 @@ def op10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs.repeated_spans(_table(spark, folder, "documents")).drop("text_hash")
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a hash of their ids, repeats a stretch of its words from some place to its end.
+    A document without an id stays as it is."""
+    words = F.expr(r"case when h % 10 = 0 then filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != '') end")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn("words", words)
+    rows = rows.withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.expr("if(n > 0, cast(g % greatest(n, 1) as int), 0)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    edited = F.concat_ws(" ", F.expr("slice(words, 1, a)"), tail)
+    return rows.select("doc_id", F.when(F.expr("n > 0"), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_periodic_tails(_table(spark, folder, "documents"))
+    found = periodic_runs.periodic_runs(docs, 12)
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length as length, r.start as start, r.period as period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("top", longest)
+    length = -F.col("top.length")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("top.start").alias("start"), length.alias("length"),
+        F.col("top.period").alias("period"), F.expr("(1000 * -top.length) div top.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_cross_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    placed = cross_tokens.aligned(docs, tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    found = cross_tokens.with_counts(placed.withColumn("groups_sha256", digest).drop("groups"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_context_hash(spark: SparkSession, folder: str) -> DataFrame:
+    found = context_hash.compare_with_next(_table(spark, folder, "documents"))
+    return found.withColumn("edited", F.sha2(F.col("edited").cast("binary"), 256)).withColumnRenamed("edited", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_best_fit_packing, op3_class_lm, op4_decontamination, op5_quality_classifier, op6_permutation_index,
-        op7_token_counts, op8_url_lists, op9_simhash, op10_paragraphs,
+        op7_token_counts, op8_url_lists, op9_simhash, op10_paragraphs, op11_periodic_runs, op12_cross_tokens, op13_context_hash,
     )
 }
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_url_lists": OP8_SQL}
