@@ -112,28 +112,46 @@ def _unit_shingles(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tu
     return full[at], offset
 
 
-UNITS = "key bigint, doc_id bigint, text_hash bigint, start int, stop int, at int, words int, bands array<bigint>"
+DOCUMENT = ["doc_id", "text_hash", "more"]
+# A unit's bytes are start << 32 | stop, its place first word << 32 | words << 2 | kind.
+UNITS = "key bigint, doc_id bigint, text_hash bigint, more bigint, span bigint, place bigint, bands array<bigint>"
+PIECE, LINE, WHOLE = 0, 1, 2
 
 
 def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs (with bands) and pieces (bands null) of every text."""
+    """Whole texts, paragraphs (with bands, the others have none) and pieces of every text."""
     factors = multipliers(BANDS * ROWS)
 
     def task():
         cache = Cache(hash64)
 
         def rows(batch: pa.RecordBatch) -> dict | None:
-            texts = raw_texts(batch.column(2))
-            out: dict[str, list] = {name: [] for name in ("key", "row", "start", "stop", "at", "words", "bands")}
+            texts = raw_texts(batch.column(3))
+            whole_keys = mix(batch.column(1).to_numpy().view(np.uint64) ^ mix(batch.column(2).to_numpy().view(np.uint64)))
+            out: dict[str, list] = {name: [] for name in ("key", "row", "span", "place")}
             bands_of = []
+
+            def add(key, row, start, stop, at, words, kind):
+                out["key"].append(key.view(np.int64))
+                out["row"].append(row)
+                out["span"].append(start << 32 | stop)
+                out["place"].append(at << 32 | words << 2 | kind)
+
             for low, high in chunks(texts):
                 words, _ = word_hashes(texts[low:high], cache)
                 if not len(words):
                     continue
                 text, first, last, line = word_places(texts[low:high])
                 place = np.arange(len(words)) - np.searchsorted(text, text)  # of a word among those of its text
+                begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+                size = np.diff(np.r_[begin, len(words)])
+                begin, size = begin[size >= LEAST_SPAN], size[size >= LEAST_SPAN]
+                if len(begin):
+                    row = low + text[begin]
+                    add(whole_keys[row], row, first[begin], last[begin + size - 1], place[begin], size, WHOLE)
+                    bands_of.append(pa.nulls(len(begin), pa.list_(pa.int64())))
                 cuts = [np.flatnonzero(cut_points(words, by)) for by in (line, text)]
-                for kind, least, begins in (("line", LEAST_WORDS, paragraph_starts(text, line)), ("piece", SHINGLE, cuts)):
+                for kind, least, begins in ((LINE, LEAST_WORDS, paragraph_starts(text, line)), (PIECE, SHINGLE, cuts)):
                     found = [np.stack([b, np.diff(np.r_[b, len(words)])], 1) for b in begins]
                     begin, size = np.unique(np.concatenate(found), axis=0).T
                     enough = size >= least
@@ -141,13 +159,9 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                     if not len(begin):
                         continue
                     shingles, offset = _unit_shingles(words, begin, size)
-                    out["key"].append(mix(np.add.reduceat(mix(shingles), offset) + np.uint64(kind == "line")).view(np.int64))
-                    out["row"].append(low + text[begin])
-                    out["start"].append(first[begin])
-                    out["stop"].append(last[begin + size - 1])
-                    out["at"].append(place[begin])
-                    out["words"].append(size)
-                    if kind == "line":
+                    key = mix(np.add.reduceat(mix(shingles), offset) + np.uint64(kind == LINE))
+                    add(key, low + text[begin], first[begin], last[begin + size - 1], place[begin], size, kind)
+                    if kind == LINE:
                         minima = np.stack([np.minimum.reduceat(shingles * f, offset) for f in factors], 1)
                         bands = np.zeros((len(begin), BANDS), np.uint64)
                         for r in range(ROWS):
@@ -158,27 +172,32 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                         bands_of.append(pa.nulls(len(begin), pa.list_(pa.int64())))
             if not bands_of:
                 return None
-            joined = {k: np.concatenate(v) for k, v in out.items() if k != "bands"}
-            at = pa.array(joined.pop("row"))
-            return {
-                "key": joined["key"], "doc_id": pc.take(batch.column(0), at), "text_hash": pc.take(batch.column(1), at),
-                "start": joined["start"].astype(np.int32), "stop": joined["stop"].astype(np.int32),
-                "at": joined["at"].astype(np.int32), "words": joined["words"].astype(np.int32), "bands": pa.concat_arrays(bands_of),
-            }
+            joined = {k: np.concatenate(v) for k, v in out.items()}
+            at = pa.array(joined["row"])
+            document = {name: pc.take(batch.column(i), at) for i, name in enumerate(DOCUMENT)}
+            return {"key": joined["key"], **document, "span": joined["span"], "place": joined["place"], "bands": pa.concat_arrays(bands_of)}
 
         return rows
 
     return arrow_rows(_documents(df, id_col, text_col), task, UNITS)
 
 
-def text_hash(text: Column) -> Column:
-    """32 bits: tells texts under the same id apart."""
-    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
+def text_hashes(text: Column) -> list[Column]:
+    """128 bits that tell texts under the same id apart."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("more"), text)]
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = col(text_col).cast("string")
-    return df.select(col(id_col).cast("bigint").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    one, two = text_hashes(text)
+    return df.select(col(id_col).cast("bigint").alias("doc_id"), one.alias("text_hash"), two.alias("more"), text.alias("text"))
+
+
+def _unpacked() -> list[Column]:
+    return [F.expr(x) for x in (
+        "shiftright(span, 32) as start", "span & 4294967295 as stop", "shiftright(place, 32) as at",
+        "shiftright(place & 4294967295, 2) as words", "cast(place & 3 as int) as kind",
+    )]
 
 
 def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -188,9 +207,9 @@ def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> Dat
     banded = staged(banded.join(shared, "band"), "bands")
     # One occurrence of every paragraph that collides, to read its text.
     wanted = lines.join(banded.select("key").distinct(), "key").groupBy("key").agg(
-        F.min(F.struct("doc_id", "text_hash", "start", "stop")).alias("at")
+        F.min(F.struct(*DOCUMENT, "span")).alias("at")
     ).select("key", "at.*")
-    spans = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "start", "stop")).alias("spans"))
+    spans = wanted.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("key", "span")).alias("spans"))
     found = _with_text(docs, spans)
 
     def task():
@@ -200,7 +219,7 @@ def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> Dat
             keys, sets = [], []
             for raw, places in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
                 for p in places:
-                    words = split_words(raw[p["start"] : p["stop"]])
+                    words = split_words(raw[p["span"] >> 32 : p["span"] & 0xFFFFFFFF])
                     keys.append(p["key"])
                     sets.append(np.unique(shingle_hashes(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), SHINGLE)).view(np.int64))
             return {"key": keys, "shingles": sets}
@@ -228,19 +247,22 @@ def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> Dat
     return components(links, "paragraphs").select(col("node").alias("key"), "component")
 
 
+def _same_document(left: str, right: str) -> Column:
+    return F.expr(f"{left}doc_id <=> {right}doc_id and {left}text_hash = {right}text_hash and {left}more = {right}more")
+
+
 def _with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The texts of the documents that `spans` (doc_id, text_hash, spans) names."""
-    named = spans.select(col("doc_id").alias("__id"), col("text_hash").alias("__hash"), "spans")
-    one = docs.join(named, col("doc_id").eqNullSafe(col("__id")) & (col("text_hash") == col("__hash")))
-    return one.select("doc_id", "text_hash", "text", "spans")
+    """The texts of the documents that `spans` (doc_id, text_hash, more, spans) names."""
+    named = spans.select(*[col(c).alias(f"__{c}") for c in DOCUMENT], "spans")
+    return docs.join(named, _same_document("", "__")).select(*DOCUMENT, "text", "spans")
 
 
 def chains(found: list[dict]) -> list[list[dict]]:
     """Units of one text that follow each other, no further than GAP words apart, in the text that keeps their first copies as well."""
     out: list[list[dict]] = []
-    for unit in sorted(found, key=lambda u: (u["kept"] is None, u["kept"] or 0, u["kept_hash"], u["at"], -u["words"])):
+    for unit in sorted(found, key=lambda u: (u["kept"] is None, u["kept"] or 0, u["kept_hash"], u["kept_more"], u["at"], -u["words"])):
         last = out[-1][-1] if out else None
-        if last and (unit["kept"], unit["kept_hash"]) == (last["kept"], last["kept_hash"]):
+        if last and all(unit[k] == last[k] for k in KEPT):
             forward, kept_forward = unit["at"] - last["at"], unit["kept_at"] - last["kept_at"]
             if abs(forward - kept_forward) <= GAP and 0 <= kept_forward and max(forward, kept_forward) <= last["words"] + GAP:
                 if forward + unit["words"] > last["words"]:
@@ -250,18 +272,55 @@ def chains(found: list[dict]) -> list[list[dict]]:
     return out
 
 
-def _follow(a: list[int], b: list[int], i: int, j: int) -> list[tuple[int, int, int]]:
+KEPT = ["kept", "kept_hash", "kept_more"]
+
+
+def covered(found: list[dict]) -> list[tuple[int, int]]:
+    """(first word, one past the last) of the stretches that these units of one text cover, in order."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted((u["at"], u["at"] + u["words"]) for u in found):
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+def edges_of(lines: list[dict]) -> list[dict]:
+    """The first and last words of what removed paragraphs cover, as units next to which the texts may go on alike."""
+    out = []
+    begins, ends = ({x[k] for x in covered(lines)} for k in (0, 1))
+    for u in lines:
+        part = min(u["words"], u["kept_words"], SHINGLE)
+        if u["at"] in begins:
+            out.append(u | {"words": part})
+        if u["at"] + u["words"] in ends:
+            out.append(u | {"words": part, "at": u["at"] + u["words"] - part, "kept_at": u["kept_at"] + u["kept_words"] - part})
+    return out
+
+
+def _equal_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words a and b have in common at their beginnings."""
+    most, n, size = min(len(a), len(b)), 0, 16
+    while n < most:
+        other = np.flatnonzero(a[n : n + size] != b[n : n + size]) if min(most - n, size) == size else np.flatnonzero(a[n:most] != b[n:most])
+        if len(other):
+            return n + int(other[0])
+        n, size = min(n + size, most), 4 * size
+    return n
+
+
+def _follow(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int, int]]:
     """Equal stretches (place in a, place in b, words) from a[i] and b[j] on, with at most SKIP words of either between them."""
     out = []
     while True:
-        n, most = 0, min(len(a) - i, len(b) - j)
-        while n < most and a[i + n] == b[j + n]:
-            n += 1
+        n = _equal_words(a[i:], b[j:])
         if n:
             out.append((i, j, n))
         i, j = i + n, j + n
+        near, kept_near = a[i : i + SKIP + SHINGLE].tolist(), b[j : j + SKIP + SHINGLE].tolist()
         for x, y in STEPS:
-            if len(a) - i - x >= SHINGLE and a[i + x : i + x + SHINGLE] == b[j + y : j + y + SHINGLE]:
+            if len(near) - x >= SHINGLE and near[x : x + SHINGLE] == kept_near[y : y + SHINGLE]:
                 i, j = i + x, j + y
                 break
         else:
@@ -271,10 +330,11 @@ def _follow(a: list[int], b: list[int], i: int, j: int) -> list[tuple[int, int,
 STEPS = sorted(((x, y) for x in range(SKIP + 1) for y in range(SKIP + 1) if x or y), key=lambda s: (max(s), sum(s)))
 
 
-def similar_stretches(a: list[int], b: list[int], seeds: list[tuple[int, int]], threshold: float) -> list[tuple[int, int, int, int]]:
+def similar_stretches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], threshold: float) -> list[tuple[int, int, int, int]]:
     """(from, to, from, to) in the words a and b: stretches around the seeds (equal places) that reach the threshold."""
     out: list[tuple[int, int, int, int]] = []
-    full = [shingle_hashes(np.array(x, np.int64).view(np.uint64), SHINGLE) for x in (a, b)]
+    a, b = (np.asarray(x, np.int64) for x in (a, b))
+    full = [shingle_hashes(x.view(np.uint64), SHINGLE) for x in (a, b)]
 
     def take(parts: list[tuple[int, int, int]]) -> None:
         (i, j, _), (p, q, n) = parts[0], parts[-1]
@@ -304,25 +364,29 @@ def similar_stretches(a: list[int], b: list[int], seeds: list[tuple[int, int]],
 
 
 SEEDS = "array<struct<at: int, kept_at: int>>"
-WINDOW = f"doc_id bigint, text_hash bigint, low int, high int, kept bigint, kept_hash bigint, kept_low int, kept_high int, component bigint, seeds {SEEDS}"
-ALIGNED = "doc_id bigint, text_hash bigint, start int, stop int, at int, words int, component bigint, kept bigint"
+WINDOW = (
+    "doc_id bigint, text_hash bigint, more bigint, low int, high int, kept bigint, kept_hash bigint, kept_more bigint, "
+    f"kept_low int, kept_high int, component bigint, seeds {SEEDS}"
+)
+ALIGNED = "doc_id bigint, text_hash bigint, more bigint, start bigint, stop bigint, at bigint, words bigint, component bigint, kept bigint"
 
 
 def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Units around the ones given that are similar to the text that keeps their first copies."""
+    """Units around the ones given (removed paragraphs and pieces) that are similar to the text that keeps their first copies."""
     columns, aligned = ([f.name for f in schema_of(x)] for x in (WINDOW, ALIGNED))
-    unit = F.struct("at", "words", "component", "kept", "kept_hash", "kept_at")
-    lists = copies.groupBy("doc_id", "text_hash").agg(F.collect_list(unit).alias("units"))
+    unit = F.struct("kind", "at", "words", "component", *KEPT, "kept_at", "kept_words")
+    lists = copies.groupBy(*DOCUMENT).agg(F.collect_list(unit).alias("units"))
 
     def chain():
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {name: [] for name in columns}
-            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for one in chains(found):
+            for *document, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                seeds = [u for u in found if u["kind"] == PIECE] + edges_of([u for u in found if u["kind"] == LINE])
+                for one in chains(seeds):
                     last = max(one, key=lambda u: u["at"] + u["words"])
-                    row = {
-                        "doc_id": doc, "text_hash": text, "low": max(0, one[0]["at"] - AROUND), "high": last["at"] + last["words"] + AROUND,
-                        "kept": last["kept"], "kept_hash": last["kept_hash"], "kept_low": max(0, one[0]["kept_at"] - AROUND),
+                    row = dict(zip(DOCUMENT, document)) | {k: last[k] for k in KEPT} | {
+                        "low": max(0, one[0]["at"] - AROUND), "high": last["at"] + last["words"] + AROUND,
+                        "kept_low": max(0, one[0]["kept_at"] - AROUND),
                         "kept_high": max(u["kept_at"] + u["words"] for u in one) + AROUND, "component": one[0]["component"],
                         "seeds": [{"at": u["at"], "kept_at": u["kept_at"]} for u in one],
                     }
@@ -335,18 +399,18 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     windows = staged(arrow_rows(lists, chain, WINDOW), "chains")
     # One pass over the texts reads the words of both sides; a window that many texts share is read once.
     kept = windows.select(
-        col("kept").alias("doc_id"), col("kept_hash").alias("text_hash"), col("kept_low").alias("low"), col("kept_high").alias("high")
+        *[col(k).alias(c) for k, c in zip(KEPT, DOCUMENT)], col("kept_low").alias("low"), col("kept_high").alias("high")
     ).distinct()
     asked = windows.unionByName(kept, allowMissingColumns=True)
-    rest = columns[2:]
-    spans = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*rest)).alias("spans"))
+    rest = columns[3:]
+    spans = asked.groupBy(*DOCUMENT).agg(F.collect_list(F.struct(*rest)).alias("spans"))
 
     def read():
         cache = Cache(hash64)
 
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {name: [] for name in ("row", "hashes", "starts", "stops", *rest)}
-            for i, (raw, wanted) in enumerate(zip(raw_texts(batch.column(2)), batch.column(3).to_pylist())):
+            for i, (raw, wanted) in enumerate(zip(raw_texts(batch.column(3)), batch.column(4).to_pylist())):
                 words = word_hashes([raw], cache)[0].view(np.int64)
                 _, first, last, _ = word_places([raw])
                 for w in wanted:
@@ -358,87 +422,147 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                     for name in rest:
                         out[name].append(w[name])
             at = pa.array(out.pop("row"), pa.int64())
-            return {"doc_id": pc.take(batch.column(0), at), "text_hash": pc.take(batch.column(1), at)} | out
+            return {name: pc.take(batch.column(k), at) for k, name in enumerate(DOCUMENT)} | out
 
         return rows
 
     schema = f"{WINDOW}, hashes array<bigint>, starts array<int>, stops array<int>"
     words = staged(arrow_rows(_with_text(docs, spans), read, schema), "windows")
     other = words.where(col("seeds").isNull()).select(
-        col("doc_id").alias("kept"), col("text_hash").alias("kept_hash"), col("low").alias("kept_low"), col("high").alias("kept_high"),
+        *[col(c).alias(k) for k, c in zip(KEPT, DOCUMENT)], col("low").alias("kept_low"), col("high").alias("kept_high"),
         col("hashes").alias("kept_hashes"),
     )
-    pairs = attach(words.where(col("seeds").isNotNull()), other, ["kept", "kept_hash", "kept_low", "kept_high"])
+    pairs = attach(words.where(col("seeds").isNotNull()), other, [*KEPT, "kept_low", "kept_high"])
 
     def align():
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {name: [] for name in aligned}
-            for r in batch.to_pylist():
+            lists = {name: batch.column(name) for name in ("hashes", "kept_hashes", "starts", "stops")}
+            narrow = batch.drop_columns(list(lists)).to_pylist()
+            for i, r in enumerate(narrow):
                 low, kept_low = r["low"], r["kept_low"]
                 seeds = [(u["at"] - low, u["kept_at"] - kept_low) for u in r["seeds"]]
-                one_text = (r["doc_id"], r["text_hash"]) == (r["kept"], r["kept_hash"])
-                for a, b, _, kept_b in similar_stretches(r["hashes"], r["kept_hashes"], seeds, threshold):
+                one_text = all(r[c] == r[k] for c, k in zip(DOCUMENT, KEPT))
+                own, other = (lists[name][i].values.to_numpy() for name in ("hashes", "kept_hashes"))
+                for a, b, _, kept_b in similar_stretches(own, other, seeds, threshold):
                     if one_text and kept_b + kept_low > a + low:
                         continue  # what stays may not be part of what goes
-                    row = (r["doc_id"], r["text_hash"], r["starts"][a], r["stops"][b - 1], a + low, b - a, r["component"], r["kept"])
+                    row = (
+                        *[r[c] for c in DOCUMENT], lists["starts"][i][a].as_py(), lists["stops"][i][b - 1].as_py(), a + low, b - a,
+                        r["component"], r["kept"],
+                    )
                     for name, part in zip(out, row):
                         out[name].append(part)
             return out
 
         return rows
 
-    names = ["doc_id", "text_hash", "low", "kept", "kept_hash", "kept_low", "component", "seeds", "hashes", "starts", "stops", "kept_hashes"]
+    names = [*DOCUMENT, "low", *KEPT, "kept_low", "component", "seeds", "hashes", "starts", "stops", "kept_hashes"]
     return arrow_rows(pairs.select(*names), align, ALIGNED)
 
 
+def _first(members: DataFrame, group: str) -> DataFrame:
+    """(group, first): the unit of every group that stays."""
+    order = F.struct(col("doc_id").isNull().alias("none"), *DOCUMENT, "place")
+    return staged(members.groupBy(group).agg(F.min(order).alias("first")), "first")
+
+
+def _copies(members: DataFrame, group: str) -> DataFrame:
+    """The units that go, with the one that stays; the rows of a large group are not shuffled."""
+    here = attach(members, _first(members, group), [group])
+    at, size = F.expr("shiftright(first.place, 32)"), F.expr("shiftright(first.place & 4294967295, 2)")
+    # Units of one text may overlap: what shares words with the first stays.
+    stays = _same_document("", "first.") & (F.shiftright("place", 32) < at + size)
+    return here.where(~stays).select(
+        *DOCUMENT, *_unpacked(), "component", F.col("first.doc_id").alias("kept"), F.col("first.text_hash").alias("kept_hash"),
+        F.col("first.more").alias("kept_more"), at.alias("kept_at"), size.alias("kept_words"), "key", "span", "place",
+    )
+
+
+MEMBER = "key bigint, doc_id bigint, text_hash bigint, more bigint, span bigint, place bigint, component bigint"
+UNCOVERED = f"{MEMBER}, kept bigint, kept_hash bigint, kept_more bigint, kept_at bigint, kept_words bigint"
+
+
+def _uncovered(pieces: DataFrame, gone: DataFrame) -> DataFrame:
+    """Removed texts and paragraphs (those inside a removed text left out) and the pieces that lie in none of them (kept_words null)."""
+    names = [f.name for f in schema_of(UNCOVERED)]
+    rest = [n for n in names if n not in DOCUMENT]
+    both = gone.select(*names).unionByName(pieces.select(*[f.name for f in schema_of(MEMBER)]), allowMissingColumns=True)
+    lists = both.groupBy(*DOCUMENT).agg(F.collect_list(F.struct(*rest)).alias("units"))
+
+    def task():
+        def rows(batch: pa.RecordBatch) -> dict:
+            at, units = batch.column(3), batch.column(3).values
+            sizes = np.diff(at.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            units = units.slice(at.offsets[0].as_py(), len(row))
+            place = units.field("place").to_numpy()
+            low, kind = place >> 32, place & 3
+            high = low + ((place & 0xFFFFFFFF) >> 2)
+            # Paragraphs count before pieces, whole texts before both; places of different documents do not meet.
+            base = row.astype(np.int64) << 32
+            keep = np.ones(len(row), bool)
+            for above, below in ((WHOLE, (LINE, PIECE)), (LINE, (PIECE,))):
+                cover = np.flatnonzero((kind == above) & keep)
+                if not len(cover):
+                    continue
+                cover = cover[np.argsort(base[cover] + low[cover], kind="stable")]
+                begins, reach = base[cover] + low[cover], np.maximum.accumulate(base[cover] + high[cover])
+                apart = np.flatnonzero(np.r_[True, begins[1:] > reach[:-1]])
+                begins, reach = begins[apart], reach[np.r_[apart[1:] - 1, len(cover) - 1]]
+                inner = np.flatnonzero(np.isin(kind, below))
+                slot = np.searchsorted(begins, base[inner] + low[inner], "right") - 1
+                keep[inner] &= (slot < 0) | (base[inner] + high[inner] > reach[slot])
+            chosen = pa.array(np.flatnonzero(keep))
+            units, row = units.take(chosen), pa.array(row[keep])
+            flat = {n: units.field(n) for n in rest}
+            return {n: pc.take(batch.column(k), row) for k, n in enumerate(DOCUMENT)} | flat
+
+        return rows
+
+    return staged(arrow_rows(lists, task, UNCOVERED), "uncovered")
+
+
 def repeated_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_words: int = LEAST_SPAN
 ) -> DataFrame:
-    """(doc_id, text_hash, start, stop, n_words, component_id, kept_doc_id): the
+    """(doc_id, text_hash, more, start, stop, n_words, component_id, kept_doc_id): the
     bytes [start, stop) of a text that repeat what stays elsewhere; kept_doc_id is the
     smallest document that keeps a unit of the span, component_id that unit's component."""
     docs = _documents(df, id_col, text_col)
     all_units = staged(units(df, id_col, text_col), "units")
     lines = all_units.where(col("bands").isNotNull())
     classes = staged(_line_components(lines, docs, threshold), "classes")
-    # Units that are not alone: pieces and paragraphs with copies, and paragraphs with similar ones.
+    # Units that are not alone: texts, paragraphs and pieces with copies, and paragraphs with similar ones.
     repeated = all_units.groupBy("key").agg(F.count("*").alias("n")).where(col("n") > 1).select("key")
     named = repeated.join(classes, "key", "full_outer").select("key", F.coalesce("component", "key").alias("component"))
     named = staged(named, "named")  # so the join below may split the copies of one unit
-    members = staged(
-        all_units.select("key", "doc_id", "text_hash", "start", "stop", "at", "words").join(named, "key").drop("key"), "members"
-    )
-    place = F.struct(col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start", "stop", "at")
-    first = staged(members.groupBy("component").agg(F.min(place).alias("first")), "first")
-    here = attach(members, first, ["component"])  # the rows of a large component are not shuffled
-    same = col("doc_id").eqNullSafe(F.col("first.doc_id")) & (col("text_hash") == F.col("first.text_hash"))
-    same = same & (col("start") < F.col("first.stop"))  # units of one text may overlap: what shares bytes with the first stays
-    copies = staged(
-        here.where(~same).select(
-            "doc_id", "text_hash", "start", "stop", "at", "words", "component", F.col("first.doc_id").alias("kept"),
-            F.col("first.text_hash").alias("kept_hash"), F.col("first.at").alias("kept_at"),
-        ),
-        "copies",
-    )
-    found = copies.drop("kept_hash", "kept_at").unionByName(_aligned(copies, docs, threshold))
+    members = staged(all_units.drop("bands").join(named, "key"), "members")
+    gone = staged(_copies(members.where("place & 3 > 0"), "component"), "gone")
+    rest = _uncovered(members.where("place & 3 = 0"), gone)
+    pieces = _copies(rest.where("place & 3 = 0").select(*[f.name for f in schema_of(MEMBER)]), "key")
+    whole = rest.where("place & 3 > 0").select("*", *_unpacked())
+    names = [*DOCUMENT, "kind", "start", "stop", "at", "words", "component", *KEPT, "kept_at", "kept_words"]
+    copies = staged(whole.select(*names).unionByName(pieces.select(*names)), "copies")
+    found = copies.select(*[f.name for f in schema_of(ALIGNED)]).unionByName(_aligned(copies.where(col("kind") != WHOLE), docs, threshold))
     unit = F.struct("start", "stop", "at", "words", "component", "kept")
-    per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_set(unit).alias("units"))
+    per_doc = found.groupBy(*DOCUMENT).agg(F.collect_set(unit).alias("units"))
 
     def task():
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("at", *RUN_COLUMNS)}
-            for i, found in enumerate(batch.column(2).to_pylist()):
+            for i, found in enumerate(batch.column(3).to_pylist()):
                 for run in merged(found):
                     if run["words"] >= least_words:
                         out["at"].append(i)
                         for name, part in RUN_COLUMNS.items():
                             out[name].append(run[part])
             at = pa.array(out.pop("at"), pa.int64())
-            return {"doc_id": pc.take(batch.column(0), at), "text_hash": pc.take(batch.column(1), at)} | out
+            return {name: pc.take(batch.column(k), at) for k, name in enumerate(DOCUMENT)} | out
 
         return rows
 
-    schema = "doc_id bigint, text_hash bigint, start int, stop int, n_words bigint, component_id bigint, kept_doc_id bigint"
+    schema = "doc_id bigint, text_hash bigint, more bigint, start int, stop int, n_words bigint, component_id bigint, kept_doc_id bigint"
     return arrow_rows(per_doc, task, schema)
 
 
@@ -467,10 +591,9 @@ def cut_documents(
 ) -> DataFrame:
     """df without the repeated spans of its texts and without documents that are nothing else."""
     spans = repeated_spans(df, id_col, text_col, threshold, least_words)
-    cuts = spans.groupBy(col("doc_id").alias("__id"), col("text_hash").alias("__hash")).agg(
-        F.collect_list(F.struct("start", "stop")).alias("__spans")
-    )
-    key = col(id_col).cast("bigint").eqNullSafe(col("__id")) & (text_hash(col(text_col).cast("string")) == col("__hash"))
+    cuts = spans.groupBy(*[col(c).alias(f"__{c}") for c in DOCUMENT]).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    one, two = text_hashes(col(text_col).cast("string"))
+    key = col(id_col).cast("bigint").eqNullSafe(col("__doc_id")) & (one == col("__text_hash")) & (two == col("__more"))
     joined = df.join(cuts, key, "left").select(*[col(c) for c in df.columns], "__spans")
     text_at, length_at = df.columns.index(text_col), df.columns.index("n_chars") if "n_chars" in df.columns else None
 

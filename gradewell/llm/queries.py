@@ -181,7 +181,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeated_spans(_table(spark, folder, "documents")).drop("text_hash")
+    return paragraphs.repeated_spans(_table(spark, folder, "documents")).drop("text_hash", "more")
 
 
 def with_periodic_tails(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import odd
+import xxhash
 
 from gradewell.llm.paragraphs import cut_documents, cut_points, repeated_spans, similar_stretches, word_places
 from gradewell.llm.queries import op10_paragraphs
@@ -164,3 +165,64 @@ def test_aligned_stretches():
     assert similar_stretches(inside, [9, *a, 8], [(20, 18)], 0.8) == [(3, 63, 1, 61)]
     assert similar_stretches(inside, [9, *a, 8], [(20, 18)], 0.9) == [(3, 33, 1, 31), (34, 63, 32, 61)]
     assert similar_stretches(a[:20] + a[22:], a, [(4, 4)], 0.8) == [(0, 58, 0, 60)]
+
+
+def test_what_goes_is_present_in_what_stays(spark):
+    """Every removed span of the given documents, shingle by shingle, and its columns."""
+    docs = dict(odd.table(SMALL, "documents", "doc_id, text"))
+    spans = op10_paragraphs(spark, SMALL).collect()
+    stays = set()
+    for r in cut_documents(spark.read.parquet(f"{SMALL}/documents.parquet")).collect():
+        stays |= shingles(odd.words(r["text"]))
+    kept_whole = {d: shingles(odd.words(t)) for d, t in docs.items()}
+    for r in spans:
+        gone = odd.words(docs[r["doc_id"]].encode()[r["start"] : r["stop"]].decode())
+        assert r["n_words"] == len(gone) >= 15
+        found = shingles(gone)
+        assert len(found & stays) >= 0.75 * len(found), r
+        assert r["kept_doc_id"] == r["doc_id"] or found & kept_whole[r["kept_doc_id"]], r
+
+
+def test_a_passage_stays_where_its_first_copy_is_not_removed(spark):
+    """b's line is a near copy of a's and goes; the passage in which they differ is also in c, and stays there."""
+    rng = np.random.default_rng(11)
+    base, passage = prose(rng, 300), prose(rng, 25)
+    near = base[:140] + passage + base[165:]
+    texts = [" ".join(base), " ".join(near), " ".join(prose(rng, 40) + passage + prose(rng, 40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [(r["doc_id"], r["kept_doc_id"], r["n_words"]) for r in repeated_spans(df).collect()] == [(1, 0, 300)]
+    assert sorted((r["doc_id"], r["text"]) for r in cut_documents(df).collect()) == [(0, texts[0]), (2, texts[2])]
+
+
+def test_copies_of_whole_texts_and_of_their_passages(spark):
+    """The copy of a text goes as a whole, also where the original loses a passage to an earlier document."""
+    rng = np.random.default_rng(12)
+    passage = prose(rng, 50)
+    one, two = prose(rng, 60) + passage + prose(rng, 60), prose(rng, 45) + passage + prose(rng, 45)
+    texts = [" ".join(one), " ".join(two), " ".join(two), "too short to go", "too short to go"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = sorted((r["doc_id"], r["kept_doc_id"], r["n_words"]) for r in repeated_spans(df).collect())
+    assert [f[:2] for f in found] == [(1, 0), (2, 1)] and 40 <= found[0][2] <= 50 and found[1][2] == 140
+    assert sorted(r["doc_id"] for r in cut_documents(df).collect()) == [0, 1, 3, 4]
+
+
+def test_texts_without_an_id_are_told_apart_by_their_whole_hashes(spark):
+    """Two texts whose 64-bit hashes agree in their last 32 bits, under no id, are cut each at its own places."""
+    rng = np.random.default_rng(13)
+    passage = " ".join(prose(rng, 60))
+    seen, pair = {}, None
+    for i in range(400_000):
+        text = f"{' '.join([f'ö{i}x{k}' for k in range(25 + i % 4)])} {passage} {' '.join([f'{i}é{k}' for k in range(25)])}"
+        low = xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFFFF
+        if low in seen and len(seen[low].split(passage)[0]) != len(text.split(passage)[0]):
+            pair = [seen[low], text]
+            break
+        seen[low] = text
+    assert pair
+    rows = [(0, f"before {passage} after"), (None, pair[0]), (None, pair[1])]
+    kept = [r["text"] for r in cut_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(kept) == 3 and rows[0][1] in kept
+    for text in pair:
+        head, tail = text.split(passage)
+        left = [k for k in kept if k.startswith(head) and k.endswith(tail)]
+        assert len(left) == 1 and set(odd.words(left[0])) < set(odd.words(text)) and len(odd.words(left[0])) < 80
