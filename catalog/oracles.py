@@ -34,7 +34,7 @@ def correlations() -> str:
     return f"corrs as (select feature, count(x) as n, {CORR} as corr from ({long}) where x is not null group by feature)"
 
 
-RANKED = """ranked as (select feature, abs(corr) as abs_corr, row_number() over (order by abs(corr) desc, feature) as rank,
+RANKED = """ranked as (select feature, abs(corr) as abs_corr, row_number() over (order by round(abs(corr), 12) desc, feature) as rank,
 count(*) over () as defined from corrs where corr is not null)"""
 
 

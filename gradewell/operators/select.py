@@ -16,13 +16,20 @@ from gradewell.operators.stats import BLOCK, correlation_with, f_statistic, labe
 
 # Lowest mean correlation a relevance is divided by.
 REDUNDANCY_FLOOR = 0.001
+# Digits that count in a comparison: what differs beyond them is a tie and goes to the first name.
+DIGITS = 12
+
+
+def significant(value: float) -> float:
+    """value to DIGITS significant digits."""
+    return float(f"{value:.{DIGITS - 1}e}")
 
 
 def _by_correlation(df: DataFrame, numeric: Sequence[str], label: str) -> DataFrame:
-    """(rank, feature, abs_corr, defined) for features with a defined correlation."""
+    """(rank, feature, abs_corr, defined) for features with a defined correlation, ties to DIGITS decimals by name."""
     table = label_correlation(df, numeric, label).where(col("corr").isNotNull())
     # One row per feature: a single window is small whatever the data.
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("abs_corr"), "feature")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.round("abs_corr", DIGITS).desc(), "feature")
     return table.select(
         F.row_number().over(order).alias("rank"), "feature", "abs_corr",
         F.count("*").over(Window.partitionBy(F.lit(1))).alias("defined"),
@@ -88,7 +95,7 @@ def smart_correlated(df: DataFrame, features: Sequence[str], threshold: float =
     """(feature, kept): of correlated features the one of highest variance stays."""
     features = list(features)
     spread = {r["feature"]: -1.0 if r["var"] is None else r["var"] for r in variances(df, features).collect()}
-    order = sorted(features, key=lambda c: (-spread[c], c))
+    order = sorted(features, key=lambda c: (-significant(spread[c]), c))
     return _kept_table(df, features, _keep_first(order, correlated_pairs(df, features, threshold)))
 
 
@@ -106,7 +113,7 @@ def greedy_mrmr(relevance: dict[str, float | None], correlations: Callable[[str,
     chosen: list[tuple[str, float]] = []
     while left and len(chosen) < k:
         scores = {c: relevance[c] / max(sums[c] / len(chosen), REDUNDANCY_FLOOR) if chosen else relevance[c] for c in left}
-        best = max(left, key=lambda c: scores[c])
+        best = max(left, key=lambda c: significant(scores[c]))
         chosen.append((best, scores[best]))
         left.remove(best)
         if left and len(chosen) < k:
@@ -127,14 +134,14 @@ def mrmr_select(df: DataFrame, features: Sequence[str], label: str, k: int) -> D
     labelled = df.where(col(label).isNotNull())
     if len(features) <= BLOCK:
         rows = pairwise_correlation(labelled, features).select("feature_a", "feature_b", "corr").collect() if len(features) > 1 else []
-        known = {frozenset((r["feature_a"], r["feature_b"])): abs(r["corr"] or 0.0) for r in rows}
+        known = {frozenset((r["feature_a"], r["feature_b"])): abs(round(r["corr"] or 0.0, DIGITS)) for r in rows}
 
         def correlations(taken: str, others: Sequence[str]) -> dict[str, float]:
             return {c: known[frozenset((taken, c))] for c in others}
     else:
         def correlations(taken: str, others: Sequence[str]) -> dict[str, float]:
             rows = correlation_with(labelled, others, taken).collect()
-            return {r["feature"]: abs(r["corr"] or 0.0) for r in rows}
+            return {r["feature"]: abs(round(r["corr"] or 0.0, DIGITS)) for r in rows}
 
     chosen = greedy_mrmr(relevance, correlations, k)
     rows = [(i, c, float(s)) for i, (c, s) in enumerate(chosen, 1)]

@@ -6,6 +6,7 @@ is undefined (constant column, no pairs, one class) is null, never an error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -15,11 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, col
+from gradewell.operators.sums import exact_sum, middle, ranges
 
 # Features per aggregate: each needs about a dozen running numbers.
 COLUMNS_PER_PASS = 50
+# Columns per aggregate of means.
+MEANS_PER_PASS = 200
 # Features whose pairs are correlated in one scan.
 BLOCK = 500
+# Share of the squares around a shift that must be spread, or the shift is moved to the mean.
+CANCELLED = 1e-4
+# Square of the relative spread up to which a column counts as constant.
+CONSTANT = 1e-28
 # Groups of tasks whose sums are added apart first.
 TASK_GROUPS = 16
 
@@ -115,38 +123,81 @@ def pairwise_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def correlation_with(df: DataFrame, features: Sequence[str], other: str) -> DataFrame:
-    """(feature, corr) of every feature with one numeric column, from one scan."""
-    columns = [*features, other]
-    k = len(features)
-    shift = _column_means(df, columns)
-    table = _correlations(df, columns, np.arange(k), np.array([k]), shift)
-    names = F.array(*[F.lit(c) for c in columns])
-    return table.select(names[col("i")].alias("feature"), "n", "corr")
+    """(feature, n, corr) of every feature with one numeric column.
+
+    One scan for the ends of the columns, one aggregate for every
+    COLUMNS_PER_PASS features for their sums around the middle, and another for
+    features whose mean is so far from it that squares cancel. The sums are exact
+    (see `sums`), so results are the same to the last bit in any layout.
+    """
+    features = list(features)
+    present = df.where(as_number(df, other).isNotNull())
+    spans = ranges(present, [*dict.fromkeys([*features, other])])
+    shifts = {c: middle(span) for c, span in spans.items()}
+    found: dict[str, tuple[int, float | None]] = dict.fromkeys(features, (0, None))
+    todo = [c for c in features if spans[c][0] and shifts[c] is not None and shifts[other] is not None]
+    found |= {c: (spans[c][0], None) for c in features if c not in todo}
+    for again in (False, True):
+        far = []
+        for names in _chunks(todo):
+            for c, sums in zip(names, _pair_sums(present, names, other, shifts, spans)):
+                n, sx, _, sxx, _, _ = sums
+                if not again and sxx > 0 and sxx - sx * sx / n < sxx * CANCELLED:
+                    far.append(c)
+                    shifts[c] += sx / n
+                else:
+                    found[c] = n, _from_sums(sums, shifts[c], shifts[other])
+        todo = far
+    rows = [(c, *found[c]) for c in features]
+    return df.sparkSession.createDataFrame(rows, "feature string, n bigint, corr double")
+
+
+def _pair_sums(df: DataFrame, features: Sequence[str], other: str, shifts: dict[str, float], spans: dict) -> list[tuple[float, ...]]:
+    """n, sx, sy, sxx, syy, sxy of every feature with `other`, around their shifts, where both are present."""
+    rows = spans[other][0]
+    reach = {c: max(abs(spans[c][1] - shifts[c]), abs(spans[c][2] - shifts[c])) for c in {*features, other}}
+    b = reach[other]
+    part = df.select((as_number(df, other) - F.lit(shifts[other])).alias("y"), *[
+        (as_number(df, c) - F.lit(shifts[c])).alias(f"x{i}") for i, c in enumerate(features)
+    ])
+    entries = []
+    for i, c in enumerate(features):
+        x, a = col(f"x{i}"), reach[c]
+        y = col("y") if spans[c][0] == rows else F.when(x.isNotNull(), col("y"))
+        entries += [
+            F.count(x).alias(f"n{i}"), exact_sum(x, a, rows).alias(f"a{i}"), exact_sum(y, b, rows).alias(f"b{i}"),
+            exact_sum(x * x, a * a, rows).alias(f"aa{i}"), exact_sum(y * y, b * b, rows).alias(f"bb{i}"),
+            exact_sum(x * y, a * b, rows).alias(f"ab{i}"),
+        ]
+    row = part.agg(*entries).first()
+    return [tuple(row[f"{k}{i}"] for k in ("n", "a", "b", "aa", "bb", "ab")) for i in range(len(features))]
+
+
+def _from_sums(sums: tuple[float, ...], shift_x: float, shift_y: float) -> float | None:
+    n, sx, sy, sxx, syy, sxy = sums
+    if not n:
+        return None
+    cxx, cyy, cxy = sxx - sx * (sx / n), syy - sy * (sy / n), sxy - sx * (sy / n)
+    ax, ay = abs(sx / n + shift_x), abs(sy / n + shift_y)
+    # A spread within the rounding of the values themselves is a constant column.
+    if not (cxx > n * ax * ax * CONSTANT and cyy > n * ay * ay * CONSTANT):
+        return None
+    corr = cxy / (math.sqrt(cxx) * math.sqrt(cyy))
+    return corr if math.isfinite(corr) else None
 
 
 def _column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """The mean of every column (0 if it has none), from one scan: a shift near
-    the middle keeps the squares that follow from cancelling."""
+    """About the mean of every column (0 if it has none): a shift near the middle
+    keeps the squares that follow from cancelling. Rounded, as its last digits do not matter."""
+    shift = []
+    for names in [list(columns[i : i + MEANS_PER_PASS]) for i in range(0, len(columns), MEANS_PER_PASS)]:
+        row = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)]).agg(
+            *[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(names))]
+        ).first()
+        shift += [float(np.float32(v)) if v is not None and np.isfinite(np.float32(v)) else 0.0 for v in row]
+    return np.array(shift)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, mean = np.zeros(len(columns)), np.zeros(len(columns))
-        for batch in batches:
-            x = batch.to_numpy(dtype="float64")
-            seen = np.isfinite(x)
-            here = seen.sum(axis=0)
-            n += here
-            some = n > 0
-            mean[some] += (np.where(seen, x - mean, 0.0).sum(axis=0))[some] / n[some]
-        yield pd.DataFrame({"c": np.arange(len(columns)), "n": n, "mean": mean})
 
-    narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    total = narrow.mapInPandas(add, "c int, n double, mean double").groupBy("c").agg(
-        F.try_divide(F.sum(col("n") * col("mean")), F.sum("n")).alias("mean")
-    )
-    shift = np.zeros(len(columns))
-    for r in total.collect():  # one row per column
-        shift[r["c"]] = r["mean"] or 0.0
-    return shift
 
 
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -187,6 +238,6 @@ def _correlations(df: DataFrame, columns: Sequence[str], left: np.ndarray, right
         "ax": F.abs(col("mx") + means[col("i")]), "ay": F.abs(col("my") + means[col("j")]),
     })
     # A spread within the rounding of the values themselves is a constant column.
-    varies = (col("cxx") > col("n") * col("ax") * col("ax") * 1e-28) & (col("cyy") > col("n") * col("ay") * col("ay") * 1e-28)
+    varies = (col("cxx") > col("n") * col("ax") * col("ax") * CONSTANT) & (col("cyy") > col("n") * col("ay") * col("ay") * CONSTANT)
     corr = F.try_divide(col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
     return total.select("i", "j", col("n").cast("bigint").alias("n"), F.when(varies & ~F.isnan(corr), corr).alias("corr"))

@@ -1,9 +1,12 @@
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from catalog.fixture import NUMERIC
 from gradewell.operators import select, stats
+from gradewell.operators.sums import exact_sum
 from gradewell.operators.select import (
     drop_correlated, greedy_mrmr, kept_features, low_corr_filter, mrmr_select, smart_correlated, top_corr_select,
 )
@@ -125,3 +128,56 @@ def test_correlation_scan_keeps_its_tasks(spark):
     df = spark.range(0, 1_000, 1, 64).selectExpr("cast(id as double) as a", "cast(id % 7 as double) as b")
     plan = stats.pairwise_correlation(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce" not in plan and "SinglePartition" not in plan and "Window" not in plan
+
+
+def test_sums_are_the_same_in_any_layout(spark):
+    """Values of very different sizes, far from zero, with nulls: the same doubles for 1 to 64 partitions."""
+    random = np.random.default_rng(5)
+    n = 5_000
+    frame = pd.DataFrame({
+        "a": random.normal(size=n) * 10.0 ** random.integers(-6, 6, n), "b": 1e9 + random.normal(size=n),
+        "c": np.where(random.random(n) < 0.2, np.nan, random.exponential(size=n)), "d": np.r_[1e12, random.random(n - 1)],
+        "y": random.integers(0, 2, n),
+    })
+    frame["a2"] = 2 * frame["a"]
+    df = spark.createDataFrame(frame)
+    names = ["a", "b", "c", "d", "a2"]
+    seen = set()
+    for parts in (1, 2, 5, 16, 64):
+        rows = stats.label_correlation(df.repartition(parts), names, "y").collect()
+        seen.add(tuple((r.feature, r.n, r["corr"]) for r in rows))
+    assert len(seen) == 1
+    got = {f: c for f, _, c in seen.pop()}
+    assert got["a"] == got["a2"]
+    for c in names[:3]:
+        assert got[c] == pytest.approx(frame[c].corr(frame["y"]), abs=1e-7)
+    x = [Fraction(v) for v in frame["d"]]
+    y = [Fraction(int(v)) for v in frame["y"]]
+    mx, my = sum(x) / n, sum(y) / n
+    cov = sum((p - mx) * (q - my) for p, q in zip(x, y))
+    exact = float(cov) / (float(sum((p - mx) ** 2 for p in x)) ** 0.5 * float(sum((q - my) ** 2 for q in y)) ** 0.5)
+    assert got["d"] == pytest.approx(exact, abs=1e-7)
+
+
+def test_exact_sum_is_the_rounded_true_sum(spark):
+    random = np.random.default_rng(6)
+    values = (random.normal(size=3_000) * 10.0 ** random.integers(-3, 4, 3_000)).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    bound, true = max(map(abs, values)), float(sum(map(Fraction, values)))
+    for rows in (3_000, 10**9):
+        got = {df.repartition(p).agg(exact_sum(df["v"], bound, rows)).first()[0] for p in (1, 4, 9)}
+        assert len(got) == 1 and got.pop() == pytest.approx(true, rel=1e-15)
+    assert df.agg(exact_sum(df["v"] * 0.0, 0.0, 10)).first()[0] == 0.0
+
+
+def test_equal_correlations_are_ranked_by_name(spark):
+    """z is twice a: the same correlation, whatever the last digits say."""
+    random = np.random.default_rng(7)
+    frame = pd.DataFrame({"z": random.random(2_000) * 1e5, "m": random.random(2_000)})
+    frame["a"], frame["y"] = frame["z"] / 2, random.integers(0, 2, 2_000)
+    df = spark.createDataFrame(frame)
+    for parts in (1, 3, 8):
+        ranked = top_corr_select(df.repartition(parts), ["z", "m", "a"], "y", 1.0).orderBy("rank").collect()
+        order = [r.feature for r in ranked]
+        assert order.index("a") + 1 == order.index("z")
+    assert [c for c, _ in greedy_mrmr({"z": 1.0 + 1e-15, "a": 1.0, "m": 0.5}, lambda taken, others: dict.fromkeys(others, 0.5), 3)] == ["a", "z", "m"]
