@@ -24,6 +24,7 @@ besides the id and the text are not looked at.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,9 @@ RUN_LINKS = 1_000_000
 # Radix partitions: tasks that merge, each the runs' pairs of some tokens of B.
 PARTS = 64
 # Segments (words with what follows them) that a task keeps between runs; results do not depend on it.
-SEGMENTS = 200_000
+SEGMENTS = 300_000
+# Documents whose new segments are aligned together.
+TOGETHER = 64
 
 DOCUMENT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string"
 PLACED = f"run bigint, place int, {DOCUMENT}, part int, blob binary"
@@ -58,30 +61,38 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers over segments of texts, each segment once."""
+    """Both tokenizers over segments of texts."""
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         letters = _byte_letters()
-        self.bytes_a = {i: bytes([letters[x] for x in t]) for t, i in self.a.get_vocab().items() if all(x in letters for x in t)}
+        vocabulary = {t: i for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(x in letters for x in t)}
+        bytes_a = {i: bytes([letters[x] for x in t]) for t, i in vocabulary.items()}
+        # Ids are in the order of the merges, so the same vocabulary serves as ranks of a faster encoder.
+        self.fast = Encoding("a", pat_str=PATTERN, mergeable_ranks={raw: i for i, raw in bytes_a.items()}, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)
         ]
+        self.size_a = np.zeros(max(bytes_a) + 1, np.int64)
+        self.size_a[list(bytes_a)] = [len(x) for x in bytes_a.values()]
+        self.sizes_a = self.size_a.tolist()
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # Segments are independent unless a piece goes over a space.
         self.splits = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
 
     def segments(self, text: str) -> list[str]:
         """The text cut before every single space between two characters that are no white space."""
-        parts = text.split(" ")
         if not self.splits or SPACE_MARK in text:
             return [text]
-        if "" not in parts and not any(p[0].isspace() or p[-1].isspace() for p in parts):
+        parts = text.split(" ")
+        if parts[0] and parts[-1] and not WIDE_SPACE.search(text):
             return parts
         joined = [parts[0]]
         for p in parts[1:]:
@@ -92,46 +103,61 @@ class Aligner:
                 joined.append(p)
         return joined
 
-    def align(self, segment: str) -> tuple[list[int], list[int], list[tuple[int, int, int, int]]] | None:
-        """(ids of A, ids of B, groups (from, to in A, from, to in B)), None if the bytes differ."""
-        a = self.a.encode(" " + segment, add_special_tokens=False).ids
-        b = self.b.encode(segment)
-        raw = (" " + segment).encode()
-        if any(i not in self.bytes_a for i in a) or b"".join([self.bytes_a[i] for i in a]) != raw:
-            return None
-        if b"".join([self.bytes_b[i] for i in b]) != raw:
-            return None
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in a])
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in b])
-        _, at, bt = np.intersect1d(ends_a, ends_b, return_indices=True)
-        at, bt = (at + 1).tolist(), (bt + 1).tolist()
-        return a, b, list(zip([0, *at], at, [0, *bt], bt))
-
-
-class _Known(dict):
-    """segment -> its number in the lists of this run: tokens, groups, links."""
+    def encode_a(self, segments: list[str]) -> list[list[int]]:
+        """Ids of a space and each segment. Beyond Latin letters the two encoders might class characters differently."""
+        fast, slow = self.fast.encode_ordinary, self.a.encode
+        return [fast(" " + s) if max(s, default="") < LATIN_END else slow(" " + s, add_special_tokens=False).ids for s in segments]
+
+
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WIDE_SPACE = re.compile(r" \s|\s ")
+LATIN_END = "\u0250"
+
+
+class _Known:
+    """Segments that have been aligned: their numbers, tokens, groups and links."""
 
     def __init__(self, aligner: Aligner):
-        super().__init__()
         self.aligner = aligner
-        self.sizes: list[tuple[int, int, int]] = []
+        self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
-
-    def __missing__(self, segment: str) -> int:
-        found = self.aligner.align(segment)
-        if found is None:
-            n = -1
-        else:
-            a, b, spans = found
-            n = len(self.sizes)
-            self.sizes.append((len(a), len(b), len(spans)))
-            self.groups.append(";".join([
-                f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in spans
-            ]))
-            self.links.append([b[m - 1] << 32 | a[j - 1] for _, j, _, m in spans])
-        self[segment] = n
-        return n
+        self.n_groups: list[int] = []
+        self.sizes: list[np.ndarray] = []  # per lot: rows (tokens of A, tokens of B, links)
+        self.links: list[np.ndarray] = []  # per lot: B << 32 | A of every link
+
+    def learn(self, segments: list[str]) -> None:
+        """Align these segments, side by side. Where bytes differ from the text the number is -1."""
+        one = self.aligner
+        size_a = one.sizes_a
+        a, b = one.encode_a(segments), one.b.encode(segments, num_threads=1)
+        good = []
+        for i, (s, x, y) in enumerate(zip(segments, a, b)):
+            if y and b"".join([one.bytes_b[t] for t in y]) == (raw := (" " + s).encode()) and sum([size_a[t] for t in x]) == len(raw):
+                self.number[s] = len(self.groups) + len(good)
+                good.append(i)
+            else:
+                self.number[s] = -1
+        if not good:
+            return
+        a, b = [a[i] for i in good], [b[i] for i in good]
+        sizes = np.array([[len(x) for x in a], [len(y) for y in b], [0] * len(good)], np.int64)
+        flat_a, flat_b = (np.fromiter((t for x in side for t in x), np.int64) for side in (a, b))
+        ends_a, ends_b = np.cumsum(one.size_a[flat_a]), np.cumsum(one.size_b[flat_b])
+        last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        done = np.cumsum(last_a)[np.cumsum(sizes[0]) - 1]  # a group ends with every segment
+        sizes[2] = np.diff(done, prepend=0)
+        self.sizes.append(sizes)
+        self.links.append(flat_b[last_b] << 32 | flat_a[last_a])
+        self.n_groups += sizes[2].tolist()
+        last_a, last_b, i, j = last_a.tolist(), last_b.tolist(), 0, 0
+        for x, y, n in zip(a, b, sizes[2].tolist()):
+            if n == 1:
+                self.groups.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+            else:
+                parts = "".join([f"{t}{'|' if end else ','}" for t, end in zip(x, last_a[i : i + len(x)])]).split("|")
+                others = "".join([f"{t}{';' if end else ','}" for t, end in zip(y, last_b[j : j + len(y)])]).split(";")
+                self.groups.append(";".join([f"{p}|{q}" for p, q in zip(parts[:-1], others[:-1])]))
+            i, j = i + len(x), j + len(y)
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -153,53 +179,59 @@ class _Run:
 
     def __init__(self, number: int, known: _Known, parts: int):
         self.number, self.known, self.parts = number, known, parts
-        self.documents: list[tuple] = []
+        self.ids: list[int | None] = []
+        self.groups: list[str] = []
         self.segments: list[np.ndarray] = []
         self.links = 0
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        known, place = self.known, len(self.documents)
-        parts = [known[s] for s in known.aligner.segments(text)] if text else []
-        if -1 in parts:
-            # bytes that one segment lacks could only come back in another: the whole text decides
-            parts = [known[text]] if known.aligner.segments(text) != [text] else [-1]
-        if not parts or -1 in parts:
-            self.documents.append((self.number, place, doc_id, 0, 0, 0, 0, ""))
-            return
-        sizes = [known.sizes[p] for p in parts]
-        a, b, groups = (sum(x) for x in zip(*sizes))
-        self.documents.append((self.number, place, doc_id, a, b, groups, groups, ";".join([known.groups[p] for p in parts])))
-        self.segments.append(np.array([parts, [place] * len(parts)], np.int64))
-        self.links += groups
+    def add(self, doc_ids: list[int | None], texts: list[str]) -> None:
+        known = self.known
+        segments = [known.aligner.segments(t) if t else [] for t in texts]
+        if new := dict.fromkeys(s for some in segments for s in some if s not in known.number):
+            known.learn(list(new))
+        for doc_id, text, some in zip(doc_ids, texts, segments):
+            numbers = [known.number[s] for s in some]
+            if -1 in numbers and len(some) > 1:
+                # bytes that one segment lacks could only come back in another: the whole text decides
+                if text not in known.number:
+                    known.learn([text])
+                numbers = [known.number[text]]
+            if -1 in numbers:
+                numbers = []
+            if numbers:
+                self.segments.append(np.array([numbers, [len(self.ids)] * len(numbers)], np.int64))
+                self.links += sum([known.n_groups[n] for n in numbers])
+            self.ids.append(doc_id)
+            self.groups.append(";".join([known.groups[n] for n in numbers]))
 
     def rows(self, names: list[str]) -> dict:
         """Document rows, one row of pair totals per radix partition, and one of the links themselves (partition -1)."""
-        columns = dict(zip(names, map(list, zip(*self.documents))))
-        columns["part"], columns["blob"] = [None] * len(self.documents), [None] * len(self.documents)
-        if not self.segments:
-            return columns
-        segment, place = np.concatenate(self.segments, axis=1)
-        counts = np.array([len(x) for x in self.known.links], np.int64)
-        begins = np.cumsum(counts) - counts
-        flat = np.fromiter((x for row in self.known.links for x in row), np.int64, int(counts.sum()))
-        n = counts[segment]
-        index = np.repeat(begins[segment] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        key = flat[index]
-        part = (key >> 32) & (self.parts - 1)
-        # radix partition, then B's token, then A's: the side of B is major
-        keys, pair = np.unique(part << 52 | key, return_inverse=True)
-        links, times = np.unique(pair.astype(np.int64) << 32 | np.repeat(place, n), return_counts=True)
-        totals = np.bincount(pair, minlength=len(keys))
-        part_of = keys >> 52
-        blobs = [(-1, _packed(links, times))]
-        for p in np.unique(part_of).tolist():
-            here = slice(*np.searchsorted(part_of, [p, p + 1]).tolist())
-            blobs.append((p, _packed(keys[here] & ((1 << 52) - 1), totals[here])))
-        for name in names[:8]:
-            columns[name] += [self.number if name == "run" else None] * len(blobs)
-        columns["part"] += [p for p, _ in blobs]
-        columns["blob"] += [x for _, x in blobs]
-        return columns
+        count, blobs = len(self.ids), []
+        tokens = np.zeros((3, count), np.int64)
+        if self.segments:
+            segment, place = np.concatenate(self.segments, axis=1)
+            sizes, flat = np.concatenate(self.known.sizes, axis=1), np.concatenate(self.known.links)
+            for k in range(3):
+                tokens[k] = np.bincount(place, sizes[k][segment], count)
+            n = sizes[2][segment]
+            begins = np.cumsum(sizes[2]) - sizes[2]
+            key = flat[np.repeat(begins[segment] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            part = (key >> 32) & (self.parts - 1)
+            # radix partition, then B's token, then A's: the side of B is major
+            keys, pair = np.unique(part << 52 | key, return_inverse=True)
+            links, times = np.unique(pair.astype(np.int64) << 32 | np.repeat(place, n), return_counts=True)
+            totals = np.bincount(pair, minlength=len(keys))
+            part_of = keys >> 52
+            blobs.append((-1, _packed(links, times)))
+            for p in np.unique(part_of).tolist():
+                here = slice(*np.searchsorted(part_of, [p, p + 1]).tolist())
+                blobs.append((p, _packed(keys[here] & ((1 << 52) - 1), totals[here])))
+        empty, none = [None] * len(blobs), [None] * count
+        columns = (
+            [self.number] * (count + len(blobs)), [*range(count), *empty], self.ids + empty,
+            *[t.tolist() + empty for t in (*tokens, tokens[2])], self.groups + empty, none + [p for p, _ in blobs], none + [x for _, x in blobs],
+        )
+        return dict(zip(names, columns))
 
 
 def aligned(
@@ -216,15 +248,16 @@ def aligned(
         known = _Known(aligner)
         now = _Run(number, known, parts)
         for batch in small(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                now.add(doc_id, text)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for low in range(0, len(texts), TOGETHER):
+                now.add(doc_ids[low : low + TOGETHER], texts[low : low + TOGETHER])
                 if now.links >= run_links:
                     yield pa.RecordBatch.from_pydict(now.rows(schema.names), schema=schema)
                     number += 1
-                    if len(known) > SEGMENTS:
+                    if len(known.number) > SEGMENTS:
                         known = _Known(aligner)
                     now = _Run(number, known, parts)
-        if now.documents:
+        if now.ids:
             yield pa.RecordBatch.from_pydict(now.rows(schema.names), schema=schema)
 
     source = df.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).cast("string").alias("text"))
