@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import col
+from gradewell.workspace import attach, staged
 
 KINDS = {"domain": 1, "host": 2, "prefix": 3}  # with their rank in specificity
 AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:@]+)"
@@ -88,7 +89,7 @@ def as_of_blocks(captures: DataFrame, entries: DataFrame, id_col: str, url_col:
     ).withColumn("host", url_host(col("url")))
     last = rows.agg(F.max("fetched_on")).first()[0]
     # Each different URL and day is looked up once.
-    asked = rows.where((col("host") != "") & col("fetched_on").isNotNull()).select("url", "host", "fetched_on").distinct()
+    asked = staged(rows.where((col("host") != "") & col("fetched_on").isNotNull()).select("url", "host", "fetched_on").distinct(), "asked")
     keyed = asked.select(
         "url", "fetched_on", _month(col("fetched_on")).alias("month"),
         F.explode(_keys(col("host"), url_path(col("url")), depth["labels"] or 0, depth["slashes"] or 0)).alias("k"),
@@ -97,7 +98,10 @@ def as_of_blocks(captures: DataFrame, entries: DataFrame, id_col: str, url_col:
     monthly = listed.where(col("valid_from") <= ends).withColumn(
         "month", F.explode(F.sequence(_month(col("valid_from")), _month(ends)))
     )
-    matches = keyed.join(monthly, ["kind", "key", "month"]).where(
+    # One row per key and month, however often it was listed; a key that many captures share, listed or not, is not shuffled.
+    spans = staged(monthly.groupBy("kind", "key", "month").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("spans")), "listed")
+    found = attach(keyed, spans, ["kind", "key", "month"], how="inner")
+    matches = found.select("url", "fetched_on", "kind", "key", F.inline("spans")).where(
         (col("valid_from") <= col("fetched_on")) & (col("valid_to").isNull() | (col("fetched_on") < col("valid_to")))
     )
     rank = F.coalesce(*[F.when(col("kind") == kind, n) for kind, n in KINDS.items()])

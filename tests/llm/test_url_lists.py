@@ -50,3 +50,19 @@ def test_as_of(spark):
     assert as_of_blocks(df, table.limit(0), "id", "url", "day").where("blocked").count() == 0
     assert as_of_blocks(df.limit(0), table, "id", "url", "day").count() == 0
     assert odd.nothing(spark).count() == 0
+
+
+def test_a_third_of_all_captures_under_one_host(spark, monkeypatch):
+    """Keys that many captures share, listed, unlisted and taken off again, with no table small enough to be broadcast."""
+    from gradewell import workspace
+
+    monkeypatch.setattr(workspace, "BROADCAST_ROWS", 4)
+    hosts = ["hot.example.com"] * 40 + ["cold.example.com"] * 40 + [f"h{i}.org" for i in range(40)]
+    captures = [(i, f"https://{h}/p{i}", D("2024-01-01") + dt.timedelta(days=i)) for i, h in enumerate(hosts)]
+    entries = [("host", "hot.example.com", D("2024-01-10"), True), ("host", "hot.example.com", D("2024-01-25"), False)]
+    entries += [("host", f"h{i}.org", D("2024-01-01"), True) for i in range(0, 40, 2)]
+    df = spark.createDataFrame(captures, "id bigint, url string, day date")
+    table = spark.createDataFrame(entries, "kind string, key string, since date, listed boolean")
+    rows = as_of_blocks(df, table, "id", "url", "day").collect()
+    blocked = {r["id"] for r in rows if r["blocked"]}
+    assert len(rows) == 120 and blocked == {*range(9, 24), *range(80, 120, 2)}
