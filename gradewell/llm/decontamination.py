@@ -37,6 +37,7 @@ from gradewell.columns import col
 from gradewell.llm.common import (
     Cache, arrow_filter, arrow_rows, chunks, hash64, multipliers, raw_texts, shingle_hashes, split_words, word_hashes,
 )
+from gradewell.workspace import scratch_path
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -125,11 +126,14 @@ def _short_candidates(docs: np.ndarray, hashes: np.ndarray, block: Items, thresh
     return set(zip(doc[enough].tolist(), item[enough].tolist()))
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, hashes: int):
-    """The items in blocks of bounded size, each collected when it is needed."""
+def _block_count(items: DataFrame, text_col: str) -> int:
+    total = items.agg(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
+    return int(total // BLOCK_BYTES) + 1
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, size: int, hashes: int, n: int):
+    """The items in n blocks of bounded size, each collected when it is needed."""
     source = items.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // BLOCK_BYTES) + 1
     # Equal word sequences fall into one block.
     letters = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     part = F.pmod(F.xxhash64(F.regexp_replace(letters, r"[\x20\x09-\x0D]+", "")), F.lit(n))
@@ -210,10 +214,22 @@ def contained_items(
 ) -> DataFrame:
     """(doc_id, item_id, item_copies, shared, shingles, containment): every item
     that a document contains to at least the threshold."""
-    schema = "doc_id bigint, item_id bigint, item_copies bigint, shared bigint, shingles bigint, containment double"
     source = docs.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    found = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(items, item_id, item_text, size, hashes):
+    return _found(source, items, item_id, item_text, size, threshold, hashes)
+
+
+FOUND = "doc_id bigint, item_id bigint, item_copies bigint, shared bigint, shingles bigint, containment double"
+
+
+def _found(source: DataFrame, items: DataFrame, item_id: str, item_text: str, size: int, threshold: float, hashes: int) -> DataFrame:
+    """The hits of every block, written before the next block is collected; source holds the columns doc_id
+    and text, and others that are returned with the hits."""
+    spark, n = source.sparkSession, _block_count(items, item_text)
+    others = [f for f in source.schema.fields if f.name not in ("doc_id", "text")]
+    schema = FOUND + "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    more = [source.columns.index(f.name) for f in others]
+    path, found = scratch_path(spark, "contained"), spark.createDataFrame([], schema)
+    for block in _blocks(items, item_id, item_text, size, hashes, n):
 
         def task(block=block):
             match = _matcher(block, threshold)
@@ -222,17 +238,21 @@ def contained_items(
                 hits = match(raw_texts(batch.column(1)))
                 if not hits:
                     return None
-                item = [i for _, i, _ in hits]
+                item, at = [i for _, i, _ in hits], pa.array([d for d, _, _ in hits], pa.int64())
                 shared, total = [s for _, _, s in hits], [len(block.shingles[i]) for i in item]
                 return {
-                    "doc_id": pc.take(batch.column(0), pa.array([d for d, _, _ in hits], pa.int64())),
+                    "doc_id": pc.take(batch.column(0), at),
                     "item_id": [block.ids[i] for i in item], "item_copies": [block.copies[i] for i in item],
                     "shared": shared, "shingles": total, "containment": [s / t for s, t in zip(shared, total)],
-                }
+                } | {batch.schema.names[k]: pc.take(batch.column(k), at) for k in more}
 
             return rows
 
-        found = found.unionByName(arrow_rows(source, task, schema))
+        hits = arrow_rows(source, task, schema)
+        if n == 1:
+            return hits
+        hits.write.mode("append").parquet(path)
+        found = spark.read.schema(found.schema).parquet(path)
     return found
 
 
@@ -240,9 +260,20 @@ def without_items(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     size: int = SHINGLE, threshold: float = THRESHOLD, hashes: int = HASHES,
 ) -> DataFrame:
-    """The documents that contain no item, rows and columns unchanged."""
+    """The documents that contain no item, rows and columns unchanged.
+
+    One block of items is looked for where the documents are read. With more, the
+    hits of all blocks are gathered first; documents are told apart by 128 bits of
+    hashes of their texts, as equal texts contain the same items.
+    """
     at = docs.columns.index(text_col)
-    for block in _blocks(items, item_id, item_text, size, hashes):
+    text = col(text_col).cast("string")
+    if _block_count(items, item_text) > 1:
+        keys = {"__one": F.xxhash64(text), "__two": F.xxhash64(F.lit("more"), text)}
+        source = docs.select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text"), *[v.alias(k) for k, v in keys.items()])
+        hit = _found(source, items, item_id, item_text, size, threshold, hashes).select(*keys).distinct()
+        return docs.withColumns(keys).join(hit, [*keys], "left_anti").select(*[col(c) for c in docs.columns])
+    for block in _blocks(items, item_id, item_text, size, hashes, 1):
 
         def task(block=block):
             match = _matcher(block, threshold)
