@@ -153,7 +153,7 @@ def fit_quality(
 
 
 def choose_features(table: DataFrame, sizes: list[int]) -> list[int]:
-    """For every threshold the features that are more frequent below it, with the
+    """For every threshold the features, more frequent below or above it, with the
     largest likelihood ratio (a G statistic) of presence against below or above."""
     total, share = sum(sizes), FEATURES // max(1, len(sizes) - 1)
     present = table.select("grade", F.explode("features").alias("f")).groupBy("f").agg(
@@ -172,7 +172,7 @@ def choose_features(table: DataFrame, sizes: list[int]) -> list[int]:
             continue
         ratio = 2 * (part(low, has * p) + part(has - low, has * (1 - p)) + part(below - low, (total - has) * p)
                      + part(total - below - has + low, (total - has) * (1 - p)))
-        ranked = present.where(low > has * p).select("f", ratio.alias("ratio")).where(col("ratio") >= LEAST_RATIO)
+        ranked = present.select("f", ratio.alias("ratio")).where(col("ratio") >= LEAST_RATIO)
         chosen.update(r["f"] for r in ranked.orderBy(F.desc("ratio"), "f").limit(share).collect())
     return sorted(chosen)
 

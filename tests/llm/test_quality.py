@@ -1,3 +1,7 @@
+import collections
+import math
+import string
+
 import numpy as np
 import odd
 from pyspark.sql import functions as F
@@ -75,3 +79,52 @@ def test_an_id_with_many_rows_is_one_row_of_the_fit(spark):
     many = docs.unionByName(one.crossJoin(spark.range(300)).select("doc_id", "text"))
     once, often = (fit_quality(d, labels, grade(), 3) for d in (docs, many))
     assert once.thresholds and once == often
+
+
+def plain_features(text):
+    """Words without signs around them, their beginnings, the signs at their ends; and those that are dense."""
+    words, times = odd.words(text), collections.Counter()
+    signs = string.punctuation
+    for w in words:
+        bare, kinds = w.strip(signs).encode(), set()
+        if bare:
+            kinds = {("word", bare)} | {("begins", bare[:n]) for n in (4, 5, 6, 7, 8) if n < len(bare)}
+        if w.rstrip(signs) != w:
+            kinds.add(("ends", w[len(w.rstrip(signs)) :].encode()))
+        times.update(kinds)
+    dense = {(*f, level) for level, share in enumerate((1 / 300, 1 / 80, 1 / 20), 1) for f, n in times.items() if n >= max(2, share * len(words))}
+    return set(times) | dense
+
+
+def g_statistic(a, has, below, total):
+    cells = [(a, has * below / total), (has - a, has * (total - below) / total), (below - a, (total - has) * below / total),
+             (total - below - has + a, (total - has) * (total - below) / total)]
+    return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0)
+
+
+def test_registered_query_against_plain_python(spark):
+    """Features, their choice in both directions and the scores, from the words themselves; the fit has a test of its own."""
+    texts = dict(odd.table(SMALL, "documents", "doc_id, text"))
+    rated = {}
+    for d, quality_, toxic in odd.table(SMALL, "labels", "doc_id, quality, toxic"):
+        g = 0 if toxic == 1 else quality_ + 1
+        rated[d] = min(g, rated.get(d, g))
+    ids = sorted(d for d in rated if d in texts)
+    features, grades = {d: plain_features(texts[d]) for d in texts}, np.array([rated[d] for d in ids])
+    has = collections.Counter(f for d in ids for f in features[d])
+    chosen, directions = set(), set()
+    for k in (0, 1):
+        low = collections.Counter(f for d in ids if rated[d] <= k for f in features[d])
+        below = int((grades <= k).sum())
+        for f, n in has.items():
+            if n >= 3 and g_statistic(low[f], n, below, len(ids)) >= 15:
+                chosen.add(f)
+                directions.add(low[f] * len(ids) > n * below)
+    assert directions == {True, False} and len(chosen) < 2_048
+    number = {f: i for i, f in enumerate(sorted(chosen, key=str))}
+    model = fit_ordinal([np.array(sorted(number[f] for f in features[d] & chosen), np.int64) for d in ids], grades, 3)
+    for r in op5_quality_classifier(spark, SMALL).collect():
+        z = sum(model.weights[number[f]] for f in features[r["doc_id"]] & chosen)
+        tails = model.tails(np.array([z]))[0]
+        assert abs(r["p_above_0"] - tails[0]) < 1e-4 and abs(r["p_top"] - tails[1]) < 1e-4 and abs(r["expected_grade"] - tails.sum()) < 2e-4
+        assert r["keep"] == (tails[0] >= 0.5)
