@@ -20,11 +20,11 @@ from gradewell.columns import (
 )
 from gradewell.ml import GiniEvaluator, WoeEstimator
 from gradewell.operators import calibrate, checks, metrics, select, split, stats
-from gradewell.operators.binning import Binning, fit_binning, iv_table, woe_transform
+from gradewell.operators.binning import Binning, fit_binning, fit_binnings, iv_table, woe_transform
 from gradewell.operators.linear import LinearScore, assemble, logistic_fit, logistic_score
 from gradewell.operators.online import pa_fit
 from gradewell.operators.quantiles import woe_prebin
-from gradewell.operators.search import log_uniform, oof_predict, param_grid_search, random_search
+from gradewell.operators.search import log_uniform, oof_score, param_grid_search, random_search
 from gradewell.plans.jobs import score_frame, split_job
 from gradewell.plans.training import train_validated
 from gradewell.sources import append_report, chunked_export, parquet_scan, parquet_sink
@@ -360,11 +360,8 @@ def oof_predict_woe(spark: SparkSession, folder: str) -> DataFrame:
     rows = split.fold_hash(labelled(spark, folder).select(*KEY, "l_linestatus", "o_orderpriority", TARGET), KEY, 3, "fold")
     rows = staged(rows, "folds")
 
-    def fit(train):
-        fitted = fit_binning(train, ["l_linestatus", "o_orderpriority"], TARGET)
-        return lambda part: woe_transform(part, fitted)
-
-    scored = oof_predict(rows, "fold", 3, fit)
+    fitted = fit_binnings(rows, ["l_linestatus", "o_orderpriority"], TARGET, [{}], "fold", 3)
+    scored = oof_score(rows, "fold", [lambda part, one=one: woe_transform(part, one[0]) for one in fitted])
     return scored.select(*KEY, "fold", F.round(F.col("l_linestatus_WOE") + F.col("o_orderpriority_WOE"), 6).alias("score"))
 
 
@@ -435,17 +432,20 @@ def random_search_cost(spark: SparkSession, folder: str) -> DataFrame:
     the WoE that each fold's rows get from bins of the other folds."""
     rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42), "folds")
 
-    def fit_many(train, costs):
-        fitted = [fit_binning(train, ["l_quantity"], TARGET, bins=int(c)) for c in costs]
+    def fit_folds(rows, costs):
+        fitted = fit_binnings(rows, ["l_quantity"], TARGET, [{"bins": int(c)} for c in costs], "fold", 3)
+
+        def scorer(binnings):
+            def score(part):
+                for i, binning in enumerate(binnings):
+                    part = woe_transform(part, binning).withColumnRenamed("l_quantity_WOE", f"score_{i}")
+                return part
 
-        def score(part):
-            for i, binning in enumerate(fitted):
-                part = woe_transform(part, binning).withColumnRenamed("l_quantity_WOE", f"score_{i}")
-            return part
+            return score
 
-        return score
+        return [scorer(binnings) for binnings in fitted]
 
-    table = random_search(rows, TARGET, "fold", 3, DRAWN, fit_many)[1]
+    table = random_search(rows, TARGET, "fold", 3, DRAWN, fit_folds=fit_folds)[1]
     return table.select(F.col("cost").cast("int").alias("bins"), *rounded("gini"), "best")
 
 

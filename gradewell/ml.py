@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import Evaluator
@@ -14,11 +16,11 @@ from pyspark.ml.util import (
     MLWritable, MLWriter,
 )
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from gradewell.columns import col
-from gradewell.operators.binning import Binning, fit_binning, woe_transform
-from gradewell.operators.metrics import gini
+from gradewell.operators.binning import Binning, fit_binnings, woe_transform
+from gradewell.operators.metrics import ginis
 from gradewell.operators.select import mrmr_select
 
 
@@ -44,15 +46,35 @@ class WoeEstimator(Estimator, _WoeParams, DefaultParamsReadable, DefaultParamsWr
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> WoeModel:
-        trend = self.getOrDefault(self.trend)
-        binning = fit_binning(
-            dataset, self.getInputCols(), self.getLabelCol(), bins=self.getOrDefault(self.bins),
-            trend=None if trend == "none" else trend, min_share=self.getOrDefault(self.minShare),
-            exact=self.getOrDefault(self.exact),
-        )
-        model = WoeModel(inputCols=self.getInputCols(), missing=self.getOrDefault(self.missing))
-        model.binning = binning
-        return model
+        return fit_together(dataset, [self])[0][0]
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, WoeModel]]:
+        """All settings from the same scans, where they bin the same columns."""
+        variants = [self.copy(point) for point in paramMaps]
+        same = {(tuple(v.getInputCols()), v.getLabelCol(), v.getOrDefault(v.exact)) for v in variants}
+        if len(same) != 1:
+            return super().fitMultiple(dataset, paramMaps)
+        return iter(enumerate(fit_together(dataset, variants)[0]))
+
+
+def fit_together(dataset: DataFrame, variants: Sequence[WoeEstimator], fold_col: str | None = None, folds: int = 0) -> list[list[WoeModel]]:
+    """The models of several settings over the same columns, from the same scans: [training set][variant].
+    With folds, training set i has all rows but those of fold i."""
+    first = variants[0]
+    options = []
+    for v in variants:
+        trend = v.getOrDefault(v.trend)
+        options.append({"bins": v.getOrDefault(v.bins), "trend": None if trend == "none" else trend, "min_share": v.getOrDefault(v.minShare)})
+    found = fit_binnings(
+        dataset, first.getInputCols(), first.getLabelCol(), options, fold_col, folds, exact=first.getOrDefault(first.exact)
+    )
+    return [[_woe_model(v, binning) for v, binning in zip(variants, row)] for row in found]
+
+
+def _woe_model(estimator: WoeEstimator, binning: Binning) -> WoeModel:
+    model = WoeModel(inputCols=estimator.getInputCols(), missing=estimator.getOrDefault(estimator.missing))
+    model.binning = binning
+    return model
 
 
 class WoeModel(Model, _WoeParams, MLWritable, MLReadable):
@@ -135,13 +157,25 @@ class GiniEvaluator(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParams
         self._setDefault(scoreCol="probability", labelCol="label")
         self._set(**self._input_kwargs)
 
+    def _score(self, dataset: DataFrame) -> Column:
+        name = self.getOrDefault(self.scoreCol)
+        return vector_to_array(col(name))[1] if isinstance(dataset.schema[name].dataType, VectorUDT) else col(name)
+
     def _evaluate(self, dataset: DataFrame) -> float:
-        name, label = self.getOrDefault(self.scoreCol), self.getLabelCol()
-        score = col(name)
-        if isinstance(dataset.schema[name].dataType, VectorUDT):
-            score = vector_to_array(score)[1]
-        value = gini(dataset.select(score.alias("score"), col(label).alias("label")), "score", "label")
-        return float("nan") if value is None else value
+        return self._ginis(dataset.select(col(self.getLabelCol()).alias("label"), self._score(dataset).alias("score_0")), 1)[0]
+
+    def _ginis(self, scores: DataFrame, count: int) -> list[float]:
+        found = ginis(scores, [f"score_{i}" for i in range(count)], "label")
+        return [float("nan") if found.get(f"score_{i}") is None else found[f"score_{i}"] for i in range(count)]
+
+    def evaluate_models(self, models: Sequence[Model], dataset: DataFrame) -> list[float]:
+        """The score of every model on the same rows, all from the same passes."""
+        base, rows = dataset.columns, dataset
+        for i, model in enumerate(models):
+            scored = model.transform(rows)
+            rows = scored.select(*[col(c) for c in base], *[col(f"score_{j}") for j in range(i)], self._score(scored).alias(f"score_{i}"))
+        names = [col(f"score_{i}") for i in range(len(models))]
+        return self._ginis(rows.select(col(self.getLabelCol()).alias("label"), *names), len(models))
 
     def isLargerBetter(self) -> bool:
         return True

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gradewell.columns import as_number, binary, classify_columns, col
 from gradewell.functions.weights import bin_measures
 from gradewell.operators.monotone import woe_monotone
-from gradewell.operators.quantiles import quantile_edges
+from gradewell.operators.quantiles import fold_edges
 from gradewell.workspace import attach, pinned
 
 # Up to this many categories are looked up in a literal map, more by a join.
@@ -75,42 +75,46 @@ def _binning(table: DataFrame, categorical: Sequence[str]) -> Binning:
     return Binning(table, numeric, tuple(categorical))
 
 
-def numeric_counts(df: DataFrame, label: str, edges: dict[str, list[float]]) -> DataFrame:
-    """(feature, bin, n, events) per bin of every numeric feature, bin null for
-    missing. A task adds its rows up in small arrays; only those are shuffled."""
+def numeric_counts(df: DataFrame, label: str, edges: dict[str, list[float]], fold_col: str | None = None, folds: int = 0) -> DataFrame:
+    """(fold, feature, bin, n, events) per bin of every numeric feature, bin null for
+    missing, fold 0 for all rows without folds. A task adds its rows up in small
+    arrays; only those are shuffled."""
     names = list(edges)
     cuts = [np.array(edges[c], dtype="float64") for c in names]
+    k = max(folds, 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros((len(c) + 2, 2), dtype="int64") for c in cuts]
+        sums = [np.zeros((len(c) + 2, k, 2), dtype="int64") for c in cuts]
         for batch in batches:
-            y = batch["y"].to_numpy(dtype="int64")
+            y = batch["y"].to_numpy(dtype="int64") + 2 * batch["g"].to_numpy(dtype="int64")
             for f, cut in enumerate(cuts):
                 x = batch.iloc[:, f].to_numpy(dtype="float64")
                 slot = np.where(np.isnan(x), len(cut) + 1, np.searchsorted(cut, x, "left"))
-                sums[f] += np.bincount(slot * 2 + y, minlength=2 * len(sums[f])).reshape(-1, 2)
+                sums[f] += np.bincount(slot * 2 * k + y, minlength=sums[f].size).reshape(sums[f].shape)
         for f, name in enumerate(names):
-            bins = [*range(len(cuts[f]) + 1), None]
-            yield pd.DataFrame({
-                "feature": name, "bin": pd.array(bins, dtype="Int32"), "n": sums[f].sum(axis=1), "events": sums[f][:, 1],
-            })[sums[f].sum(axis=1) > 0]
+            bins = pd.array([*range(len(cuts[f]) + 1), None], dtype="Int32")
+            for g in range(k):
+                n = sums[f][:, g].sum(axis=1)
+                yield pd.DataFrame({"fold": g, "feature": name, "bin": bins, "n": n, "events": sums[f][:, g, 1]})[n > 0]
 
     narrow = df.where(col(label).isNotNull()).select(
-        *[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)], binary(df, label).alias("y")
+        *[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)], binary(df, label).alias("y"),
+        (col(fold_col).cast("int") if fold_col else F.lit(0)).alias("g"),
     )
     return (
-        narrow.mapInPandas(count, _COUNTS).groupBy("feature", "bin")
+        narrow.mapInPandas(count, f"fold int, {_COUNTS}").groupBy("fold", "feature", "bin")
         .agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
     )
 
 
-def category_counts(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """(feature, category, n, events) per category, category null for missing."""
+def category_counts(df: DataFrame, label: str, features: Sequence[str], fold_col: str | None = None) -> DataFrame:
+    """(fold, feature, category, n, events) per category, category null for missing, fold 0 for all rows without folds."""
     values = [F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("category")) for c in features]
+    fold = col(fold_col).cast("int") if fold_col else F.lit(0)
     return (
         df.where(col(label).isNotNull())
-        .select(binary(df, label).alias("__y"), F.inline(F.array(*values)))
-        .groupBy("feature", "category")
+        .select(binary(df, label).alias("__y"), fold.alias("fold"), F.inline(F.array(*values)))
+        .groupBy("fold", "feature", "category")
         .agg(F.count("*").alias("n"), F.sum("__y").alias("events"))
     )
 
@@ -134,42 +138,85 @@ def fit_binning(df: DataFrame, features: Sequence[str], label: str, bins: int =
     'auto_asc_desc' or 'auto' merges them. class_weight='balanced' is accepted
     and changes nothing: one weight per class cancels in both shares of WoE.
     """
-    if class_weight not in (None, "balanced"):
-        raise ValueError(f"unknown class_weight {class_weight!r}")
+    return fit_binnings(df, features, label, [{"bins": bins, "trend": trend, "min_share": min_share, "class_weight": class_weight}], exact=exact)[0][0]
+
+
+def fit_binnings(df: DataFrame, features: Sequence[str], label: str, options: Sequence[dict], fold_col: str | None = None,
+                 folds: int = 0, exact: bool = True) -> list[list[Binning]]:
+    """Several binnings from the same scans: [training set][option].
+
+    An option is a dict of bins, trend, min_share and class_weight as in fit_binning. With
+    folds, training set i has all rows but those of fold i: rows are counted once,
+    by fold, and a set's counts are the totals less its fold's. So the scans (three
+    for edges, one for numeric counts, one for categories) do not depend on the
+    number of folds or options.
+    """
+    for option in options:
+        if option.get("class_weight") not in (None, "balanced"):
+            raise ValueError(f"unknown class_weight {option['class_weight']!r}")
     numeric, categorical = classify_columns(df, features)
     if not numeric and not categorical:
         raise ValueError("no features to bin")
     labelled = df.where(col(label).isNotNull())
-    # Numeric counts are at most bins + 1 rows per feature; categories may be many and stay out there.
-    edges = quantile_edges(labelled, numeric, bins, exact) if numeric else {}
-    spans = numeric_counts(labelled, label, edges).collect() if numeric else []
-    categories = pinned(category_counts(labelled, label, categorical)) if categorical else None
-    # Every labelled row is in exactly one bin of any one feature.
+    sets = range(max(folds, 1))
+    wanted = [int(option.get("bins", 20)) for option in options]
+    edges = fold_edges(labelled, numeric, wanted, fold_col, folds, exact) if numeric else []
+    # One count over the edges of all sets and options; a bin is a run of these narrower ones.
+    union = {c: sorted({e for t in sets for b in wanted for e in edges[t][b][c]}) for c in numeric}
+    # At most a few rows per feature, edge and fold; categories may be many and stay out there.
+    narrow = numeric_counts(labelled, label, union, fold_col, folds).collect() if numeric else []
+    categories = pinned(category_counts(labelled, label, categorical, fold_col)) if categorical else None
     if numeric:
-        mine = [r for r in spans if r["feature"] == numeric[0]]
-        rows, all_events = sum(r["n"] for r in mine), sum(r["events"] for r in mine)
+        mine = [(r["fold"], r["n"], r["events"]) for r in narrow if r["feature"] == numeric[0]]
     else:
-        one = categories.where(col("feature") == F.lit(categorical[0])).agg(F.sum("n"), F.sum("events")).first()
-        rows, all_events = int(one[0] or 0), int(one[1] or 0)
-    totals = all_events, rows - all_events
-    table = _numeric_table(df.sparkSession, spans, edges, totals, trend, min_share)
-    if categories is not None:
-        table = table.unionByName(
-            categories.select("feature", F.lit("categorical").alias("kind"), "category", "n", "events"), allowMissingColumns=True
-        )
-    return _binning(_with_measures(table, *totals), categorical)
-
-
-def _numeric_table(spark: SparkSession, counts: list[Row], edges: dict[str, list[float]], totals: tuple[int, int],
+        one = categories.where(col("feature") == F.lit(categorical[0])).groupBy("fold").agg(F.sum("n"), F.sum("events"))
+        mine = [tuple(r) for r in one.collect()]
+    found = []
+    for t in sets:
+        used = [g for g in sets if not folds or g != t]
+        # Every labelled row is in exactly one bin of any one feature.
+        rows, events = (sum(r[k] for r in mine if r[0] in used) for k in (1, 2))
+        totals = events, rows - events
+        of_categories = None
+        if categories is not None:
+            left = categories.where(col("fold") != t) if folds else categories
+            of_categories = left.groupBy("feature", "category").agg(F.sum("n").alias("n"), F.sum("events").alias("events")).select(
+                "feature", F.lit("categorical").alias("kind"), "category", "n", "events"
+            )
+        found.append([])
+        for option, b in zip(options, wanted):
+            own = edges[t][b] if numeric else {}
+            spans = _merged_counts([r for r in narrow if r["fold"] in used], union, own)
+            table = _numeric_table(df.sparkSession, spans, own, totals, option.get("trend"), option.get("min_share", 0.0))
+            if of_categories is not None:
+                table = table.unionByName(of_categories, allowMissingColumns=True)
+            found[-1].append(_binning(_with_measures(table, *totals), categorical))
+    return found
+
+
+def _merged_counts(narrow: list[Row], union: dict[str, list[float]], edges: dict[str, list[float]]) -> list[tuple]:
+    """(feature, bin, n, events) over `edges` from counts over the finer edges of `union`."""
+    place = {c: np.searchsorted(edges[c], [*union[c], math.inf], "left").tolist() for c in edges}
+    sums: dict[tuple, list[int]] = {}
+    for r in narrow:
+        # the narrow bin (previous edge, edge] lies in the bin that its upper end falls into
+        at = None if r["bin"] is None else place[r["feature"]][r["bin"]]
+        total = sums.setdefault((r["feature"], at), [0, 0])
+        total[0] += r["n"]
+        total[1] += r["events"]
+    return [(*key, *total) for key, total in sums.items()]
+
+
+def _numeric_table(spark: SparkSession, counts: list[tuple], edges: dict[str, list[float]], totals: tuple[int, int],
                    trend: str | None, min_share: float) -> DataFrame:
     """The counted bins with their ends, merged by trend if one is given."""
     merged = {}
     if trend and counts:
-        spans = [tuple(r) for r in counts if r["bin"] is not None]
+        spans = [r for r in counts if r[1] is not None]
         plan = woe_monotone(spark.createDataFrame(spans, _COUNTS), *totals, trend, min_share)
         merged = {(r["feature"], r["bin"]): r["merged"] for r in plan.collect()}
     rows: dict[tuple, list] = {}
-    for name, place, n, events in sorted(counts, key=lambda r: (r["feature"], r["bin"] is None, r["bin"] or 0)):
+    for name, place, n, events in sorted(counts, key=lambda r: (r[0], r[1] is None, r[1] or 0)):
         target = merged.get((name, place), place)
         ends = [-math.inf, *edges[name], math.inf]
         lo, hi = (ends[place], ends[place + 1]) if place is not None else (None, None)

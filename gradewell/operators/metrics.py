@@ -1,33 +1,38 @@
 """Evaluation of scores and classes against a 0/1 label.
 
-Rank metrics (AUC, Gini, KS) are exact and tie-aware. Rows are first added up
-to distinct scores, so a score held by many rows moves once. Distinct scores
-are ranked within cells, narrow ranges of values that follow from the value
-alone; cells are then put together to coarse cells, and these to the whole,
-from their totals. No task sorts the whole table, and nothing is cut by a sketch.
+Rank metrics (AUC, Gini, KS) are exact and tie-aware. Doubles map to 64-bit
+integers in the same order, and tasks count the classes in cells of equal leading
+bits. A cell that holds one class or one value is done: how its rows are ordered
+changes neither metric. Only mixed cells are looked into: large ones are counted
+again by more bits, small ones are ranked in a task from their distinct values,
+which are added up before they are shuffled. All features are counted in the same
+scans, and cells are put together from their totals.
 Rows without a label or score are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, binary, col
+from gradewell.operators.quantiles import ordered_bits
 
-# Cells from one power of two to the next, and how many of them are a coarse cell.
-CELLS = 1 << 16
-COARSE = 1 << 10
+# Leading bits known after each count.
+STEPS = (20, 32, 44, 64)
+# A mixed cell of up to this many rows is ranked in one task.
+RANKED_ROWS = 1 << 16
+# Cells or values that a task holds before it hands them on.
+HELD = 1 << 19
 
 _RANKED = "name string, n bigint, events bigint, auc double, gini double, ks double"
-
-
-def _cell(x: Column, cells: int) -> Column:
-    """A number that never falls as x rises; about `cells` of them between x and 2 x."""
-    size = F.when(F.abs(x) < float("inf"), F.floor((F.log2(F.abs(x)) + 1100.0) * cells).cast("bigint")).otherwise(F.lit(2200 * cells))
-    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
+_CELLS = "f int, cell bigint, low bigint, high bigint, pos bigint, neg bigint"
+_PARTS = "f int, place bigint, pos bigint, neg bigint, area double, high double, low double"
 
 
 def _put_together(parts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -35,52 +40,221 @@ def _put_together(parts: DataFrame, by: list[str], order: str) -> DataFrame:
     far and the extremes of the distance between the two distributions, each part
     shifted by what lies before it."""
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    placed = parts.withColumn("bn", F.coalesce(F.sum("neg").over(before), zero)).withColumn("bp", F.coalesce(F.sum("pos").over(before), zero))
+    none = F.lit(0).cast("bigint")
+    placed = parts.withColumn("bn", F.coalesce(F.sum("neg").over(before), none)).withColumn("bp", F.coalesce(F.sum("pos").over(before), none))
     shift = F.try_divide("bn", "q") - F.try_divide("bp", "p")
     return placed.groupBy(*by).agg(
         F.max("p").alias("p"), F.max("q").alias("q"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-        F.sum(col("area") + col("pos") * col("bn")).alias("area"), F.max(col("high") + shift).alias("high"), F.min(col("low") + shift).alias("low"),
+        F.sum(col("area") + col("pos").cast("double") * col("bn")).alias("area"),
+        F.max(col("high") + shift).alias("high"), F.min(col("low") + shift).alias("low"),
     )
 
 
-def _rank_metrics(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """`pairs` holds (name, x, y): one result row per name, of which there are few."""
-    spark = pairs.sparkSession
-    scores = (
-        pairs.where(col("x").isNotNull() & col("y").isNotNull())
-        .groupBy("name", "x")
-        .agg(F.sum(F.lit(1) - col("y")).cast("double").alias("neg"), F.sum("y").cast("double").alias("pos"))
-        .persist()
+class _Held:
+    """Rows (cell, low, high, pos, neg) of one feature in a task, added up by cell as they become many."""
+
+    def __init__(self):
+        self.lots: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, bits: np.ndarray, y: np.ndarray, known: int) -> None:
+        order = np.argsort(bits)
+        bits, y = bits[order], y[order]
+        cell = bits >> (64 - known)
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        stop = np.r_[start[1:], len(cell)]
+        pos = np.add.reduceat(y, start)
+        self.put(np.stack([cell[start], bits[start], bits[stop - 1], pos, stop - start - pos]))
+
+    def put(self, lot: np.ndarray) -> None:
+        self.lots.append(lot)
+        self.size += lot.shape[1]
+        if self.size > HELD and len(self.lots) > 1:
+            self.take_back(self.take())
+
+    def take_back(self, lot: np.ndarray) -> None:
+        self.lots, self.size = [lot], lot.shape[1]
+
+    def take(self) -> np.ndarray:
+        if not self.lots:
+            return np.empty((5, 0), np.int64)
+        rows = np.concatenate(self.lots, axis=1)
+        self.lots, self.size = [], 0
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        low, high = np.minimum.reduceat(rows[1], start), np.maximum.reduceat(rows[2], start)
+        return np.stack([rows[0, start], low, high, np.add.reduceat(rows[3], start), np.add.reduceat(rows[4], start)])
+
+
+def _inside(bits: np.ndarray, cells: np.ndarray, known: int) -> np.ndarray:
+    """Where the first `known` bits are among the cells (ascending)."""
+    if not len(cells):
+        return np.zeros(len(bits), bool)
+    cell = bits >> (64 - known)
+    at = np.searchsorted(cells, cell)
+    return (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == cell)
+
+
+def _counted(narrow: DataFrame, k: int, wanted: int, known: int, cells: list[np.ndarray] | None) -> DataFrame:
+    """Cells of the first `wanted` bits, of the values inside `cells` (of `known` bits), all if None."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [_Held() for _ in range(k)]
+        for batch in batches:
+            label = batch["y"].to_numpy(dtype="int64")
+            for f in range(k):
+                x = batch.iloc[:, f].to_numpy(dtype="float64")
+                seen = ~np.isnan(x)
+                bits, y = ordered_bits(x[seen]), label[seen]
+                if cells is not None:
+                    mine = _inside(bits, cells[f], known)
+                    bits, y = bits[mine], y[mine]
+                if len(bits):
+                    held[f].add(bits, y, wanted)
+                if held[f].size > HELD:
+                    yield _frame(f, held[f].take())
+        for f in range(k):
+            if held[f].size:
+                yield _frame(f, held[f].take())
+
+    counted = narrow.mapInPandas(run, _CELLS)
+    return counted.groupBy("f", "cell").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
+
+
+def _frame(f: int, rows: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"f": np.full(rows.shape[1], f, np.int32), **dict(zip(("cell", "low", "high", "pos", "neg"), rows))})
+
+
+_VALUES = "f int, cell bigint, first bigint, steps array<bigint>, pos array<int>, neg array<int>"
+
+
+def _ranked_cells(narrow: DataFrame, k: int, known: int, cells: list[np.ndarray], totals: dict[int, tuple[int, int]]) -> DataFrame:
+    """Parts of mixed cells (of `known` bits, each of a bounded number of rows): their distinct values, put in order."""
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [_Held() for _ in range(k)]
+
+        def out(f: int) -> pd.DataFrame:
+            bits, _, _, pos, neg = held[f].take()
+            cell = bits >> (64 - known)
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            steps = np.diff(bits, prepend=bits[:1])
+            return pd.DataFrame({
+                "f": np.full(len(start), f, np.int32), "cell": cell[start], "first": bits[start], "steps": np.split(steps, start[1:]),
+                "pos": np.split(pos.astype(np.int32), start[1:]), "neg": np.split(neg.astype(np.int32), start[1:]),
+            })
+
+        for batch in batches:
+            label = batch["y"].to_numpy(dtype="int64")
+            for f in range(k):
+                if not len(cells[f]):
+                    continue
+                x = batch.iloc[:, f].to_numpy(dtype="float64")
+                seen = ~np.isnan(x)
+                bits, y = ordered_bits(x[seen]), label[seen]
+                mine = _inside(bits, cells[f], known)
+                if mine.any():
+                    held[f].add(bits[mine], y[mine], 64)
+                if held[f].size > HELD:
+                    yield out(f)
+        for f in range(k):
+            if held[f].size:
+                yield out(f)
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, lots = None, []
+
+        def part() -> tuple:
+            f, cell = now
+            held = _Held()
+            held.take_back(np.concatenate(lots, axis=1))
+            bits, _, _, pos, neg = held.take()
+            before, total = np.cumsum(neg), totals[f]
+            gap = before / total[1] - np.cumsum(pos) / total[0]
+            area = float((pos * (before - neg / 2.0)).sum())
+            return f, int(bits[0]), int(pos.sum()), int(neg.sum()), area, float(gap.max()), float(gap.min())
+
+        rows = []
+        for batch in batches:
+            for f, cell, first, steps, pos, neg in batch.itertuples(index=False):
+                if (f, cell) != now:
+                    if lots:
+                        rows.append(part())
+                    now, lots = (f, cell), []
+                bits = first + np.r_[0, np.cumsum(np.asarray(steps, np.int64)[1:])]
+                lots.append(np.stack([bits, bits, bits, np.asarray(pos, np.int64), np.asarray(neg, np.int64)]))
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=_NAMES)
+                rows = []
+        if lots:
+            rows.append(part())
+        if rows:
+            yield pd.DataFrame(rows, columns=_NAMES)
+
+    dealt = narrow.mapInPandas(values, _VALUES).repartition("f", "cell").sortWithinPartitions("f", "cell")
+    return dealt.mapInPandas(rank, _PARTS)
+
+
+_NAMES = ["f", "place", "pos", "neg", "area", "high", "low"]
+
+
+def _rank_metrics(df: DataFrame, scores: dict[str, Column], y: Column, rows: int = RANKED_ROWS) -> DataFrame:
+    """One result row per score that is present in some row with a label."""
+    spark, names = df.sparkSession, list(scores)
+    narrow = df.select(*[x.cast("double").alias(f"x{i}") for i, x in enumerate(scores.values())], y.alias("y")).where("y is not null")
+    k, known, cells, parts, kept = len(names), 0, None, [], []
+    totals: dict[int, tuple[int, int]] = {}
     try:
-        sizes = scores.groupBy("name").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).collect()
-        if not sizes:
+        for wanted in STEPS:
+            counted = _counted(narrow, k, wanted, known, cells).persist()
+            kept.append(counted)
+            mixed = (col("pos") > 0) & (col("neg") > 0) & (col("low") < col("high"))
+            size = col("pos") + col("neg")
+            # At most 2 ** 20 cells of a feature in the first count; later ones only hold cells of more than `rows` rows.
+            found = counted.groupBy("f").agg(
+                F.sum("pos").alias("p"), F.sum("neg").alias("q"),
+                F.collect_list(F.when(mixed & (size <= rows), col("cell"))).alias("small"),
+                F.collect_list(F.when(mixed & (size > rows), col("cell"))).alias("large"),
+            ).collect()
+            totals = totals or {r.f: (r.p, r.q) for r in found}
+            none = F.lit(None).cast("double")
+            parts.append(counted.where(~mixed).select(
+                "f", col("low").alias("place"), "pos", "neg", (col("pos") * col("neg").cast("double") / 2.0).alias("area"),
+                none.alias("high"), none.alias("low"),
+            ))
+            small, large = ({r.f: np.array(sorted(r[kind]), np.int64) for r in found} for kind in ("small", "large"))
+            small, large = ([c.get(f, np.empty(0, np.int64)) for f in range(k)] for c in (small, large))
+            if any(len(c) for c in small):
+                parts.append(_ranked_cells(narrow, k, wanted, small, totals))
+            known, cells = wanted, large
+            if not any(len(c) for c in large):
+                break
+        if not totals:
             return spark.createDataFrame([], _RANKED)
-        totals = spark.createDataFrame([(r.name, r.p, r.q) for r in sizes], "name string, p double, q double")
-        cell = _cell(col("x"), cells)
-        # Every distinct score is a part of its own.
-        gap = F.try_divide("neg", "q") - F.try_divide("pos", "p")
-        parts = scores.join(F.broadcast(totals), "name").select(
-            "name", F.floor(cell / COARSE).alias("coarse"), cell.alias("cell"), "x", "p", "q", "pos", "neg",
-            (col("pos") * col("neg") / 2.0).alias("area"), gap.alias("high"), gap.alias("low"),
+        sums = F.broadcast(spark.createDataFrame([(f, names[f], p, q) for f, (p, q) in totals.items()], "f int, name string, p bigint, q bigint"))
+        # A closed cell moves the distance of the two distributions in one direction only: its end is its extreme.
+        end = F.try_divide("neg", "q") - F.try_divide("pos", "p")
+        table = reduce(DataFrame.unionByName, parts).join(sums, "f").select(
+            "name", F.shiftright("place", 44).alias("coarse"), "place", "p", "q", "pos", "neg", "area",
+            F.coalesce("high", end).alias("high"), F.coalesce("low", end).alias("low"),
         )
-        for by, order in ((["name", "coarse", "cell"], "x"), (["name", "coarse"], "cell"), (["name"], "coarse")):
-            parts = _put_together(parts, by, order)
-        auc = F.try_divide("area", col("p") * col("q"))
-        rows = parts.select(
-            "name", (col("p") + col("q")).cast("bigint"), col("p").cast("bigint"), auc, 2.0 * auc - 1.0,
-            F.greatest(F.abs("high"), F.abs("low")),
+        for by, order in ((["name", "coarse"], "place"), (["name"], "coarse")):
+            table = _put_together(table, by, order)
+        auc = F.try_divide("area", col("p").cast("double") * col("q"))
+        result = table.select(
+            "name", (col("p") + col("q")), "p", auc, 2.0 * auc - 1.0, F.greatest(F.abs("high"), F.abs("low")),
         ).collect()
-        return spark.createDataFrame(rows, _RANKED)
+        return spark.createDataFrame(result, _RANKED)
     finally:
-        scores.unpersist()
+        for counted in kept:
+            counted.unpersist()
 
 
-def rank_metrics(df: DataFrame, score: str, label: str, cells: int = CELLS) -> DataFrame:
+def rank_metrics(df: DataFrame, score: str, label: str, rows: int = RANKED_ROWS) -> DataFrame:
     """One row: n, events, auc, gini, ks of a score where high means event."""
-    pairs = df.select(F.lit(score).alias("name"), as_number(df, score).alias("x"), binary(df, label).alias("y"))
-    return _rank_metrics(pairs, cells).drop("name")
+    return _rank_metrics(df, {score: as_number(df, score)}, binary(df, label), rows).drop("name")
 
 
 def auc_gini(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -89,8 +263,12 @@ def auc_gini(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def gini(df: DataFrame, score: str, label: str) -> float | None:
     """The Gini coefficient as a number, None when one class is absent."""
-    row = rank_metrics(df, score, label).first()
-    return row["gini"] if row else None
+    return ginis(df, [score], label).get(score)
+
+
+def ginis(df: DataFrame, scores: Sequence[str], label: str) -> dict[str, float | None]:
+    """The Gini coefficient of several scores of the same rows, from the same scans."""
+    return {r["feature"]: r["gini"] for r in single_feature_gini(df, scores, label).collect()}
 
 
 def ks_statistic(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -98,11 +276,10 @@ def ks_statistic(df: DataFrame, score: str, label: str) -> DataFrame:
     return rank_metrics(df, score, label).select("n", "ks")
 
 
-def single_feature_gini(df: DataFrame, features: Sequence[str], label: str, cells: int = CELLS) -> DataFrame:
+def single_feature_gini(df: DataFrame, features: Sequence[str], label: str, rows: int = RANKED_ROWS) -> DataFrame:
     """(feature, n, auc, gini, ks) of every numeric feature taken as a score."""
-    values = [F.struct(F.lit(c).alias("name"), as_number(df, c).alias("x")) for c in features]
-    pairs = df.select(binary(df, label).alias("y"), F.inline(F.array(*values)))
-    return _rank_metrics(pairs, cells).select(col("name").alias("feature"), "n", "auc", "gini", "ks")
+    found = _rank_metrics(df, {c: as_number(df, c) for c in features}, binary(df, label), rows)
+    return found.select(col("name").alias("feature"), "n", "auc", "gini", "ks")
 
 
 def confusion_metrics(df: DataFrame, prediction: str, label: str) -> DataFrame:

@@ -33,38 +33,89 @@ def from_bits(bits: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).astype(np.int64).view(np.float64)
 
 
-def _cell_counts(df: DataFrame, names: Sequence[str], known: int, wanted: int, cells: list[np.ndarray] | None) -> DataFrame:
-    """(f, parent, cell, n): values counted by their first `wanted` bits, of those
-    values whose first `known` bits (parent) are among cells[f]; all if None."""
+def _cell_counts(df: DataFrame, names: Sequence[str], known: int, wanted: int, cells: list[np.ndarray] | None,
+                 fold_col: str | None, folds: int) -> DataFrame:
+    """(t, f, parent, cell, n): values counted by their first `wanted` bits, of those
+    values whose first `known` bits (parent) are among cells[f]; all if None. Rows are
+    counted once, by fold; training set t has the rows of all folds but t."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
+            fold = batch["g"].to_numpy()
             for f in range(len(names)):
                 x = batch.iloc[:, f].to_numpy(dtype="float64")
-                bits = ordered_bits(x[~np.isnan(x)])
+                seen = ~np.isnan(x)
+                bits, own = ordered_bits(x[seen]), fold[seen]
                 if cells is not None:
-                    bits = bits[np.isin(bits >> (64 - known), cells[f])]
-                cell, n = np.unique(bits >> (64 - wanted), return_counts=True)
-                parts.append(pd.DataFrame({"f": f, "parent": cell >> (wanted - known) if known else 0, "cell": cell, "n": n}))
+                    inside = np.isin(bits >> (64 - known), cells[f])
+                    bits, own = bits[inside], own[inside]
+                for g in range(max(folds, 1)):
+                    cell, n = np.unique((bits[own == g] if folds else bits) >> (64 - wanted), return_counts=True)
+                    parts.append(pd.DataFrame({"g": g, "f": f, "parent": cell >> (wanted - known) if known else 0, "cell": cell, "n": n}))
             yield pd.concat(parts)
 
-    narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)])
-    counted = narrow.mapInPandas(count, "f int, parent long, cell long, n long")
-    return counted.groupBy("f", "parent", "cell").agg(F.sum("n").alias("n"))
-
-
-def _holding(counts: DataFrame, asked: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(f, parent, rank within parent) -> (f, parent, rank, cell, rank within cell) of the cell that holds it."""
-    targets = counts.sparkSession.createDataFrame(asked, "f int, parent long, rank long")
-    running = F.sum("n").over(Window.partitionBy("f", "parent").orderBy("cell"))
+    fold = col(fold_col).cast("int") if fold_col else F.lit(0)
+    narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)], fold.alias("g"))
+    counted = narrow.mapInPandas(count, "g int, f int, parent long, cell long, n long")
+    if not folds:
+        return counted.groupBy(col("g").alias("t"), "f", "parent", "cell").agg(F.sum("n").alias("n"))
+    by_fold = counted.groupBy("g", "f", "parent", "cell").agg(F.sum("n").alias("n"))
+    others = F.explode(F.array_remove(F.array(*[F.lit(t) for t in range(folds)]), col("g")))
+    return by_fold.withColumn("t", others).groupBy("t", "f", "parent", "cell").agg(F.sum("n").alias("n"))
+
+
+def _first_cells(counts: DataFrame, bins: Sequence[int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(t, f, cell, b, i, rank within the cell) of the cell that holds rank ceil(i * n / b) of a training set's values."""
+    set_of = Window.partitionBy("t", "f")
+    running = counts.withColumn("upto", F.sum("n").over(set_of.orderBy("cell"))).withColumn("size", F.sum("n").over(set_of))
+    asked = running.withColumn("b", F.explode(F.array(*[F.lit(int(b)).cast("bigint") for b in bins])))
+    first, last = F.expr("(upto - n) * b div size + 1"), F.expr("upto * b div size")
+    hits = asked.where(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
+    inside = F.expr("(i * size + b - 1) div b - (upto - n)")
+    return [tuple(r) for r in hits.select("t", "f", "cell", "b", "i", inside.alias("inside")).collect()]
+
+
+def _holding(counts: DataFrame, asked: list[tuple[int, int, int, int]]) -> dict[tuple[int, int, int, int], tuple[int, int]]:
+    """(t, f, parent, rank within parent) -> (cell, rank within cell) of the cell that holds it."""
+    if not asked:
+        return {}
+    targets = counts.sparkSession.createDataFrame(asked, "t int, f int, parent long, rank long")
+    running = F.sum("n").over(Window.partitionBy("t", "f", "parent").orderBy("cell"))
     hits = (
-        counts.withColumn("upto", running).join(F.broadcast(targets), ["f", "parent"])
+        counts.withColumn("upto", running).join(F.broadcast(targets), ["t", "f", "parent"])
         .where((col("rank") <= col("upto")) & (col("rank") > col("upto") - col("n")))
     )
-    return [(r.f, r.parent, r.rank, r.cell, r.inside) for r in hits.select(
-        "f", "parent", "rank", "cell", (col("rank") - col("upto") + col("n")).alias("inside")
-    ).collect()]
+    return {(r.t, r.f, r.parent, r.rank): (r.cell, r.inside) for r in hits.select(
+        "t", "f", "parent", "rank", "cell", (col("rank") - col("upto") + col("n")).alias("inside")
+    ).collect()}
+
+
+def fold_edges(df: DataFrame, features: Sequence[str], bins: Sequence[int], fold_col: str | None = None, folds: int = 0,
+               exact: bool = True) -> list[dict[int, dict[str, list[float]]]]:
+    """The edges of quantile_edges for several numbers of bins and, with folds, for
+    every training set (all rows but those of fold 0, 1, ...), from the same three
+    scans: one [training set][number of bins][feature]."""
+    features, bins = list(features), sorted(set(bins))
+    steps = STEPS if exact else STEPS[:-1]
+    counts = _cell_counts(df, features, 0, steps[0], None, fold_col, folds)
+    # (t, f, b, i) -> (cell that holds the rank, rank within the cell)
+    places = {(t, f, b, i): (cell, inside) for t, f, cell, b, i, inside in _first_cells(counts, bins)}
+    for known, wanted in zip(steps, steps[1:]):
+        cells = [np.array(sorted({cell for (_, g, _, _), (cell, _) in places.items() if g == f}), np.int64) for f in range(len(features))]
+        asked = sorted({(t, f, cell, inside) for (t, f, _, _), (cell, inside) in places.items()})
+        found = _holding(_cell_counts(df, features, known, wanted, cells, fold_col, folds), asked)
+        places = {(t, f, b, i): found[t, f, cell, inside] for (t, f, b, i), (cell, inside) in places.items()}
+    rest = 64 - steps[-1]
+    held: dict[tuple[int, int, int], set[int]] = {}
+    for (t, f, b, _), (cell, _) in places.items():
+        held.setdefault((t, f, b), set()).add(cell)
+
+    def edges(t: int, f: int, b: int) -> list[float]:
+        bits = (np.array(sorted(held.get((t, f, b), ())), np.int64) << rest) | np.int64((1 << rest) - 1)
+        return [float(v) for v in from_bits(bits)[:-1]]  # the last one holds the maximum
+
+    return [{b: {name: edges(t, f, b) for f, name in enumerate(features)} for b in bins} for t in range(max(folds, 1))]
 
 
 def quantile_edges(df: DataFrame, features: Sequence[str], bins: int = 20, exact: bool = True) -> dict[str, list[float]]:
@@ -72,34 +123,7 @@ def quantile_edges(df: DataFrame, features: Sequence[str], bins: int = 20, exact
     ceil(i * n / bins), repeats and the maximum left out, so that every
     interval (edge, next edge] holds rows. exact=False saves the last scan and
     takes the upper end of the cell, less than a millionth above the value."""
-    features = list(features)
-    steps = STEPS if exact else STEPS[:-1]
-    cells: list[np.ndarray] | None = None
-    places: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (f, cell) -> (wanted rank, rank within the cell)
-    for known, wanted in zip((0, *steps), steps):
-        counts = _cell_counts(df, features, known, wanted, cells).persist()
-        try:
-            if cells is None:
-                sizes = {r.f: r.n for r in counts.groupBy("f").agg(F.sum("n").alias("n")).collect()}
-                places = {(f, 0): [(r, r) for r in sorted({-(-i * n // bins) for i in range(1, bins + 1)})] for f, n in sizes.items()}
-            asked = sorted({(f, parent, inside) for (f, parent), ranks in places.items() for _, inside in ranks})
-            found = {(f, parent, rank): (cell, inside) for f, parent, rank, cell, inside in _holding(counts, asked)} if asked else {}
-        finally:
-            counts.unpersist()
-        deeper: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for (f, parent), ranks in places.items():
-            for rank, inside in ranks:
-                cell, at = found[f, parent, inside]
-                deeper.setdefault((f, cell), []).append((rank, at))
-        places = deeper
-        cells = [np.array(sorted(c for g, c in places if g == f), np.int64) for f in range(len(features))]
-    rest = 64 - steps[-1]
-    edges: dict[str, list[float]] = {}
-    for f, name in enumerate(features):
-        bits = (cells[f] << rest) | np.int64((1 << rest) - 1)
-        values = from_bits(bits)  # the last one holds the maximum
-        edges[name] = [float(v) for v in values[:-1]]
-    return edges
+    return fold_edges(df, features, [bins], exact=exact)[0][bins]
 
 
 def woe_prebin(df: DataFrame, features: Sequence[str], bins: int = 20, exact: bool = True) -> DataFrame:

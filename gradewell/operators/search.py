@@ -14,7 +14,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame
 
 from gradewell.columns import col
-from gradewell.operators.metrics import single_feature_gini
+from gradewell.operators.metrics import ginis
 
 
 def param_table(df: DataFrame, grid: Sequence[dict], scores: Sequence[float]) -> DataFrame:
@@ -30,20 +30,36 @@ def param_table(df: DataFrame, grid: Sequence[dict], scores: Sequence[float]) ->
 def _try_grid(train: DataFrame, dev: DataFrame, estimator: Estimator, grid: Sequence[dict], evaluator: Evaluator,
               parallelism: int) -> list[tuple[Model, float]]:
     """(model, score on dev) per grid point. Stages ahead of the first one that
-    the grid touches are the same for all points and are fitted once."""
+    the grid touches are the same for all points and are fitted once; a single
+    stage left fits all points by its fitMultiple, which may share scans. An
+    evaluator that can score several models does so in the same passes."""
     stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
     touched = {p.parent for point in grid for p in point}
     first = next((i for i, s in enumerate(stages) if s.uid in touched), len(stages) - 1)
     shared = Pipeline(stages=stages[:first]).fit(train)
-    tail = Pipeline(stages=stages[first:])
     train, dev = shared.transform(train).persist(), shared.transform(dev).persist()
     try:
-        def attempt(point: dict) -> tuple[Model, float]:
-            model = tail.fit(train, point)
-            return PipelineModel([*shared.stages, *model.stages]), evaluator.evaluate(model.transform(dev))
-
         with ThreadPool(min(parallelism, len(grid))) as pool:
-            return pool.map(inheritable_thread_target(train.sparkSession)(attempt), grid)
+            def in_parallel(work: Callable, count: int) -> list:
+                return pool.map(inheritable_thread_target(train.sparkSession)(work), range(count))
+
+            if len(stages) - first == 1:
+                models, fitted = [None] * len(grid), stages[first].fitMultiple(train, grid)
+
+                def fit_next(_):
+                    i, model = next(fitted)
+                    models[i] = PipelineModel([*shared.stages, model])
+
+                in_parallel(fit_next, len(grid))
+            else:
+                tail = Pipeline(stages=stages[first:])
+                models = in_parallel(lambda i: PipelineModel([*shared.stages, *tail.fit(train, grid[i]).stages]), len(grid))
+            tails = [PipelineModel(m.stages[first:]) for m in models]
+            if hasattr(evaluator, "evaluate_models"):
+                scores = evaluator.evaluate_models(tails, dev)
+            else:
+                scores = in_parallel(lambda i: evaluator.evaluate(tails[i].transform(dev)), len(grid))
+        return list(zip(models, scores))
     finally:
         train.unpersist()
         dev.unpersist()
@@ -82,27 +98,34 @@ def log_uniform(count: int, low: float, high: float, seed: int) -> list[float]:
     return [math.exp(source.uniform(math.log(low), math.log(high))) for _ in range(count)]
 
 
+def oof_score(df: DataFrame, fold_col: str, scorers: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The rows of every fold through the scorer of that fold."""
+    return reduce(DataFrame.unionByName, [score(df.where(col(fold_col) == i)) for i, score in enumerate(scorers)])
+
+
 def oof_predict(df: DataFrame, fold_col: str, folds: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Every row scored by a model that was fitted without its fold. `fit` takes
-    the training rows and returns the function that scores others."""
-    parts = []
-    for i in range(folds):
-        score = fit(df.where(col(fold_col) != i))
-        parts.append(score(df.where(col(fold_col) == i)))
-    return reduce(DataFrame.unionByName, parts)
+    the training rows and returns the function that scores others. What can be
+    fitted for all folds from the same scans, as bins can, goes to oof_score."""
+    return oof_score(df, fold_col, [fit(df.where(col(fold_col) != i)) for i in range(folds)])
 
 
 def random_search(df: DataFrame, label: str, fold_col: str, folds: int, costs: Sequence[float],
-                  fit_many: Callable[[DataFrame, Sequence[float]], Callable[[DataFrame], DataFrame]]) -> tuple[float, DataFrame]:
+                  fit_many: Callable[[DataFrame, Sequence[float]], Callable[[DataFrame], DataFrame]] | None = None,
+                  fit_folds: Callable[[DataFrame, Sequence[float]], Sequence[Callable[[DataFrame], DataFrame]]] | None = None) -> tuple[float, DataFrame]:
     """(best cost, (cost, gini, best) table) by the out-of-fold Gini.
 
     `fit_many` prepares a fold once and fits all candidates together; its
-    result adds score_0, score_1, ... in the order of `costs`.
+    result adds score_0, score_1, ... in the order of `costs`. `fit_folds` does so
+    for all folds at once and returns one such function per fold.
     """
     names = [f"score_{i}" for i in range(len(costs))]
-    scored = oof_predict(df, fold_col, folds, lambda part: fit_many(part, costs))
-    found = {r["feature"]: r["gini"] for r in single_feature_gini(scored.select(label, *names), names, label).collect()}
-    ginis = [found.get(n) if found.get(n) is not None else float("-inf") for n in names]
-    best = _best(ginis)
-    rows = [(float(c), float(g), i == best) for i, (c, g) in enumerate(zip(costs, ginis))]
+    if fit_folds:
+        scored = oof_score(df, fold_col, fit_folds(df, costs))
+    else:
+        scored = oof_predict(df, fold_col, folds, lambda part: fit_many(part, costs))
+    found = ginis(scored.select(label, *names), names, label)
+    values = [found.get(n) if found.get(n) is not None else float("-inf") for n in names]
+    best = _best(values)
+    rows = [(float(c), float(g), i == best) for i, (c, g) in enumerate(zip(costs, values))]
     return float(costs[best]), df.sparkSession.createDataFrame(rows, "cost double, gini double, best boolean")

@@ -9,9 +9,10 @@ from hypothesis import given, settings, strategies as st
 from catalog.fixture import FEATURES, KEY, NUMERIC
 from gradewell.functions.weights import bin_iv
 from gradewell.operators import binning
-from gradewell.operators.binning import Binning, fit_binning, iv_table, woe_transform
+from gradewell.operators.binning import Binning, fit_binning, fit_binnings, iv_table, woe_transform
 from gradewell.operators.monotone import best_partition
-from gradewell.operators.quantiles import quantile_edges, woe_prebin
+from gradewell.operators.quantiles import fold_edges, quantile_edges, woe_prebin
+from gradewell.operators.split import fold_hash
 from gradewell.workspace import scratch_path
 
 
@@ -180,3 +181,35 @@ def test_options_are_checked(lines):
         woe_transform(lines, fitted, output="both")
     with pytest.raises(ValueError):
         woe_transform(lines, fitted, ["l_quantity"])
+
+
+def bin_rows(binning):
+    names = ["feature", "bin", "category", "n", "events", "woe", "iv", "lo", "hi"]
+    return sorted((tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in binning.table.select(*names).collect()), key=str)
+
+
+def test_fold_binnings_equal_separate_fits(lines):
+    """Counted once by fold, a training set's edges, bins and categories are those of its own rows."""
+    rows = fold_hash(lines, ["l_orderkey", "l_linenumber", "l_partkey"], 3, 5)
+    features = ["l_quantity", "l_tax", "l_extendedprice", "const_f", "o_orderpriority"]
+    options = [{"bins": 20}, {"bins": 6, "trend": "auto_asc_desc"}]
+    together = fit_binnings(rows, features, "flag", options, "fold", 3)
+    assert len(together) == 3 and all(len(t) == 2 for t in together)
+    for i, found in enumerate(together):
+        train = rows.where(f"fold != {i}")
+        for option, binning in zip(options, found):
+            alone = fit_binning(train, features, "flag", **option)
+            assert bin_rows(binning) == bin_rows(alone)
+            assert binning.numeric == alone.numeric and binning.categorical == alone.categorical
+
+
+def test_fold_edges_against_numpy(spark):
+    random = np.random.default_rng(8)
+    x, fold = np.round(random.normal(size=500), 2), random.integers(0, 4, 500)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "fold": fold})).repartition(3)
+    found = fold_edges(df, ["x"], [3, 7], "fold", 4)
+    for t in range(4):
+        mine = np.sort(x[fold != t])
+        for b in (3, 7):
+            ranks = [-(-i * len(mine) // b) for i in range(1, b + 1)]
+            assert found[t][b]["x"] == sorted({float(mine[r - 1]) for r in ranks})[:-1] or found[t][b]["x"] == sorted({float(mine[r - 1]) for r in ranks if mine[r - 1] < mine[-1]})
