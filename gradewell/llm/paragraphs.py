@@ -226,8 +226,9 @@ def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> Dat
 
         return rows
 
-    shingles = arrow_rows(found.select("text", "spans"), task, "key bigint, shingles array<bigint>").dropDuplicates(["key"])
-    members = banded.join(shingles, "key")
+    # One row per key: `wanted` names one place of each, and equal rows of a document give equal sets.
+    shingles = staged(arrow_rows(found.select("text", "spans"), task, "key bigint, shingles array<bigint>"), "shingles")
+    members = banded.join(shingles.dropDuplicates(["key"]), "key")
 
     def accept(table: pa.Table):
         sets = [frozenset(x) for x in table.column("shingles").to_pylist()]
@@ -275,30 +276,6 @@ def chains(found: list[dict]) -> list[list[dict]]:
 KEPT = ["kept", "kept_hash", "kept_more"]
 
 
-def covered(found: list[dict]) -> list[tuple[int, int]]:
-    """(first word, one past the last) of the stretches that these units of one text cover, in order."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted((u["at"], u["at"] + u["words"]) for u in found):
-        if out and low <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], high)
-        else:
-            out.append((low, high))
-    return out
-
-
-def edges_of(lines: list[dict]) -> list[dict]:
-    """The first and last words of what removed paragraphs cover, as units next to which the texts may go on alike."""
-    out = []
-    begins, ends = ({x[k] for x in covered(lines)} for k in (0, 1))
-    for u in lines:
-        part = min(u["words"], u["kept_words"], SHINGLE)
-        if u["at"] in begins:
-            out.append(u | {"words": part})
-        if u["at"] + u["words"] in ends:
-            out.append(u | {"words": part, "at": u["at"] + u["words"] - part, "kept_at": u["kept_at"] + u["kept_words"] - part})
-    return out
-
-
 def _equal_words(a: np.ndarray, b: np.ndarray) -> int:
     """How many words a and b have in common at their beginnings."""
     most, n, size = min(len(a), len(b)), 0, 16
@@ -366,28 +343,36 @@ def similar_stretches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]
 SEEDS = "array<struct<at: int, kept_at: int>>"
 WINDOW = (
     "doc_id bigint, text_hash bigint, more bigint, low int, high int, kept bigint, kept_hash bigint, kept_more bigint, "
-    f"kept_low int, kept_high int, component bigint, seeds {SEEDS}"
+    f"kept_low int, kept_high int, component bigint, anchor int, anchor_byte int, kept_anchor int, kept_byte int, seeds {SEEDS}"
 )
 ALIGNED = "doc_id bigint, text_hash bigint, more bigint, start bigint, stop bigint, at bigint, words bigint, component bigint, kept bigint"
 
 
+def region(raw: bytes, anchor: int, before: int, after: int) -> tuple[int, int]:
+    """The bytes of `before` words that end ahead of byte `anchor` and `after` words from there on, or all there are."""
+    head, tail = raw[:anchor].rsplit(None, before) if before else [raw[:anchor]], raw[anchor:].split(None, after)
+    low = len(head[0]) if len(head) > before else 0
+    return low, len(raw) - len(tail[after]) if len(tail) > after else len(raw)
+
+
 def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Units around the ones given (removed paragraphs and pieces) that are similar to the text that keeps their first copies."""
+    """Units around these pieces that are similar to the text that keeps their first copies."""
     columns, aligned = ([f.name for f in schema_of(x)] for x in (WINDOW, ALIGNED))
-    unit = F.struct("kind", "at", "words", "component", *KEPT, "kept_at", "kept_words")
+    unit = F.struct("at", "start", "words", "component", *KEPT, "kept_at", "kept_start")
     lists = copies.groupBy(*DOCUMENT).agg(F.collect_list(unit).alias("units"))
 
     def chain():
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {name: [] for name in columns}
             for *document, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                seeds = [u for u in found if u["kind"] == PIECE] + edges_of([u for u in found if u["kind"] == LINE])
-                for one in chains(seeds):
+                for one in chains(found):
                     last = max(one, key=lambda u: u["at"] + u["words"])
                     row = dict(zip(DOCUMENT, document)) | {k: last[k] for k in KEPT} | {
                         "low": max(0, one[0]["at"] - AROUND), "high": last["at"] + last["words"] + AROUND,
                         "kept_low": max(0, one[0]["kept_at"] - AROUND),
                         "kept_high": max(u["kept_at"] + u["words"] for u in one) + AROUND, "component": one[0]["component"],
+                        "anchor": one[0]["at"], "anchor_byte": one[0]["start"],
+                        "kept_anchor": one[0]["kept_at"], "kept_byte": one[0]["kept_start"],
                         "seeds": [{"at": u["at"], "kept_at": u["kept_at"]} for u in one],
                     }
                     for name, part in row.items():
@@ -398,12 +383,14 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     windows = staged(arrow_rows(lists, chain, WINDOW), "chains")
     # One pass over the texts reads the words of both sides; a window that many texts share is read once.
-    kept = windows.select(
-        *[col(k).alias(c) for k, c in zip(KEPT, DOCUMENT)], col("kept_low").alias("low"), col("kept_high").alias("high")
-    ).distinct()
+    here = [col(k).alias(c) for k, c in zip([*KEPT, "kept_low", "kept_high"], [*DOCUMENT, "low", "high"])]
+    kept = windows.groupBy(*here).agg(F.min(F.struct("kept_anchor", "kept_byte")).alias("a")).select(
+        *DOCUMENT, "low", "high", col("a")["kept_anchor"].alias("anchor"), col("a")["kept_byte"].alias("anchor_byte")
+    )
     asked = windows.unionByName(kept, allowMissingColumns=True)
-    rest = columns[3:]
+    rest = [c for c in columns[3:] if c not in ("kept_anchor", "kept_byte")]
     spans = asked.groupBy(*DOCUMENT).agg(F.collect_list(F.struct(*rest)).alias("spans"))
+    rest = [c for c in rest if c not in ("anchor", "anchor_byte")]
 
     def read():
         cache = Cache(hash64)
@@ -411,14 +398,14 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {name: [] for name in ("row", "hashes", "starts", "stops", *rest)}
             for i, (raw, wanted) in enumerate(zip(raw_texts(batch.column(3)), batch.column(4).to_pylist())):
-                words = word_hashes([raw], cache)[0].view(np.int64)
-                _, first, last, _ = word_places([raw])
                 for w in wanted:
-                    part, own = slice(w["low"], w["high"]), w["seeds"] is not None
+                    low, high = region(raw, w["anchor_byte"], w["anchor"] - w["low"], w["high"] - w["anchor"])
+                    part, own = [raw[low:high]], w["seeds"] is not None
                     out["row"].append(i)
-                    out["hashes"].append(words[part])
-                    out["starts"].append(first[part].astype(np.int32) if own else None)
-                    out["stops"].append(last[part].astype(np.int32) if own else None)
+                    out["hashes"].append(word_hashes(part, cache)[0].view(np.int64))
+                    _, first, last, _ = word_places(part) if own else (None,) * 4
+                    out["starts"].append((first + low).astype(np.int32) if own else None)
+                    out["stops"].append((last + low).astype(np.int32) if own else None)
                     for name in rest:
                         out[name].append(w[name])
             at = pa.array(out.pop("row"), pa.int64())
@@ -426,7 +413,8 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
         return rows
 
-    schema = f"{WINDOW}, hashes array<bigint>, starts array<int>, stops array<int>"
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in schema_of(WINDOW) if f.name in (*DOCUMENT, *rest)])
+    schema = f"{schema}, hashes array<bigint>, starts array<int>, stops array<int>"
     words = staged(arrow_rows(_with_text(docs, spans), read, schema), "windows")
     other = words.where(col("seeds").isNull()).select(
         *[col(c).alias(k) for k, c in zip(KEPT, DOCUMENT)], col("low").alias("kept_low"), col("high").alias("kept_high"),
@@ -463,7 +451,7 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 def _first(members: DataFrame, group: str) -> DataFrame:
     """(group, first): the unit of every group that stays."""
-    order = F.struct(col("doc_id").isNull().alias("none"), *DOCUMENT, "place")
+    order = F.struct(col("doc_id").isNull().alias("none"), *DOCUMENT, "place", "span")
     return staged(members.groupBy(group).agg(F.min(order).alias("first")), "first")
 
 
@@ -475,16 +463,16 @@ def _copies(members: DataFrame, group: str) -> DataFrame:
     stays = _same_document("", "first.") & (F.shiftright("place", 32) < at + size)
     return here.where(~stays).select(
         *DOCUMENT, *_unpacked(), "component", F.col("first.doc_id").alias("kept"), F.col("first.text_hash").alias("kept_hash"),
-        F.col("first.more").alias("kept_more"), at.alias("kept_at"), size.alias("kept_words"), "key", "span", "place",
+        F.col("first.more").alias("kept_more"), at.alias("kept_at"), F.expr("shiftright(first.span, 32)").alias("kept_start"), "key", "span", "place",
     )
 
 
 MEMBER = "key bigint, doc_id bigint, text_hash bigint, more bigint, span bigint, place bigint, component bigint"
-UNCOVERED = f"{MEMBER}, kept bigint, kept_hash bigint, kept_more bigint, kept_at bigint, kept_words bigint"
+UNCOVERED = f"{MEMBER}, kept bigint, kept_hash bigint, kept_more bigint"
 
 
 def _uncovered(pieces: DataFrame, gone: DataFrame) -> DataFrame:
-    """Removed texts and paragraphs (those inside a removed text left out) and the pieces that lie in none of them (kept_words null)."""
+    """Removed texts and paragraphs (those inside a removed text left out) and the pieces that lie in none of them."""
     names = [f.name for f in schema_of(UNCOVERED)]
     rest = [n for n in names if n not in DOCUMENT]
     both = gone.select(*names).unionByName(pieces.select(*[f.name for f in schema_of(MEMBER)]), allowMissingColumns=True)
@@ -542,9 +530,9 @@ def repeated_spans(
     rest = _uncovered(members.where("place & 3 = 0"), gone)
     pieces = _copies(rest.where("place & 3 = 0").select(*[f.name for f in schema_of(MEMBER)]), "key")
     whole = rest.where("place & 3 > 0").select("*", *_unpacked())
-    names = [*DOCUMENT, "kind", "start", "stop", "at", "words", "component", *KEPT, "kept_at", "kept_words"]
-    copies = staged(whole.select(*names).unionByName(pieces.select(*names)), "copies")
-    found = copies.select(*[f.name for f in schema_of(ALIGNED)]).unionByName(_aligned(copies.where(col("kind") != WHOLE), docs, threshold))
+    names = [f.name for f in schema_of(ALIGNED)]
+    pieces = staged(pieces, "pieces")
+    found = whole.select(*names).unionByName(pieces.select(*names)).unionByName(_aligned(pieces, docs, threshold).select(*names))
     unit = F.struct("start", "stop", "at", "words", "component", "kept")
     per_doc = found.groupBy(*DOCUMENT).agg(F.collect_set(unit).alias("units"))
 
