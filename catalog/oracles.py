@@ -4,7 +4,7 @@ written from the definitions and not from the Spark code."""
 from __future__ import annotations
 
 from catalog.fixture import CATEGORICAL, FEATURES, KEY, NUMERIC, SCORED_LINES_SQL, WIDE
-from catalog.queries import DRAWN, GRID_BINS
+from catalog.queries import DRAWN, GRID_BINS, MIXED_BINS, MIXED_SHARE, PREBINS
 
 K = ", ".join(KEY)
 QUANTILE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "c_acctbal"]
@@ -420,6 +420,31 @@ def oracles() -> dict[str, str]:
         "cat_counts as (select 'order_name' as feature, cast(null as bigint) as bin, order_name as category, count(*) as n, "
         "cast(sum(flag) as bigint) as events from train group by all)", measured("select * from cat_counts", "train"),
     )
+    # Every way to cut the categories, in the order of their event rates, into three runs of which two may be empty.
+    assert MIXED_BINS == 3
+    sql["woe_category_groups"] = on_lines(
+        """select c.category, cast(f.bin as int) as bin, c.n, c.events, round(f.woe, 6) as woe, round(f.iv * c.n / f.n, 6) as iv
+from cats c join ranks r on r.name = c.name join chosen f on r.k > f.low and r.k <= f.high""",
+        f"""cats as (select *, case when n >= {MIXED_SHARE} * (select count(*) from lab) then category else '' end as name
+  from (select concat_ws('/', o_orderpriority, c_mktsegment) as category, count(*) as n, cast(sum(flag) as bigint) as events from lab group by 1)),
+entries as (select name, cast(sum(n) as bigint) as n, cast(sum(events) as bigint) as events from cats group by name),
+ranks as (select *, row_number() over (order by events * 1.0::double / n, name) as k, count(*) over () as size from entries),
+edges3 as (select a, b, size from (select unnest(range(0, 100)) as a), (select unnest(range(0, 100)) as b), (select max(size) as size from ranks) where a <= b and b <= size),
+runs3 as (select a, b, 0 as run, 0 as low, a as high from edges3 union all select a, b, 1, a, b from edges3 union all select a, b, 2, b, size from edges3),
+class_totals as (select cast(sum(flag) as double) as e_all, cast(count(*) - sum(flag) as double) as g_all from lab),
+sums3 as (select a, b, run, low, high, sum(n) as n, sum(events) as events from runs3 join ranks on k > low and k <= high group by all),
+padded3 as (select *, case when events = 0 or events = n then 0.5 else 0 end as pad from sums3),
+shares3 as (select *, (n - events + pad) / g_all as good, (events + pad) / e_all as bad from padded3, class_totals),
+value3 as (select a, b, sum((good - bad) * ln(good / bad)) as iv, count(*) as bins from shares3 group by a, b),
+best3 as (select a, b from value3 order by round(iv, 12) desc, bins, a, b limit 1),
+chosen as (select low, high, n, ln(good / bad) as woe, (good - bad) * ln(good / bad) as iv, row_number() over (order by low) - 1 as bin
+  from shares3 join best3 using (a, b))""",
+    )
+    sql["woe_incremental"] = on_lines(
+        f"select feature, cast(bin as int) as bin, category, n, events, {rounded('woe', 'iv')} from bins",
+        numeric_bins(["l_quantity", "l_discount", "l_tax"], PREBINS), category_bins(["o_orderpriority"]),
+        measured("select * from num_counts union all select * from cat_counts"),
+    )
     terms = [("l_linestatus", "a"), ("o_orderpriority", "b")]
     folds = ["folded as (select *, cast(hf % 3 as int) as fold from lab)",
              "fold_totals as (select f.i, sum(flag) as e_all, count(*) - sum(flag) as g_all from folded, (select unnest(range(0, 3)) as i) f where fold <> f.i group by f.i)"]

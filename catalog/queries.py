@@ -24,7 +24,8 @@ from gradewell.operators.binning import Binning, fit_binning, fit_binnings, iv_t
 from gradewell.operators.linear import LinearScore, assemble, logistic_fit, logistic_score
 from gradewell.operators.online import pa_fit
 from gradewell.operators.quantiles import woe_prebin
-from gradewell.operators.search import log_uniform, oof_score, param_grid_search, random_search
+from gradewell.operators.search import adaptive_random_search, log_uniform, oof_score, param_grid_search, random_search
+from gradewell.operators.state import BinState
 from gradewell.plans.jobs import score_frame, split_job
 from gradewell.plans.training import train_validated
 from gradewell.sources import append_report, chunked_export, parquet_scan, parquet_sink
@@ -426,26 +427,27 @@ def grid_search(spark: SparkSession, folder: str) -> DataFrame:
     return table.select("point", "params", *rounded("score"), "best")
 
 
-@query("random_search")
-def random_search_cost(spark: SparkSession, folder: str) -> DataFrame:
-    """The drawn numbers are taken as numbers of bins; the score of a candidate is
-    the WoE that each fold's rows get from bins of the other folds."""
-    rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42), "folds")
+def quantity_folds(rows: DataFrame, costs: Sequence[float]) -> list[Callable[[DataFrame], DataFrame]]:
+    """Per fold the function that adds the WoE of the quantity from as many bins as each cost says."""
+    fitted = fit_binnings(rows, ["l_quantity"], TARGET, [{"bins": int(c)} for c in costs], "fold", 3)
 
-    def fit_folds(rows, costs):
-        fitted = fit_binnings(rows, ["l_quantity"], TARGET, [{"bins": int(c)} for c in costs], "fold", 3)
+    def scorer(binnings: list[Binning]) -> Callable[[DataFrame], DataFrame]:
+        def score(part: DataFrame) -> DataFrame:
+            for i, binning in enumerate(binnings):
+                part = woe_transform(part, binning).withColumnRenamed("l_quantity_WOE", f"score_{i}")
+            return part
 
-        def scorer(binnings):
-            def score(part):
-                for i, binning in enumerate(binnings):
-                    part = woe_transform(part, binning).withColumnRenamed("l_quantity_WOE", f"score_{i}")
-                return part
+        return score
 
-            return score
+    return [scorer(binnings) for binnings in fitted]
 
-        return [scorer(binnings) for binnings in fitted]
 
-    table = random_search(rows, TARGET, "fold", 3, DRAWN, fit_folds=fit_folds)[1]
+@query("random_search")
+def random_search_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn numbers are taken as numbers of bins; the score of a candidate is
+    the WoE that each fold's rows get from bins of the other folds."""
+    rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42), "folds")
+    table = random_search(rows, TARGET, "fold", 3, DRAWN, fit_folds=quantity_folds)[1]
     return table.select(F.col("cost").cast("int").alias("bins"), *rounded("gini"), "best")
 
 
@@ -501,3 +503,37 @@ def woe_large_domain(spark: SparkSession, folder: str) -> DataFrame:
     rows = staged(rows, "orders")
     train = rows.where("l_linenumber <= 3")  # some orders are unseen
     return woe_transform(rows, fit_binning(train, ["order_name"], TARGET), ["order_name"]).select(*KEY, *rounded("order_name_WOE"))
+
+
+# Category names of a share of the rows near this one: about half of them are pooled.
+MIXED_SHARE, MIXED_BINS = 0.04, 3
+
+
+@query("woe_category_groups")
+def woe_category_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Rare categories pooled, the others merged by event rate into three bins at most."""
+    mixed = F.concat_ws("/", "o_orderpriority", "c_mktsegment").alias("mixed")
+    rows = labelled(spark, folder).select(mixed, TARGET)
+    fitted = fit_binning(rows, ["mixed"], TARGET, category_share=MIXED_SHARE, max_bins=MIXED_BINS)
+    return fitted.table.select("category", "bin", "n", "events", *rounded("woe", "iv"))
+
+
+@query("woe_incremental")
+def woe_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins from stored counts to which every year is added without reading earlier ones."""
+    features = ["l_quantity", "l_discount", "l_tax", "o_orderpriority"]
+    rows, path = modelling_table(spark, folder, [*features, "yr", TARGET]), scratch_path(spark, "bin-state")
+    years = [r["yr"] for r in rows.select("yr").distinct().orderBy("yr").collect()]
+    for i, year in enumerate(years):
+        BinState.of(rows.where(F.col("yr") == year), features, TARGET).save(path, append=i > 0)
+    return BinState.load(spark, path).binning(bins=PREBINS).table.select(
+        "feature", "bin", "category", "n", "events", *rounded("woe", "iv")
+    )
+
+
+@query("adaptive_search")
+def adaptive_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers of bins proposed batch by batch from the out-of-fold Gini of earlier ones."""
+    rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42), "folds")
+    table = adaptive_random_search(rows, TARGET, "fold", 3, 6, 2.0, 30.0, 42, batch=3, fit_folds=quantity_folds)[1]
+    return table.select(F.col("cost").cast("int").alias("bins"), *rounded("gini"), "batch", "best")

@@ -22,11 +22,22 @@ def bin_measures(events: Column, non_events: Column, all_events: int, all_non_ev
     return woe, (good - bad) * woe
 
 
+def _shares(events: float, non_events: float, all_events: float, all_non_events: float) -> tuple[float, float]:
+    pad = 0.5 if events == 0 or non_events == 0 else 0.0
+    return (non_events + pad) / all_non_events, (events + pad) / all_events
+
+
+def bin_woe(events: float, non_events: float, all_events: float, all_non_events: float) -> float:
+    """The woe of one bin on the driver or in a task, same rule as above; 0 when the table holds one class only."""
+    if all_events == 0 or all_non_events == 0:
+        return 0.0
+    good, bad = _shares(events, non_events, all_events, all_non_events)
+    return math.log(good / bad)
+
+
 def bin_iv(events: float, non_events: float, all_events: float, all_non_events: float) -> float:
     """The iv of one bin on the driver or in a task, same rule as above."""
     if all_events == 0 or all_non_events == 0:
         return 0.0
-    pad = 0.5 if events == 0 or non_events == 0 else 0.0
-    good = (non_events + pad) / all_non_events
-    bad = (events + pad) / all_events
+    good, bad = _shares(events, non_events, all_events, all_non_events)
     return (good - bad) * math.log(good / bad)

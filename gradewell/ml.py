@@ -56,6 +56,10 @@ class WoeEstimator(Estimator, _WoeParams, DefaultParamsReadable, DefaultParamsWr
             return super().fitMultiple(dataset, paramMaps)
         return iter(enumerate(fit_together(dataset, variants)[0]))
 
+    def fit_folds(self, dataset: DataFrame, fold_col: str, folds: int) -> list[WoeModel]:
+        """For every fold the model of all other rows, all from the same scans."""
+        return [models[0] for models in fit_together(dataset, [self], fold_col, folds)]
+
 
 def fit_together(dataset: DataFrame, variants: Sequence[WoeEstimator], fold_col: str | None = None, folds: int = 0) -> list[list[WoeModel]]:
     """The models of several settings over the same columns, from the same scans: [training set][variant].
@@ -162,9 +166,10 @@ class GiniEvaluator(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParams
         return vector_to_array(col(name))[1] if isinstance(dataset.schema[name].dataType, VectorUDT) else col(name)
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        return self._ginis(dataset.select(col(self.getLabelCol()).alias("label"), self._score(dataset).alias("score_0")), 1)[0]
+        return self.compare(dataset.select(col(self.getLabelCol()).alias("label"), self._score(dataset).alias("score_0")), 1)[0]
 
-    def _ginis(self, scores: DataFrame, count: int) -> list[float]:
+    def compare(self, scores: DataFrame, count: int) -> list[float]:
+        """The Gini of score_0, score_1, ... against the column label."""
         found = ginis(scores, [f"score_{i}" for i in range(count)], "label")
         return [float("nan") if found.get(f"score_{i}") is None else found[f"score_{i}"] for i in range(count)]
 
@@ -175,7 +180,7 @@ class GiniEvaluator(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParams
             scored = model.transform(rows)
             rows = scored.select(*[col(c) for c in base], *[col(f"score_{j}") for j in range(i)], self._score(scored).alias(f"score_{i}"))
         names = [col(f"score_{i}") for i in range(len(models))]
-        return self._ginis(rows.select(col(self.getLabelCol()).alias("label"), *names), len(models))
+        return self.compare(rows.select(col(self.getLabelCol()).alias("label"), *names), len(models))
 
     def isLargerBetter(self) -> bool:
         return True

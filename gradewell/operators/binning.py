@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gradewell.columns import as_number, binary, classify_columns, col
 from gradewell.functions.weights import bin_measures
-from gradewell.operators.monotone import woe_monotone
+from gradewell.operators.monotone import best_partition, woe_monotone
 from gradewell.operators.quantiles import fold_edges
 from gradewell.workspace import attach, pinned
 
@@ -119,34 +120,43 @@ def category_counts(df: DataFrame, label: str, features: Sequence[str], fold_col
     )
 
 
-def _with_measures(counts: DataFrame, all_events: int, all_non_events: int) -> DataFrame:
+def _with_measures(counts: DataFrame, all_events: int, all_non_events: int, keep: Sequence[str] = ()) -> DataFrame:
     non_events = col("n") - col("events")
     woe, iv = bin_measures(col("events"), non_events, all_events, all_non_events)
     return counts.select(
         "feature", "kind", "bin", "lo", "hi", "category",
         (col("bin").isNull() & col("category").isNull()).alias("is_missing"),
         "n", "events", non_events.alias("non_events"),
-        F.try_divide(col("events").cast("double"), col("n")).alias("event_rate"), woe.alias("woe"), iv.alias("iv"),
+        F.try_divide(col("events").cast("double"), col("n")).alias("event_rate"), woe.alias("woe"), iv.alias("iv"), *keep,
     )
 
 
 def fit_binning(df: DataFrame, features: Sequence[str], label: str, bins: int = 20, trend: str | None = None,
-                min_share: float = 0.0, exact: bool = True, class_weight: str | None = None) -> Binning:
+                min_share: float = 0.0, exact: bool = True, class_weight: str | None = None, max_bins: int | None = None,
+                min_gap: float = 0.0, category_share: float | None = None) -> Binning:
     """Bin every feature against a 0/1 label (rows without a label are left out).
 
     trend: None keeps the quantile pre-bins; 'asc', 'desc', 'peak', 'valley',
-    'auto_asc_desc' or 'auto' merges them. class_weight='balanced' is accepted
-    and changes nothing: one weight per class cancels in both shares of WoE.
+    'auto_asc_desc' or 'auto' merges them into at most `max_bins` bins of at least
+    `min_share` of the rows, whose neighbours differ by `min_gap` in WoE.
+    category_share: None makes every category a bin; a share puts all categories
+    with fewer rows into one, orders that and the others by event rate (ties by
+    name, the pooled one first) and merges neighbours under the same constraints.
+    class_weight='balanced' is accepted and changes nothing: one weight per class
+    cancels in both shares of WoE.
     """
-    return fit_binnings(df, features, label, [{"bins": bins, "trend": trend, "min_share": min_share, "class_weight": class_weight}], exact=exact)[0][0]
+    option = {
+        "bins": bins, "trend": trend, "min_share": min_share, "class_weight": class_weight, "max_bins": max_bins, "min_gap": min_gap,
+        "category_share": category_share,
+    }
+    return fit_binnings(df, features, label, [option], exact=exact)[0][0]
 
 
 def fit_binnings(df: DataFrame, features: Sequence[str], label: str, options: Sequence[dict], fold_col: str | None = None,
                  folds: int = 0, exact: bool = True) -> list[list[Binning]]:
     """Several binnings from the same scans: [training set][option].
 
-    An option is a dict of bins, trend, min_share and class_weight as in fit_binning. With
-    folds, training set i has all rows but those of fold i: rows are counted once,
+    An option is a dict of the settings of fit_binning (but exact). With folds, training set i has all rows but those of fold i: rows are counted once,
     by fold, and a set's counts are the totals less its fold's. So the scans (three
     for edges, one for numeric counts, one for categories) do not depend on the
     number of folds or options.
@@ -177,20 +187,15 @@ def fit_binnings(df: DataFrame, features: Sequence[str], label: str, options: Se
         # Every labelled row is in exactly one bin of any one feature.
         rows, events = (sum(r[k] for r in mine if r[0] in used) for k in (1, 2))
         totals = events, rows - events
-        of_categories = None
+        left = None
         if categories is not None:
             left = categories.where(col("fold") != t) if folds else categories
-            of_categories = left.groupBy("feature", "category").agg(F.sum("n").alias("n"), F.sum("events").alias("events")).select(
-                "feature", F.lit("categorical").alias("kind"), "category", "n", "events"
-            )
+            left = left.groupBy("feature", "category").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
         found.append([])
         for option, b in zip(options, wanted):
             own = edges[t][b] if numeric else {}
             spans = _merged_counts([r for r in narrow if r["fold"] in used], union, own)
-            table = _numeric_table(df.sparkSession, spans, own, totals, option.get("trend"), option.get("min_share", 0.0))
-            if of_categories is not None:
-                table = table.unionByName(of_categories, allowMissingColumns=True)
-            found[-1].append(_binning(_with_measures(table, *totals), categorical))
+            found[-1].append(finished(df.sparkSession, spans, own, left, categorical, totals, option))
     return found
 
 
@@ -207,13 +212,70 @@ def _merged_counts(narrow: list[Row], union: dict[str, list[float]], edges: dict
     return [(*key, *total) for key, total in sums.items()]
 
 
+def finished(spark: SparkSession, spans: list[tuple], edges: dict[str, list[float]], categories: DataFrame | None,
+             categorical: Sequence[str], totals: tuple[int, int], option: dict) -> Binning:
+    """The binning of counted bins (feature, bin, n, events) and categories (feature, category, n, events)."""
+    limits = {k: option[k] for k in ("min_share", "max_bins", "min_gap") if option.get(k)}
+    table = _with_measures(_numeric_table(spark, spans, edges, totals, option.get("trend"), limits), *totals)
+    if categories is not None:
+        named = categories.select("feature", F.lit("categorical").alias("kind"), "category", "n", "events")
+        if option.get("category_share") is None:
+            rows = _with_measures(_as_bins(named), *totals)
+        else:
+            rows = _grouped_categories(pinned(named), totals, option["category_share"], limits)
+        table = table.unionByName(rows)
+    return _binning(table, categorical)
+
+
+def _as_bins(categories: DataFrame) -> DataFrame:
+    return categories.withColumns({
+        "bin": F.lit(None).cast("int"), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"),
+    })
+
+
+def _grouped_categories(categories: DataFrame, totals: tuple[int, int], share: float, limits: dict) -> DataFrame:
+    """Bin rows of categories that share bins, numbered by event rate: each with its own counts, the
+    WoE of its bin and, by its rows, a part of the bin's IV. Only categories with at least `share` of
+    the rows come to the driver, no more than 1 / share of a feature."""
+    rows, spark = sum(totals), categories.sparkSession
+    present, large = categories.where("category is not null"), col("n") >= share * rows
+    pooled = present.where(~large).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
+    entries = present.where(large).unionByName(pooled.withColumns({"kind": F.lit("pooled"), "category": F.lit("")}))
+    by_feature: dict[str, list[tuple]] = {}
+    for r in entries.collect():
+        by_feature.setdefault(r["feature"], []).append((r["kind"] != "pooled", r["category"], r["n"], r["events"]))
+    places, bins = [], []
+    for feature, found in by_feature.items():
+        found.sort(key=lambda r: (Fraction(r[3], r[2]), r[0], r[1]))
+        n, events = [r[2] for r in found], [r[3] for r in found]
+        least = limits.get("min_share", 0.0) * rows
+        _, starts = best_partition(events, n, *totals, "asc", least, limits.get("max_bins"), limits.get("min_gap", 0.0))
+        for number, (low, high) in enumerate(zip(starts or [0], [*starts[1:], len(found)])):
+            bins.append((feature, number, sum(n[low:high]), sum(events[low:high])))
+            places += [(feature, number, category, own) for own, category, _, _ in found[low:high]]
+    named = spark.createDataFrame([p[:3] for p in places if p[3]], "feature string, bin int, category string")
+    rest = spark.createDataFrame([p[:2] for p in places if not p[3]], "feature string, rest int")
+    sums = spark.createDataFrame(bins, "feature string, bin int, bin_n bigint, bin_events bigint")
+    placed = attach(attach(categories, named, ["feature", "category"]), rest, ["feature"])
+    placed = placed.withColumn("bin", F.when(col("category").isNotNull(), F.coalesce("bin", "rest"))).drop("rest")
+    placed = attach(placed, sums, ["feature", "bin"])
+    # The missing bin has no group: its own counts are the bin's.
+    placed = placed.withColumns({
+        "bin_n": F.coalesce("bin_n", "n"), "bin_events": F.coalesce("bin_events", "events"),
+        "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"),
+    })
+    woe, iv = bin_measures(col("bin_events"), col("bin_n") - col("bin_events"), *totals)
+    measured = _with_measures(placed, *totals, keep=["bin_n", "bin_events"])
+    return measured.withColumns({"woe": woe, "iv": F.try_divide(col("n").cast("double"), col("bin_n")) * iv}).drop("bin_n", "bin_events")
+
+
 def _numeric_table(spark: SparkSession, counts: list[tuple], edges: dict[str, list[float]], totals: tuple[int, int],
-                   trend: str | None, min_share: float) -> DataFrame:
+                   trend: str | None, limits: dict) -> DataFrame:
     """The counted bins with their ends, merged by trend if one is given."""
     merged = {}
     if trend and counts:
         spans = [r for r in counts if r[1] is not None]
-        plan = woe_monotone(spark.createDataFrame(spans, _COUNTS), *totals, trend, min_share)
+        plan = woe_monotone(spark.createDataFrame(spans, _COUNTS), *totals, trend, **limits)
         merged = {(r["feature"], r["bin"]): r["merged"] for r in plan.collect()}
     rows: dict[tuple, list] = {}
     for name, place, n, events in sorted(counts, key=lambda r: (r[0], r[1] is None, r[1] or 0)):

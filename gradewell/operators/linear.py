@@ -8,7 +8,6 @@ from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gradewell.columns import col
 from gradewell.functions.scores import logistic, positive_probability
+from gradewell.operators.calibrate import IsotonicModel
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -95,7 +95,7 @@ def event_score(model) -> Column:
     """The event probability in the output of a fitted model, told from its
     stages: calibrated, a score of its own, or the probability of class 1."""
     for stage in reversed(_stages(model)):
-        if isinstance(stage, IsotonicRegressionModel):
+        if isinstance(stage, IsotonicModel):
             return col(stage.getPredictionCol())
         if isinstance(stage, LinearScore):
             return col("score")

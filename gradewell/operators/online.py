@@ -14,6 +14,7 @@ shrinks by q each time, so the steps form a geometric series.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -36,20 +37,57 @@ def run_rows(weights: np.ndarray, total: np.ndarray, x: np.ndarray, y: np.ndarra
 
     `weights` has one row per candidate C, `inverse[class]` is 1/2C per
     candidate; `total` adds up the weights after every single update.
+
+    Rows go in blocks: the products of a block's rows with each other and with the
+    weights before it are two matrix products, and within the block an update only
+    needs the step sizes of the rows before. The updates are those of one row
+    after the other.
     """
-    squares = np.einsum("ij,ij->i", x, x)
-    for row, sign, m, square in zip(x, y, copies, squares):
-        slack = inverse[1 if sign > 0 else 0]
-        loss = np.maximum(0.0, 1.0 - sign * (weights @ row))
-        step = loss / (square + slack)
-        if m == 1:
-            weights += np.outer(sign * step, row)
-            total += weights
-            continue
-        q = slack / (square + slack)
-        series = (1.0 - q ** m) / (1.0 - q)
-        total += m * weights + np.outer(sign * step * (m - q * series) / (1.0 - q), row)
-        weights += np.outer(sign * step * series, row)
+    steps = _few_steps if len(weights) <= FEW else _many_steps
+    sign, m = y[:, None], copies[:, None].astype(float)
+    signed = x * sign
+    slack = inverse[(y > 0).astype(np.int64)]
+    room = np.einsum("ij,ij->i", x, x)[:, None] + slack
+    rate, later = 1.0 / room, np.ones_like(room)
+    if (copies > 1).any():
+        q = slack / room
+        series = np.where(m == 1, 1.0, (1.0 - q**m) / (1.0 - q))
+        # what the row's own updates add to the sum of weights, per unit of the last one
+        rate, later = series / room, np.where(m == 1, 1.0, (m - q * series) / (1.0 - q)) / series
+    until = np.cumsum(copies)
+    for low in range(0, len(x), BLOCK):
+        high = min(low + BLOCK, len(x))
+        rows = signed[low:high]
+        moved = steps(1.0 - rows @ weights.T, rows @ rows.T, rate[low:high])
+        after = (until[high - 1] - until[low:high])[:, None]
+        total += (until[high - 1] - until[low] + copies[low]) * weights + (moved * (after + later[low:high])).T @ rows
+        weights += moved.T @ rows
+
+
+# Rows of a block: more make longer sums per row, fewer more matrix products.
+BLOCK = 32
+# Up to this many candidates plain numbers are faster than small arrays.
+FEW = 4
+
+
+def _few_steps(gap: np.ndarray, cross: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Step sizes of a block, (rows, candidates): the gap to margin 1 before the block, less what earlier steps closed, times the rate."""
+    products, out = cross.tolist(), np.empty_like(gap)
+    for k in range(gap.shape[1]):
+        sizes: list[float] = []
+        for margin, speed, row in zip(gap[:, k].tolist(), rate[:, k].tolist(), products):
+            left = margin - sum(map(mul, sizes, row))
+            sizes.append(left * speed if left > 0.0 else 0.0)
+        out[:, k] = sizes
+    return out
+
+
+def _many_steps(gap: np.ndarray, cross: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    out, left = np.empty_like(gap), np.empty(gap.shape[1])
+    for r in range(len(gap)):
+        np.subtract(gap[r], cross[r, :r] @ out[:r], out=left)
+        np.multiply(np.maximum(left, 0.0, out=left), rate[r], out=out[r])
+    return out
 
 
 def pa_fit_many(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], costs: Sequence[float],

@@ -19,6 +19,7 @@ from gradewell.columns import Roles, classify_columns, drop_null_target, positiv
 from gradewell.ml import GiniEvaluator, MrmrSelector, WoeEstimator, WoeModel
 from gradewell.operators.binning import woe_transform
 from gradewell.operators.calibrate import isotonic_fit
+from gradewell.operators.linear import LinearScore
 from gradewell.operators.metrics import gini
 from gradewell.operators.online import pa_fit, pa_fit_many
 from gradewell.operators.search import cross_validate, log_uniform, oof_predict, param_grid_search, random_search
@@ -117,18 +118,36 @@ def train_validated(df: DataFrame, roles: Roles, key: Sequence[str], num_feature
     return Scorecard(best, best.stages[-2].getInputCols(), metrics, search, params)
 
 
-def _select_and_bin(train: DataFrame, features: Sequence[str], num_features: int, top_share: float, bins: int) -> tuple[WoeModel, list[str]]:
+def _binner(features: Sequence[str], bins: int) -> WoeEstimator:
+    return WoeEstimator(inputCols=list(features), labelCol="label", bins=bins, trend="auto_asc_desc")
+
+
+def _select_and_bin(train: DataFrame, features: Sequence[str], num_features: int, top_share: float, bins: int,
+                    binned: WoeModel | None = None) -> tuple[WoeModel, list[str]]:
     """Correlated groups out, top share by correlation, WoE bins, mRMR: the fitted
-    binning and the selected WoE columns."""
+    binning and the selected WoE columns. `binned` has the bins of all features already."""
     numeric, categorical = classify_columns(train, features)
     kept = kept_features(smart_correlated(train, numeric)) if numeric else []
     top = top_corr_select(train, kept + categorical, "label", top_share).orderBy("rank").collect()
     names = [r["feature"] for r in top]
-    woe = WoeEstimator(inputCols=names, labelCol="label", bins=bins, trend="auto_asc_desc").fit(train)
+    if binned is None:
+        woe = _binner(names, bins).fit(train)
+    else:
+        woe = WoeModel(inputCols=names)
+        woe.binning = binned.binning
     chosen = mrmr_select(woe.transform(train), woe.woe_columns(), "label", num_features).orderBy("rank").collect()
     return woe, [r["feature"] for r in chosen]
 
 
+def _scores_of(woe: WoeModel, models: Sequence[LinearScore]):
+    """The function that gives rows the label and the score of every model."""
+    def score(rows: DataFrame) -> DataFrame:
+        values = woe.transform(rows)
+        return values.select("label", *[(1.0 / (1.0 + F.exp(-m.decision()))).alias(f"score_{i}") for i, m in enumerate(models)])
+
+    return score
+
+
 def train_passive_aggressive(df: DataFrame, roles: Roles, key: Sequence[str], num_features: int = 30, trials: int = 20,
                              folds: int = 3, seed: int = 42, cost_range: tuple[float, float] = (10.0, 20.0),
                              top_share: float = 0.5, bins: int = 20, partitions: int | None = None, max_iter: int = 10,
@@ -142,20 +161,19 @@ def train_passive_aggressive(df: DataFrame, roles: Roles, key: Sequence[str], nu
     table = _folded(table, key, folds, seed, exact_folds)
     options = {"partitions": partitions, "max_iter": max_iter, "seed": seed}
 
-    def fit_many(train: DataFrame, costs: Sequence[float]):
-        woe, chosen = _select_and_bin(train, features, num_features, top_share, bins)
-        models = pa_fit_many(woe.transform(train), chosen, "label", key, costs, **options)
-
-        def score(rows: DataFrame) -> DataFrame:
-            values = woe.transform(rows)
-            return values.select("label", *[
-                (1.0 / (1.0 + F.exp(-m.decision()))).alias(f"score_{i}") for i, m in enumerate(models)
-            ])
-
-        return score
+    def fit_folds(rows: DataFrame, costs: Sequence[float]):
+        # The bins of all features and folds come from the same scans; what is selected may differ from fold to fold.
+        binned = _binner(features, bins).fit_folds(rows, "fold", folds)
+        scorers = []
+        for i in range(folds):
+            train = rows.where(F.col("fold") != i)
+            woe, chosen = _select_and_bin(train, features, num_features, top_share, bins, binned[i])
+            models = pa_fit_many(woe.transform(train), chosen, "label", key, costs, **options)
+            scorers.append(_scores_of(woe, models))
+        return scorers
 
     costs = log_uniform(trials, *cost_range, seed)
-    best, search = random_search(table, "label", "fold", folds, costs, fit_many)
+    best, search = random_search(table, "label", "fold", folds, costs, fit_folds=fit_folds)
 
     woe, chosen = _select_and_bin(table, features, num_features, top_share, bins)
     inputs = [c.removesuffix("_WOE") for c in chosen]

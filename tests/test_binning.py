@@ -7,12 +7,13 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from catalog.fixture import FEATURES, KEY, NUMERIC
-from gradewell.functions.weights import bin_iv
+from gradewell.functions.weights import bin_iv, bin_woe
 from gradewell.operators import binning
 from gradewell.operators.binning import Binning, fit_binning, fit_binnings, iv_table, woe_transform
 from gradewell.operators.monotone import best_partition
 from gradewell.operators.quantiles import fold_edges, quantile_edges, woe_prebin
 from gradewell.operators.split import fold_hash
+from gradewell.operators.state import BinState
 from gradewell.workspace import scratch_path
 
 
@@ -213,3 +214,90 @@ def test_fold_edges_against_numpy(spark):
         for b in (3, 7):
             ranks = [-(-i * len(mine) // b) for i in range(1, b + 1)]
             assert found[t][b]["x"] == sorted({float(mine[r - 1]) for r in ranks})[:-1] or found[t][b]["x"] == sorted({float(mine[r - 1]) for r in ranks if mine[r - 1] < mine[-1]})
+
+
+def grouped_by_hand(counts, events, share, rows, totals, max_bins, min_gap):
+    """(iv, group of every category) of the best division, by trying all of them."""
+    large = [(c, n, e) for (c, n), e in zip(counts, events) if n >= share * rows]
+    small = [(c, n, e) for (c, n), e in zip(counts, events) if n < share * rows]
+    entries = [((c,), n, e, 1) for c, n, e in large]
+    if small:
+        entries.append((tuple(c for c, _, _ in small), sum(n for _, n, _ in small), sum(e for _, _, e in small), 0))
+    entries.sort(key=lambda r: (r[2] / r[1], r[3], r[0]))
+    best = (-1.0, None)
+    for cuts in itertools.product([False, True], repeat=len(entries) - 1):
+        groups = [[entries[0]]]
+        for cut, entry in zip(cuts, entries[1:]):
+            if cut:
+                groups.append([entry])
+            else:
+                groups[-1].append(entry)
+        sums = [(sum(g[2] for g in group), sum(g[1] for g in group)) for group in groups]
+        woe = [bin_woe(e, n - e, *totals) for e, n in sums]
+        if len(groups) > max_bins or any(abs(a - b) < min_gap for a, b in zip(woe, woe[1:])):
+            continue
+        iv = sum(bin_iv(e, n - e, *totals) for e, n in sums)
+        if iv > best[0] + 1e-12:
+            best = iv, {c: w for group, w in zip(groups, woe) for entry in group for c in entry[0]}
+    return best
+
+
+@pytest.mark.parametrize("max_bins, min_gap, share", [(3, 0.0, 0.04), (4, 0.2, 0.0), (10, 0.1, 0.08)])
+def test_merged_categories_are_the_best_division(spark, max_bins, min_gap, share):
+    random = np.random.default_rng(11)
+    names = [f"c{i}" for i in range(11)]
+    c = random.choice(names, 3_000, p=np.arange(1, 12) / 66)
+    y = (random.random(3_000) < 0.1 + 0.05 * np.array([int(x[1:]) % 5 for x in c])).astype(int)
+    frame = pd.DataFrame({"c": c, "y": y})
+    frame.loc[:50, "c"] = None
+    df = spark.createDataFrame(frame).repartition(3)
+    fitted = fit_binning(df, ["c"], "y", category_share=share, max_bins=max_bins, min_gap=min_gap)
+    sums = frame.groupby("c")["y"].agg(["size", "sum"])
+    totals = int(y.sum()), int(len(y) - y.sum())
+    iv, woe = grouped_by_hand(list(sums["size"].items()), sums["sum"].tolist(), share, len(y), totals, max_bins, min_gap)
+    rows = fitted.table.collect()
+    assert {r["category"]: pytest.approx(r["woe"], abs=1e-12) for r in rows if r["category"]} == woe
+    assert sum(r["iv"] for r in rows if r["category"]) == pytest.approx(iv, abs=1e-12)
+    assert sum(r["n"] for r in rows) == 3_000 and len({r["bin"] for r in rows if r["category"]}) <= max_bins
+    scored = woe_transform(df, fitted, missing="woe").select("c", "c_WOE").distinct().collect()
+    missing = next(r["woe"] for r in rows if r["is_missing"])
+    assert {r["c"]: r["c_WOE"] for r in scored} == {**{k: pytest.approx(v, abs=1e-12) for k, v in woe.items()}, None: pytest.approx(missing)}
+
+
+def test_limits_of_numeric_merges():
+    random = np.random.default_rng(12)
+    for _ in range(30):
+        n = random.integers(5, 60, 8)
+        events = [int(random.integers(0, k + 1)) for k in n]
+        all_events, others = max(sum(events), 1), max(int(n.sum()) - sum(events), 1)
+        for max_bins, gap in ((2, 0.0), (3, 0.4), (None, 0.7)):
+            value, starts = best_partition(events, n.tolist(), all_events, others, "asc", 0.0, max_bins, gap)
+            best = -math.inf
+            for cuts in itertools.product([False, True], repeat=7):
+                at = [0, *[i + 1 for i, cut in enumerate(cuts) if cut], 8]
+                sums = [(sum(events[a:b]), int(n[a:b].sum())) for a, b in zip(at, at[1:])]
+                woe = [bin_woe(e, k - e, all_events, others) for e, k in sums]
+                rising = all(a[0] * b[1] <= b[0] * a[1] for a, b in zip(sums, sums[1:]))
+                if rising and len(sums) <= (max_bins or 8) and all(abs(a - b) >= gap for a, b in zip(woe, woe[1:])):
+                    best = max(best, sum(bin_iv(e, k - e, all_events, others) for e, k in sums))
+            assert value == pytest.approx(best) and starts[0] == 0
+
+
+def test_state_of_two_months_is_the_state_of_both(lines, spark):
+    """Bins of A, then B added, equal those of all rows; B alone is read."""
+    features = ["l_quantity", "l_tax", "l_extendedprice", "const_f", "o_orderpriority"]
+    a, b = lines.where("yr < 1995"), lines.where("yr >= 1995")
+    path = scratch_path(spark, "state")
+    BinState.of(a, features, "flag").save(path)
+    BinState.of(b, features, "flag").save(path, append=True)
+    stored = BinState.load(spark, path)
+    added = BinState.of(a, features, "flag").add(b, "flag")
+    for option in ({"bins": 20}, {"bins": 7, "trend": "auto", "max_bins": 4}, {"bins": 5, "category_share": 0.1, "max_bins": 3}):
+        whole = fit_binning(lines, features, "flag", exact=False, **option)
+        for state in (stored, added):
+            found = state.binning(**option)
+            assert bin_rows(found) == bin_rows(whole) and found.numeric == whole.numeric
+    with pytest.raises(ValueError, match="different features"):
+        stored.merge(BinState.of(a, ["l_tax"], "flag"))
+    nothing = BinState.of(lines.limit(0), features, "flag")
+    assert bin_rows(nothing.merge(added).binning()) == bin_rows(added.binning())

@@ -4,7 +4,8 @@ import pytest
 
 from catalog.fixture import NUMERIC
 from gradewell.ml import GiniEvaluator
-from gradewell.operators.calibrate import isotonic_calibrate, isotonic_fit
+from gradewell.operators import calibrate
+from gradewell.operators.calibrate import IsotonicModel, isotonic_calibrate, isotonic_fit, pooled_blocks
 from gradewell.operators.metrics import (
     auc_gini, calibration_curve, confusion_metrics, gini, gini_hard, ks_statistic, rank_metrics, single_feature_gini,
 )
@@ -101,3 +102,34 @@ def test_isotonic_matches_pooling(scored):
     model = isotonic_fit(df, "x", "y")
     ends = model.transform(df.sparkSession.createDataFrame([(-99.0,), (99.0,)], "x double")).collect()
     assert [r.calibrated for r in ends] == pytest.approx([want[x.min()], want[x.max()]])
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_pooled_blocks_do_not_depend_on_ranges(spark, ranges):
+    """Rising, falling, flat and noisy stretches, also across the borders of ranges."""
+    random = np.random.default_rng(9)
+    n = random.integers(1, 6, 1_200)
+    wave = 0.5 + 0.4 * np.sin(np.arange(1_200) / 150.0) + np.where(np.arange(1_200) > 800, -0.4, 0.0)
+    events = random.binomial(n, np.clip(wave, 0, 1))
+    frame = pd.DataFrame({"score": np.arange(1_200) / 7.0 - 80, "n": n, "events": events})
+    want = pooled(pd.Series(events / n), pd.Series(n))
+    blocks = pooled_blocks(spark.createDataFrame(frame).repartition(5), ranges).orderBy("low").collect()
+    assert sum(b["n"] for b in blocks) == n.sum() and len({round(v, 12) for v in want}) <= len(blocks) <= 1_200
+    got = np.concatenate([np.full(((frame.score >= b["low"]) & (frame.score <= b["high"])).sum(), b["events"] / b["n"]) for b in blocks])
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_many_blocks_are_looked_up_by_cells(spark, scored, tmp_path, monkeypatch):
+    """Between, inside, before and behind the blocks, with nulls: the same from lists of cells as from arrays, and after reloading."""
+    df, x, _ = scored
+    model = isotonic_fit(df, "x", "y")
+    probe = spark.createDataFrame([(float(v),) for v in np.r_[x[::7], x[::9] + 0.033, -50, 50, 0.0, -0.0]] + [(None,), (float("nan"),)], "x double")
+    few = sorted(map(tuple, model.transform(probe).select("x", "calibrated").collect()), key=str)  # nan is not itself: compared as text
+    path = str(tmp_path / "model")
+    model.write().overwrite().save(path)
+    again = sorted(map(tuple, IsotonicModel.load(path).transform(probe).select("x", "calibrated").collect()), key=str)
+    assert str(again) == str(few)
+    monkeypatch.setattr(calibrate, "BROADCAST_ROWS", 2)
+    many = sorted(map(tuple, model.transform(probe).select("x", "calibrated").collect()), key=str)
+    assert [r[1] is None for r in few] == [r[1] is None for r in many] and sum(r[1] is None for r in few) == 2
+    assert [r[1] for r in many if r[1] is not None] == pytest.approx([r[1] for r in few if r[1] is not None], abs=1e-12)

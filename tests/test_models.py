@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,10 +12,12 @@ from catalog.fixture import KEY, NOT_FEATURES
 from gradewell import Roles
 from gradewell.functions import row_hash
 from gradewell.ml import GiniEvaluator, MrmrSelector, WoeEstimator
+from gradewell.operators.binning import fit_binnings, woe_transform
 from gradewell.operators.linear import LinearScore, assemble, balanced_weight, logistic_fit
 from gradewell.operators.metrics import gini
+from gradewell.operators.newton import logistic_fits
 from gradewell.operators.online import pa_fit, pa_fit_many, run_rows
-from gradewell.operators.search import cross_validate, log_uniform, oof_predict, param_grid_search
+from gradewell.operators.search import adaptive_random_search, adaptive_search, cross_validate, log_uniform, oof_predict, param_grid_search
 from gradewell.operators.split import fold_hash
 from gradewell.plans.jobs import evaluate_scores, score_frame, split_job
 from gradewell.plans.training import train_cross_validated, train_passive_aggressive, train_validated
@@ -220,3 +224,72 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
     code = "import pickle; rows, best = pickle.load(open('f.pkl', 'rb')); print(best([1, 2], [4, 4], 3, 5)[1])"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "[0, 1]", done.stderr
+
+
+def test_adaptive_search_beats_plain_draws():
+    """A peak in a wide range: on average over seeds, proposals come closer than as many log-uniform draws."""
+    def score(cost):
+        return -abs(math.log(cost / 37.0))
+
+    gains = []
+    for seed in range(40):
+        done = adaptive_search(lambda costs: [score(c) for c in costs], 20, 0.01, 10_000.0, seed)
+        assert done == adaptive_search(lambda costs: [score(c) for c in costs], 20, 0.01, 10_000.0, seed)
+        assert len(done) == 20 and [k for _, _, k in done] == sorted(list(range(5)) * 4) and all(0.01 <= c <= 10_000.0 for c, _, _ in done)
+        gains.append(max(s for _, s, _ in done) - max(score(c) for c in log_uniform(20, 0.01, 10_000.0, seed)))
+    assert np.mean(gains) > 0.1 and np.mean(np.array(gains) > 0) > 0.6
+
+
+def test_adaptive_search_over_folds(labelled):
+    rows = fold_hash(labelled, KEY, 3, 9)
+
+    def fit_folds(table, costs):
+        fitted = fit_binnings(table, ["l_quantity"], "flag", [{"bins": max(2, int(c))} for c in costs], "fold", 3)
+
+        def scorer(binnings):
+            def add(part):
+                for i, one in enumerate(binnings):
+                    part = woe_transform(part, one).withColumn(f"score_{i}", -F.col("l_quantity_WOE")).drop("l_quantity_WOE")
+                return part
+
+            return add
+
+        return [scorer(b) for b in fitted]
+
+    best, table = adaptive_random_search(rows, "flag", "fold", 3, 5, 2.0, 30.0, 1, batch=3, fit_folds=fit_folds)
+    found = table.collect()
+    assert [r["batch"] for r in found] == [0, 0, 0, 1, 1] and sum(r["best"] for r in found) == 1
+    assert best == max(found, key=lambda r: r["gini"])["cost"] and all(0.3 < r["gini"] < 1 for r in found)
+
+
+POINTS = [(0.0, 0.0), (0.01, 0.5), (0.1, 0.5), (0.05, 0.0), (0.02, 1.0)]
+
+
+def test_joint_logistic_fits_equal_single_ones(labelled):
+    """All penalties and folds together against the built-in regression, one by one."""
+    rows = fold_hash(labelled.withColumn("z", F.col("l_quantity") * F.col("l_discount")).withColumn("c", F.lit(3.0)), KEY, 2, 4)
+    names = [*X, "z", "c"]
+    found = logistic_fits(rows, names, "flag", POINTS, "fold", 2)
+    whole = logistic_fits(rows, names, "flag", POINTS)[0]
+    for train, models in [(rows.where("fold != 0"), found[0]), (rows.where("fold != 1"), found[1]), (rows, whole)]:
+        vectors = assemble(train, names).persist()
+        for (reg, elastic), model in zip(POINTS, models):
+            one = LogisticRegression(labelCol="flag", regParam=reg, elasticNetParam=elastic, tol=1e-12, maxIter=500).fit(vectors)
+            spread = np.array([*train.select(*[F.stddev(c) for c in names]).first()])
+            got, want = np.array(model.getOrDefault("weights")) * spread, one.coefficients.toArray() * spread
+            assert np.abs(got - want).max() < 2e-4 and abs(model.getOrDefault("bias") - one.intercept) < 2e-3
+        vectors.unpersist()
+
+
+def test_grid_of_penalties_is_scored_together(labelled):
+    """The same scores and the same best model as fits of single points."""
+    train, dev = (fold_hash(labelled, KEY, 3, 2).where(c) for c in ("fold != 0", "fold = 0"))
+    regression = LogisticRegression(labelCol="flag")
+    pipeline = Pipeline(stages=[MrmrSelector(inputCols=X, numFeatures=2, labelCol="flag"), regression])
+    grid = ParamGridBuilder().addGrid(regression.regParam, [0.01, 0.1, 0.6]).addGrid(regression.elasticNetParam, [0.5, 1.0]).build()
+    judge = GiniEvaluator(labelCol="flag")
+    model, score, table = param_grid_search(train, dev, pipeline, grid, judge)
+    for point, r in zip(grid, table.orderBy("point").collect()):
+        alone = judge.evaluate(pipeline.fit(train, point).transform(dev))
+        assert r["score"] == pytest.approx(alone, abs=2e-3)
+    assert judge.evaluate(model.transform(dev)) == pytest.approx(score, abs=2e-3)
