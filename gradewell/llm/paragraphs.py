@@ -56,6 +56,7 @@ GAP = 30  # words between units that are aligned together
 AROUND = 40  # words before and after them that are looked at
 SKIP = 3  # words of a change that alignment passes over
 REACH = 4  # words on each side that a cut is compared with
+BITS = 512  # of the sets of shingles that are compared first
 SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
@@ -152,8 +153,8 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                     bands_of.append(pa.nulls(len(begin), pa.list_(pa.int64())))
                 cuts = [np.flatnonzero(cut_points(words, by)) for by in (line, text)]
                 for kind, least, begins in ((LINE, LEAST_WORDS, paragraph_starts(text, line)), (PIECE, SHINGLE, cuts)):
-                    found = [np.stack([b, np.diff(np.r_[b, len(words)])], 1) for b in begins]
-                    begin, size = np.unique(np.concatenate(found), axis=0).T
+                    found = np.unique(np.concatenate([b << 32 | np.diff(np.r_[b, len(words)]) for b in begins]))
+                    begin, size = found >> 32, found & 0xFFFFFFFF
                     enough = size >= least
                     begin, size = begin[enough], size[enough]
                     if not len(begin):
@@ -231,13 +232,29 @@ def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> Dat
     members = banded.join(shingles.dropDuplicates(["key"]), "key")
 
     def accept(table: pa.Table):
-        sets = [frozenset(x) for x in table.column("shingles").to_pylist()]
-        size = np.array([len(s) for s in sets])
+        lists = table.column("shingles").combine_chunks()
+        values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        values, ends = values[ends[0] : ends[-1]], ends - ends[0]
+        size = np.diff(ends)
+        # One bit for every shingle, of BITS: a bit that only one of two sets has is at least one shingle that only it has.
+        bits = np.zeros((len(size), BITS // 64), np.uint64)
+        place = (np.repeat(np.arange(len(size)), size), (values >> np.uint64(6)) % np.uint64(BITS // 64))
+        np.bitwise_or.at(bits, place, np.uint64(1) << (values & np.uint64(63)))
+        sets: dict[int, frozenset] = {}
+
+        def set_of(k: int) -> frozenset:
+            if k not in sets:
+                sets[k] = frozenset(values[ends[k] : ends[k + 1]].tolist())
+            return sets[k]
 
         def similar(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             good = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
+            at = np.flatnonzero(good)
+            one, two = bits[i[at]], bits[j[at]]
+            most = np.minimum(size[i[at]] - np.bitwise_count(one & ~two).sum(1), size[j[at]] - np.bitwise_count(two & ~one).sum(1))
+            good[at] = most >= threshold * (size[i[at]] + size[j[at]] - most)
             for k in np.flatnonzero(good):
-                a, b = sets[i[k]], sets[j[k]]
+                a, b = set_of(int(i[k])), set_of(int(j[k]))
                 both = len(a & b)
                 good[k] = both >= threshold * (len(a) + len(b) - both)
             return good
