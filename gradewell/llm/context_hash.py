@@ -290,7 +290,8 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "at", F.explode(F.when(col("code") % 2 == 1, F.array(own, before)).otherwise(F.array(own)))
     )
     placed = placed.select("at.range", "at.extra", "doc_id", "text", "copies", *KEY)
-    ordered = placed.repartition("range").sortWithinPartitions("range", "extra", *KEY)
+    # A task for every range or two: their number follows the rows, not a setting of the session.
+    ordered = placed.repartition(len(cuts), "range").sortWithinPartitions("range", "extra", *KEY)
     schema = schema_of(NEXT_SCHEMA)
     arrow_schema = to_arrow_schema(schema)
     ordered = bounded(ordered.select("range", "extra", "doc_id", "text", "copies"))
