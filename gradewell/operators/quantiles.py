@@ -34,7 +34,7 @@ def from_bits(bits: np.ndarray) -> np.ndarray:
 
 
 def _cell_counts(df: DataFrame, names: Sequence[str], known: int, wanted: int, cells: list[np.ndarray] | None,
-                 fold_col: str | None, folds: int) -> DataFrame:
+                 fold_col: str | None = None, folds: int = 0) -> DataFrame:
     """(t, f, parent, cell, n): values counted by their first `wanted` bits, of those
     values whose first `known` bits (parent) are among cells[f]; all if None. Rows are
     counted once, by fold; training set t has the rows of all folds but t."""

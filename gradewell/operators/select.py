@@ -25,9 +25,11 @@ def significant(value: float) -> float:
     return float(f"{value:.{DIGITS - 1}e}")
 
 
-def _by_correlation(df: DataFrame, numeric: Sequence[str], label: str) -> DataFrame:
+def _by_correlation(df: DataFrame, numeric: Sequence[str], label: str, known: DataFrame | None = None) -> DataFrame:
     """(rank, feature, abs_corr, defined) for features with a defined correlation, ties to DIGITS decimals by name."""
-    table = label_correlation(df, numeric, label).where(col("corr").isNotNull())
+    if known is None:
+        known = label_correlation(df, numeric, label)
+    table = known.where(col("corr").isNotNull() & col("feature").isin(list(numeric))).withColumn("abs_corr", F.abs("corr"))
     # One row per feature: a single window is small whatever the data.
     order = Window.partitionBy(F.lit(1)).orderBy(F.round("abs_corr", DIGITS).desc(), "feature")
     return table.select(
@@ -43,16 +45,18 @@ def low_corr_filter(df: DataFrame, numeric: Sequence[str], label: str) -> DataFr
     return ranked.where(col("rank") <= F.floor(col("defined") / 3)).drop("defined")
 
 
-def top_corr_select(df: DataFrame, features: Sequence[str], label: str, top_share: float = 0.3) -> DataFrame:
+def top_corr_select(df: DataFrame, features: Sequence[str], label: str, top_share: float = 0.3,
+                    known: DataFrame | None = None) -> DataFrame:
     """The top share (at least one) of the numeric features by |correlation|,
-    then every categorical feature: (rank, feature, kind, abs_corr)."""
+    then every categorical feature: (rank, feature, kind, abs_corr). `known` has
+    the correlations (feature, n, corr) already."""
     numeric, categorical = classify_columns(df, features)
     chosen = df.sparkSession.createDataFrame(
         [(i, c, "categorical", None) for i, c in enumerate(categorical, 1)],
         "place int, feature string, kind string, abs_corr double",
     )
     if numeric:
-        ranked = _by_correlation(df, numeric, label)
+        ranked = _by_correlation(df, numeric, label, known)
         keep = F.greatest(F.lit(1), F.floor(col("defined") * F.lit(float(top_share))).cast("int"))
         chosen = chosen.unionByName(ranked.where(col("rank") <= keep).select(
             col("rank").alias("place"), "feature", F.lit("numeric").alias("kind"), "abs_corr"

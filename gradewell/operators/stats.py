@@ -123,54 +123,67 @@ def pairwise_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def correlation_with(df: DataFrame, features: Sequence[str], other: str) -> DataFrame:
-    """(feature, n, corr) of every feature with one numeric column.
+    """(feature, n, corr) of every feature with one numeric column."""
+    return correlation_sets(df, features, other)[0]
+
+
+def correlation_sets(df: DataFrame, features: Sequence[str], other: str, fold_col: str | None = None, folds: int = 0) -> list[DataFrame]:
+    """(feature, n, corr) of every feature with one numeric column; with folds for every
+    training set, all rows but those of fold 0, 1, ....
 
     One scan for the ends of the columns, one aggregate for every
     COLUMNS_PER_PASS features for their sums around the middle, and another for
-    features whose mean is so far from it that squares cancel. The sums are exact
-    (see `sums`), so results are the same to the last bit in any layout.
+    features whose mean is so far from it that squares cancel. Rows are added up
+    once, by fold, and a set's sums are those of its folds, so the scans do not depend
+    on their number. The sums are exact (see `sums`): the same to the last bit in any layout.
     """
-    features = list(features)
+    features, sets = list(features), range(max(folds, 1))
     present = df.where(as_number(df, other).isNotNull())
     spans = ranges(present, [*dict.fromkeys([*features, other])])
     shifts = {c: middle(span) for c, span in spans.items()}
-    found: dict[str, tuple[int, float | None]] = dict.fromkeys(features, (0, None))
+    found: list[dict[str, tuple[int, float | None]]] = [{c: (0, None) for c in features} for _ in sets]
     todo = [c for c in features if spans[c][0] and shifts[c] is not None and shifts[other] is not None]
-    found |= {c: (spans[c][0], None) for c in features if c not in todo}
+    if not folds:
+        found[0] |= {c: (spans[c][0], None) for c in features if c not in todo}
     for again in (False, True):
         far = []
         for names in _chunks(todo):
-            for c, sums in zip(names, _pair_sums(present, names, other, shifts, spans)):
-                n, sx, _, sxx, _, _ = sums
-                if not again and sxx > 0 and sxx - sx * sx / n < sxx * CANCELLED:
+            by_fold = _pair_sums(present, names, other, shifts, spans, fold_col)
+            for i, c in enumerate(names):
+                sums = [
+                    [sum(part) for part in zip(*[by_fold[g][i] for g in sorted(by_fold) if not folds or g != t])] or [0] * 6 for t in sets
+                ]
+                if not again and any(n and sxx > 0 and sxx - sx * sx / n < sxx * CANCELLED for n, sx, _, sxx, _, _ in sums):
                     far.append(c)
+                    n, sx = (sum(by_fold[g][i][k] for g in sorted(by_fold)) for k in (0, 1))
                     shifts[c] += sx / n
-                else:
-                    found[c] = n, _from_sums(sums, shifts[c], shifts[other])
+                    continue
+                for t in sets:
+                    found[t][c] = int(sums[t][0]), _from_sums(sums[t], shifts[c], shifts[other])
         todo = far
-    rows = [(c, *found[c]) for c in features]
-    return df.sparkSession.createDataFrame(rows, "feature string, n bigint, corr double")
+    return [
+        df.sparkSession.createDataFrame([(c, *one[c]) for c in features], "feature string, n bigint, corr double") for one in found
+    ]
 
 
-def _pair_sums(df: DataFrame, features: Sequence[str], other: str, shifts: dict[str, float], spans: dict) -> list[tuple[float, ...]]:
-    """n, sx, sy, sxx, syy, sxy of every feature with `other`, around their shifts, where both are present."""
+def _pair_sums(df: DataFrame, features: Sequence[str], other: str, shifts: dict[str, float], spans: dict,
+               fold_col: str | None) -> dict[int, list[tuple[float, ...]]]:
+    """By fold (0 without): n, sx, sy, sxx, syy, sxy of every feature with `other`, around their shifts, where both are present."""
     rows = spans[other][0]
     reach = {c: max(abs(spans[c][1] - shifts[c]), abs(spans[c][2] - shifts[c])) for c in {*features, other}}
     b = reach[other]
     part = df.select((as_number(df, other) - F.lit(shifts[other])).alias("y"), *[
         (as_number(df, c) - F.lit(shifts[c])).alias(f"x{i}") for i, c in enumerate(features)
-    ])
+    ], *([col(fold_col).cast("int").alias("g")] if fold_col else []))
     entries = []
     for i, c in enumerate(features):
         x, a = col(f"x{i}"), reach[c]
         y = col("y") if spans[c][0] == rows else F.when(x.isNotNull(), col("y"))
-        entries += [
-            F.count(x).alias(f"n{i}"), exact_sum(x, a, rows).alias(f"a{i}"), exact_sum(y, b, rows).alias(f"b{i}"),
-            exact_sum(x * x, a * a, rows).alias(f"aa{i}"), exact_sum(y * y, b * b, rows).alias(f"bb{i}"),
-            exact_sum(x * y, a * b, rows).alias(f"ab{i}"),
-        ]
-    row = part.agg(*entries).first()
-    return [tuple(row[f"{k}{i}"] for k in ("n", "a", "b", "aa", "bb", "ab")) for i in range(len(features))]
+        sums = {"a": (x, a), "b": (y, b), "aa": (x * x, a * a), "bb": (y * y, b * b), "ab": (x * y, a * b)}
+        entries.append(F.count(x).alias(f"n{i}"))
+        entries += [F.coalesce(exact_sum(value, bound, rows), F.lit(0.0)).alias(f"{k}{i}") for k, (value, bound) in sums.items()]
+    found = (part.groupBy("g") if fold_col else part.groupBy(F.lit(0).alias("g"))).agg(*entries).collect()  # one row per fold
+    return {r["g"]: [tuple(r[f"{k}{i}"] for k in ("n", "a", "b", "aa", "bb", "ab")) for i in range(len(features))] for r in found}
 
 
 def _from_sums(sums: tuple[float, ...], shift_x: float, shift_y: float) -> float | None:

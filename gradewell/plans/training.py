@@ -25,6 +25,7 @@ from gradewell.operators.online import pa_fit, pa_fit_many
 from gradewell.operators.search import cross_validate, log_uniform, oof_predict, param_grid_search, random_search
 from gradewell.operators.select import kept_features, low_corr_filter, mrmr_select, smart_correlated, top_corr_select
 from gradewell.operators.split import fold_hash, kfold_assign, split_exact, split_hash
+from gradewell.operators.stats import correlation_sets
 from gradewell.sources.report import run_report
 from gradewell.workspace import staged
 
@@ -123,12 +124,13 @@ def _binner(features: Sequence[str], bins: int) -> WoeEstimator:
 
 
 def _select_and_bin(train: DataFrame, features: Sequence[str], num_features: int, top_share: float, bins: int,
-                    binned: WoeModel | None = None) -> tuple[WoeModel, list[str]]:
+                    binned: WoeModel | None = None, known: DataFrame | None = None) -> tuple[WoeModel, list[str]]:
     """Correlated groups out, top share by correlation, WoE bins, mRMR: the fitted
-    binning and the selected WoE columns. `binned` has the bins of all features already."""
+    binning and the selected WoE columns. `binned` has the bins of all features and
+    `known` their correlations with the label already."""
     numeric, categorical = classify_columns(train, features)
     kept = kept_features(smart_correlated(train, numeric)) if numeric else []
-    top = top_corr_select(train, kept + categorical, "label", top_share).orderBy("rank").collect()
+    top = top_corr_select(train, kept + categorical, "label", top_share, known).orderBy("rank").collect()
     names = [r["feature"] for r in top]
     if binned is None:
         woe = _binner(names, bins).fit(train)
@@ -162,12 +164,14 @@ def train_passive_aggressive(df: DataFrame, roles: Roles, key: Sequence[str], nu
     options = {"partitions": partitions, "max_iter": max_iter, "seed": seed}
 
     def fit_folds(rows: DataFrame, costs: Sequence[float]):
-        # The bins of all features and folds come from the same scans; what is selected may differ from fold to fold.
+        # Bins and correlations of all features and folds come from the same scans; what is selected may differ from fold to fold.
         binned = _binner(features, bins).fit_folds(rows, "fold", folds)
+        numeric, _ = classify_columns(rows, features)
+        known = correlation_sets(rows, numeric, "label", "fold", folds) if numeric else [None] * folds
         scorers = []
         for i in range(folds):
             train = rows.where(F.col("fold") != i)
-            woe, chosen = _select_and_bin(train, features, num_features, top_share, bins, binned[i])
+            woe, chosen = _select_and_bin(train, features, num_features, top_share, bins, binned[i], known[i])
             models = pa_fit_many(woe.transform(train), chosen, "label", key, costs, **options)
             scorers.append(_scores_of(woe, models))
         return scorers

@@ -181,3 +181,23 @@ def test_equal_correlations_are_ranked_by_name(spark):
         order = [r.feature for r in ranked]
         assert order.index("a") + 1 == order.index("z")
     assert [c for c, _ in greedy_mrmr({"z": 1.0 + 1e-15, "a": 1.0, "m": 0.5}, lambda taken, others: dict.fromkeys(others, 0.5), 3)] == ["a", "z", "m"]
+
+
+def test_correlations_of_training_sets_from_one_count(spark):
+    """Added up once by fold, each set's correlations are those of its own rows; also where one fold is far off."""
+    random = np.random.default_rng(8)
+    n = 3_000
+    frame = pd.DataFrame({
+        "a": random.normal(size=n), "b": np.where(random.random(n) < 0.2, np.nan, random.normal(size=n)), "fold": random.integers(0, 3, n),
+        "y": random.integers(0, 2, n), "d": 4.0,
+    })
+    frame["c"] = np.where(frame["fold"] == 1, 1e3, 0.0) + random.normal(size=n)
+    df, names = spark.createDataFrame(frame).repartition(4), ["a", "b", "c", "d"]
+    for t, table in enumerate(stats.correlation_sets(df, names, "y", "fold", 3)):
+        mine = frame[frame["fold"] != t]
+        for r in table.collect():
+            assert r["n"] == mine[r["feature"]].notna().sum()
+            if r["feature"] == "d":
+                assert r["corr"] is None
+            else:
+                assert r["corr"] == pytest.approx(mine[r["feature"]].corr(mine["y"]), abs=1e-6)
