@@ -27,12 +27,11 @@ from gradewell.operators.quantiles import ordered_bits
 STEPS = (20, 32, 44, 64)
 # A mixed cell of up to this many rows is ranked in one task.
 RANKED_ROWS = 1 << 16
-# Cells or values that a task holds before it hands them on.
-HELD = 1 << 19
+# Cells or values, of all features together, that a task holds before it hands them on.
+HELD = 1 << 18
 
 _RANKED = "name string, n bigint, events bigint, auc double, gini double, ks double"
 _CELLS = "f int, cell bigint, low bigint, high bigint, pos bigint, neg bigint"
-_PARTS = "f int, place bigint, pos bigint, neg bigint, area double, high double, low double"
 
 
 def _put_together(parts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -69,14 +68,12 @@ class _Held:
     def put(self, lot: np.ndarray) -> None:
         self.lots.append(lot)
         self.size += lot.shape[1]
-        if self.size > HELD and len(self.lots) > 1:
-            self.take_back(self.take())
 
     def take_back(self, lot: np.ndarray) -> None:
         self.lots, self.size = [lot], lot.shape[1]
 
     def take(self) -> np.ndarray:
-        if not self.lots:
+        if not self.size:
             return np.empty((5, 0), np.int64)
         rows = np.concatenate(self.lots, axis=1)
         self.lots, self.size = [], 0
@@ -86,6 +83,21 @@ class _Held:
         return np.stack([rows[0, start], low, high, np.add.reduceat(rows[3], start), np.add.reduceat(rows[4], start)])
 
 
+def _too_many(held: list[_Held]) -> Iterator[int]:
+    """Features to be handed on, those with most first, until what is left is no more than half of HELD."""
+    size = sum(h.size for h in held)
+    if size <= HELD:
+        return
+    for one in held:
+        one.take_back(one.take())
+    left = {f: h.size for f, h in enumerate(held)}
+    for f in sorted(left, key=lambda f: -left[f]):
+        if sum(left.values()) <= HELD // 2:
+            return
+        left[f] = 0
+        yield f
+
+
 def _inside(bits: np.ndarray, cells: np.ndarray, known: int) -> np.ndarray:
     """Where the first `known` bits are among the cells (ascending)."""
     if not len(cells):
@@ -111,8 +123,8 @@ def _counted(narrow: DataFrame, k: int, wanted: int, known: int, cells: list[np.
                     bits, y = bits[mine], y[mine]
                 if len(bits):
                     held[f].add(bits, y, wanted)
-                if held[f].size > HELD:
-                    yield _frame(f, held[f].take())
+            for f in _too_many(held):
+                yield _frame(f, held[f].take())
         for f in range(k):
             if held[f].size:
                 yield _frame(f, held[f].take())
@@ -127,24 +139,19 @@ def _frame(f: int, rows: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"f": np.full(rows.shape[1], f, np.int32), **dict(zip(("cell", "low", "high", "pos", "neg"), rows))})
 
 
-_VALUES = "f int, cell bigint, first bigint, steps array<bigint>, pos array<int>, neg array<int>"
+_VALUES = "f int, cell bigint, bits bigint, pos bigint, neg bigint"
 
 
 def _ranked_cells(narrow: DataFrame, k: int, known: int, cells: list[np.ndarray], totals: dict[int, tuple[int, int]]) -> DataFrame:
-    """Parts of mixed cells (of `known` bits, each of a bounded number of rows): their distinct values, put in order."""
+    """Parts of mixed cells (of `known` bits, each of a bounded number of rows): their
+    distinct values, put in order. Tasks hand on what they hold; Spark adds it up and sorts it."""
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [_Held() for _ in range(k)]
 
         def out(f: int) -> pd.DataFrame:
             bits, _, _, pos, neg = held[f].take()
-            cell = bits >> (64 - known)
-            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            steps = np.diff(bits, prepend=bits[:1])
-            return pd.DataFrame({
-                "f": np.full(len(start), f, np.int32), "cell": cell[start], "first": bits[start], "steps": np.split(steps, start[1:]),
-                "pos": np.split(pos.astype(np.int32), start[1:]), "neg": np.split(neg.astype(np.int32), start[1:]),
-            })
+            return pd.DataFrame({"f": np.full(len(bits), f, np.int32), "cell": bits >> (64 - known), "bits": bits, "pos": pos, "neg": neg})
 
         for batch in batches:
             label = batch["y"].to_numpy(dtype="int64")
@@ -157,47 +164,22 @@ def _ranked_cells(narrow: DataFrame, k: int, known: int, cells: list[np.ndarray]
                 mine = _inside(bits, cells[f], known)
                 if mine.any():
                     held[f].add(bits[mine], y[mine], 64)
-                if held[f].size > HELD:
-                    yield out(f)
+            for f in _too_many(held):
+                yield out(f)
         for f in range(k):
             if held[f].size:
                 yield out(f)
 
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lots = None, []
-
-        def part() -> tuple:
-            f, cell = now
-            held = _Held()
-            held.take_back(np.concatenate(lots, axis=1))
-            bits, _, _, pos, neg = held.take()
-            before, total = np.cumsum(neg), totals[f]
-            gap = before / total[1] - np.cumsum(pos) / total[0]
-            area = float((pos * (before - neg / 2.0)).sum())
-            return f, int(bits[0]), int(pos.sum()), int(neg.sum()), area, float(gap.max()), float(gap.min())
-
-        rows = []
-        for batch in batches:
-            for f, cell, first, steps, pos, neg in batch.itertuples(index=False):
-                if (f, cell) != now:
-                    if lots:
-                        rows.append(part())
-                    now, lots = (f, cell), []
-                bits = first + np.r_[0, np.cumsum(np.asarray(steps, np.int64)[1:])]
-                lots.append(np.stack([bits, bits, bits, np.asarray(pos, np.int64), np.asarray(neg, np.int64)]))
-            if len(rows) > 10_000:
-                yield pd.DataFrame(rows, columns=_NAMES)
-                rows = []
-        if lots:
-            rows.append(part())
-        if rows:
-            yield pd.DataFrame(rows, columns=_NAMES)
-
-    dealt = narrow.mapInPandas(values, _VALUES).repartition("f", "cell").sortWithinPartitions("f", "cell")
-    return dealt.mapInPandas(rank, _PARTS)
-
-
-_NAMES = ["f", "place", "pos", "neg", "area", "high", "low"]
+    # Dealt out by cell, so that the sums by value and their order need no other shuffle.
+    dealt = narrow.mapInPandas(values, _VALUES).repartition("f", "cell")
+    summed = dealt.groupBy("f", "cell", "bits").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    upto = Window.partitionBy("f", "cell").orderBy("bits").rowsBetween(Window.unboundedPreceding, 0)
+    p, q = (F.element_at(F.create_map(*[F.lit(v) for f, t in totals.items() for v in (f, t[i])]), col("f")) for i in (0, 1))
+    placed = summed.withColumn("before", F.sum("neg").over(upto)).withColumn("gap", col("before") / q - F.sum("pos").over(upto) / p)
+    return placed.groupBy("f", "cell").agg(
+        F.min("bits").alias("place"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        F.sum(col("pos") * (col("before") - col("neg") / 2.0)).alias("area"), F.max("gap").alias("high"), F.min("gap").alias("low"),
+    ).drop("cell")
 
 
 def _rank_metrics(df: DataFrame, scores: dict[str, Column], y: Column, rows: int = RANKED_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 from catalog.fixture import NUMERIC
 from gradewell.ml import GiniEvaluator
-from gradewell.operators import calibrate
+from gradewell.operators import calibrate, metrics
 from gradewell.operators.calibrate import IsotonicModel, isotonic_calibrate, isotonic_fit, pooled_blocks
 from gradewell.operators.metrics import (
     auc_gini, calibration_curve, confusion_metrics, gini, gini_hard, ks_statistic, rank_metrics, single_feature_gini,
@@ -133,3 +133,24 @@ def test_many_blocks_are_looked_up_by_cells(spark, scored, tmp_path, monkeypatch
     many = sorted(map(tuple, model.transform(probe).select("x", "calibrated").collect()), key=str)
     assert [r[1] is None for r in few] == [r[1] is None for r in many] and sum(r[1] is None for r in few) == 2
     assert [r[1] for r in many if r[1] is not None] == pytest.approx([r[1] for r in few if r[1] is not None], abs=1e-12)
+
+
+def test_tasks_hold_a_bounded_number_of_values():
+    """All features together, however many values they have."""
+    held = [metrics._Held() for _ in range(7)]
+    values = np.random.default_rng(3).normal(size=(200_000, 7))
+    label, handed = np.zeros(1000, np.int64), 0
+    for low in range(0, len(values), 1000):
+        for f, one in enumerate(held):
+            one.add(metrics.ordered_bits(values[low : low + 1000, f].copy()), label, 64)
+        handed += sum(held[f].take().shape[1] for f in metrics._too_many(held))
+        assert sum(one.size for one in held) <= metrics.HELD
+    assert handed + sum(one.take().shape[1] for one in held) == values.size
+
+
+def test_values_are_ranked_by_spark(scored):
+    """Python workers count, but get no group of cells back."""
+    df, _, _ = scored
+    cells = [np.unique(metrics.ordered_bits(df.select("x").toPandas()["x"].to_numpy()) >> 44)]
+    ranked = metrics._ranked_cells(df, 1, 20, cells, {0: (1, 1)})
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
