@@ -71,12 +71,12 @@ def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def derived_lines(spark: SparkSession, folder: str) -> DataFrame:
     tables = {name: table(spark, folder, name) for name in ("lineitem", "orders", "customer")}
-    # Dealt out by key: a file of one row group would be hashed, and later read, by one task.
-    tables["lineitem"] = tables["lineitem"].repartition(*KEY)
-    statement = _statement(_SPARK_HASH, "string")
-    for name in tables:
-        statement = statement.replace(f" {name} ", f" {{{name}}} ").replace(f" {name}\n", f" {{{name}}}\n")
-    return spark.sql(statement, **tables)
+    # The small tables meet first and are the hashed side of both joins: lines are shuffled once and never
+    # sorted. The shuffle also deals them out: a file of one row group would be hashed, and later read, by one task.
+    buyers = tables["orders"].join(tables["customer"].hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = tables["lineitem"].join(buyers.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    columns, _, _ = _statement(_SPARK_HASH, "string").partition("\nfrom lineitem ")
+    return spark.sql(f"{columns}\nfrom {{lines}}", lines=lines)
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
