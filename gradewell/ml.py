@@ -161,6 +161,9 @@ class GiniEvaluator(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParams
         self._setDefault(scoreCol="probability", labelCol="label")
         self._set(**self._input_kwargs)
 
+    def columns_read(self) -> list[str]:
+        return [self.getLabelCol(), self.getOrDefault(self.scoreCol)]
+
     def _score(self, dataset: DataFrame) -> Column:
         name = self.getOrDefault(self.scoreCol)
         return vector_to_array(col(name))[1] if isinstance(dataset.schema[name].dataType, VectorUDT) else col(name)
