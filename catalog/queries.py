@@ -446,7 +446,8 @@ def quantity_folds(rows: DataFrame, costs: Sequence[float]) -> list[Callable[[Da
 def random_search_cost(spark: SparkSession, folder: str) -> DataFrame:
     """The drawn numbers are taken as numbers of bins; the score of a candidate is
     the WoE that each fold's rows get from bins of the other folds."""
-    rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42), "folds")
+    rows = split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42).drop(*KEY)
+    rows = staged(rows, "folds", by="fold")  # so that a fold is scored without reading the others
     table = random_search(rows, TARGET, "fold", 3, DRAWN, fit_folds=quantity_folds)[1]
     return table.select(F.col("cost").cast("int").alias("bins"), *rounded("gini"), "best")
 
@@ -534,6 +535,7 @@ def woe_incremental(spark: SparkSession, folder: str) -> DataFrame:
 @query("adaptive_search")
 def adaptive_bins(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers of bins proposed batch by batch from the out-of-fold Gini of earlier ones."""
-    rows = staged(split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42), "folds")
+    rows = split.fold_hash(labelled(spark, folder).select(*KEY, "l_quantity", TARGET), KEY, 3, 42).drop(*KEY)
+    rows = staged(rows, "folds", by="fold")  # so that a fold is scored without reading the others
     table = adaptive_random_search(rows, TARGET, "fold", 3, 6, 2.0, 30.0, 42, batch=3, fit_folds=quantity_folds)[1]
     return table.select(F.col("cost").cast("int").alias("bins"), *rounded("gini"), "batch", "best")

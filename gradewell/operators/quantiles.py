@@ -21,6 +21,8 @@ from gradewell.columns import as_number, col
 
 # Leading bits known after each scan.
 STEPS = (20, 32, 64)
+# Cells, of all features and folds together, that a task holds before it hands them on.
+HELD = 1 << 18
 
 
 def ordered_bits(x: np.ndarray) -> np.ndarray:
@@ -33,6 +35,52 @@ def from_bits(bits: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).astype(np.int64).view(np.float64)
 
 
+def _added(lots: list[np.ndarray]) -> np.ndarray:
+    """Counts (cell, n) added up by cell."""
+    cell, n = np.concatenate(lots, axis=1)
+    order = np.argsort(cell, kind="stable")
+    cell, n = cell[order], n[order]
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    return np.stack([cell[start], np.add.reduceat(n, start)])
+
+
+def _counted_cells(batches: Iterator[pd.DataFrame], k: int, known: int, wanted: int, cells: list[np.ndarray] | None,
+                   folds: int) -> Iterator[pd.DataFrame]:
+    """The counts of a task, added up over its batches and handed on when they are more than HELD."""
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    size = 0
+
+    def frame() -> pd.DataFrame:
+        g, f, counts = zip(*((g, f, _added(lots)) for (f, g), lots in held.items()))
+        rows = [c.shape[1] for c in counts]
+        cell, n = np.concatenate(counts, axis=1)
+        parent = cell >> (wanted - known) if known else np.zeros(len(cell), np.int64)
+        return pd.DataFrame({"g": np.repeat(g, rows), "f": np.repeat(f, rows), "parent": parent, "cell": cell, "n": n})
+
+    for batch in batches:
+        fold = batch["g"].to_numpy()
+        for f in range(k):
+            x = batch.iloc[:, f].to_numpy(dtype="float64")
+            seen = ~np.isnan(x)
+            bits, own = ordered_bits(x[seen]), fold[seen]
+            if cells is not None:
+                inside = np.isin(bits >> (64 - known), cells[f])
+                bits, own = bits[inside], own[inside]
+            for g in range(max(folds, 1)):
+                counts = np.stack(np.unique((bits[own == g] if folds else bits) >> (64 - wanted), return_counts=True))
+                if counts.shape[1]:
+                    held.setdefault((f, g), []).append(counts)
+                    size += counts.shape[1]
+        if size > HELD:
+            held = {key: [_added(lots)] for key, lots in held.items()}
+            size = sum(lots[0].shape[1] for lots in held.values())
+            if size > HELD // 2:
+                yield frame()
+                held, size = {}, 0
+    if held:
+        yield frame()
+
+
 def _cell_counts(df: DataFrame, names: Sequence[str], known: int, wanted: int, cells: list[np.ndarray] | None,
                  fold_col: str | None = None, folds: int = 0) -> DataFrame:
     """(t, f, parent, cell, n): values counted by their first `wanted` bits, of those
@@ -40,20 +88,7 @@ def _cell_counts(df: DataFrame, names: Sequence[str], known: int, wanted: int, c
     counted once, by fold; training set t has the rows of all folds but t."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            fold = batch["g"].to_numpy()
-            for f in range(len(names)):
-                x = batch.iloc[:, f].to_numpy(dtype="float64")
-                seen = ~np.isnan(x)
-                bits, own = ordered_bits(x[seen]), fold[seen]
-                if cells is not None:
-                    inside = np.isin(bits >> (64 - known), cells[f])
-                    bits, own = bits[inside], own[inside]
-                for g in range(max(folds, 1)):
-                    cell, n = np.unique((bits[own == g] if folds else bits) >> (64 - wanted), return_counts=True)
-                    parts.append(pd.DataFrame({"g": g, "f": f, "parent": cell >> (wanted - known) if known else 0, "cell": cell, "n": n}))
-            yield pd.concat(parts)
+        return _counted_cells(batches, len(names), known, wanted, cells, folds)
 
     fold = col(fold_col).cast("int") if fold_col else F.lit(0)
     narrow = df.select(*[as_number(df, c).alias(f"x{i}") for i, c in enumerate(names)], fold.alias("g"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 
 from catalog.fixture import FEATURES, KEY, NUMERIC
 from gradewell.functions.weights import bin_iv, bin_woe
-from gradewell.operators import binning
+from gradewell.operators import binning, quantiles
 from gradewell.operators.binning import Binning, fit_binning, fit_binnings, iv_table, woe_transform
 from gradewell.operators.monotone import best_partition
 from gradewell.operators.quantiles import fold_edges, quantile_edges, woe_prebin
@@ -301,3 +301,20 @@ def test_state_of_two_months_is_the_state_of_both(lines, spark):
         stored.merge(BinState.of(a, ["l_tax"], "flag"))
     nothing = BinState.of(lines.limit(0), features, "flag")
     assert bin_rows(nothing.merge(added).binning()) == bin_rows(added.binning())
+
+
+@pytest.mark.parametrize("held", [1 << 18, 100])
+def test_tasks_add_cells_up_over_their_batches(monkeypatch, held):
+    monkeypatch.setattr(quantiles, "HELD", held)
+    random = np.random.default_rng(5)
+    frame = pd.DataFrame({"x0": random.integers(0, 40, 5000) / 4, "x1": random.normal(size=5000), "g": random.integers(0, 3, 5000)})
+    frame.loc[::7, "x0"] = np.nan
+    parts = list(quantiles._counted_cells((frame[low : low + 100] for low in range(0, 5000, 100)), 2, 0, 20, None, 3))
+    found = pd.concat(parts).groupby(["g", "f", "cell"])["n"].agg(["sum", "count"])
+    for f in range(2):
+        known = frame.dropna(subset=[f"x{f}"])
+        cell = quantiles.ordered_bits(known[f"x{f}"].to_numpy()) >> 44
+        wanted = known.groupby([known["g"], cell]).size()
+        mine = found.xs(f, level="f")
+        assert dict(mine["sum"]) == dict(wanted)
+        assert held == 100 or (mine["count"] == 1).all()
