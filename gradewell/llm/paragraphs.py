@@ -36,14 +36,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.columns import col
-from gradewell.llm.common import (
-    Cache, arrow_rows, chunks, hash64, mix, multipliers, raw_texts, schema_of, shingle_hashes, small,
-    split_words, word_hashes,
-)
+from gradewell.llm.common import LOWER, arrow_rows, chunks, mix, multipliers, raw_texts, schema_of, shingle_hashes, small
 from gradewell.llm.graph import bucket_links, components
 from gradewell.workspace import attach, staged
 
@@ -63,7 +61,10 @@ SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every word of all texts: text, first byte, byte after the last, and a number that differs from line to line."""
     buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    space = SPACES[buffer]
+    return _places(buffer, SPACES[buffer], texts)
+
+
+def _places(buffer: np.ndarray, space: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     before = np.r_[True, space[:-1]]
     first, last = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     begin = np.cumsum([0, *(len(raw) + 1 for raw in texts)])
@@ -72,6 +73,30 @@ def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return text, first - begin[text], last - begin[text], line
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every word of all texts, and its place as word_places gives it. Words that are alike are hashed once."""
+    buffer = np.frombuffer(b"\n".join([*texts, b""]).translate(LOWER), np.uint8)
+    space = SPACES[buffer]
+    places = _places(buffer, space, texts)
+    ends = np.r_[0, np.cumsum(places[2] - places[1])].astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(buffer[~space])])
+    words = words.dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[words.indices.to_numpy()], *places
+
+
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(row of every entry of the lists, the entries)."""
+    ends = column.offsets.to_numpy()
+    return np.repeat(np.arange(len(column)), np.diff(ends)), column.values.slice(ends[0], ends[-1] - ends[0])
+
+
+def _lists(sizes: np.ndarray, values, none: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of these sizes, null (and of size 0) where `none` says so."""
+    ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    return pa.ListArray.from_arrays(ends, values, mask=None if none is None else pa.array(none))
+
+
 def cut_points(words: np.ndarray, line: np.ndarray) -> np.ndarray:
     """True where a piece begins: at the first word of a line, and at inner words
     whose hash (with the next word) is smallest within REACH words of the line."""
@@ -124,8 +149,6 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     factors = multipliers(BANDS * ROWS)
 
     def task():
-        cache = Cache(hash64)
-
         def rows(batch: pa.RecordBatch) -> dict | None:
             texts = raw_texts(batch.column(3))
             whole_keys = mix(batch.column(1).to_numpy().view(np.uint64) ^ mix(batch.column(2).to_numpy().view(np.uint64)))
@@ -139,10 +162,9 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 out["place"].append(at << 32 | words << 2 | kind)
 
             for low, high in chunks(texts):
-                words, _ = word_hashes(texts[low:high], cache)
+                words, text, first, last, line = hashed_words(texts[low:high])
                 if not len(words):
                     continue
-                text, first, last, line = word_places(texts[low:high])
                 place = np.arange(len(words)) - np.searchsorted(text, text)  # of a word among those of its text
                 begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
                 size = np.diff(np.r_[begin, len(words)])
@@ -203,8 +225,8 @@ def _unpacked() -> list[Column]:
 
 def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(key, component) of the distinct paragraphs that are similar to another one."""
-    banded = lines.select("key", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where(col("n") > 1).select("band")
+    banded = lines.select("key", "bands").distinct().select("key", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(col("least") < col("most")).select("band")
     banded = staged(banded.join(shared, "band"), "bands")
     # One occurrence of every paragraph that collides, to read its text.
     wanted = lines.join(banded.select("key").distinct(), "key").groupBy("key").agg(
@@ -214,16 +236,22 @@ def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> Dat
     found = _with_text(docs, spans)
 
     def task():
-        cache = Cache(hash64)
-
         def rows(batch: pa.RecordBatch) -> dict:
-            keys, sets = [], []
-            for raw, places in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
-                for p in places:
-                    words = split_words(raw[p["span"] >> 32 : p["span"] & 0xFFFFFFFF])
-                    keys.append(p["key"])
-                    sets.append(np.unique(shingle_hashes(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), SHINGLE)).view(np.int64))
-            return {"key": keys, "shingles": sets}
+            texts = raw_texts(batch.column(0))
+            row, places = _listed(batch.column(1))
+            parts = [texts[i][p >> 32 : p & 0xFFFFFFFF] for i, p in zip(row.tolist(), places.field("span").to_numpy().tolist())]
+            sets, sizes = [], []
+            for low, high in chunks(parts):
+                words, text, *_ = hashed_words(parts[low:high])
+                size = np.bincount(text, minlength=high - low)
+                shingles, _ = _unit_shingles(words, np.cumsum(np.r_[0, size[:-1]]), size)
+                owner = np.repeat(np.arange(high - low), size - SHINGLE + 1)
+                order = np.lexsort((shingles, owner))
+                shingles, owner = shingles[order], owner[order]
+                new = np.r_[True, (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])]
+                sets.append(shingles[new].view(np.int64))
+                sizes.append(np.bincount(owner[new], minlength=high - low))
+            return {"key": places.field("key"), "shingles": _lists(np.concatenate(sizes), np.concatenate(sets))}
 
         return rows
 
@@ -275,19 +303,23 @@ def _with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(named, _same_document("", "__")).select(*DOCUMENT, "text", "spans")
 
 
-def chains(found: list[dict]) -> list[list[dict]]:
-    """Units of one text that follow each other, no further than GAP words apart, in the text that keeps their first copies as well."""
-    out: list[list[dict]] = []
-    for unit in sorted(found, key=lambda u: (u["kept"] is None, u["kept"] or 0, u["kept_hash"], u["kept_more"], u["at"], -u["words"])):
-        last = out[-1][-1] if out else None
-        if last and all(unit[k] == last[k] for k in KEPT):
-            forward, kept_forward = unit["at"] - last["at"], unit["kept_at"] - last["kept_at"]
-            if abs(forward - kept_forward) <= GAP and 0 <= kept_forward and max(forward, kept_forward) <= last["words"] + GAP:
-                if forward + unit["words"] > last["words"]:
-                    out[-1].append(unit)
+def chains(follows: list[bool], at: list[int], kept_at: list[int], words: list[int]) -> tuple[list[int], list[int]]:
+    """(units in chains, how many of these come before each chain): units of one text that follow each other, no further
+    than GAP words apart, in the text that keeps their first copies as well. A unit that `follows` is of the same two texts
+    as the one before it. Units that end inside the last one of their chain are left out."""
+    units, begins, last = [], [], 0
+    for i, same in enumerate(follows):
+        if same:
+            forward, kept_forward = at[i] - at[last], kept_at[i] - kept_at[last]
+            if abs(forward - kept_forward) <= GAP and 0 <= kept_forward and max(forward, kept_forward) <= words[last] + GAP:
+                if forward + words[i] > words[last]:
+                    units.append(i)
+                    last = i
                 continue
-        out.append([unit])
-    return out
+        begins.append(len(units))
+        units.append(i)
+        last = i
+    return units, begins
 
 
 KEPT = ["kept", "kept_hash", "kept_more"]
@@ -328,12 +360,11 @@ def similar_stretches(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]
     """(from, to, from, to) in the words a and b: stretches around the seeds (equal places) that reach the threshold."""
     out: list[tuple[int, int, int, int]] = []
     a, b = (np.asarray(x, np.int64) for x in (a, b))
-    full = [shingle_hashes(x.view(np.uint64), SHINGLE) for x in (a, b)]
 
     def take(parts: list[tuple[int, int, int]]) -> None:
         (i, j, _), (p, q, n) = parts[0], parts[-1]
         if len(parts) > 1:
-            x, y = np.unique(full[0][i : max(i, p + n - SHINGLE + 1)]), np.unique(full[1][j : max(j, q + n - SHINGLE + 1)])
+            x, y = (np.unique(shingle_hashes(part.view(np.uint64), SHINGLE)) for part in (a[i : p + n], b[j : q + n]))
             both = len(np.intersect1d(x, y, True))
             if not both or both < threshold * (len(x) + len(y) - both):
                 take(parts[: len(parts) // 2])
@@ -374,27 +405,33 @@ def region(raw: bytes, anchor: int, before: int, after: int) -> tuple[int, int]:
 
 def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Units around these pieces that are similar to the text that keeps their first copies."""
-    columns, aligned = ([f.name for f in schema_of(x)] for x in (WINDOW, ALIGNED))
+    columns = [f.name for f in schema_of(WINDOW)]
     unit = F.struct("at", "start", "words", "component", *KEPT, "kept_at", "kept_start")
     lists = copies.groupBy(*DOCUMENT).agg(F.collect_list(unit).alias("units"))
 
     def chain():
         def rows(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {name: [] for name in columns}
-            for *document, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                for one in chains(found):
-                    last = max(one, key=lambda u: u["at"] + u["words"])
-                    row = dict(zip(DOCUMENT, document)) | {k: last[k] for k in KEPT} | {
-                        "low": max(0, one[0]["at"] - AROUND), "high": last["at"] + last["words"] + AROUND,
-                        "kept_low": max(0, one[0]["kept_at"] - AROUND),
-                        "kept_high": max(u["kept_at"] + u["words"] for u in one) + AROUND, "component": one[0]["component"],
-                        "anchor": one[0]["at"], "anchor_byte": one[0]["start"],
-                        "kept_anchor": one[0]["kept_at"], "kept_byte": one[0]["kept_start"],
-                        "seeds": [{"at": u["at"], "kept_at": u["kept_at"]} for u in one],
-                    }
-                    for name, part in row.items():
-                        out[name].append(part)
-            return out
+            row, units = _listed(batch.column(3))
+            none = units.field("kept").is_null().to_numpy(zero_copy_only=False)
+            numbers = {f.name: units.field(f.name).fill_null(0).to_numpy() for f in units.type}
+            texts = (*(numbers[k] for k in reversed(KEPT)), none, row)
+            order = np.lexsort((-numbers["words"], numbers["at"], *texts))
+            follows = np.r_[False, np.all([x[order][1:] == x[order][:-1] for x in texts], axis=0)]
+            members, begins = chains(follows.tolist(), *(numbers[k][order].tolist() for k in ("at", "kept_at", "words")))
+            members, begins = order[members], np.array(begins)
+            one = {k: x[members] for k, x in numbers.items()}
+            first = members[begins]
+            seeds = pa.StructArray.from_arrays([pa.array(one[k].astype(np.int32)) for k in ("at", "kept_at")], ["at", "kept_at"])
+            sizes = np.diff(np.r_[begins, len(members)])
+            at, kept_at = numbers["at"][first], numbers["kept_at"][first]
+            return {name: pc.take(batch.column(k), pa.array(row[first])) for k, name in enumerate(DOCUMENT)} | {
+                "low": np.maximum(0, at - AROUND), "high": np.maximum.reduceat(one["at"] + one["words"], begins) + AROUND,
+                **{k: pc.take(units.field(k), pa.array(first)) for k in KEPT},
+                "kept_low": np.maximum(0, kept_at - AROUND),
+                "kept_high": np.maximum.reduceat(one["kept_at"] + one["words"], begins) + AROUND,
+                "component": numbers["component"][first], "anchor": at, "anchor_byte": numbers["start"][first],
+                "kept_anchor": kept_at, "kept_byte": numbers["kept_start"][first], "seeds": _lists(sizes, seeds),
+            }
 
         return rows
 
@@ -410,23 +447,28 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     rest = [c for c in rest if c not in ("anchor", "anchor_byte")]
 
     def read():
-        cache = Cache(hash64)
-
         def rows(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {name: [] for name in ("row", "hashes", "starts", "stops", *rest)}
-            for i, (raw, wanted) in enumerate(zip(raw_texts(batch.column(3)), batch.column(4).to_pylist())):
-                for w in wanted:
-                    low, high = region(raw, w["anchor_byte"], w["anchor"] - w["low"], w["high"] - w["anchor"])
-                    part, own = [raw[low:high]], w["seeds"] is not None
-                    out["row"].append(i)
-                    out["hashes"].append(word_hashes(part, cache)[0].view(np.int64))
-                    _, first, last, _ = word_places(part) if own else (None,) * 4
-                    out["starts"].append((first + low).astype(np.int32) if own else None)
-                    out["stops"].append((last + low).astype(np.int32) if own else None)
-                    for name in rest:
-                        out[name].append(w[name])
-            at = pa.array(out.pop("row"), pa.int64())
-            return {name: pc.take(batch.column(k), at) for k, name in enumerate(DOCUMENT)} | out
+            texts = raw_texts(batch.column(3))
+            row, wanted = _listed(batch.column(4))
+            own = wanted.field("seeds").is_valid().to_numpy(zero_copy_only=False)
+            asked = zip(row.tolist(), *(wanted.field(k).to_numpy().tolist() for k in ("low", "high", "anchor", "anchor_byte")))
+            regions = [(i, *region(texts[i], byte, anchor - low, high - anchor)) for i, low, high, anchor, byte in asked]
+            parts = [texts[i][low:high] for i, low, high in regions]
+            hashes, first, last, sizes = [], [], [], []
+            for low, high in chunks(parts):
+                words, text, begin, end, _ = hashed_words(parts[low:high])
+                ahead = np.array([r[1] for r in regions[low:high]])[text]
+                mine = own[low:high][text]
+                hashes.append(words.view(np.int64))
+                first.append((begin + ahead)[mine].astype(np.int32))
+                last.append((end + ahead)[mine].astype(np.int32))
+                sizes.append(np.bincount(text, minlength=high - low))
+            sizes = np.concatenate(sizes)
+            at = pa.array(row)
+            return {name: pc.take(batch.column(k), at) for k, name in enumerate(DOCUMENT)} | {k: wanted.field(k) for k in rest} | {
+                "hashes": _lists(sizes, np.concatenate(hashes)),
+                "starts": _lists(sizes * own, np.concatenate(first), ~own), "stops": _lists(sizes * own, np.concatenate(last), ~own),
+            }
 
         return rows
 
@@ -441,24 +483,25 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     def align():
         def rows(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {name: [] for name in aligned}
-            lists = {name: batch.column(name) for name in ("hashes", "kept_hashes", "starts", "stops")}
-            narrow = batch.drop_columns(list(lists)).to_pylist()
-            for i, r in enumerate(narrow):
-                low, kept_low = r["low"], r["kept_low"]
-                seeds = [(u["at"] - low, u["kept_at"] - kept_low) for u in r["seeds"]]
-                one_text = all(r[c] == r[k] for c, k in zip(DOCUMENT, KEPT))
-                own, other = (lists[name][i].values.to_numpy() for name in ("hashes", "kept_hashes"))
-                for a, b, _, kept_b in similar_stretches(own, other, seeds, threshold):
-                    if one_text and kept_b + kept_low > a + low:
+            ends = {k: batch.column(k).offsets.to_numpy() for k in ("hashes", "kept_hashes", "starts", "stops", "seeds")}
+            words = {k: batch.column(k).values.to_numpy() for k in ("hashes", "kept_hashes", "starts", "stops")}
+            places = [batch.column("seeds").values.field(k).to_numpy() for k in ("at", "kept_at")]
+            low, kept_low = (batch.column(k).to_numpy().astype(np.int64) for k in ("low", "kept_low"))
+            one_text = [x == y for x, y in zip(*(zip(*(batch.column(c).to_pylist() for c in names)) for names in (DOCUMENT, KEPT)))]
+            found = []
+            for i, same in enumerate(one_text):
+                own, other = (words[k][ends[k][i] : ends[k][i + 1]] for k in ("hashes", "kept_hashes"))
+                seeds = [(x[ends["seeds"][i] : ends["seeds"][i + 1]] - y[i]).tolist() for x, y in zip(places, (low, kept_low))]
+                for a, b, _, kept_b in similar_stretches(own, other, list(zip(*seeds)), threshold):
+                    if same and kept_b + kept_low[i] > a + low[i]:
                         continue  # what stays may not be part of what goes
-                    row = (
-                        *[r[c] for c in DOCUMENT], lists["starts"][i][a].as_py(), lists["stops"][i][b - 1].as_py(), a + low, b - a,
-                        r["component"], r["kept"],
-                    )
-                    for name, part in zip(out, row):
-                        out[name].append(part)
-            return out
+                    found.append((i, a, b))
+            i, a, b = np.array(found, np.int64).reshape(-1, 3).T
+            row = pa.array(i)
+            return {name: pc.take(batch.column(name), row) for name in (*DOCUMENT, "component", "kept")} | {
+                "start": words["starts"][ends["starts"][i] + a], "stop": words["stops"][ends["stops"][i] + b - 1],
+                "at": a + low[i], "words": b - a,
+            }
 
         return rows
 
@@ -555,15 +598,10 @@ def repeated_spans(
 
     def task():
         def rows(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("at", *RUN_COLUMNS)}
-            for i, found in enumerate(batch.column(3).to_pylist()):
-                for run in merged(found):
-                    if run["words"] >= least_words:
-                        out["at"].append(i)
-                        for name, part in RUN_COLUMNS.items():
-                            out[name].append(run[part])
-            at = pa.array(out.pop("at"), pa.int64())
-            return {name: pc.take(batch.column(k), at) for k, name in enumerate(DOCUMENT)} | out
+            row, runs = merged(*_listed(batch.column(3)))
+            long = pc.greater_equal(runs["n_words"], least_words)
+            at = pa.array(row).filter(long)
+            return {name: pc.take(batch.column(k), at) for k, name in enumerate(DOCUMENT)} | {k: x.filter(long) for k, x in runs.items()}
 
         return rows
 
@@ -571,24 +609,24 @@ def repeated_spans(
     return arrow_rows(per_doc, task, schema)
 
 
-RUN_COLUMNS = {"start": "start", "stop": "stop", "n_words": "words", "component_id": "component", "kept_doc_id": "kept"}
-
-
-def merged(found: list[dict]) -> list[dict]:
-    """Units of one text joined where no word lies between them; words that several units hold count once."""
-    runs: list[dict] = []
-    for unit in sorted(found, key=lambda u: (u["at"], -u["words"], u["component"])):
-        last = runs[-1] if runs else None
-        end = unit["at"] + unit["words"]
-        if last and end <= last["at"] + last["words"]:
-            continue
-        if last and unit["at"] <= last["at"] + last["words"]:
-            last["words"], last["stop"] = end - last["at"], unit["stop"]
-            if unit["kept"] is not None and (last["kept"] is None or unit["kept"] < last["kept"]):
-                last["kept"], last["component"] = unit["kept"], unit["component"]
-        else:
-            runs.append(dict(unit))
-    return runs
+def merged(row: np.ndarray, units: pa.StructArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Units of one text (`row`) joined where no word lies between them; words that several units hold count once."""
+    none = units.field("kept").is_null().to_numpy(zero_copy_only=False)
+    start, stop, at, words, component, kept = (units.field(f.name).fill_null(0).to_numpy() for f in units.type)
+    order = np.lexsort((kept, none, component, -words, at, row))
+    begin = (row.astype(np.int64) << 32) + at  # places of different texts do not meet
+    reach = np.r_[-1, np.maximum.accumulate((begin + words)[order])]
+    more = reach[1:] > reach[:-1]  # the others lie inside those before them
+    new = (begin[order] > reach[:-1])[more]
+    order, run = order[more], np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(order)] - 1
+    least = order[np.lexsort((kept[order], none[order], run))[first]]  # of every run the unit of the smallest kept document
+    first, last = order[first], order[last]
+    return row[first], {
+        "start": pa.array(start[first]), "stop": pa.array(stop[last]), "n_words": pa.array(at[last] + words[last] - at[first]),
+        "component_id": pa.array(component[least]), "kept_doc_id": pa.array(kept[least], mask=none[least]),
+    }
 
 
 def cut_documents(

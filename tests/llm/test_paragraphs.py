@@ -2,8 +2,10 @@ import itertools
 
 import numpy as np
 import odd
+import pyarrow as pa
 import xxhash
 
+from gradewell.llm import paragraphs
 from gradewell.llm.paragraphs import cut_documents, cut_points, repeated_spans, similar_stretches, word_places
 from gradewell.llm.queries import op10_paragraphs
 
@@ -226,3 +228,51 @@ def test_texts_without_an_id_are_told_apart_by_their_whole_hashes(spark):
         head, tail = text.split(passage)
         left = [k for k in kept if k.startswith(head) and k.endswith(tail)]
         assert len(left) == 1 and set(odd.words(left[0])) < set(odd.words(text)) and len(odd.words(left[0])) < 80
+
+
+def test_words_that_are_alike_are_hashed_once(monkeypatch):
+    texts = [b"", b" One two\tONE\n\xc3\x84 \xc3\xa4 two ", b"\n\n", b"two\x0bx" + b" one" * 500, b"y" * 100]
+    calls, plain = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda value: calls.append(value) or plain(value))
+    hashes, *places = paragraphs.hashed_words(texts)
+    words = [w for raw in texts for w in raw.translate(bytes.maketrans(b"OTNEW", b"otnew")).split()]
+    assert hashes.tolist() == [plain(w) for w in words] and sorted(calls) == sorted(set(words))
+    for one, two in zip(places, word_places(texts)):
+        assert one.tolist() == two.tolist()
+    assert [len(x) for x in paragraphs.hashed_words([b"", b" "])] == [0] * 5
+
+
+def test_units_joined_like_one_after_another():
+    """Random units of several texts, some without a kept id, against joining them one at a time."""
+    rng = np.random.default_rng(11)
+    names = ("start", "stop", "at", "words", "component", "kept")
+    for _ in range(200):
+        rows = np.sort(rng.integers(0, 4, 30))
+        units = []
+        for k in range(len(rows)):
+            at, words = int(rng.integers(0, 60)), int(rng.integers(1, 12))
+            kept = None if rng.random() < 0.3 else int(rng.integers(0, 5))
+            units.append(dict(zip(names, (at * 10, (at + words) * 10, at, words, k, kept))))
+        expected = []
+        for row, unit in sorted(zip(rows.tolist(), units), key=lambda x: (x[0], x[1]["at"], -x[1]["words"], x[1]["component"])):
+            last = expected[-1] if expected and expected[-1]["row"] == row else None
+            end = unit["at"] + unit["words"]
+            if last and end <= last["at"] + last["words"]:
+                continue
+            if last and unit["at"] <= last["at"] + last["words"]:
+                last["words"], last["stop"] = end - last["at"], unit["stop"]
+                if unit["kept"] is not None and (last["kept"] is None or unit["kept"] < last["kept"]):
+                    last["kept"], last["component"] = unit["kept"], unit["component"]
+            else:
+                expected.append({"row": row} | unit)
+        kind = pa.struct([(name, pa.int64()) for name in names])
+        row, runs = paragraphs.merged(rows, pa.array(units, kind))
+        found = list(zip(row.tolist(), *(runs[k].to_pylist() for k in ("start", "stop", "n_words", "component_id", "kept_doc_id"))))
+        assert found == [tuple(e[k] for k in ("row", "start", "stop", "words", "component", "kept")) for e in expected]
+
+
+def test_chains_of_units():
+    #                 first, goes on, inside it, gap over 30, kept text goes back, other text
+    follows = [False, True, True, True, True, False]
+    at, kept_at, words = [5, 15, 16, 60, 70, 0], [105, 116, 117, 150, 140, 9], [10, 8, 3, 6, 9, 7]
+    assert paragraphs.chains(follows, at, kept_at, words) == ([0, 1, 3, 4, 5], [0, 2, 3, 4])
