@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from gradewell.columns import col
 from gradewell.llm.common import LOWER, arrow_rows, chunks, mix, multipliers, raw_texts, schema_of, shingle_hashes, small
 from gradewell.llm.graph import bucket_links, components
-from gradewell.workspace import attach, staged
+from gradewell.workspace import attach, discard, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -290,7 +290,9 @@ def _line_components(lines: DataFrame, docs: DataFrame, threshold: float) -> Dat
         return similar
 
     links = bucket_links(members, ["band"], "key", accept, "key bigint, shingles array<bigint>")
-    return components(links, "paragraphs").select(col("node").alias("key"), "component")
+    found = staged(components(links, "paragraphs").select(col("node").alias("key"), "component"), "classes")
+    discard(banded, shingles)
+    return found
 
 
 def _same_document(left: str, right: str) -> Column:
@@ -475,6 +477,7 @@ def _aligned(copies: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in schema_of(WINDOW) if f.name in (*DOCUMENT, *rest)])
     schema = f"{schema}, hashes array<bigint>, starts array<int>, stops array<int>"
     words = staged(arrow_rows(_with_text(docs, spans), read, schema), "windows")
+    discard(windows)
     other = words.where(col("seeds").isNull()).select(
         *[col(c).alias(k) for k, c in zip(KEPT, DOCUMENT)], col("low").alias("kept_low"), col("high").alias("kept_high"),
         col("hashes").alias("kept_hashes"),
@@ -515,16 +518,20 @@ def _first(members: DataFrame, group: str) -> DataFrame:
     return staged(members.groupBy(group).agg(F.min(order).alias("first")), "first")
 
 
-def _copies(members: DataFrame, group: str) -> DataFrame:
-    """The units that go, with the one that stays; the rows of a large group are not shuffled."""
-    here = attach(members, _first(members, group), [group])
+def _copies(members: DataFrame, group: str, name: str) -> DataFrame:
+    """The units that go, with the one that stays, staged; the rows of a large group are not shuffled."""
+    first = _first(members, group)
+    here = attach(members, first, [group])
     at, size = F.expr("shiftright(first.place, 32)"), F.expr("shiftright(first.place & 4294967295, 2)")
     # Units of one text may overlap: what shares words with the first stays.
     stays = _same_document("", "first.") & (F.shiftright("place", 32) < at + size)
-    return here.where(~stays).select(
+    copies = here.where(~stays).select(
         *DOCUMENT, *_unpacked(), "component", F.col("first.doc_id").alias("kept"), F.col("first.text_hash").alias("kept_hash"),
         F.col("first.more").alias("kept_more"), at.alias("kept_at"), F.expr("shiftright(first.span, 32)").alias("kept_start"), "key", "span", "place",
     )
+    copies = staged(copies, name)
+    discard(first)
+    return copies
 
 
 MEMBER = "key bigint, doc_id bigint, text_hash bigint, more bigint, span bigint, place bigint, component bigint"
@@ -578,20 +585,22 @@ def repeated_spans(
     bytes [start, stop) of a text that repeat what stays elsewhere; kept_doc_id is the
     smallest document that keeps a unit of the span, component_id that unit's component."""
     docs = _documents(df, id_col, text_col)
+    # Every table goes as soon as what follows from it is written: the tables of units are the largest.
     all_units = staged(units(df, id_col, text_col), "units")
     lines = all_units.where(col("bands").isNotNull())
-    classes = staged(_line_components(lines, docs, threshold), "classes")
+    classes = _line_components(lines, docs, threshold)
     # Units that are not alone: texts, paragraphs and pieces with copies, and paragraphs with similar ones.
     repeated = all_units.groupBy("key").agg(F.count("*").alias("n")).where(col("n") > 1).select("key")
     named = repeated.join(classes, "key", "full_outer").select("key", F.coalesce("component", "key").alias("component"))
     named = staged(named, "named")  # so the join below may split the copies of one unit
     members = staged(all_units.drop("bands").join(named, "key"), "members")
-    gone = staged(_copies(members.where("place & 3 > 0"), "component"), "gone")
+    discard(all_units, classes, named)
+    gone = _copies(members.where("place & 3 > 0"), "component", "gone")
     rest = _uncovered(members.where("place & 3 = 0"), gone)
-    pieces = _copies(rest.where("place & 3 = 0").select(*[f.name for f in schema_of(MEMBER)]), "key")
+    discard(members, gone)
+    pieces = _copies(rest.where("place & 3 = 0").select(*[f.name for f in schema_of(MEMBER)]), "key", "pieces")
     whole = rest.where("place & 3 > 0").select("*", *_unpacked())
     names = [f.name for f in schema_of(ALIGNED)]
-    pieces = staged(pieces, "pieces")
     found = whole.select(*names).unionByName(pieces.select(*names)).unionByName(_aligned(pieces, docs, threshold).select(*names))
     unit = F.struct("start", "stop", "at", "words", "component", "kept")
     per_doc = found.groupBy(*DOCUMENT).agg(F.collect_set(unit).alias("units"))

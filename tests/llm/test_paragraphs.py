@@ -1,10 +1,13 @@
 import itertools
+import re
 
 import numpy as np
 import odd
 import pyarrow as pa
+import pytest
 import xxhash
 
+from gradewell import workspace
 from gradewell.llm import paragraphs
 from gradewell.llm.paragraphs import cut_documents, cut_points, repeated_spans, similar_stretches, word_places
 from gradewell.llm.queries import op10_paragraphs
@@ -230,6 +233,26 @@ def test_texts_without_an_id_are_told_apart_by_their_whole_hashes(spark):
         assert len(left) == 1 and set(odd.words(left[0])) < set(odd.words(text)) and len(odd.words(left[0])) < 80
 
 
+def test_tables_go_when_what_follows_from_them_is_written(spark, tmp_path, monkeypatch):
+    """Before the spans are read, only what they are made from is left, also in a folder with odd letters."""
+    rng = np.random.default_rng(14)
+    passage, line = " ".join(prose(rng, 60)), prose(rng, 40)
+    near = " ".join([*line[:20], "changed", *line[21:]])
+    texts = [f"{' '.join(prose(rng, 30))} {passage} {' '.join(prose(rng, 30))}\n{x}" for x in (" ".join(line), near, "")]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[0])], "doc_id bigint, text string")
+    monkeypatch.setattr(workspace, "shared_folder", lambda _: str(tmp_path / "a folder %20"))
+    spans = repeated_spans(df)
+    left = {re.sub(r"-[0-9a-f]{32}$", "", p.name) for p in (tmp_path / "a folder %20").glob("gradewell/*/*")}
+    assert left - {"checkpoints", "paragraphs"} == {"uncovered", "pieces", "windows"}
+    found = [sorted((r["doc_id"], r["kept_doc_id"]) for r in spans.collect()) for _ in range(2)]
+    assert found[0] == found[1] and set(found[0]) == {(1, 0), (2, 0), (3, 0)}
+    other = str(tmp_path / "other")
+    spark.range(3).write.parquet(other)
+    with pytest.raises(ValueError, match="not a staged table"):
+        workspace.discard(spark.read.parquet(other))
+    assert spark.read.parquet(other).count() == 3
+
+
 def test_words_that_are_alike_are_hashed_once(monkeypatch):
     texts = [b"", b" One two\tONE\n\xc3\x84 \xc3\xa4 two ", b"\n\n", b"two\x0bx" + b" one" * 500, b"y" * 100]
     calls, plain = [], xxhash.xxh64_intdigest
